@@ -3,3 +3,5 @@
 from .registry import ORACLES, QUERIES
 from . import relational_queries  # noqa: F401
 from . import mart_queries  # noqa: F401
+from . import company_queries  # noqa: F401
+from . import market_queries  # noqa: F401

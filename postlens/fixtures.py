@@ -151,6 +151,62 @@ FROM (SELECT c_custkey AS s_custkey, c_custkey % 10 AS sk FROM customer
 GROUP BY s_custkey, sk
 """
 
+VIEWS["f_follows"] = """
+SELECT concat('V', c_nationkey) AS user_id, concat('C', c_custkey) AS company_id,
+       CASE c_custkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'daily' ELSE 'weekly' END AS alert_frequency
+FROM customer
+"""
+
+VIEWS["f_users"] = """
+SELECT concat('V', n_nationkey) AS user_id, CASE WHEN n_nationkey % 9 = 0 THEN NULL ELSE concat('u', n_nationkey, '@example.com') END AS email,
+       n_nationkey % 7 <> 0 AS active, CASE WHEN n_nationkey % 5 = 0 THEN false WHEN n_nationkey % 5 = 1 THEN true END AS email_enabled,
+       CASE n_nationkey % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly' END AS frequency
+FROM nation
+"""
+
+VIEWS["f_alerts"] = """
+SELECT o_orderkey AS alert_id, concat('V', o_custkey % 25) AS user_id, concat('C', o_custkey) AS company_id, CAST(o_orderdate AS DATE) AS signal_date,
+       o_orderstatus = 'F' AS delivered
+FROM orders
+"""
+
+VIEWS["f_applications"] = """
+SELECT o_orderkey AS application_id, concat('V', o_custkey % 25) AS user_id, concat('J', o_orderkey) AS job_id, CAST(o_orderdate AS DATE) AS applied_on,
+       CASE WHEN o_orderstatus = 'P' THEN 'rejected' END AS outcome,
+       CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderdate AS DATE) + 9 END AS reminded_on
+FROM orders
+"""
+
+VIEWS["f_signups"] = """
+SELECT concat('W', o_orderkey) AS signup_id, concat('w', o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '@test.example' WHEN 1 THEN '' ELSE '@example.com' END) AS email,
+       CAST(o_orderdate AS DATE) AS signed_up_on, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) + 1 END AS last_seen_on,
+       CASE WHEN o_orderkey % 11 = 0 THEN CAST(o_orderdate AS DATE) + 2 END AS upgraded_on, CASE WHEN o_orderkey % 13 = 0 THEN CAST(o_orderdate AS DATE) + 2 END AS nurtured_on
+FROM orders
+"""
+
+VIEWS["f_candidates"] = """
+SELECT CASE c_custkey % 5 WHEN 0 THEN 'workday' WHEN 1 THEN 'greenhouse' WHEN 2 THEN 'eightfold' WHEN 3 THEN 'oracle_cloud' ELSE 'lever' END AS platform,
+       concat('tenant-', c_custkey) AS tenant,
+       CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN concat('wd', c_custkey % 6) ELSE concat('wd', c_custkey % 6, '/board', c_custkey % 9) END AS server,
+       CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE c_name END AS company_name,
+       CASE c_custkey % 7 WHEN 0 THEN 'pending' WHEN 1 THEN 'unreachable' WHEN 2 THEN 'integrated' ELSE 'active' END AS status
+FROM customer
+"""
+
+VIEWS["f_registry"] = """
+SELECT CASE s_suppkey % 4 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'ashby' ELSE 'workday' END AS source,
+       concat('T', s_suppkey) AS crawl_tenant, concat('T', s_suppkey, CASE WHEN s_suppkey % 4 = 3 THEN '/wd1/External' ELSE '' END) AS board_token,
+       CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE DATE '2001-08-01' - CAST(s_suppkey % 90 AS INT) END AS registry_seen
+FROM supplier
+"""
+
+VIEWS["f_hosts"] = """
+SELECT concat('H', s_suppkey) AS host_id, CASE s_suppkey % 3 WHEN 0 THEN 'jsonld' WHEN 1 THEN 'oracle_cloud' ELSE 'sitemap' END AS platform,
+       CASE s_suppkey % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'dead' ELSE 'shadow' END AS status, s_suppkey % 50 AS last_job_count,
+       DATE '2001-11-20' + CAST(s_suppkey % 12 AS INT) AS created_on
+FROM supplier
+"""
+
 _ORDER = list(VIEWS)
 
 
@@ -214,3 +270,6 @@ class Tables:
 
     @cached_property
     def resume_skills(self): return self._view("f_resume_skills")
+
+    def view(self, name: str) -> DataFrame:
+        return self._view(f"f_{name}")
