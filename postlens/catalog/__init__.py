@@ -5,3 +5,4 @@ from . import relational_queries  # noqa: F401
 from . import mart_queries  # noqa: F401
 from . import company_queries  # noqa: F401
 from . import market_queries  # noqa: F401
+from . import text_queries  # noqa: F401

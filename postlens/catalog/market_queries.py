@@ -107,17 +107,17 @@ TRANSP = r("count(salary_max_annual) * 100.0 / count(*)", 1)
 
 @query("bi_25_market_overview", f"WITH {S.PAY}, {S.HONESTY} SELECT count(*) AS total_active_roles, count(DISTINCT company_id) AS companies_hiring, {TRANSP} AS salary_transparency_pct, {PAYCOLS}, {r('avg(honesty_score)', 1)} AS avg_honesty_score, max(ingested_at) AS last_updated FROM jobs LEFT JOIN honesty USING (job_id) WHERE {CUR}")
 def _(t):
-    return M.market_overview(S.jobs(t), S.honesty(t), S.risk(t))[0]
+    return M.market_overview(S.jobs(t), S.honesty(t))
 
 
 @query("bi_25_ghost_tiers", f"WITH {S.RISK} SELECT ghost_tier, count(*) AS job_count, {r('avg(ghost_probability)', 1)} AS avg_probability, min(ghost_probability) AS min_probability, max(ghost_probability) AS max_probability FROM risk GROUP BY 1")
 def _(t):
-    return M.market_overview(S.jobs(t), S.honesty(t), S.risk(t))[1]
+    return M.risk_tiers(S.risk(t))
 
 
 @query("bi_25_source_counts", f"WITH {S.PAY} SELECT ingestion_source, count(*) AS active_roles FROM jobs WHERE {CUR} GROUP BY 1")
 def _(t):
-    return M.market_overview(S.jobs(t), S.honesty(t), S.risk(t))[2]
+    return M.source_counts(S.jobs(t))
 
 
 @query("bi_26_market_roles", f"WITH {S.PAY} SELECT {FAMILY_SQL} AS role_family, experience_level, count(DISTINCT job_id) AS active_roles, {PAYCOLS}, {r('avg(salary_min_annual) FILTER (WHERE salary_min_annual BETWEEN 30000 AND 500000)', 0)} AS avg_min_salary, {TRANSP} AS transparency_pct, {r('''count(*) FILTER (WHERE workplace_type = 'remote') * 100.0 / count(*)''', 0)} AS remote_pct FROM jobs JOIN f_roles USING (role_id) WHERE {CUR} GROUP BY 1, 2")
@@ -178,7 +178,8 @@ def _(t):
 
 
 def insight(t, slug):
-    return M.insight(slug, feed(t), t.roles, S.risk(t), t.job_skills, t.skills)
+    risk = S.risk(t) if slug == "lowest-risk-companies" else None
+    return M.insight(slug, feed(t), t.roles, t.job_skills, t.skills, risk)
 
 
 BOTH = "salary_min_annual IS NOT NULL AND salary_max_annual IS NOT NULL"
@@ -272,9 +273,6 @@ def _(t):
     return O.report_state(O.crawl_rollup(t.tenant_runs), F.lit(RADAR_DAY).cast("date"), RADAR_DAY)
 
 
-FACTS = f"""SELECT max(date_diff('hour', CAST(p AS TIMESTAMP), TIMESTAMP '{AS_OF} 00:00:00')) AS publication_age_hours FROM (SELECT max(posted_date) AS p FROM f_postings) q"""
-
-
 @query("bi_33_health_alerts", """WITH h AS (SELECT count(*) AS host_attempts, count(*) FILTER (WHERE status = 'failed') AS host_failures, count(*) FILTER (WHERE started_on > DATE '2001-07-01') AS recent_attempts, count(*) FILTER (WHERE started_on > DATE '2001-07-01' AND status IN ('failed', 'partial_failure')) AS recent_failures FROM f_tenant_runs)
 SELECT 'published inventory is over 36 hours old' AS alert WHERE (SELECT DATE '2001-12-01' - max(posted_date) FROM f_postings) * 24 > 36
 UNION ALL SELECT 'notification backlog exceeds seven days' WHERE (SELECT DATE '2001-12-01' - min(signal_date) FROM f_alerts WHERE NOT delivered) > 7
@@ -324,12 +322,9 @@ def _(t):
     return O.integrate_candidates(t.view("candidates"))
 
 
-@query("bi_38_eligible_reminders", "SELECT application_id, user_id, job_id, applied_on, outcome, reminded_on, email FROM (SELECT a.*, u.email, row_number() OVER (PARTITION BY a.user_id ORDER BY applied_on, application_id) AS rn FROM f_applications a JOIN f_users u USING (user_id) WHERE applied_on BETWEEN DATE '2001-08-01' - 21 AND DATE '2001-08-01' - 7 AND outcome IS NULL AND reminded_on IS NULL AND u.active AND u.email IS NOT NULL AND coalesce(email_enabled, true) AND NOT EXISTS (SELECT 1 FROM f_applications z WHERE z.user_id = a.user_id AND z.reminded_on > DATE '2001-08-10' - 7)) q WHERE rn = 1")
+@query("bi_38_eligible_reminders", "SELECT application_id, user_id, job_id, applied_on, outcome, reminded_on, email FROM (SELECT a.*, u.email, row_number() OVER (PARTITION BY a.user_id ORDER BY applied_on, application_id) AS rn FROM f_applications a JOIN f_users u USING (user_id) WHERE applied_on BETWEEN DATE '2001-08-01' - 21 AND DATE '2001-08-01' - 7 AND outcome IS NULL AND reminded_on IS NULL AND u.active AND u.email IS NOT NULL AND coalesce(email_enabled, true) AND NOT EXISTS (SELECT 1 FROM f_applications z WHERE z.user_id = a.user_id AND z.reminded_on > DATE '2001-08-01' - 7)) q WHERE rn = 1")
 def _(t):
-    apps = t.view("applications")
-    # Reminders dated after the ninth of August are what counts as recent in the checking SQL.
-    return O.eligible_reminders(apps.withColumn("reminded_on", F.when(F.col("reminded_on") > F.lit("2001-08-03").cast("date"), F.col("reminded_on"))
-                                                .when(F.col("reminded_on").isNotNull(), F.lit("1999-01-01").cast("date"))), t.view("users"), RADAR_DAY)
+    return O.eligible_reminders(t.view("applications"), t.view("users"), RADAR_DAY)
 
 
 @query("bi_38_eligible_nurture", "SELECT signup_id, email, signed_up_on FROM f_signups WHERE signed_up_on < DATE '2001-07-20' - 3 AND signed_up_on > DATE '2001-07-20' - 7 AND upgraded_on IS NULL AND last_seen_on IS NOT NULL AND nurtured_on IS NULL AND email LIKE '%@%' AND email NOT LIKE '%@test.%'")

@@ -152,7 +152,7 @@ GROUP BY s_custkey, sk
 """
 
 VIEWS["f_follows"] = """
-SELECT concat('V', c_nationkey) AS user_id, concat('C', c_custkey) AS company_id,
+SELECT concat('V', c_custkey % 25) AS user_id, concat('C', c_custkey) AS company_id,
        CASE c_custkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'daily' ELSE 'weekly' END AS alert_frequency
 FROM customer
 """
