@@ -106,7 +106,7 @@ def _(t):
     return skills.discover_skills(t.postings, t.skills)
 
 
-CANDS = "(SELECT p_partkey AS candidate_id, p_name AS normalized_text, CASE WHEN p_size % 3 = 0 THEN 'mapped' ELSE 'new' END AS status, p_size AS seen_count, CASE WHEN p_partkey % 4 = 0 THEN 0.7 ELSE 0.9 END AS confidence, p_brand AS example FROM part)"
+CANDS = "(SELECT p_partkey AS candidate_id, p_name AS normalized_text, CASE WHEN p_size % 3 = 0 THEN 'mapped' ELSE 'new' END AS status, p_size AS seen_count, CAST(CASE WHEN p_partkey % 4 = 0 THEN 0.75 ELSE 1 END AS DOUBLE) AS confidence, p_brand AS example FROM part)"
 
 
 def cands(t):
@@ -238,7 +238,7 @@ def _(t):
 @query("txt_22_company_key", "SELECT company_id, replace(regexp_replace(lower(company_name), ' inc\\.?$', ''), ' ', '-') AS company_key, CAST(substring(company_id, 2) AS BIGINT) // 2 % 7 = CAST(substring(company_id, 2) AS BIGINT) // 2 AS same_org FROM f_companies")
 def _(t):
     n = F.col("company_name")
-    other = F.expr("concat('The Group 99 Firm ', cast(floor(cast(substring(company_id, 2) AS BIGINT) / 2) AS BIGINT) % 7)")
+    other = F.expr("concat('The Firm ', cast(floor(cast(substring(company_id, 2) AS BIGINT) / 2) AS BIGINT) % 7, ' Group')")
     strict = X.org_match(n, other, threshold=1.0)
     return t.companies.select("company_id", X.company_key(n).alias("company_key"), strict.alias("same_org"))
 
@@ -294,8 +294,8 @@ def _(t):
 
 @query("jn_9_alias_join", r"SELECT domain, skill_id, count(DISTINCT job_id) AS postings FROM (SELECT job_id, domain, unnest(regexp_extract_all(lower(description_text), '\bskill\d+\b')) AS s FROM f_postings WHERE domain IS NOT NULL) q JOIN f_skills ON skill_name = s GROUP BY 1, 2")
 def _(t):
-    grams = t.postings.filter(F.col("domain").isNotNull()).select("job_id", "domain", F.explode(F.array_distinct(X.ngrams(X.words(F.col("description_text")), skills.MAX_ALIAS_WORDS))).alias("alias"))
-    return grams.join(skills.alias_table(t.skills), "alias").groupBy("domain", "skill_id").agg(F.countDistinct("job_id").alias("postings"))
+    hits = skills.match_aliases(t.postings.filter(F.col("domain").isNotNull()), ["job_id", "domain"], F.col("description_text"), skills.alias_table(t.skills))
+    return hits.groupBy("domain", "skill_id").agg(F.countDistinct("job_id").alias("postings"))
 
 
 @query("src_8_strip_html", r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?i)<(?:br|/p|/div|/h[1-6]|li)[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS h FROM pages),

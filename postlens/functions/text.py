@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import blank_to_null, first_match, unaccent
@@ -63,19 +63,31 @@ def dedup_normalize(value: Column) -> Column:
 
 def words(value: Column) -> Column:
     """Lower-case tokens; ``+``, ``#`` and inner dots survive (c++, c#, node.js)."""
-    raw = F.split(F.lower(value), r"[^\p{L}0-9+#.]+")
-    return F.filter(F.transform(raw, lambda w: F.trim(w, F.lit("."))), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(value), F.lit(r"[\p{L}0-9+#]+(?:\.[\p{L}0-9+#]+)*"), F.lit(0))
 
 
 def ngrams(tokens: Column, upto: int) -> Column:
-    """All runs of 1..``upto`` tokens, as strings."""
-    grams = tokens
+    """All runs of 1..``upto`` tokens, as strings (the last runs repeat shorter ones)."""
+    grams = runs = tokens
     for n in range(2, upto + 1):
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        grams = F.concat(grams, F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")))
+        following = F.slice(tokens, F.lit(n), F.greatest(F.size(tokens), F.lit(0)))
+        runs = F.zip_with(runs, following, lambda a, b: F.concat_ws(" ", a, b))
+        grams = F.concat(grams, runs)
     return grams
 
 
+def token_rows(df: DataFrame, keep: list[str], text: Column, ahead: int) -> DataFrame:
+    """One row per token with the tokens that follow it: w1, w2, ... ``w{ahead}``.
+
+    Zipping shifted copies is cheaper than building n-gram strings, and the rows
+    are joined where they are made.
+    """
+    names = [f"w{n}" for n in range(1, ahead + 1)]
+    toks = df.select(*keep, words(text).alias("w1"))
+    shifted = toks.withColumns({f"w{n}": F.slice("w1", F.lit(n), F.size("w1")) for n in range(2, ahead + 1)})
+    return shifted.select(*keep, F.inline(F.arrays_zip(*names)))
+
+
 # Words that carry no identity in an employer's name.
 LEGAL_WORDS = ["inc", "llc", "ltd", "corp", "corporation", "company", "co", "the", "group", "holdings", "gmbh", "plc", "and"]
 

@@ -64,21 +64,15 @@ def strip_boilerplate(df: DataFrame, boilerplate: DataFrame, key: str, group: st
 
     A text only ever meets the chunks it may contain: the inner words of the
     anchor (those that cannot be cut mid-word) are an equality key, so no
-    group's chunk list travels to every text of the group.
+    group's whole chunk list travels to every text of the group.
     """
     chunk_words = F.split("chunk", " ")
-    inner_n = F.least(F.size(chunk_words), F.lit(ANCHOR_WORDS)) - 2
     anchors = boilerplate.filter(F.size(chunk_words) >= MIN_WORDS).select(
-        group, "chunk", F.array_join(F.slice(chunk_words, F.lit(2), inner_n), " ").alias("inner"))
-    toks = F.split(normalized(F.col(text)), " ")
-
-    def runs(n: int) -> Column:
-        starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(toks, i, n), " "))
-
-    sizes = range(MIN_WORDS - 2, ANCHOR_WORDS - 1)
-    grams = df.select(key, group, F.explode(F.array_distinct(F.concat(*[runs(n) for n in sizes]))).alias("inner"))
-    found = grams.join(anchors, [group, "inner"]).groupBy(key).agg(F.collect_set("chunk").alias("_found"))  # bounded by the text itself
+        group, "chunk", *[F.get(chunk_words, F.lit(n)).alias(f"a{n}") for n in (1, 2, 3)])
+    toks = df.select(key, group, F.split(normalized(F.col(text)), " ").alias("w1"))
+    toks = toks.withColumns({f"w{n}": F.slice("w1", F.lit(n), F.size("w1")) for n in (2, 3)}).select(key, group, F.inline(F.arrays_zip("w1", "w2", "w3")))
+    cond = (toks[group] == anchors[group]) & (toks["w1"] == anchors["a1"]) & (toks["w2"] == anchors["a2"]) & (toks["w3"] == anchors["a3"])
+    found = toks.join(anchors, cond).groupBy(toks[key]).agg(F.collect_set("chunk").alias("_found"))  # bounded by the text itself
     joined = df.join(found, key, "left")
     cut = _mask_spans(F.col(text), F.coalesce("_found", F.array().cast("array<string>")))
     return joined.withColumn("stripped_text", cut).drop("_found")

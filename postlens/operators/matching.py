@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import rounded
-from ..functions.text import ngrams, words
+from ..functions.text import words
 from .relational import dedupe_best, empirical_percentile, top_per_group, trimmed_mean
-from .skills import MAX_ALIAS_WORDS
+from .skills import match_aliases
 from .vectors import block_join, top_indexes
 
 # Fixed values of the fit score.
@@ -169,13 +169,12 @@ def extract_resume_skills(resumes: DataFrame, aliases: DataFrame, variants: Data
     """
     block = F.regexp_extract(text, _SKILL_BLOCK, 1)
     items = F.filter(F.transform(F.split(block, r"[,;|\n•]"), lambda s: F.array_join(words(s), " ")), lambda s: s != "")
-    body = resumes.select("resume_id", F.explode(F.array_distinct(ngrams(words(F.col(text)), MAX_ALIAS_WORDS))).alias("alias"))
     section = resumes.select("resume_id", F.explode(F.array_distinct(items)).alias("alias"))
     named = aliases.select("alias", "skill_id")
     found = (
-        body.join(named, "alias").select("resume_id", "skill_id", F.lit(ALIAS_CONFIDENCE).alias("confidence"), F.lit("alias").alias("source"))
+        match_aliases(resumes, ["resume_id"], F.col(text), named).select("resume_id", "skill_id", F.lit(ALIAS_CONFIDENCE).alias("confidence"), F.lit("alias").alias("source"))
         .unionByName(section.join(variants, "alias").select("resume_id", "skill_id", F.lit(SECTION_CONFIDENCE).alias("confidence"), F.lit("section").alias("source")))
-        .unionByName(body.join(variants, "alias").select("resume_id", "skill_id", F.lit(HEURISTIC_CONFIDENCE).alias("confidence"), F.lit("heuristic").alias("source"))))
+        .unionByName(match_aliases(resumes, ["resume_id"], F.col(text), variants).select("resume_id", "skill_id", F.lit(HEURISTIC_CONFIDENCE).alias("confidence"), F.lit("heuristic").alias("source"))))
     return found.groupBy("resume_id", "skill_id").agg(F.max("confidence").alias("confidence"), F.max_by("source", "confidence").alias("source"))
 
 

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import md5_id, rounded
-from ..functions.text import ngrams, words
+from ..functions.text import ngrams, token_rows, words
 from .relational import global_rank
 
-MAX_ALIAS_WORDS = 3
+MAX_ALIAS_WORDS = 4  # longest alias, in words
 PRIORITY_RANK = {"required": 3, "preferred": 2, "nice-to-have": 1}
 
 # Headings that open or close a skills block, lower case without the colon.
@@ -57,11 +57,28 @@ def alias_table(skills: DataFrame, aliases: DataFrame | None = None) -> DataFram
     return names if aliases is None else names.unionByName(aliases.select(F.array_join(words(F.col("alias")), " ").alias("alias"), "skill_id", "ambiguous")).distinct()
 
 
+def match_aliases(df: DataFrame, keep: list[str], text: Column, aliases: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """Rows of ``keep`` joined with the aliases found in ``text``.
+
+    Equality on the first word (and ``on``) finds the alias rows; the words after
+    it are compared in the same join.
+    """
+    on = on or []
+    alias_words = F.split("alias", " ")
+    parts = aliases.filter(F.size(alias_words) <= MAX_ALIAS_WORDS).withColumns({f"a{n}": F.get(alias_words, F.lit(n - 1)) for n in range(1, MAX_ALIAS_WORDS + 1)})
+    toks = token_rows(df, keep, text, MAX_ALIAS_WORDS)
+    cond = toks["w1"] == parts["a1"]
+    for c in on:
+        cond = cond & (toks[c] == parts[c])
+    for n in range(2, MAX_ALIAS_WORDS + 1):
+        cond = cond & (parts[f"a{n}"].isNull() | (toks[f"w{n}"] == parts[f"a{n}"]))
+    return toks.join(parts, cond).select(*[toks[c] for c in keep], *[parts[c] for c in aliases.columns if c not in on and c != "alias"])
+
+
 def extract_skills_sectioned(df: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
     """(key, skill, priority): section decides; otherwise any mention counts as required."""
     lines = df.select(key, F.explode(annotate_lines(F.col(text))).alias("l")).select(key, "l.*")
-    grams = lines.select(key, "in_block", "priority", "bullet", F.explode(F.array_distinct(ngrams(words(F.col("line")), MAX_ALIAS_WORDS))).alias("alias"))
-    hits = grams.join(aliases, "alias").filter(~F.col("ambiguous") | F.col("bullet"))
+    hits = match_aliases(lines, [key, "in_block", "priority", "bullet"], F.col("line"), aliases).filter(~F.col("ambiguous") | F.col("bullet"))
     rank = F.coalesce(*[F.when(F.col("priority") == p, n) for p, n in PRIORITY_RANK.items()])
     best = hits.groupBy(key, "skill_id").agg(F.max(F.when(F.col("in_block"), rank)).alias("_r"))
     back = F.when(F.col("_r") == 2, "preferred").when(F.col("_r") == 1, "nice-to-have").otherwise("required")
@@ -83,8 +100,7 @@ def tag_skills(postings: DataFrame, aliases: DataFrame, existing: DataFrame, mod
         scope = scope.join(existing.select("job_id"), "job_id", "left_anti")
     elif mode != "backfill":
         raise ValueError(f"unknown mode {mode}")
-    grams = scope.select("job_id", "domain", F.explode(F.array_distinct(ngrams(words(F.col("description_text")), MAX_ALIAS_WORDS))).alias("alias"))
-    pairs = grams.join(aliases, ["domain", "alias"]).select("job_id", "skill_id").distinct()
+    pairs = match_aliases(scope, ["job_id", "domain"], F.col("description_text"), aliases, on=["domain"]).select("job_id", "skill_id").distinct()
     return pairs.join(existing.select("job_id", "skill_id"), ["job_id", "skill_id"], "left_anti").select(
         md5_id(id_prefix, F.col("job_id"), F.col("skill_id")).alias("job_skills_id"), "job_id", "skill_id",
         F.lit("required").alias("skill_priority"), F.lit(0.9).alias("confidence"), F.lit("sql_extract").alias("extraction_src"))
