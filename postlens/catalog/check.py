@@ -44,10 +44,12 @@ def duck(root: str):
 
 
 def compare(spark, con, name: str, root: str) -> tuple[bool, str]:
+    start = time.time()
     df = QUERIES[name](spark, root)
     got = df.collect()
+    took = f"spark {time.time() - start:.1f}s "
     if name not in ORACLES:
-        return True, f"rows only: {len(got)}"
+        return True, took + f"rows only: {len(got)}"
     cur = con.execute(ORACLES[name])
     cols = [d[0] for d in cur.description]
     want = cur.fetchall()
@@ -55,7 +57,7 @@ def compare(spark, con, name: str, root: str) -> tuple[bool, str]:
         return False, f"columns {sorted(df.columns)} != {sorted(cols)}"
     a, b = canonical(got, df.columns), canonical(want, cols)
     if a == b:
-        return True, f"{len(a)} rows"
+        return True, took + f"{len(a)} rows"
     from collections import Counter
 
     ca, cb = Counter(a), Counter(b)

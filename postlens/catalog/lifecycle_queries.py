@@ -125,7 +125,7 @@ def _(t):
     return L.expire(t.postings, L.clean_tenants(t.tenant_runs), RADAR_DAY)[0].select("job_id", "status", "expired_reason")
 
 
-@query("lc_2_expire_events", f"WITH {EXPIRE} SELECT job_id, event_type, CASE event_type WHEN 'disappeared' THEN last_seen_at ELSE DATE '{RADAR_DAY}' END AS observed_at, CASE event_type WHEN 'reappeared' THEN DATE '{RADAR_DAY}' - last_seen_at END AS gap_days FROM ev WHERE event_type IS NOT NULL")
+@query("lc_2_expire_events", f"WITH {EXPIRE} SELECT job_id, event_type, CASE event_type WHEN 'disappeared' THEN last_seen_at ELSE DATE '{RADAR_DAY}' END AS observed_on, CASE event_type WHEN 'reappeared' THEN DATE '{RADAR_DAY}' - last_seen_at END AS gap_days FROM ev WHERE event_type IS NOT NULL")
 def _(t):
     return L.expire(t.postings, L.clean_tenants(t.tenant_runs), RADAR_DAY)[1]
 
@@ -303,10 +303,10 @@ def _(t):
     return sinks.upsert(old, new, ["job_id"], {"domain": "coalesce", "experience_level": ("reset", "job_url")})
 
 
-@query("snk_2_partition_snapshot", "SELECT ingested_at AS snapshot_date, count(*) AS n, CAST(sum(CASE WHEN ingested_at >= DATE '2001-07-01' THEN 2 ELSE 1 END) AS BIGINT) AS version FROM f_postings GROUP BY 1")
+@query("snk_2_partition_snapshot", "SELECT CAST(date_trunc('month', ingested_at) AS DATE) AS snapshot_date, count(*) AS n, CAST(sum(CASE WHEN ingested_at >= DATE '2001-07-01' THEN 2 ELSE 1 END) AS BIGINT) AS version FROM f_postings GROUP BY 1")
 def _(t):
     path = scratch_path(t.spark, "snapshots")
-    rows = t.postings.select("job_id", F.col("ingested_at").alias("snapshot_date"))
+    rows = t.postings.select("job_id", F.trunc("ingested_at", "month").alias("snapshot_date"))
     sinks.write_snapshot(rows.withColumn("v", F.lit(1)), path)
     sinks.write_snapshot(rows.filter(F.col("snapshot_date") >= F.lit("2001-07-01").cast("date")).withColumn("v", F.lit(2)), path)
     return t.spark.read.parquet(path).groupBy("snapshot_date").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("version"))

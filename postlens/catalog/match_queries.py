@@ -59,12 +59,12 @@ def bridge(t):
 
 EL = f"""el AS (SELECT j.job_id, j.experience_level, j.domain, j.salary_min_annual, j.salary_max_annual, j.ingested_at, h.honesty_score FROM jobs j LEFT JOIN honesty h USING (job_id) WHERE data_tier = 1 AND is_public AND coalesce(loc_country, 'US') IN ('US', 'unknown') AND domain IS NOT NULL),
 js AS (SELECT DISTINCT job_id, skill_id FROM f_job_skills), nj AS (SELECT job_id, count(*) AS n FROM js GROUP BY 1), nr AS (SELECT resume_id, count(*) AS n FROM f_resume_skills GROUP BY 1),
-lo(lv, o) AS (VALUES ('entry', 0), ('associate', 1), ('mid', 2), ('senior', 3)),
+lo(lv, ord) AS (VALUES ('entry', 0), ('associate', 1), ('mid', 2), ('senior', 3)),
 ov AS (SELECT rs.resume_id, js.job_id, count(*) AS o FROM f_resume_skills rs JOIN js USING (skill_id) JOIN el USING (job_id) GROUP BY 1, 2)"""
 
 
 @query("mat_3_match_jobs", f"""WITH {S.PAY}, {S.HONESTY}, {EL}, fr AS (SELECT job_id, CASE WHEN honesty_score IS NULL THEN 0.5 WHEN honesty_score > 1 THEN honesty_score / 100.0 ELSE honesty_score END * CASE WHEN DATE '{RADAR_DAY}' - ingested_at <= 3 THEN 1.0 WHEN DATE '{RADAR_DAY}' - ingested_at >= 30 THEN 0.5 ELSE 1.0 - 0.5 * (DATE '{RADAR_DAY}' - ingested_at - 3) / 27 END AS f FROM el),
-pr AS (SELECT r.resume_id, el.job_id, 2.0 * coalesce(o, 0) / (nj.n + nr.n) AS raw, nj.n AS n, lr.o AS rl, lj.o AS jl, salary_floor, coalesce(nullif(salary_max_annual, 0), salary_min_annual) AS top, f FROM f_resumes r JOIN nr USING (resume_id) CROSS JOIN el JOIN nj USING (job_id) JOIN fr USING (job_id) LEFT JOIN ov ON ov.resume_id = r.resume_id AND ov.job_id = el.job_id LEFT JOIN lo lr ON lr.lv = exp_level LEFT JOIN lo lj ON lj.lv = experience_level),
+pr AS (SELECT r.resume_id, el.job_id, 2.0 * coalesce(o, 0) / (nj.n + nr.n) AS raw, nj.n AS n, lr.ord AS rl, lj.ord AS jl, salary_floor, coalesce(nullif(salary_max_annual, 0), salary_min_annual) AS top, f FROM f_resumes r JOIN nr USING (resume_id) CROSS JOIN el JOIN nj USING (job_id) JOIN fr USING (job_id) LEFT JOIN ov ON ov.resume_id = r.resume_id AND ov.job_id = el.job_id LEFT JOIN lo lr ON lr.lv = exp_level LEFT JOIN lo lj ON lj.lv = experience_level),
 sc AS (SELECT *, CASE WHEN n = 1 THEN least(raw, 0.40) WHEN n = 2 THEN least(raw, 0.55) WHEN n = 3 THEN least(raw, 0.75) ELSE raw END AS f1, CASE WHEN jl IS NULL THEN 0.7 WHEN rl IS NULL THEN 0.5 WHEN abs(rl - jl) = 0 THEN 1.0 WHEN abs(rl - jl) = 1 THEN 0.5 ELSE 0.0 END AS lf,
  CASE WHEN coalesce(salary_floor, 0) <= 0 THEN 1.0 WHEN top IS NULL THEN 0.7 WHEN top >= salary_floor THEN 1.0 WHEN top >= salary_floor * 0.9 THEN 0.5 ELSE 0.0 END AS sf FROM pr),
 fin AS (SELECT resume_id, job_id, floor((0.50::DOUBLE * f1 + 0.20::DOUBLE * lf + 0.20::DOUBLE * sf + 0.10::DOUBLE * f) * 1000000 + 0.5) / 1000000 AS match_score, floor(f1::DOUBLE * 1000000 + 0.5) / 1000000 AS skill_overlap FROM sc)
@@ -74,7 +74,7 @@ def _(t):
 
 
 @query("mat_3_match_candidates", f"""WITH {S.PAY}, {S.HONESTY}, {EL}, pr AS (SELECT ov.resume_id, ov.job_id, o / 10.0 AS similarity, o, nj.n AS n, nr.n AS m FROM ov JOIN nj USING (job_id) JOIN nr USING (resume_id) WHERE o >= 3),
-sc AS (SELECT pr.*, 2.0 * o / (n + m) AS raw, lr.o AS rl, lj.o AS jl, salary_floor, coalesce(nullif(salary_max_annual, 0), salary_min_annual) AS top FROM pr JOIN f_resumes USING (resume_id) JOIN el USING (job_id) LEFT JOIN lo lr ON lr.lv = exp_level LEFT JOIN lo lj ON lj.lv = experience_level),
+sc AS (SELECT pr.*, 2.0 * o / (n + m) AS raw, lr.ord AS rl, lj.ord AS jl, salary_floor, coalesce(nullif(salary_max_annual, 0), salary_min_annual) AS top FROM pr JOIN f_resumes USING (resume_id) JOIN el USING (job_id) LEFT JOIN lo lr ON lr.lv = exp_level LEFT JOIN lo lj ON lj.lv = experience_level),
 f1 AS (SELECT *, CASE WHEN n = 1 THEN least(raw, 0.40) WHEN n = 2 THEN least(raw, 0.55) WHEN n = 3 THEN least(raw, 0.75) ELSE raw END AS f1, CASE WHEN jl IS NULL THEN 0.7 WHEN rl IS NULL THEN 0.5 WHEN abs(rl - jl) = 0 THEN 1.0 WHEN abs(rl - jl) = 1 THEN 0.5 ELSE 0.0 END AS lf,
  CASE WHEN coalesce(salary_floor, 0) <= 0 THEN 1.0 WHEN top IS NULL THEN 0.7 WHEN top >= salary_floor THEN 1.0 WHEN top >= salary_floor * 0.9 THEN 0.5 ELSE 0.0 END AS sf FROM sc),
 fin AS (SELECT resume_id, job_id, {r('similarity', 4)} AS similarity, {r('similarity * 0.60 + f1 * 0.15 + lf * 0.15 + sf * 0.10', 6)} AS match_score, {r('f1', 4)} AS skill_overlap FROM f1)
@@ -86,7 +86,7 @@ def _(t):
     return M.match_candidates(near.select("resume_id", "job_id", (F.col("n") / 10.0).alias("similarity")), t.resumes, jobs, t.resume_skills, skills, 10, RADAR_DAY)
 
 
-@query("mat_4_skill_gaps", f"""WITH {S.PAY}, {S.HONESTY}, {EL}, x AS (SELECT ov.*, nj.n, coalesce(salary_max_annual, salary_min_annual) AS pay FROM ov JOIN nj USING (job_id) JOIN el USING (job_id) JOIN f_resumes USING (resume_id) LEFT JOIN lo lr ON lr.lv = exp_level LEFT JOIN lo lj ON lj.lv = experience_level WHERE lr.o IS NULL OR abs(lr.o - lj.o) <= 1),
+@query("mat_4_skill_gaps", f"""WITH {S.PAY}, {S.HONESTY}, {EL}, x AS (SELECT ov.*, nj.n, coalesce(salary_max_annual, salary_min_annual) AS pay FROM ov JOIN nj USING (job_id) JOIN el USING (job_id) JOIN f_resumes USING (resume_id) LEFT JOIN lo lr ON lr.lv = exp_level LEFT JOIN lo lj ON lj.lv = experience_level WHERE lr.ord IS NULL OR abs(lr.ord - lj.ord) <= 1),
 cm AS (SELECT resume_id, median(pay) AS cur FROM x WHERE o >= 0.7 * n GROUP BY 1),
 u AS (SELECT x.resume_id, js.skill_id, x.pay FROM x JOIN js USING (job_id) LEFT JOIN f_resume_skills rs ON rs.resume_id = x.resume_id AND rs.skill_id = js.skill_id WHERE rs.skill_id IS NULL AND n >= 2 AND o < n AND o >= 0.7 * (n - 1)),
 g AS (SELECT resume_id, skill_id, count(*) AS unlock_count, median(pay) AS um FROM u GROUP BY 1, 2 HAVING count(*) >= 3),

@@ -29,17 +29,18 @@ def canonical_exact(df: DataFrame, block: list[str], text: str, fallback: str, n
 
 
 def shingles(text: Column, width: int = SHINGLE_WORDS) -> Column:
-    """Distinct hashes of word runs; shorter texts are one shingle."""
+    """Distinct hashes of word runs; shorter texts are one shingle.
+
+    Runs come from zipping shifted copies: a lambda over positions would split
+    the text again for every position.
+    """
     tokens = F.filter(F.split(text, " "), lambda w: w != "")
     n = F.size(tokens)
-    runs = F.when(n >= width, F.transform(F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1))),
-                                          lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, width), " "))))
-    return F.array_distinct(F.when(n >= width, runs).when(n > 0, F.array(F.xxhash64(F.array_join(tokens, " ")))).otherwise(F.array().cast("array<bigint>")))
-
-
-def _jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
+    runs = tokens
+    for shift in range(2, width + 1):
+        runs = F.zip_with(runs, F.slice(tokens, F.lit(shift), F.greatest(n, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    full = F.slice(runs, F.lit(1), F.greatest(n - (width - 1), F.least(n, F.lit(1))))
+    return F.array_distinct(F.transform(full, lambda r: F.xxhash64(r)))
 
 
 def _agreement_keys(sets: DataFrame, threshold: float) -> DataFrame:
@@ -57,21 +58,23 @@ def _agreement_keys(sets: DataFrame, threshold: float) -> DataFrame:
         return F.when(d == 0, 0).otherwise(F.floor(F.log2(d.cast("double"))) + 1).cast("int")
 
     smallest_partner = F.ceil(F.col("_n") * threshold - 1e-9)
-    classes = F.sequence(size_class(smallest_partner), size_class(F.col("_n")))
-    parts = F.pow(F.lit(2), F.col("_class")).cast("int")
-    signature = F.xxhash64(F.array_sort(F.filter("_set", lambda s: F.pmod(s, F.col("_parts").cast("bigint")) == F.col("_part"))))
-    return (
-        sets.withColumn("_class", F.explode(classes)).withColumn("_parts", parts)
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-        .select("_id", "_block", F.xxhash64("_block", "_class", "_part", signature).alias("_key"))
-    )
+    classed = sets.withColumn("_class", F.explode(F.sequence(size_class(smallest_partner), size_class(F.col("_n"))))).withColumn("_parts", F.pow(F.lit(2), F.col("_class")).cast("int"))
+    # XOR of the members' hashes identifies a part; all rows of a text are in one
+    # task, so the aggregate shrinks them to one row per part before the shuffle.
+    members = classed.select("_id", "_block", "_class", "_parts", F.explode("_set").alias("_s")).select(
+        "_id", "_block", "_class", F.pmod(F.col("_s"), F.col("_parts").cast("bigint")).cast("int").alias("_part"), F.xxhash64("_s").alias("_h"))
+    empty = classed.select("_id", "_block", "_class", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.lit(0).cast("bigint").alias("_h"))
+    signed = members.unionByName(empty).groupBy("_id", "_block", "_class", "_part").agg(F.bit_xor("_h").alias("_sig"))
+    return signed.select("_id", "_block", F.xxhash64("_block", "_class", "_part", "_sig").alias("_key"))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     a = sets.select(F.col("_id").alias("src"), F.col("_set").alias("_a"))
     b = sets.select(F.col("_id").alias("dst"), F.col("_set").alias("_b"))
-    sizes_fit = F.least(F.size("_a"), F.size("_b")) >= F.greatest(F.size("_a"), F.size("_b")) * threshold
-    return pairs.join(a, "src").join(b, "dst").filter(sizes_fit).filter(_jaccard(F.col("_a"), F.col("_b")) >= threshold).select("src", "dst")
+    na, nb = F.size("_a"), F.size("_b")
+    sized = pairs.join(a, "src").join(b, "dst").filter(F.least(na, nb) >= F.greatest(na, nb) * threshold)
+    shared = sized.select("src", "dst", (na + nb).alias("_t"), F.size(F.array_intersect("_a", "_b")).alias("_i"))
+    return shared.filter(F.col("_i") >= (F.col("_t") - F.col("_i")) * threshold).select("src", "dst")
 
 
 def near_dup_clusters(df: DataFrame, key: str, block: list[str], text: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -91,7 +94,7 @@ def near_dup_clusters(df: DataFrame, key: str, block: list[str], text: str, thre
     folded = shingled.withColumn("_sig", F.xxhash64(F.array_sort("_set"))).groupBy("_block", "_sig").agg(
         F.min("_id").alias("_m"), F.first("_set").alias("_set"))
     sets = cut_lineage(folded.select(F.col("_m").alias("_id"), "_block", "_set", F.size("_set").alias("_n")))
-    keys = cut_lineage(_agreement_keys(sets, threshold).groupBy("_key", "_id").agg(F.first("_block").alias("_block")))
+    keys = cut_lineage(_agreement_keys(sets, threshold).select("_key", "_id"))
 
     pivots = keys.groupBy("_key").agg(F.min("_id").alias("src"), F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > 1)
     star = keys.join(pivots.select("_key", "src"), "_key").filter(F.col("_id") != F.col("src")).select("src", F.col("_id").alias("dst")).distinct()

@@ -16,39 +16,37 @@ from .relational import global_rank
 MAX_ALIAS_WORDS = 4  # longest alias, in words
 PRIORITY_RANK = {"required": 3, "preferred": 2, "nice-to-have": 1}
 
-# Headings that open or close a skills block, lower case without the colon.
-OPENING = ["requirements", "required", "required skills", "qualifications", "skills", "preferred", "preferred qualifications", "nice to have", "bonus points", "tools"]
+# Headings of a skills block, lower case: those that set a priority, those that only
+# open a block, those that close one.
+PRIORITY_HEADINGS = {"required": ["requirements", "required", "required skills", "qualifications", "minimum qualifications"],
+                     "preferred": ["preferred", "preferred qualifications", "preferred skills"], "nice-to-have": ["nice to have", "bonus points", "bonus"]}
+OPENING = ["skills", "technical skills", "tools"]
 CLOSING = ["benefits", "about us", "about the company", "responsibilities", "compensation", "what we offer", "perks"]
+BULLET = r"^\s*(?:[-*•·]|\d+[.)])\s+"
 
 
-def _heading(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r":\s*$", ""))
+def _heading(names: list[str]) -> str:
+    return r"^[ \t]*(?:" + "|".join(names) + r")[ \t]*:?[ \t]*$"
 
 
-def annotate_lines(text: Column) -> Column:
-    """Lines of one text with the section state they fall under.
+def section_lines(df: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """Lines of each text with in_block, priority and bullet.
 
-    One fold over the lines of a row: no explode, no shuffle, no window.
-    Each element is (line, in_block, priority, bullet).
+    The text is cut in front of its headings, first those that set a priority,
+    then those that open or close a block, so every piece starts with the heading
+    that rules it; nothing is carried from line to line.
     """
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda s: F.trim(s) != "")
-    shape = "array<struct<line:string,in_block:boolean,priority:string,bullet:boolean>>"
-
-    def step(acc: Column, line: Column) -> Column:
-        head = _heading(line)
-        opens = head.isin(OPENING)
-        closes = head.isin(CLOSING)
-        priority = (
-            F.when(opens & head.contains("preferred"), "preferred").when(opens & head.rlike("nice to have|bonus"), "nice-to-have")
-            .when(opens & head.rlike("require|qualification"), "required").otherwise(acc["priority"]))
-        block = F.when(opens, True).when(closes, False).otherwise(acc["block"])
-        row = F.struct(line.alias("line"), block.alias("in_block"), F.coalesce(priority, F.lit("required")).alias("priority"),
-                       line.rlike(r"^\s*(?:[-*•·]|\d+[.)])\s+").alias("bullet"))
-        return F.struct(block.alias("block"), priority.alias("priority"),
-                        F.when(opens | closes, acc["rows"]).otherwise(F.array_append(acc["rows"], row)).alias("rows"))
-
-    start = F.struct(F.lit(False).alias("block"), F.lit(None).cast("string").alias("priority"), F.array().cast(shape).alias("rows"))
-    return F.aggregate(lines, start, step)["rows"]
+    ruled = [h for names in PRIORITY_HEADINGS.values() for h in names]
+    pieces = df.select(*keep, F.explode(F.split(text, f"(?im)(?={_heading(ruled)})")).alias("_p"))
+    first = F.lower(F.trim(F.regexp_extract("_p", r"^[ \t]*([^\n:]*)", 1)))
+    priority = None
+    for name, names in PRIORITY_HEADINGS.items():
+        priority = (F if priority is None else priority).when(first.isin(names), F.lit(name))
+    parts = pieces.select(*keep, priority.alias("_rank"), F.explode(F.split("_p", f"(?im)(?={_heading(OPENING + CLOSING)})")).alias("_q"))
+    head = F.lower(F.trim(F.regexp_extract("_q", r"^[ \t]*([^\n:]*)", 1)))
+    block = F.when(head.isin(OPENING), True).when(head.isin(CLOSING), False).otherwise(head.isin(ruled))
+    lines = parts.select(*keep, block.alias("in_block"), F.coalesce("_rank", F.lit("required")).alias("priority"), F.explode(F.split("_q", "\n")).alias("line"))
+    return lines.filter((F.trim("line") != "") & ~F.trim("line").rlike("(?i)" + _heading(ruled + OPENING + CLOSING))).withColumn("bullet", F.col("line").rlike(BULLET))
 
 
 def alias_table(skills: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -77,7 +75,7 @@ def match_aliases(df: DataFrame, keep: list[str], text: Column, aliases: DataFra
 
 def extract_skills_sectioned(df: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
     """(key, skill, priority): section decides; otherwise any mention counts as required."""
-    lines = df.select(key, F.explode(annotate_lines(F.col(text))).alias("l")).select(key, "l.*")
+    lines = section_lines(df, [key], text)
     hits = match_aliases(lines, [key, "in_block", "priority", "bullet"], F.col("line"), aliases).filter(~F.col("ambiguous") | F.col("bullet"))
     rank = F.coalesce(*[F.when(F.col("priority") == p, n) for p, n in PRIORITY_RANK.items()])
     best = hits.groupBy(key, "skill_id").agg(F.max(F.when(F.col("in_block"), rank)).alias("_r"))

@@ -40,9 +40,12 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str], policy: dict[st
 
 
 def write_snapshot(df: DataFrame, path: str, day_col: str = "snapshot_date") -> None:
-    """Replace only the days present in ``df``; other partitions stay."""
-    df.repartition(day_col, F.pmod(F.xxhash64(*[c for c in df.columns if c != day_col][:1]), F.lit(16))).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy(day_col).parquet(path)
+    """Replace only the days present in ``df``; other partitions stay.
+
+    Rebalancing by day keeps small days in one file each and splits a large day
+    over several tasks, so a snapshot of one day is not one task's work.
+    """
+    df.hint("rebalance", day_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day_col).parquet(path)
 
 
 def swap_table(df: DataFrame, path: str, min_rows: int = 1) -> int:
