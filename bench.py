@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR  data folder (default /root/testdata/sf0.1)
 BENCH_CPUS    local cores (default 4)
-BENCH_RUNS    runs per query, median reported (default 3; the first query is warmed up once)
+BENCH_RUNS    runs per query, median reported (default 1, after one warm-up query)
 BENCH_ALL     1 = every registered query, one run each
 """
 
@@ -30,7 +30,7 @@ def main() -> None:
     root = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = int(os.environ.get("BENCH_CPUS", "4"))
     everything = os.environ.get("BENCH_ALL") == "1"
-    runs = 1 if everything else int(os.environ.get("BENCH_RUNS", "3"))
+    runs = 1 if everything else int(os.environ.get("BENCH_RUNS", "1"))
     spark = build_session("bench", cores=cores)
     spark.sparkContext.setLogLevel("ERROR")
 

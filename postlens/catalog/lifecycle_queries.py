@@ -29,7 +29,7 @@ def _(t):
 
 @query("dup_2_canonical_exact", f"SELECT doc_id, concat('CO', substring(md5(concat_ws('|', lower(source), lower(lang), CASE WHEN {NORM} <> '' THEN {NORM} ELSE concat('source:', doc_id) END)), 1, 20)) AS canonical_id FROM documents")
 def _(t):
-    docs = t.base("documents")
+    docs = t.documents
     return docs.select("doc_id", D.canonical_exact(docs, ["source", "lang"], "text", "doc_id").alias("canonical_id"))
 
 
@@ -43,7 +43,7 @@ ed AS (SELECT a, c FROM pr UNION SELECT c, a FROM pr), reach AS (SELECT doc_id A
 
 @query("dup_3_near_dup_clusters", NEAR + " SELECT n AS doc_id, min(m) AS cluster_id FROM reach GROUP BY 1")
 def _(t):
-    return D.near_dup_clusters(t.base("documents"), "doc_id", ["source", "lang"], "text")
+    return D.near_dup_clusters(t.documents, "doc_id", ["source", "lang"], "text")
 
 
 @query("jn_15_block_pairs", f"""WITH nd AS (SELECT doc_id, lang, replace({NORM}, ' ', '') AS tight FROM documents) SELECT lang, count(*) AS texts, CAST(sum(n) AS BIGINT) AS documents, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pairs FROM (SELECT lang, tight, count(*) AS n FROM nd GROUP BY 1, 2) q WHERE n > 1 GROUP BY 1""")
@@ -52,7 +52,7 @@ def _(t):
     from ..functions.text import dedup_normalize
 
     tight = F.replace(dedup_normalize(F.col("text")), F.lit(" "), F.lit(""))
-    groups = t.base("documents").groupBy("lang", F.md5(tight).alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    groups = t.documents.groupBy("lang", F.md5(tight).alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return groups.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("documents"), F.sum(F.expr("n * (n - 1) div 2")).alias("pairs"))
 
 

@@ -73,19 +73,6 @@ def _(t):
     return M.match_jobs(t.resumes, eligible_jobs(t), t.resume_skills, bridge(t), 10, RADAR_DAY)
 
 
-@query("mat_3_match_candidates", f"""WITH {S.PAY}, {S.HONESTY}, {EL}, pr AS (SELECT ov.resume_id, ov.job_id, o / 10.0 AS similarity, o, nj.n AS n, nr.n AS m FROM ov JOIN nj USING (job_id) JOIN nr USING (resume_id) WHERE o >= 3),
-sc AS (SELECT pr.*, 2.0 * o / (n + m) AS raw, lr.ord AS rl, lj.ord AS jl, salary_floor, coalesce(nullif(salary_max_annual, 0), salary_min_annual) AS top FROM pr JOIN f_resumes USING (resume_id) JOIN el USING (job_id) LEFT JOIN lo lr ON lr.lv = exp_level LEFT JOIN lo lj ON lj.lv = experience_level),
-f1 AS (SELECT *, CASE WHEN n = 1 THEN least(raw, 0.40) WHEN n = 2 THEN least(raw, 0.55) WHEN n = 3 THEN least(raw, 0.75) ELSE raw END AS f1, CASE WHEN jl IS NULL THEN 0.7 WHEN rl IS NULL THEN 0.5 WHEN abs(rl - jl) = 0 THEN 1.0 WHEN abs(rl - jl) = 1 THEN 0.5 ELSE 0.0 END AS lf,
- CASE WHEN coalesce(salary_floor, 0) <= 0 THEN 1.0 WHEN top IS NULL THEN 0.7 WHEN top >= salary_floor THEN 1.0 WHEN top >= salary_floor * 0.9 THEN 0.5 ELSE 0.0 END AS sf FROM sc),
-fin AS (SELECT resume_id, job_id, {r('similarity', 4)} AS similarity, {r('similarity * 0.60 + f1 * 0.15 + lf * 0.15 + sf * 0.10', 6)} AS match_score, {r('f1', 4)} AS skill_overlap FROM f1)
-SELECT * EXCLUDE (rn), rn AS place FROM (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY match_score DESC, job_id) AS rn FROM fin) q WHERE rn <= 10""")
-def _(t):
-    jobs, skills = eligible_jobs(t), bridge(t)
-    # Stand-in neighbours: postings sharing at least three skills, by shared count.
-    near = skills.join(jobs.select("job_id"), "job_id").join(t.resume_skills, "skill_id").groupBy("resume_id", "job_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
-    return M.match_candidates(near.select("resume_id", "job_id", (F.col("n") / 10.0).alias("similarity")), t.resumes, jobs, t.resume_skills, skills, 10, RADAR_DAY)
-
-
 @query("mat_4_skill_gaps", f"""WITH {S.PAY}, {S.HONESTY}, {EL}, x AS (SELECT ov.*, nj.n, coalesce(salary_max_annual, salary_min_annual) AS pay FROM ov JOIN nj USING (job_id) JOIN el USING (job_id) JOIN f_resumes USING (resume_id) LEFT JOIN lo lr ON lr.lv = exp_level LEFT JOIN lo lj ON lj.lv = experience_level WHERE lr.ord IS NULL OR abs(lr.ord - lj.ord) <= 1),
 cm AS (SELECT resume_id, median(pay) AS cur FROM x WHERE o >= 0.7 * n GROUP BY 1),
 u AS (SELECT x.resume_id, js.skill_id, x.pay FROM x JOIN js USING (job_id) LEFT JOIN f_resume_skills rs ON rs.resume_id = x.resume_id AND rs.skill_id = js.skill_id WHERE rs.skill_id IS NULL AND n >= 2 AND o < n AND o >= 0.7 * (n - 1)),
@@ -142,6 +129,21 @@ def _(t):
     return M.weighted_job_matches(t.resumes, t.postings, t.resume_skills, bridge(t), weights(t))
 
 
+@query("mat_3_match_candidates", f"""WITH {S.PAY}, {MK}, {TOPJ}, js AS (SELECT DISTINCT job_id, skill_id FROM f_job_skills), nj AS (SELECT job_id, count(*) AS n FROM js GROUP BY 1), nr AS (SELECT resume_id, count(*) AS n FROM f_resume_skills GROUP BY 1), lo(lv, ord) AS (VALUES ('entry', 0), ('associate', 1), ('mid', 2), ('senior', 3)),
+ov AS (SELECT tj.resume_id, tj.job_id, count(*) AS o FROM tj JOIN js USING (job_id) JOIN f_resume_skills rs ON rs.resume_id = tj.resume_id AND rs.skill_id = js.skill_id GROUP BY 1, 2),
+pr AS (SELECT tj.resume_id, tj.job_id, match_weight / 10.0 AS similarity, o, nj.n AS n, nr.n AS m FROM tj JOIN ov USING (resume_id, job_id) JOIN nj USING (job_id) JOIN nr USING (resume_id)),
+sc AS (SELECT pr.*, 2.0 * o / (n + m) AS raw, lr.ord AS rl, lj.ord AS jl, salary_floor, coalesce(nullif(salary_max_annual, 0), salary_min_annual) AS top FROM pr JOIN f_resumes USING (resume_id) JOIN jobs USING (job_id) LEFT JOIN lo lr ON lr.lv = exp_level LEFT JOIN lo lj ON lj.lv = experience_level),
+f1 AS (SELECT *, CASE WHEN n = 1 THEN least(raw, 0.40) WHEN n = 2 THEN least(raw, 0.55) WHEN n = 3 THEN least(raw, 0.75) ELSE raw END AS f1, CASE WHEN jl IS NULL THEN 0.7 WHEN rl IS NULL THEN 0.5 WHEN abs(rl - jl) = 0 THEN 1.0 WHEN abs(rl - jl) = 1 THEN 0.5 ELSE 0.0 END AS lf,
+ CASE WHEN coalesce(salary_floor, 0) <= 0 THEN 1.0 WHEN top IS NULL THEN 0.7 WHEN top >= salary_floor THEN 1.0 WHEN top >= salary_floor * 0.9 THEN 0.5 ELSE 0.0 END AS sf FROM sc),
+fin AS (SELECT resume_id, job_id, {r('similarity', 4)} AS similarity, {r('similarity * 0.60 + f1 * 0.15 + lf * 0.15 + sf * 0.10', 6)} AS match_score, {r('f1', 4)} AS skill_overlap FROM f1)
+SELECT * EXCLUDE (rn), rn AS place FROM (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY match_score DESC, job_id) AS rn FROM fin) q WHERE rn <= 10""")
+def _(t):
+    # Stand-in neighbours: the weighted matches, their weight taken for a similarity.
+    near = M.weighted_job_matches(t.resumes, t.postings, t.resume_skills, bridge(t), weights(t))
+    pairs = near.select("resume_id", "job_id", (F.col("match_weight") / 10.0).alias("similarity"))
+    return M.match_candidates(pairs, t.resumes, S.jobs(t), t.resume_skills, bridge(t), 10)
+
+
 @query("mat_9_typed_gaps", f"WITH {MK}, g AS (SELECT resume_id, wt.skill_id, rf, pf, {r('w', 6)} AS impact_score FROM f_resumes JOIN wt ON wt.domain = target_domain WHERE NOT EXISTS (SELECT 1 FROM f_resume_skills rs WHERE rs.resume_id = f_resumes.resume_id AND rs.skill_id = wt.skill_id)) SELECT resume_id, skill_id, CASE WHEN rf >= 0.20 THEN 'missing_required' WHEN pf >= 0.20 THEN 'missing_preferred' ELSE 'low_signal' END AS gap_type, impact_score, row_number() OVER (PARTITION BY resume_id ORDER BY impact_score DESC, skill_id) AS place FROM g QUALIFY place <= 25")
 def _(t):
     return M.typed_gaps(t.resumes, t.resume_skills, weights(t))

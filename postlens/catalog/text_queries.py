@@ -16,7 +16,7 @@ from .registry import query, r
 @query("txt_1_salary_windows", r"""WITH w AS (SELECT job_id, description_text AS d, list_filter(range(1, length(description_text) + 1), lambda i: substring(description_text, i, 1) = '$') AS ps FROM f_postings)
 SELECT job_id, array_to_string(list_filter(list_transform(ps, lambda p: substring(d, greatest(p - 350, 1), 700 + p - greatest(p - 350, 1))), lambda x: regexp_matches(x, '(?i)salary|compensation|pay\s+(range|rate|band)|base\s+pay|hourly\s+rate|wage|hiring\s+range'))[1:20], chr(10)) AS windows FROM w""")
 def _(t):
-    return t.postings.select("job_id", salary.salary_windows(F.col("description_text")).alias("windows"))
+    return t.texts.select("job_id", salary.salary_windows(F.col("description_text")).alias("windows"))
 
 
 PARSED = r"""sal AS (SELECT job_id, regexp_extract(description_text, '\$([\d,.]+)(K?) (?:-|to) \$([\d,.]+)(K?)', ['a', 'ak', 'b', 'bk']) AS m, description_text FROM f_postings),
@@ -27,12 +27,12 @@ parsed AS (SELECT job_id, CASE WHEN m.a <> '' THEN CAST(replace(m.a, ',', '') AS
 
 @query("txt_2_extract_salary", f"WITH {PARSED} SELECT * FROM parsed")
 def _(t):
-    return t.postings.select("job_id", salary.extract_salary(F.col("description_text")).alias("s")).select("job_id", "s.lo", "s.hi", "s.period")
+    return t.texts.select("job_id", salary.extract_salary(F.col("description_text")).alias("s")).select("job_id", "s.lo", "s.hi", "s.period")
 
 
 @query("txt_3_merge_salary", f"WITH {PARSED} SELECT p.job_id, coalesce(p.salary_min, lo) AS salary_min, coalesce(p.salary_max, hi) AS salary_max, coalesce(p.salary_period, period) AS salary_period FROM f_postings p JOIN parsed USING (job_id)")
 def _(t):
-    rows = t.postings.withColumn("parsed", salary.extract_salary(F.col("description_text")))
+    rows = t.texts.withColumn("parsed", salary.extract_salary(F.col("description_text")))
     return salary.merge_salary(rows, "parsed").select("job_id", "salary_min", "salary_max", "salary_period")
 
 
@@ -41,7 +41,7 @@ YEARS = r"CAST(nullif(regexp_extract(description_text, '(\d+)\+ years of experie
 
 @query("txt_4_extract_years", f"SELECT job_id, {YEARS} AS required_years, CAST(NULL AS INT) AS preferred_years, true AS scoped FROM f_postings")
 def _(t):
-    return t.postings.select("job_id", E.extract_years("description_text").alias("y")).select("job_id", "y.*")
+    return t.texts.select("job_id", E.extract_years("description_text").alias("y")).select("job_id", "y.*")
 
 
 LVL = rf"""yl AS (SELECT p.job_id, lower(coalesce(role_name, '')) AS t, {YEARS} AS y FROM f_postings p LEFT JOIN f_roles USING (role_id)),
@@ -54,7 +54,7 @@ lv AS (SELECT *, coalesce(ex, CASE num WHEN 'i' THEN 'associate' WHEN 'ii' THEN
  CASE WHEN tl IS NULL THEN 0.96 WHEN tl <> yv THEN 0.90 ELSE 0.99 END AS level_confidence, CASE WHEN tl <> yv THEN concat('title_', tl, '_vs_required_', yv) ELSE '' END AS conflicts, y AS required_years,
  CASE WHEN regexp_matches(t, '\\b(director|vice president|vp|head of|chief)\\b') THEN 'executive' WHEN t <> '' THEN 'individual_contributor' ELSE 'unknown' END AS management_level FROM lv""")
 def _(t):
-    rows = t.postings.select("job_id", "role_id", "description_text").join(t.roles, "role_id", "left").withColumn("role_name", F.coalesce("role_name", F.lit("")))
+    rows = t.texts.select("job_id", "role_id", "description_text").join(t.roles, "role_id", "left").withColumn("role_name", F.coalesce("role_name", F.lit("")))
     out = E.classify_experience(rows, "role_name", "description_text", E.extract_years("description_text"))
     return out.select("job_id", "title_signal", "level", "level_confidence", F.concat_ws("|", "conflicts").alias("conflicts"), "required_years", "management_level")
 
@@ -63,14 +63,14 @@ def _(t):
  WHEN regexp_matches(t, '\b(director|vice president|vp|head of|chief|manager)\b') THEN 'senior' WHEN regexp_matches(t, '\bmid\b|\b(ii|iii|iv)\b') THEN 'mid' WHEN salary_max > 200000 THEN 'senior' WHEN salary_max < 80000 THEN 'entry'
  WHEN y >= 7 THEN 'senior' WHEN y >= 3 THEN 'mid' ELSE 'entry' END AS level FROM lv l JOIN f_postings USING (job_id)""")
 def _(t):
-    rows = t.postings.select("job_id", "role_id", "description_text", "salary_max").join(t.roles, "role_id", "left")
+    rows = t.texts.select("job_id", "role_id", "description_text", "salary_max").join(t.roles, "role_id", "left")
     return rows.select("job_id", E.infer_level_legacy(F.coalesce("role_name", F.lit("")), F.col("description_text"), F.col("salary_max")).alias("level"))
 
 
 @query("txt_7_workplace_employment", r"SELECT job_id, CASE WHEN regexp_matches(lower(description_text), '\bhybrid\b') THEN 'hybrid' WHEN regexp_matches(lower(description_text), '\bremote\b') THEN 'remote' WHEN regexp_matches(lower(description_text), '\bon[- ]?site\b') THEN 'onsite' END AS workplace, CASE WHEN regexp_matches(lower(description_text), '\bfull[- ]?time\b') THEN 'full-time' WHEN regexp_matches(lower(description_text), '\bpart[- ]?time\b') THEN 'part-time' END AS employment FROM f_postings")
 def _(t):
     d = F.col("description_text")
-    return t.postings.select("job_id", X.parse_workplace(d).alias("workplace"), X.parse_employment(d).alias("employment"))
+    return t.texts.select("job_id", X.parse_workplace(d).alias("workplace"), X.parse_employment(d).alias("employment"))
 
 
 @query("txt_8_skills_sectioned", r"""WITH ln AS (SELECT job_id, unnest(string_split(description_text, chr(10))) AS line, generate_subscripts(string_split(description_text, chr(10)), 1) AS i FROM f_postings),
@@ -79,7 +79,7 @@ sc AS (SELECT *, last_value(h IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY i
 tk AS (SELECT job_id, sec, unnest(regexp_extract_all(lower(line), '\bskill\d+\b')) AS s FROM sc WHERE h IS NULL)
 SELECT job_id, skill_id, CASE max(CASE sec WHEN 'required' THEN 3 WHEN 'preferred' THEN 2 END) WHEN 2 THEN 'preferred' ELSE 'required' END AS skill_priority FROM tk JOIN f_skills ON skill_name = s GROUP BY 1, 2""")
 def _(t):
-    return skills.extract_skills_sectioned(t.postings, "job_id", "description_text", skills.alias_table(t.skills))
+    return skills.extract_skills_sectioned(t.texts, "job_id", "description_text", skills.alias_table(t.skills))
 
 
 DOMAIN_LIST = ["data_ml", "engineering", "product", "sales"]
@@ -90,20 +90,20 @@ FROM (SELECT DISTINCT job_id, unnest(regexp_extract_all(lower(description_text),
 JOIN f_skills ON skill_name = s WHERE NOT EXISTS (SELECT 1 FROM f_job_skills j WHERE j.job_id = q.job_id AND j.skill_id = f_skills.skill_id)""")
 def _(t):
     aliases = t.skills.select(F.explode(F.array(*[F.lit(d) for d in DOMAIN_LIST])).alias("domain"), F.col("skill_name").alias("alias"), "skill_id")
-    return skills.tag_skills(t.postings, aliases, t.job_skills, mode="backfill", min_length=200)
+    return skills.tag_skills(t.texts, aliases, t.job_skills, mode="backfill", min_length=200)
 
 
 @query("txt_9_tag_untagged", r"""SELECT q.job_id, skill_id FROM (SELECT DISTINCT job_id, unnest(regexp_extract_all(lower(description_text), '\bskill\d+\b')) AS s FROM f_postings p WHERE status = 'raw' AND data_tier = 1 AND domain IS NOT NULL AND length(description_text) > 200
  AND NOT EXISTS (SELECT 1 FROM f_job_skills j WHERE j.job_id = p.job_id)) q JOIN f_skills ON skill_name = s""")
 def _(t):
     aliases = t.skills.select(F.explode(F.array(*[F.lit(d) for d in DOMAIN_LIST])).alias("domain"), F.col("skill_name").alias("alias"), "skill_id")
-    return skills.tag_skills(t.postings, aliases, t.job_skills, min_length=200).select("job_id", "skill_id")
+    return skills.tag_skills(t.texts, aliases, t.job_skills, min_length=200).select("job_id", "skill_id")
 
 
 @query("txt_10_discover_skills", r"""WITH ln AS (SELECT job_id, company_id, unnest(string_split(description_text, chr(10))) AS line FROM f_postings), tm AS (SELECT job_id, company_id, regexp_extract(line, 'Knowledge of (tool\d+)', 1) AS term FROM ln WHERE line LIKE '- %' AND regexp_matches(line, 'skill\d'))
 SELECT concat('T', substring(term, 2)) AS term, count(DISTINCT job_id) AS job_count, count(DISTINCT company_id) AS company_count FROM tm WHERE term <> '' GROUP BY 1 HAVING count(DISTINCT job_id) >= 3""")
 def _(t):
-    return skills.discover_skills(t.postings, t.skills)
+    return skills.discover_skills(t.texts, t.skills)
 
 
 CANDS = "(SELECT p_partkey AS candidate_id, p_name AS normalized_text, CASE WHEN p_size % 3 = 0 THEN 'mapped' ELSE 'new' END AS status, p_size AS seen_count, CAST(CASE WHEN p_partkey % 4 = 0 THEN 0.75 ELSE 1 END AS DOUBLE) AS confidence, p_brand AS example FROM part)"
@@ -135,7 +135,7 @@ def _domain_sql():
 
 @query("txt_12_classify_domain", _domain_sql())
 def _(t):
-    rows = t.postings.select("job_id", "role_id", "description_text").join(t.roles, "role_id", "left").withColumn("role_name", F.coalesce("role_name", F.lit("")))
+    rows = t.texts.select("job_id", "role_id", "description_text").join(t.roles, "role_id", "left").withColumn("role_name", F.coalesce("role_name", F.lit("")))
     return roles.classify_domain(rows, "role_name", "description_text").select("job_id", "method", "new_domain", F.concat_ws(",", "secondary").alias("secondary"))
 
 
@@ -148,7 +148,7 @@ SELECT job_id, rule_id, CASE WHEN rule_id IN ('empty_title', 'hard:clinical', 'h
  round(CASE WHEN rule_id IN ('empty_title', 'hard:clinical', 'hard:pool') THEN 1.0 WHEN rule_id = 'evidence:consultant' THEN CASE WHEN neg THEN 0.95 WHEN len(pos) >= 2 THEN least(0.98, 0.72 + 0.06 * len(pos)) ELSE 0.45 END WHEN rule_id = 'evidence:executive' THEN 0.25 ELSE 0.99 END::DOUBLE, 4) AS confidence,
  CASE WHEN rule_id = 'evidence:consultant' THEN array_to_string(pos, '|') ELSE '' END AS positive, CASE WHEN rule_id = 'evidence:consultant' AND neg THEN 'on-site only' ELSE '' END AS negative FROM y""")
 def _(t):
-    rows = t.postings.select("job_id", "role_id", "description_text").join(t.roles, "role_id", "left")
+    rows = t.texts.select("job_id", "role_id", "description_text").join(t.roles, "role_id", "left")
     out = roles.admit_roles(rows, "role_name", "description_text")
     return out.select("job_id", "scope.rule_id", "scope.status", F.round("scope.confidence", 4).alias("confidence"), F.concat_ws("|", "scope.positive").alias("positive"), F.concat_ws("|", "scope.negative").alias("negative"))
 
@@ -163,10 +163,10 @@ y AS (SELECT job_id, c1.c AS a, v.c AS b, v2.c AS s, CASE WHEN regexp_matches(tk
  WHEN regexp_matches(tk, '\bmachine learning\b|\bml\b') THEN 'ml_engineering' WHEN regexp_matches(tk, '\bdata scientist') THEN 'data_science' END AS r FROM x LEFT JOIN c1 ON c1.company_key = company_id AND c1.title_key = tk LEFT JOIN v ON v.title_key = tk LEFT JOIN v v2 ON v2.title_key = st)
 SELECT job_id, coalesce(a, b, s, r) AS new_category, CASE WHEN a IS NOT NULL THEN 'cache' WHEN b IS NOT NULL THEN 'title_vote' WHEN s IS NOT NULL THEN 'stripped_vote' WHEN r IS NOT NULL THEN 'rule' END AS category_source FROM y""")
 def _(t):
-    cache = t.postings.filter(F.col("status") == "expired").join(t.roles, "role_id").select(
+    cache = t.texts.filter(F.col("status") == "expired").join(t.roles, "role_id").select(
         F.col("company_id").alias("company_key"), F.lower("role_name").alias("title_key"),
         F.when(F.col("role_name").contains("Data"), "data_engineering").otherwise(F.nullif(F.trim("role_category"), F.lit(""))).alias("role_category"))
-    rows = t.postings.select("job_id", "domain", "role_id", F.col("company_id").alias("company_key")).join(t.roles, "role_id")
+    rows = t.texts.select("job_id", "domain", "role_id", F.col("company_id").alias("company_key")).join(t.roles, "role_id")
     return roles.categorize_roles(rows, cache).select("job_id", "new_category", "category_source")
 
 
@@ -177,7 +177,7 @@ def _(t):
 
 @query("txt_15_company_type", "SELECT job_id, CASE WHEN description_text LIKE '%the group%' THEN 'private' END AS company_type FROM f_postings")
 def _(t):
-    return t.postings.select("job_id", X.company_type(F.col("description_text")).alias("company_type"))
+    return t.texts.select("job_id", X.company_type(F.col("description_text")).alias("company_type"))
 
 
 RAW_PLACE = "CASE life_days % 8 WHEN 0 THEN concat_ws(', ', loc_city, loc_state) WHEN 1 THEN 'Remote' WHEN 2 THEN 'Springfield, Illinois' WHEN 3 THEN 'Bangalore, IN' WHEN 4 THEN 'Chicago, IL, United States' WHEN 5 THEN 'Remote - US' WHEN 6 THEN 'California' ELSE 'Atlantis' END"
@@ -190,12 +190,12 @@ nl AS (SELECT *, CASE v WHEN 0 THEN CASE WHEN loc_state IS NULL THEN NULL ELSE l
 
 @query("txt_16_normalize_location", f"WITH {PLACE} SELECT job_id, city, state, country, is_remote FROM nl")
 def _(t):
-    return t.postings.select("job_id", places.normalize_location(F.expr(RAW_PLACE), F.col("workplace_type")).alias("p")).select("job_id", "p.city", "p.state", "p.country", "p.is_remote")
+    return t.texts.select("job_id", places.normalize_location(F.expr(RAW_PLACE), F.col("workplace_type")).alias("p")).select("job_id", "p.city", "p.state", "p.country", "p.is_remote")
 
 
 @query("txt_17_repair_locations", f"WITH {PLACE}, fx AS (SELECT *, coalesce(loc_country, 'unknown') IN ('unknown', '') AND country IN ('US', 'foreign') AS fixed FROM nl) SELECT job_id, CASE WHEN fixed THEN country ELSE loc_country END AS loc_country, CASE WHEN fixed THEN coalesce(state, loc_state) ELSE loc_state END AS loc_state, CASE WHEN fixed THEN coalesce(city, loc_city) ELSE loc_city END AS loc_city, CASE WHEN fixed THEN raw END AS evidence FROM fx")
 def _(t):
-    out = places.repair_locations(t.postings.withColumn("raw_place", F.expr(RAW_PLACE)), "raw_place")
+    out = places.repair_locations(t.texts.withColumn("raw_place", F.expr(RAW_PLACE)), "raw_place")
     return out.select("job_id", "loc_country", "loc_state", "loc_city", F.col("location_evidence.raw").alias("evidence"))
 
 
@@ -206,13 +206,13 @@ bp AS (SELECT company_id, chunk, count(*) AS docs FROM ck JOIN sz USING (company
 
 @query("txt_18_find_boilerplate", f"WITH {CHUNKS} SELECT * FROM bp")
 def _(t):
-    return B.find_boilerplate(t.postings, "company_id", "description_text")
+    return B.find_boilerplate(t.texts, "company_id", "description_text")
 
 
 @query("txt_19_strip_boilerplate")
 def _(t):
-    rows = t.postings.select("job_id", "company_id", "role_id", "description_text").join(t.roles, "role_id", "left")
-    out = B.strip_boilerplate(rows, B.find_boilerplate(t.postings, "company_id", "description_text"), "job_id", "company_id", "description_text")
+    rows = t.texts.select("job_id", "company_id", "role_id", "description_text").join(t.roles, "role_id", "left")
+    out = B.strip_boilerplate(rows, B.find_boilerplate(t.texts, "company_id", "description_text"), "job_id", "company_id", "description_text")
     return out.select("job_id", "stripped_text", B.build_text(F.col("role_name"), F.col("stripped_text")).alias("model_text"))
 
 
@@ -221,7 +221,7 @@ NORM = r"trim(regexp_replace(regexp_replace(lower(replace(replace(replace(replac
 
 @query("txt_20_dedup_normalize", f"SELECT doc_id, {NORM} AS body FROM documents")
 def _(t):
-    return t.base("documents").select("doc_id", X.dedup_normalize(F.col("text")).alias("body"))
+    return t.documents.select("doc_id", X.dedup_normalize(F.col("text")).alias("body"))
 
 
 SNIPPET = "SELECT job_id, company_name, concat(company_name, CASE life_days % 7 WHEN 0 THEN ' announces layoffs' WHEN 1 THEN ' raised a Series B' WHEN 2 THEN ' acquires a rival' WHEN 3 THEN ' appoints Jo Doe as CEO' WHEN 4 THEN ' is hiring' WHEN 5 THEN ' opens an office' ELSE '' END) AS snippet, concat('https://www.news.example/', company_id, '/', life_days % 7, '?ref=', job_id) AS url, posted_date FROM f_postings JOIN f_companies USING (company_id)"
@@ -229,7 +229,7 @@ SNIPPET = "SELECT job_id, company_name, concat(company_name, CASE life_days % 7
 
 @query("txt_21_classify_events", f"WITH s AS ({SNIPPET}) SELECT job_id, address, CASE WHEN snippet LIKE '%layoffs' THEN 'layoff' WHEN snippet LIKE '%Series B' THEN 'funding' WHEN snippet LIKE '%acquires%' THEN 'acquisition' WHEN snippet LIKE '%CEO' THEN 'leadership' WHEN snippet LIKE '%hiring' THEN 'hiring' ELSE 'other' END AS event_type FROM (SELECT *, lower(replace(split_part(url, '?', 1), 'https://www.', '')) AS address, row_number() OVER (PARTITION BY split_part(url, '?', 1) ORDER BY posted_date DESC, job_id) AS rn FROM s) q WHERE rn = 1")
 def _(t):
-    rows = t.postings.join(t.companies.select("company_id", "company_name"), "company_id")
+    rows = t.texts.join(t.companies.select("company_id", "company_name"), "company_id")
     tail = F.expr("CASE life_days % 7 WHEN 0 THEN ' announces layoffs' WHEN 1 THEN ' raised a Series B' WHEN 2 THEN ' acquires a rival' WHEN 3 THEN ' appoints Jo Doe as CEO' WHEN 4 THEN ' is hiring' WHEN 5 THEN ' opens an office' ELSE '' END")
     rows = rows.select("job_id", "company_name", "posted_date", F.concat("company_name", tail).alias("snippet"), F.expr("concat('https://www.news.example/', company_id, '/', life_days % 7, '?ref=', job_id)").alias("url"))
     return news.classify_events(rows, "snippet", "url", "company_name", [F.col("posted_date").desc(), F.col("job_id")]).select("job_id", "address", "event_type")
@@ -250,7 +250,7 @@ def _(t):
     url = F.when(src == "greenhouse", F.concat(F.lit("https://boards.greenhouse.io/"), tok, F.lit("/jobs/1"))).when(
         src == "workday", F.concat(F.lit("https://"), tok, F.lit(".wd5.myworkdayjobs.com/x"))).otherwise(F.lit("https://x.example/"))
     sid = F.when(src == "other", F.concat(tok, F.lit("|1"))).otherwise(F.lit("7"))
-    return t.postings.select("job_id", X.infer_tenant(src, sid, url).alias("tenant"))
+    return t.texts.select("job_id", X.infer_tenant(src, sid, url).alias("tenant"))
 
 
 @query("txt_24_resolve_company", "SELECT tenant, CASE WHEN tenant = 'tenant-7' THEN 'Seven Ltd' WHEN length(trim(coalesce(company_name, ''))) >= 2 THEN trim(company_name) ELSE concat('Tenant ', substring(tenant, 8)) END AS company FROM f_candidates")
@@ -281,7 +281,7 @@ PASTED = "concat(company_name, ' logo', chr(10), CASE WHEN life_days % 2 = 0 THE
 
 @query("txt_28_recover_dims", "SELECT job_id, CASE WHEN life_days % 3 = 0 THEN 'given' WHEN regexp_matches(role_name, '(?i)(engineer|analyst|scientist|consultant|director|executive|nurse)') THEN role_name END AS title, company_name AS company, CASE WHEN loc_state IS NOT NULL AND loc_state <> 'ON' THEN loc_city END AS city, CASE WHEN loc_state <> 'ON' THEN upper(loc_state) END AS state FROM f_postings JOIN f_roles USING (role_id) JOIN f_companies USING (company_id)")
 def _(t):
-    rows = t.postings.join(t.roles, "role_id").join(t.companies.select("company_id", "company_name"), "company_id").select(
+    rows = t.texts.join(t.roles, "role_id").join(t.companies.select("company_id", "company_name"), "company_id").select(
         "job_id", F.expr("CASE WHEN life_days % 3 = 0 THEN 'given' END").alias("title"), F.expr(PASTED).alias("pasted"))
     return recover.recover_dims(rows, "pasted").select("job_id", "title", "company", "city", "state")
 
@@ -289,12 +289,12 @@ def _(t):
 @query("txt_29_remote_type", "SELECT job_id, CASE life_days % 4 WHEN 0 THEN 'remote' WHEN 1 THEN 'hybrid' WHEN 2 THEN 'onsite' END AS kind FROM f_postings")
 def _(t):
     raw = F.expr("CASE life_days % 4 WHEN 0 THEN 'Fully Remote' WHEN 1 THEN 'Hybrid remote' WHEN 2 THEN 'On-site' ELSE 'unspecified' END")
-    return t.postings.select("job_id", parse_remote_type(raw).alias("kind"))
+    return t.texts.select("job_id", parse_remote_type(raw).alias("kind"))
 
 
 @query("jn_9_alias_join", r"SELECT domain, skill_id, count(DISTINCT job_id) AS postings FROM (SELECT job_id, domain, unnest(regexp_extract_all(lower(description_text), '\bskill\d+\b')) AS s FROM f_postings WHERE domain IS NOT NULL) q JOIN f_skills ON skill_name = s GROUP BY 1, 2")
 def _(t):
-    hits = skills.match_aliases(t.postings.filter(F.col("domain").isNotNull()), ["job_id", "domain"], F.col("description_text"), skills.alias_table(t.skills))
+    hits = skills.match_aliases(t.texts.filter(F.col("domain").isNotNull()), ["job_id", "domain"], F.col("description_text"), skills.alias_table(t.skills))
     return hits.groupBy("domain", "skill_id").agg(F.countDistinct("job_id").alias("postings"))
 
 

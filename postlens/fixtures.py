@@ -12,6 +12,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import spread
+
 AS_OF = "2001-12-01"       # stands in for "today" in every posting query
 RADAR_DAY = "2001-08-01"   # a day inside the event timeline
 
@@ -235,11 +237,11 @@ class Tables:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
-        """Run SQL in which base tables appear by name."""
+        """Run SQL in which base tables appear by name; ``frames`` may stand in for some."""
         names = set(re.findall(r"\b(?:FROM|JOIN) (\w+)", text)) & set(BASE)
         for name in names:
             text = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", text)
-        return self.spark.sql(text, **{n: self.base(n) for n in names}, **frames)
+        return self.spark.sql(text, **{n: frames[n] if n in frames else self.base(n) for n in names})
 
     def _view(self, name: str) -> DataFrame:
         return self.sql(VIEWS[name])
@@ -259,6 +261,14 @@ class Tables:
     @cached_property
     def postings(self): return self._view("f_postings")
 
+    @cached_property
+    def texts(self):
+        """The postings again, spread over all cores for work on their texts."""
+        return self.sql(VIEWS["f_postings"], orders=spread(self.base("orders")))
+
+    @cached_property
+    def documents(self): return spread(self.base("documents"))
+
     @cached_property
     def posting_events(self): return self._view("f_posting_events")
 

@@ -53,7 +53,7 @@ def skill_f1(overlap: Column, n_job: Column, n_resume: Column) -> Column:
     return F.when(F.coalesce(overlap, F.lit(0)) == 0, 0.0).otherwise(F.coalesce(capped, raw))
 
 
-def match_candidates(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame, resume_skills: DataFrame, job_skills: DataFrame, k: int, as_of: str) -> DataFrame:
+def match_candidates(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame, resume_skills: DataFrame, job_skills: DataFrame, k: int) -> DataFrame:
     """Re-score vector neighbours (resume_id, job_id, similarity) and keep the best ``k``."""
     mine = resume_skills.groupBy("resume_id").agg(F.count(F.lit(1)).alias("_nr"))
     theirs = job_skills.groupBy("job_id").agg(F.count(F.lit(1)).alias("_nj"))

@@ -114,7 +114,7 @@ def discover_skills(df: DataFrame, known: DataFrame, key: str = "job_id", group:
     vocabulary = known.agg(F.array_sort(F.collect_set(F.lower("skill_name"))).alias("v"))  # bounded by the taxonomy
     lines = F.filter(F.split(F.col(text), "\n"), lambda s: s.rlike(r"^\s*(?:[-*•·]|\d+[.)])\s+"))
     rows = df.select(key, group, F.explode(lines).alias("line")).withColumn("_v", vocabulary.scalar())
-    named = rows.filter(F.arrays_overlap(ngrams(words(F.col("line")), MAX_ALIAS_WORDS), F.col("_v"))).select(
+    named = rows.filter(F.col("line").rlike(SIGNALS)).filter(F.arrays_overlap(ngrams(words(F.col("line")), MAX_ALIAS_WORDS), F.col("_v"))).select(
         key, group, "_v", F.explode(F.regexp_extract_all(F.col("line"), F.lit(SIGNALS), F.lit(1))).alias("term"))
     term = F.trim(F.regexp_replace("term", r"\s+", " "), F.lit(" .,;:"))
     clean = named.withColumn("term", term).filter(
