@@ -186,12 +186,14 @@ def _(t):
     return _tidy(S.batch_event_counts(t.base("events")))
 
 
-@query("lc_1_lifecycle_stream", "SELECT concat('J', user_id) AS job_id, 'appeared' AS event_type, min(ts) AS observed_at, CAST(NULL AS INT) AS gap_days FROM events GROUP BY 1")
+@query("lc_1_lifecycle_stream", """WITH d AS (SELECT concat('J', user_id) AS job_id, CAST(ts AS DATE) AS day, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY 1, 2),
+g AS (SELECT *, day - lag(day) OVER w AS gap, lag(hi) OVER w AS before, lead(day) OVER w AS nxt FROM d WINDOW w AS (PARTITION BY job_id ORDER BY day))
+SELECT job_id, 'appeared' AS event_type, lo AS observed_at, CAST(NULL AS INT) AS gap_days FROM g WHERE gap IS NULL UNION ALL SELECT job_id, 'reappeared', lo, gap FROM g WHERE gap >= 2 UNION ALL SELECT job_id, 'disappeared', before, NULL FROM g WHERE gap >= 2
+UNION ALL SELECT job_id, 'disappeared', hi, NULL FROM g WHERE nxt IS NULL AND CAST(day + 2 AS TIMESTAMP) <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def _(t):
     stream = S.event_stream(t.spark, f"{t.root}/events*.parquet", t.base("events").schema)
     sightings = stream.select(F.concat(F.lit("J"), F.col("user_id").cast("string")).alias("job_id"), F.col("ts").alias("observed_at"))
-    out = S.run_to_table(S.lifecycle_stream(sightings), "lifecycle").filter(F.col("event_type") == "appeared")
-    return out.withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
+    return S.run_to_table(S.lifecycle_stream(sightings), "lifecycle").withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
 
 
 # ---- quality -----------------------------------------------------------------------------------

@@ -52,31 +52,36 @@ def _period(line: Column, high: Column) -> Column:
     return out.when(high >= 15_000, "year").when(high >= 1_000, "month").otherwise("hour")
 
 
-def _candidate(line: Column, pattern: str, single: bool) -> Column:
-    hit = line.rlike(pattern) & (~line.rlike(NOT_PAY) | line.rlike(PAY_WORDS))
-    low = _number(F.regexp_extract(line, pattern, 1), F.regexp_extract(line, pattern, 2))
-    if single:
-        high = low
-    else:
-        unit = F.regexp_extract(line, pattern, 4)
-        high = _number(F.regexp_extract(line, pattern, 3), unit)
-        # "$140-160K": the unit written once belongs to both ends.
-        shared = (unit != "") & (F.regexp_extract(line, pattern, 2) == "") & (low < 1_000)
-        low = F.when(shared, _number(F.regexp_extract(line, pattern, 1), unit)).otherwise(low)
-    lo, hi = F.least(low, high), F.greatest(low, high)
-    period = _period(line, hi)
-    sane = F.lit(False)
-    for name, (least, most) in BANDS.items():
-        sane = sane | ((period == name) & (lo >= least) & (hi <= most))
-    return F.when(hit & sane, F.struct(lo.alias("lo"), hi.alias("hi"), period.alias("period")))
+def _captures(line: Column, pattern: str, single: bool) -> Column:
+    """Raw pieces of one pattern on one line, or null."""
+    piece = lambda i: F.regexp_extract(line, pattern, i)
+    low, unit = piece(1), piece(2)
+    high, high_unit = (low, unit) if single else (piece(3), piece(4))
+    return F.when(line.rlike(pattern), F.struct(line.alias("line"), low.alias("low"), unit.alias("unit"), high.alias("high"), high_unit.alias("high_unit")))
 
 
 def extract_salary(text: Column) -> Column:
-    """First sane pay statement, by line and then by pattern priority."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: line.rlike(r"\d"))
-    found = F.transform(lines, lambda line: F.coalesce(
-        *[_candidate(line, p, False) for p in RANGE_PATTERNS], *[_candidate(line, p, True) for p in SINGLE_PATTERNS]))
-    return F.get(F.array_compact(found), F.lit(0))
+    """First sane pay statement, by line and then by pattern priority.
+
+    Each stage is a transform over the results of the one before: a lambda is not
+    scanned for common parts, so nothing costly may be written twice inside one.
+    """
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: line.rlike(r"(?i)\$|\busd\b|dollars") & (~line.rlike(NOT_PAY) | line.rlike(PAY_WORDS)))
+    raw = F.flatten(F.transform(lines, lambda line: F.array_compact(F.array(
+        *[_captures(line, p, False) for p in RANGE_PATTERNS], *[_captures(line, p, True) for p in SINGLE_PATTERNS]))))
+    # "$140-160K": the unit written once belongs to both ends.
+    valued = F.transform(raw, lambda c: F.struct(c["line"].alias("line"), _number(c["low"], c["unit"]).alias("a"), _number(c["high"], c["high_unit"]).alias("b"),
+                                                 F.when((c["unit"] == "") & (c["high_unit"] != ""), _number(c["low"], c["high_unit"])).alias("shared")))
+    ends = F.transform(valued, lambda c: F.struct(c["line"].alias("line"), F.when(c["shared"].isNotNull() & (c["a"] < 1_000), c["shared"]).otherwise(c["a"]).alias("a"), c["b"].alias("b")))
+    dated = F.transform(ends, lambda c: F.struct(F.least(c["a"], c["b"]).alias("lo"), F.greatest(c["a"], c["b"]).alias("hi"), _period(c["line"], F.greatest(c["a"], c["b"])).alias("period")))
+
+    def sane(c: Column) -> Column:
+        ok = F.lit(False)
+        for name, (least, most) in BANDS.items():
+            ok = ok | ((c["period"] == name) & (c["lo"] >= least) & (c["hi"] <= most))
+        return ok
+
+    return F.get(F.filter(dated, sane), F.lit(0))
 
 
 def merge_salary(df: DataFrame, parsed: str, repair: bool = False) -> DataFrame:

@@ -42,33 +42,46 @@ SIGHTING_SCHEMA = "job_id string, event_type string, observed_at timestamp, gap_
 STATE_SCHEMA = "last_seen timestamp, open boolean"
 
 
+MISSED_DAYS = 2  # fixed value: two dates apart means a whole day without a sighting
+
+
 def _follow(key, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Turn sightings of one posting into appeared / disappeared / reappeared.
 
-    Only the first and last sighting of a batch matter, so batches are folded as
-    they arrive and never gathered.
+    Sightings are folded to first and last time per day as batches arrive, so a
+    busy posting costs one entry per day, and the outcome does not depend on how
+    the stream was cut into batches.
     """
     last, is_open = state.get if state.exists else (None, False)
+    last = None if last is None else pd.Timestamp(last)
+    out: list[tuple] = []
     if state.hasTimedOut:
         state.update((last, False))
-        yield pd.DataFrame({"job_id": [key[0]], "event_type": ["disappeared"], "observed_at": [last], "gap_days": [None]})
+        yield pd.DataFrame({"job_id": [key[0]], "event_type": ["disappeared"], "observed_at": [last], "gap_days": [None]}).astype({"gap_days": "Int32"})
         return
-    first = newest = None
+    days: dict = {}
     for batch in rows:
-        low, high = batch["observed_at"].min(), batch["observed_at"].max()
-        first, newest = (low if first is None else min(first, low)), (high if newest is None else max(newest, high))
-    if first is None:
+        for day, span in batch["observed_at"].groupby(batch["observed_at"].dt.normalize()).agg(["min", "max"]).iterrows():
+            low, high = days.get(day, (span["min"], span["max"]))
+            days[day] = (min(low, span["min"]), max(high, span["max"]))
+    for day in sorted(days):
+        low, high = days[day]
+        gap = None if last is None else (day - last.normalize()).days
+        if last is None:
+            out.append((key[0], "appeared", low, None))
+        elif not is_open or gap >= MISSED_DAYS:
+            if is_open:
+                out.append((key[0], "disappeared", last, None))
+            if gap >= MISSED_DAYS:
+                out.append((key[0], "reappeared", low, gap))
+        last, is_open = (high if last is None else max(last, high)), True
+    if not days:
         return
-    kind = "appeared" if last is None else "reappeared" if not is_open else None
-    if kind:
-        gap = (first - pd.Timestamp(last)).days if kind == "reappeared" else None
-        yield pd.DataFrame({"job_id": [key[0]], "event_type": [kind], "observed_at": [first], "gap_days": [gap]})
-    last = newest if last is None else max(pd.Timestamp(last), newest)
-    state.update((last, True))
-    state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + _EXPIRY_MS, state.getCurrentWatermarkMs() + 1))
-
-
-_EXPIRY_MS = 86_400_000  # one day of silence
+    state.update((last, is_open))
+    due = int((last.normalize() + pd.Timedelta(days=MISSED_DAYS)).timestamp() * 1000)
+    state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+    if out:
+        yield pd.DataFrame(out, columns=["job_id", "event_type", "observed_at", "gap_days"]).astype({"gap_days": "Int32"})
 
 
 def lifecycle_stream(sightings: DataFrame, delay: str = "1 hour") -> DataFrame:
