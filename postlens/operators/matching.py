@@ -113,7 +113,8 @@ def match_jobs(resumes: DataFrame, jobs: DataFrame, resume_skills: DataFrame, jo
         floor, top = r["floor"].to_numpy(float, na_value=np.nan)[:, None], j["top"].to_numpy(float, na_value=np.nan)[None, :]
         pay = np.where(np.isnan(floor) | (floor <= 0), 1.0, np.where(np.isnan(top), UNDISCLOSED_PAY, np.where(top >= floor, 1.0, np.where(top >= floor * NEAR_PAY, 0.5, 0.0))))
         total = _floor_round(w["overlap"] * f1 + w["level"] * lvl + w["salary"] * pay + w["fresh"] * j["fresh"].to_numpy(float)[None, :], 6)
-        rows, cols = top_indexes(total, k)
+        # Six digits of score, then six of overlap: one exact whole number to rank by.
+        rows, cols = top_indexes(np.rint(total * 1e6) * 1e7 + np.rint(_floor_round(f1, 6) * 1e6), k)
         return pd.DataFrame({"resume_id": r["resume_id"].to_numpy()[rows], "job_id": j["job_id"].to_numpy()[cols], "match_score": total[rows, cols], "skill_overlap": _floor_round(f1[rows, cols], 6)})
 
     found = block_join(left, right, "resume_id", "job_id", score, "resume_id string, job_id string, match_score double, skill_overlap double", left_block=1024)

@@ -23,7 +23,7 @@ LEFT_BLOCK, RIGHT_BLOCK = 4_096, 8_192
 
 def block_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
                left_block: int = LEFT_BLOCK, right_block: int = RIGHT_BLOCK) -> DataFrame:
-    """Apply ``fn`` to every cell of the block grid."""
+    """Apply ``fn`` to every cell of the block grid; right rows arrive in key order."""
     n_left = max(1, math.ceil(left.count() / left_block))
     n_right = max(1, math.ceil(right.count() / right_block))
 
@@ -40,7 +40,7 @@ def block_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     def cell(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if len(x) == 0 or len(y) == 0:
             return pd.DataFrame({c: [] for c in empty})
-        return fn(x, y)
+        return fn(x, y.sort_values(right_key, ignore_index=True))
 
     return a.groupBy("_lb", "_rb").cogroup(b.groupBy("_lb", "_rb")).applyInPandas(cell, schema)
 
@@ -50,10 +50,15 @@ def schema_columns(schema: str) -> list[str]:
 
 
 def top_indexes(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k best columns per row; equal scores at the edge are all kept."""
+    """(row, column) of the k best columns per row; of equal scores the first columns.
+
+    Exactly k per row, so a group of identical items does not multiply the output.
+    """
     k = min(k, score.shape[1])
     edge = -np.partition(-score, k - 1, axis=1)[:, k - 1:k]
-    return np.nonzero(score >= edge)
+    above, level = score > edge, score == edge
+    room = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | (level & (np.cumsum(level, axis=1) <= room)))
 
 
 def unit_rows(vectors: pd.Series) -> np.ndarray:

@@ -146,20 +146,25 @@ def test_sections_rule_priority(spark):
     assert got == {1: "required", 2: "nice-to-have", 4: "required"}
 
 
-def test_knn_matches_brute_force_across_blocks(spark):
+def test_knn_matches_brute_force(spark):
     import numpy as np
 
     rng = np.random.default_rng(3)
     items, queries = rng.normal(size=(120, 8)), rng.normal(size=(9, 8))
     c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "item_id long, vector array<double>")
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id long, vector array<double>")
-    old = vectors.LEFT_BLOCK, vectors.RIGHT_BLOCK
     got = {}
     for r in vectors.knn(q, c, 5).collect():
         got.setdefault(r.query_id, []).append((r.place, r.item_id))
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     want = np.argsort(-(unit(queries) @ unit(items).T), axis=1)[:, :5]
-    assert all([i for _, i in sorted(got[k])] == want[k].tolist() for k in range(9)) and old == (vectors.LEFT_BLOCK, vectors.RIGHT_BLOCK)
+    assert all([i for _, i in sorted(got[k])] == want[k].tolist() for k in range(9))
+
+
+def test_ties_keep_exactly_k_in_key_order(spark):
+    c = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(50)] + [(99, [0.9, 0.1])], "item_id long, vector array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<double>")
+    assert sorted(r.item_id for r in vectors.knn(q, c, 3).collect()) == [0, 1, 2]
 
 
 def test_block_join_covers_the_grid(spark):
