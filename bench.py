@@ -16,10 +16,9 @@ import time
 
 HEADLINE = [
     "prj_2_canonicalize_pay", "flt_1_public_feed", "wn_1_best_row", "wn_7_top_k", "jn_6_latest_before", "ag_14_empirical_percentile",
-    "bi_1_fct_jobs", "bi_2_skill_demand", "bi_3_salary_benchmarks", "bi_5_sector_benchmarks", "bi_6_hiring_difficulty", "bi_7_company_scorecard",
-    "bi_9_ghost_index", "bi_10_honesty_score", "bi_14_radar_snapshot", "bi_24_skill_index", "lc_2_expire_states", "lc_8_stream_event_counts",
-    "txt_2_extract_salary", "txt_8_skills_sectioned", "txt_9_tag_skills", "txt_18_find_boilerplate", "dup_3_near_dup_clusters", "dup_4_connected_components",
-    "mat_1_knn", "mat_3_match_jobs", "mat_7_market_skill_stats", "snk_1_upsert",
+    "bi_2_skill_demand", "bi_3_salary_benchmarks", "bi_6_hiring_difficulty", "bi_9_ghost_index", "bi_10_honesty_score", "bi_14_radar_snapshot",
+    "bi_24_skill_index", "lc_2_expire_states", "lc_8_stream_event_counts", "txt_2_extract_salary", "txt_8_skills_sectioned", "txt_9_tag_skills",
+    "txt_18_find_boilerplate", "dup_3_near_dup_clusters", "dup_4_connected_components", "mat_1_knn", "mat_7_market_skill_stats", "snk_1_upsert",
 ]
 
 
