@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,3 +50,23 @@ def pieces_of(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Itera
             stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
             yield batch.slice(start, stop - start)
             start = stop
+
+
+def map_text(docs: DataFrame, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], fields: str, text: str | Column = "text", carry: list[str] | None = None, piece_bytes: int = 8 << 20) -> DataFrame:
+    """``row`` (the carried columns as one struct) and what a function makes of the whole texts.
+
+    ``make`` is called once in each task and gives a function from a column of texts to the
+    columns named in ``fields``; it sees about ``piece_bytes`` of text at a time.
+    """
+    body = docs[f"`{text}`"] if isinstance(text, str) else text
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in (carry or docs.columns)]).alias("row"), body.cast("string").alias("body"))
+    made = T.StructType.fromDDL(fields)
+    types = to_arrow_schema(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for part in pieces_of(batches, 1, piece_bytes):
+            columns = [c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, f.type) for c, f in zip(fn(part.column(1)), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["row", *types.names])
+
+    return packed.mapInArrow(run, T.StructType([packed.schema["row"], *made]))

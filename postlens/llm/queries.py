@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import BLOCK, format_chats
 from .common import n_words, table
 from .exact_dedup import content_sort
+from .language import identify, learn_profiles
 from .mixing import mix_plan
+from .quality import COUNTS, fit_quality, judge
+from .simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +51,45 @@ def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(docs, n_words(F.col("text")))
     each = plan.select("ident", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
     return each.select(F.col("ident").alias("doc_id"), "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken")
+
+
+@query("op1_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; profiles come from two thirds of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
+    profiles = learn_profiles(docs.filter(~held_out))
+    named = identify(docs, profiles, carry=["doc_id"]).select("row.doc_id", "lang_pred", "score")
+    return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return judge(docs, trees, carry=["doc_id"]).select("row.doc_id", *COUNTS, "base_failed", "kept", "good")
+
+
+@query("op8_chat_format", f"""
+WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+placed AS (
+  SELECT *, row_number() OVER same AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
+         string_agg(coalesce(role, chr(1)) || chr(2) || coalesce(text, chr(1)), chr(3)) OVER (same ROWS UNBOUNDED PRECEDING) AS so_far
+  FROM turns WINDOW same AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+ends AS (SELECT so_far, min(conv_id) AS conv_id FROM placed WHERE pos = n GROUP BY so_far),
+maximal AS (SELECT conv_id FROM ends WHERE so_far NOT IN (SELECT so_far FROM placed WHERE pos < n))
+SELECT conv_id, CAST(floor((pos - 1) / {BLOCK}) AS INTEGER) AS part, count(*) AS n_turns,
+       string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || regexp_replace(coalesce(text, ''), '<\\|im_(start|end)\\|>', '<| im_\\1 |>', 'g') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
+FROM placed SEMI JOIN maximal USING (conv_id) GROUP BY 1, 2
+""")
+def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every maximal conversation as rendered text."""
+    return format_chats(table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
+@query("op9_simhash")
+def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs).select(F.col("ident").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
