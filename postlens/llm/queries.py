@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+from .byte_bpe import ByteBpe, vocabulary_path
 from .chat import BLOCK, format_chats
 from .common import n_words, table
 from .exact_dedup import content_sort
 from .language import identify, learn_profiles
 from .mixing import mix_plan
+from .piece_text import encode_pieces
 from .quality import COUNTS, fit_quality, judge
+from .records import read_records, write_records
 from .simhash import near_duplicates
+from .token_files import count_tokens, write_flat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +98,36 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select(F.col("ident").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op2_sentencepiece")
+def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether decoding them gives the text back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = encode_pieces(docs, vocabulary_path("piece_bpe_32k.model"), carry=["doc_id"])
+    return made.select("row.doc_id", "n_tokens", "ids", "round_trip")
+
+
+def _byte_bpe(path: str):
+    return lambda: ByteBpe(path)
+
+
+@query("op5_binary_records")
+def binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens as read back from the record files."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = scratch_path(spark, "records")
+    manifest = write_records(docs, folder, _byte_bpe(vocabulary_path("byte_bpe_50k.json")), vocabulary=50_257, end_id=0)
+    return read_records(manifest, folder).withColumnRenamed("ident", "doc_id")
+
+
+@query("op10_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat files by their separators."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = scratch_path(spark, "tokens")
+    end = 50_256
+    order = write_flat(docs, folder, _byte_bpe(vocabulary_path("byte_bpe_50k.json")), separator=end, width=2)
+    counts = count_tokens(order.filter("ordinal = -1").select("name", "n_bytes"), folder, separator=end, width=2)
+    named = order.filter("ordinal >= 0").select("name", "ordinal", F.col("ident").alias("doc_id"))
+    return named.join(counts, ["name", "ordinal"]).select("doc_id", "n_tokens")
