@@ -18,6 +18,7 @@ from .piece_text import encode_pieces
 from .quality import COUNTS, fit_quality, judge
 from .records import read_records, write_records
 from .simhash import near_duplicates
+from .suffix_dedup import suffix_dedup
 from .token_files import count_tokens, write_flat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +132,10 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(order.filter("ordinal = -1").select("name", "n_bytes"), folder, separator=end, width=2)
     named = order.filter("ordinal >= 0").select("name", "ordinal", F.col("ident").alias("doc_id"))
     return named.join(counts, ["name", "ordinal"]).select("doc_id", "n_tokens")
+
+
+@query("op6_suffix_array")
+def suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 200-byte strings that occur elsewhere."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup(docs).withColumnRenamed("ident", "doc_id")
