@@ -8,8 +8,12 @@ import pyarrow.compute as pc
 
 from .words import Encoded, WordStore, encode_split, interleave
 
-# A space after other white space: only there can a pre-token reach over a space.
-UNSPLIT = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+CUT = "\0"
+# A space after other white space, where a pre-token can reach over it, and texts with the cut mark.
+UNSPLIT = r"\x{00}|[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+
+# A letter and the ASCII sign, digit or line end after it are never in one pre-token.
+LETTER_END = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([!-@\[-`{-~\n])"
 
 
 def vocabulary_path(name: str) -> str:
@@ -22,8 +26,9 @@ class ByteBpe:
     """Encodes columns of texts.
 
     The pre-tokenizer starts a new token at every single space that follows a letter, digit
-    or sign, so texts are cut there and each distinct part goes through the library once.
-    A text where a space follows other white space goes through it whole.
+    or sign, and after a word's letters, so texts are cut there and each distinct part goes
+    through the library once.  A text where a space follows other white space goes through
+    it whole.
     """
 
     def __init__(self, path: str):
@@ -50,7 +55,8 @@ class ByteBpe:
         texts = texts.fill_null("")
         odd = np.asarray(pc.match_substring_regex(texts, UNSPLIT))
         even_at, odd_at = np.flatnonzero(~odd), np.flatnonzero(odd)
-        even = encode_split(texts.filter(pa.array(~odd)), self.store, " ", "")
+        marked = pc.replace_substring(pc.replace_substring_regex(texts.filter(pa.array(~odd)), LETTER_END, rf"\1{CUT}\2"), " ", f"{CUT} ")
+        even = encode_split(marked, self.store, CUT)
         if not len(odd_at):
             return even
         return interleave([(even_at, even), (odd_at, self._library(texts.filter(pa.array(odd)).to_pylist()))], len(texts))

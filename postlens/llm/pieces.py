@@ -274,7 +274,7 @@ class PieceEncoder:
         texts = texts.fill_null("")
         if not self.model.prefix:
             raise ValueError("a model that puts a space before a text is needed")
-        flat, starts = encode_split(texts, self.store, SPACE, SPACE)
+        flat, starts = encode_split(texts, self.store, " ", SPACE)
         empty = np.asarray(pc.equal(texts, ""))
         lengths = np.diff(starts)
         if empty.any():  # an empty text was encoded as its leading space

@@ -49,25 +49,14 @@ class WordStore:
         return found
 
 
-def encode_split(texts: pa.Array, store: WordStore, lead: str, first: str) -> Encoded:
-    """Ids of texts cut at single spaces: the first part gets ``first`` before it, others ``lead``.
-
-    Returns flat ids and where each text starts.
-    """
-    lists = pc.split_pattern(texts, " ")
+def encode_split(texts: pa.Array, store: WordStore, cut: str, lead: str = "") -> Encoded:
+    """Flat ids of texts cut at ``cut``, with ``lead`` before each part, and where each text starts."""
+    lists = pc.split_pattern(texts, cut)
     offsets = np.asarray(lists.offsets, np.int64)
     offsets = offsets - offsets[0]
     coded = pc.list_flatten(lists).dictionary_encode()
     index = np.asarray(coded.indices, np.int64)
-    words = coded.dictionary.to_pylist()
-    n = len(words)
-    if lead == first:
-        flat, starts, lengths = store.lookup([lead + w for w in words])
-    else:
-        heads = offsets[:-1]
-        head_words, at = np.unique(index[heads], return_inverse=True)
-        flat, starts, lengths = store.lookup([lead + w for w in words] + [first + words[i] for i in head_words])
-        index[heads] = n + at
+    flat, starts, lengths = store.lookup([lead + w for w in coded.dictionary.to_pylist()] if lead else coded.dictionary.to_pylist())
     parts = lengths[index]
     ends = np.concatenate([[0], np.cumsum(parts)])
     return gather(flat, starts[index], parts), ends[offsets]
