@@ -21,9 +21,22 @@ from .text_queries import NORM
 # ---- duplicates ------------------------------------------------------------------------------
 
 
-@query("dup_1_dedupe_source", "SELECT source, source_id, job_id FROM (SELECT ingestion_source AS source, trim(substring(source_id, 1, 7)) AS source_id, job_id, row_number() OVER (PARTITION BY ingestion_source, trim(substring(source_id, 1, 7)) ORDER BY ingested_at, job_id) AS rn FROM f_postings WHERE life_days > 3) q WHERE rn = 1")
-def _(t):
-    rows = t.postings.select(F.col("ingestion_source").alias("source"), F.when(F.col("life_days") > 3, F.trim(F.substring("source_id", 1, 7))).otherwise(" ").alias("source_id"), "job_id", "ingested_at")
+# Every posting, one in three of them a second time under another id, one in seven without a source id.
+REPEATED = """
+SELECT ingestion_source AS source, CASE WHEN life_days % 7 = 0 THEN ' ' ELSE source_id END AS source_id, job_id, ingested_at FROM f_postings
+UNION ALL
+SELECT ingestion_source, CASE WHEN life_days % 7 = 0 THEN ' ' ELSE source_id END, concat(job_id, 'r'), CASE WHEN life_days % 2 = 0 THEN ingested_at END FROM f_postings WHERE life_days % 3 = 0
+"""
+
+
+@query("dup_1_dedupe_source", f"""
+SELECT source, source_id, job_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY source, source_id ORDER BY ingested_at NULLS FIRST, job_id) AS rn FROM ({REPEATED}) r WHERE trim(source_id) <> '') q
+WHERE rn = 1""")
+def _(t):
+    first = t.postings.select(F.col("ingestion_source").alias("source"), F.when(F.col("life_days") % 7 == 0, F.lit(" ")).otherwise(F.col("source_id")).alias("source_id"), "job_id", "ingested_at", "life_days")
+    again = first.filter("life_days % 3 = 0").withColumns({"job_id": F.concat("job_id", F.lit("r")), "ingested_at": F.when(F.col("life_days") % 2 == 0, F.col("ingested_at"))})
+    rows = first.unionByName(again).drop("life_days")
     return D.dedupe_source(rows, [F.col("ingested_at"), F.col("job_id")]).select("source", "source_id", "job_id")
 
 

@@ -91,7 +91,7 @@ def _(t):
 
 
 @query("mat_6_resume_level", rf"""WITH x AS (SELECT resume_id, resume_text AS d, CAST(nullif(regexp_extract(resume_text, '(\d+)\+ years of experience', 1), '') AS DOUBLE) AS st, CAST(regexp_extract(resume_text, 'Jan (\d+) - Mar', 1) AS INT) AS a, CAST(regexp_extract(resume_text, '- Mar (\d+)', 1) AS INT) AS b FROM f_resumes),
-y AS (SELECT *, coalesce(st, ((b * 12 + 3) - (a * 12 + 1)) / 12.0) AS y FROM x) SELECT resume_id, {r('y', 2)} AS years, CASE WHEN y < 2 THEN 'entry' WHEN y < 4 THEN 'associate' WHEN y < 7 THEN 'mid' ELSE 'senior' END AS level, CASE WHEN st IS NOT NULL THEN 'stated' ELSE 'dates' END AS evidence FROM y""")
+y AS (SELECT *, coalesce(st, ((b * 12 + 3) - (a * 12 + 1)) / 12.0) AS y FROM x) SELECT resume_id, {r('y', 2)} AS years, CASE WHEN y < 1 THEN 'entry' WHEN y < 3 THEN 'associate' WHEN y < 6 THEN 'mid' ELSE 'senior' END AS level, CASE WHEN st IS NOT NULL THEN 'stated' ELSE 'dates' END AS evidence FROM y""")
 def _(t):
     return M.resume_level(t.resumes, AS_OF)
 
@@ -171,16 +171,37 @@ def _(t):
 FOUND = "SELECT resume_id, count(*) AS skills_found FROM f_resume_skills GROUP BY 1"
 
 
-@query("mat_11_resume_confidence", rf"""WITH mj AS (SELECT domain, count(*) AS market_jobs FROM f_postings WHERE domain IS NOT NULL GROUP BY 1), x AS (SELECT r.*, skills_found, market_jobs, market_jobs // 3 AS matched_jobs, lower(resume_text) AS d, CASE WHEN salary_floor IS NULL THEN true ELSE false END AS nosal FROM f_resumes r JOIN ({FOUND}) f USING (resume_id) JOIN mj ON mj.domain = target_domain),
-y AS (SELECT *, regexp_matches(d, '\b(intern|internship|student)\b') AS i, regexp_matches(d, '\b(senior|sr|lead|principal|staff)\b') AS s, regexp_matches(d, '\b(5|6|7|8|10)\+') AND contains(d, 'years') AS yy FROM x)
-SELECT resume_id, least(25, CASE WHEN exp_level = 'entry' AND s THEN 8 ELSE 0 END + CASE WHEN exp_level = 'entry' THEN 8 ELSE 0 END + CASE WHEN exp_level = 'entry' AND NOT i AND yy THEN 6 ELSE 0 END + CASE WHEN exp_level = 'senior' AND i THEN 10 ELSE 0 END) AS plausibility_penalty,
- concat_ws('|', CASE WHEN exp_level = 'entry' AND s THEN 'senior_title_for_entry' END, CASE WHEN exp_level = 'entry' THEN 'senior_stack_for_entry' END, CASE WHEN exp_level = 'entry' AND NOT i AND yy THEN 'many_years_for_entry' END, CASE WHEN exp_level = 'senior' AND i THEN 'intern_signal_for_senior' END) AS plausibility_flags,
- least(100, greatest(0, 100 + 3 + CASE WHEN skills_found <= 5 THEN -25 ELSE -12 END + CASE WHEN market_jobs < 50 THEN -25 WHEN market_jobs < 150 THEN -10 ELSE 0 END + CASE WHEN matched_jobs < 0.2 * market_jobs THEN -20 WHEN matched_jobs < 0.5 * market_jobs THEN -8 ELSE 0 END + CASE WHEN nosal THEN -10 ELSE 0 END)) AS confidence_score FROM y""")
+# Every third skill stands for a senior stack here, and the share of heuristic skills follows the resume.
+STACK = tuple(f"skill{n}" for n in range(0, 60, 3))
+HEUR = "CASE CAST(substring(resume_id, 2) AS BIGINT) % 3 WHEN 0 THEN 0.3 WHEN 1 THEN 0.5 ELSE 0.7 END"
+
+
+@query("mat_11_resume_confidence", rf"""
+WITH mj AS (SELECT domain, count(*) AS market_jobs FROM f_postings WHERE domain IS NOT NULL GROUP BY 1),
+st AS (SELECT resume_id, count(*) AS skills_found, count(*) FILTER (WHERE CAST(substring(skill_name, 6) AS INT) % 3 = 0) AS stack
+       FROM f_resume_skills JOIN f_skills USING (skill_id) GROUP BY 1),
+x AS (SELECT r.*, skills_found, stack, market_jobs, market_jobs // 3 AS matched_jobs, lower(resume_text) AS d, salary_floor IS NULL AS nosal, {HEUR} AS heur
+      FROM f_resumes r JOIN st USING (resume_id) JOIN mj ON mj.domain = target_domain),
+y AS (SELECT *, regexp_matches(d, '\b(intern|internship|student)\b') AS i, regexp_matches(d, '\b(senior|sr|lead|principal|staff)\b') AS s,
+             regexp_matches(d, '\b(5|6|7|8|10)\+') AND contains(d, 'years') AS yy FROM x),
+z AS (SELECT *, exp_level = 'entry' AND s AS p1, exp_level = 'entry' AND stack >= 3 AS p2, exp_level = 'entry' AND NOT i AND yy AS p3,
+             exp_level = 'senior' AND i AS p4, exp_level = 'senior' AND NOT s AND stack = 0 AS p5 FROM y)
+SELECT resume_id,
+       least(25, CASE WHEN p1 THEN 8 ELSE 0 END + CASE WHEN p2 THEN 8 ELSE 0 END + CASE WHEN p3 THEN 6 ELSE 0 END + CASE WHEN p4 THEN 10 ELSE 0 END + CASE WHEN p5 THEN 6 ELSE 0 END) AS plausibility_penalty,
+       concat_ws('|', CASE WHEN p1 THEN 'senior_title_for_entry' END, CASE WHEN p2 THEN 'senior_stack_for_entry' END, CASE WHEN p3 THEN 'many_years_for_entry' END,
+                      CASE WHEN p4 THEN 'intern_signal_for_senior' END, CASE WHEN p5 THEN 'weak_senior_signal' END) AS plausibility_flags,
+       least(100, greatest(0, 100 + CASE WHEN heur >= 0.6 THEN -10 WHEN heur <= 0.4 THEN 3 ELSE 0 END
+             + CASE WHEN skills_found <= 5 THEN -25 WHEN skills_found <= 8 THEN -12 ELSE 0 END
+             + CASE WHEN market_jobs < 50 THEN -25 WHEN market_jobs < 150 THEN -10 ELSE 0 END
+             + CASE WHEN matched_jobs < 0.2 * market_jobs THEN -20 WHEN matched_jobs < 0.5 * market_jobs THEN -8 ELSE 0 END
+             + CASE WHEN nosal THEN -10 ELSE 0 END)) AS confidence_score
+FROM z""")
 def _(t):
     markets = t.postings.filter(F.col("domain").isNotNull()).groupBy(F.col("domain").alias("target_domain")).agg(F.count(F.lit(1)).alias("market_jobs"))
-    rows = t.resumes.join(t.resume_skills.groupBy("resume_id").agg(F.count(F.lit(1)).alias("skills_found")), "resume_id").join(markets, "target_domain").withColumns({
-        "heuristic_share": F.lit(0.0), "matched_jobs": F.floor(F.col("market_jobs") / 3), "salary_est_min": F.col("salary_floor"), "salary_est_max": F.lit(None).cast("bigint")})
-    out = M.resume_confidence(rows)
+    skills_of = t.resume_skills.join(t.skills, "skill_id").groupBy("resume_id").agg(F.count(F.lit(1)).alias("skills_found"), F.collect_list("skill_name").alias("skill_names"))
+    rows = t.resumes.join(skills_of, "resume_id").join(markets, "target_domain").withColumns({
+        "heuristic_share": F.expr(HEUR).cast("double"), "matched_jobs": F.floor(F.col("market_jobs") / 3), "salary_est_min": F.col("salary_floor"), "salary_est_max": F.lit(None).cast("bigint")})
+    out = M.resume_confidence(rows, senior_stack=STACK)
     return out.select("resume_id", "plausibility_penalty", F.concat_ws("|", "plausibility_flags").alias("plausibility_flags"), "confidence_score")
 
 

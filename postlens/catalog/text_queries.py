@@ -41,7 +41,28 @@ YEARS = r"CAST(nullif(regexp_extract(description_text, '(\d+)\+ years of experie
 
 @query("txt_4_extract_years", f"SELECT job_id, {YEARS} AS required_years, CAST(NULL AS INT) AS preferred_years, true AS scoped FROM f_postings")
 def _(t):
-    return t.texts.select("job_id", E.extract_years("description_text").alias("y")).select("job_id", "y.*")
+    return t.texts.select("job_id", E.extract_years(F.col("description_text")).alias("y")).select("job_id", "y.*")
+
+
+# Postings by their headings: (text, required, preferred) around a = 1..9 and b = 1..12 years.
+HEADED = [
+    ("concat('Minimum Qualifications A degree and a minimum of ', a, ' years of related experience. Preferred Qualifications ', b, ' years of experience.')", "a", "b"),
+    ("concat('What you bring', chr(10), '- ', a, '-', a + 2, ' years working with tools', chr(10), 'Nice to have', chr(10), '- ', b, '+ years in the field')", "a", "b"),
+    ("concat('For over 25 years we have built software. Candidates need ', a, ' years of experience in the field.')", "a", "NULL"),
+    ("concat('Requirements: ', a, ' years of experience; ', b, ' years of experience preferred.')", "a", "b"),
+    ("concat('Preferred: ', b, ' years of experience with tools. Responsibilities', chr(10), 'Run the 10 year plan.')", "NULL", "b"),
+]
+HEADED_FROM = "(SELECT p_partkey AS posting_id, p_partkey % 9 + 1 AS a, p_partkey % 12 + 1 AS b, p_partkey % 5 AS kind FROM part)"
+
+
+def _by_kind(column: int) -> str:
+    return "CASE kind " + " ".join(f"WHEN {k} THEN {row[column]}" for k, row in enumerate(HEADED)) + " END"
+
+
+@query("txt_4_years_by_heading", f"SELECT posting_id, CAST({_by_kind(1)} AS INT) AS required_years, CAST({_by_kind(2)} AS INT) AS preferred_years, kind IN (0, 1, 3) AS scoped FROM {HEADED_FROM} h")
+def _(t):
+    rows = t.sql(f"SELECT posting_id, {_by_kind(0).replace('chr(10)', 'char(10)')} AS body FROM {HEADED_FROM} h")
+    return rows.select("posting_id", E.extract_years(F.col("body")).alias("y")).select("posting_id", "y.*")
 
 
 LVL = rf"""yl AS (SELECT p.job_id, lower(coalesce(role_name, '')) AS t, {YEARS} AS y FROM f_postings p LEFT JOIN f_roles USING (role_id)),
@@ -55,7 +76,7 @@ lv AS (SELECT *, coalesce(ex, CASE num WHEN 'i' THEN 'associate' WHEN 'ii' THEN
  CASE WHEN regexp_matches(t, '\\b(director|vice president|vp|head of|chief)\\b') THEN 'executive' WHEN t <> '' THEN 'individual_contributor' ELSE 'unknown' END AS management_level FROM lv""")
 def _(t):
     rows = t.texts.select("job_id", "role_id", "description_text").join(t.roles, "role_id", "left").withColumn("role_name", F.coalesce("role_name", F.lit("")))
-    out = E.classify_experience(rows, "role_name", "description_text", E.extract_years("description_text"))
+    out = E.classify_experience(rows, "role_name", "description_text", E.extract_years(F.col("description_text")))
     return out.select("job_id", "title_signal", "level", "level_confidence", F.concat_ws("|", "conflicts").alias("conflicts"), "required_years", "management_level")
 
 
@@ -118,25 +139,52 @@ def _(t):
     return skills.promote_candidates(cands(t), t.skills)
 
 
+# The rules that the checks of roles are run with, written for the fixture's texts.
+FIXTURE_DOMAINS = {
+    "engineering": (r"\b(software|platform|backend|frontend) engineer\b", ["skill0", "skill1", "java", "kubernetes"], []),
+    "product": (r"\bproduct (manager|owner|analyst)\b", ["skill2", "skill3", "roadmap"], []),
+    "sales": (r"\b(sales|account executive|account manager)\b", ["skill4", "skill5", "crm"], []),
+    "data_ml": (r"\b(data|machine learning|analytics)\b", ["skill6", "skill7", "skill8", "tool0", "tool4", "tool8", "labs competitive pay"], ["experience", "knowledge", "years of experience with"]),
+}
+FIXTURE_BLOCKS = roles.Blocks(never=r"\b(nurse|physician|teacher|electrician)\b", anyway=r"\bdata scientist\b", off_topic=r"\b(marketing|sales|tax|consultant)\b", on_topic=r"\b(data|analytics|engineer|scientist|analyst)\b")
+FIXTURE_REJECTS = [("hard:clinical", r"\b(nurse|physician)\b"), ("hard:pool", r"\btalent community\b")]
+FIXTURE_EVIDENCE = [
+    ("evidence:consultant", r"\bconsultant\b", ["skill1", "skill2", "skill3", "years of experience"], ["on-site only"], 2, False),
+    ("evidence:executive", r"\bexecutive\b", [], [], 1, True),
+]
+FIXTURE_ACCEPTS = [("core:data", r"\bdata\b"), ("core:ml", r"\bmachine learning\b"), ("taxonomy:analyst", r"\banalyst\b|\banalytics\b"), ("fallback:engineer", r"\bengineer\b")]
+FIXTURE_CATEGORIES = [
+    ("data_ml", r"\bdata engineer", "data_engineering"), ("data_ml", r"\bdata analyst|\banalytics\b", "data_analytics"), ("product", r"\bproduct\b", "product_management"),
+    (None, r"\bmachine learning\b|\bml\b", "ml_engineering"), (None, r"\bdata scientist", "data_science"),
+]
+
+
 def _domain_sql():
     parts, weights = [], []
-    for i, (d, (pattern, hard, soft)) in enumerate(roles.DOMAINS.items()):
+    for i, (d, (pattern, hard, soft)) in enumerate(FIXTURE_DOMAINS.items()):
         parts.append(f"SELECT job_id, '{d}' AS d, {i} AS o, len(regexp_extract_all(t, '{pattern}')) AS n FROM dt")
-        w = " + ".join([f"(CASE WHEN list_contains(tok, '{a}') THEN 2 ELSE 0 END)" for a in hard] + [f"(CASE WHEN list_contains(tok, '{a}') THEN 1 ELSE 0 END)" for a in soft])
+        points = [(a, 2) for a in hard] + [(a, 1) for a in soft]
+        w = " + ".join(f"(CASE WHEN contains(run, ' {alias} ') THEN {n} ELSE 0 END)" for alias, n in points)
         if d == "data_ml":
-            w = rf"CASE WHEN regexp_matches(t, '{roles.OFF_TOPIC_TITLE}') AND NOT regexp_matches(t, '{roles.ON_TOPIC_TITLE}') THEN ({w}) // 2 ELSE {w} END"
+            w = rf"CASE WHEN regexp_matches(t, '{FIXTURE_BLOCKS.off_topic}') AND NOT regexp_matches(t, '{FIXTURE_BLOCKS.on_topic}') THEN ({w}) // 2 ELSE {w} END"
         weights.append(f"SELECT job_id, '{d}' AS d, {i} AS o, {w} AS n FROM dt")
-    return rf"""WITH dt AS (SELECT p.job_id, lower(coalesce(role_name, '')) AS t, list_distinct(regexp_extract_all(lower(description_text), '[a-z0-9]+')) AS tok FROM f_postings p LEFT JOIN f_roles USING (role_id)),
- tt AS ({' UNION ALL '.join(parts)}), tw AS (SELECT job_id, arg_min(d, (-n, o)) AS d1, string_agg(d, ',' ORDER BY n DESC, o) AS alld FROM tt WHERE n > 0 GROUP BY 1),
- ww AS ({' UNION ALL '.join(weights)}), mx AS (SELECT job_id, max(n) AS top FROM ww GROUP BY 1), ws AS (SELECT ww.job_id, arg_min(d, (-n, o)) AS d1, max(n) AS top, string_agg(d, ',' ORDER BY n DESC, o) FILTER (WHERE n >= greatest(top * 0.4, 6)) AS alld FROM ww JOIN mx USING (job_id) GROUP BY 1),
- rs AS (SELECT dt.job_id, CASE WHEN regexp_matches(t, '{roles.NEVER_OURS}') THEN 'null_blocked' WHEN tw.d1 IS NOT NULL THEN 'title' WHEN ws.top >= 6 THEN 'skills' ELSE 'default' END AS method, tw.d1 AS td, ws.d1 AS sd, tw.alld AS ta, ws.alld AS sa FROM dt LEFT JOIN tw USING (job_id) JOIN ws USING (job_id))
- SELECT job_id, method, CASE method WHEN 'title' THEN td WHEN 'skills' THEN sd END AS new_domain, CASE method WHEN 'title' THEN coalesce(nullif(regexp_replace(ta, '^[^,]+,?', ''), ''), '') WHEN 'skills' THEN regexp_replace(sa, '^[^,]+,?', '') ELSE '' END AS secondary FROM rs"""
+    tokens = "array_to_string(regexp_extract_all(lower(description_text), '[a-z0-9+#]+(?:\\.[a-z0-9+#]+)*'), ' ')"
+    return rf"""WITH dt AS (SELECT p.job_id, lower(coalesce(role_name, '')) AS t, concat(' ', {tokens}, ' ') AS run FROM f_postings p LEFT JOIN f_roles USING (role_id)),
+ tt AS ({' UNION ALL '.join(parts)}),
+ tw AS (SELECT job_id, arg_min(d, (-n, o)) AS d1, string_agg(d, ',' ORDER BY n DESC, o) AS alld FROM tt WHERE n > 0 GROUP BY 1),
+ ww AS ({' UNION ALL '.join(weights)}),
+ mx AS (SELECT job_id, max(n) AS top FROM ww GROUP BY 1),
+ ws AS (SELECT ww.job_id, arg_min(d, (-n, o)) AS d1, max(n) AS top, string_agg(d, ',' ORDER BY n DESC, o) FILTER (WHERE n >= greatest(top * 0.4, 6)) AS alld FROM ww JOIN mx USING (job_id) GROUP BY 1),
+ rs AS (SELECT dt.job_id, CASE WHEN regexp_matches(t, '{FIXTURE_BLOCKS.never}') THEN 'null_blocked' WHEN tw.d1 IS NOT NULL THEN 'title' WHEN ws.top >= 6 THEN 'skills' ELSE 'default' END AS method,
+               tw.d1 AS td, ws.d1 AS sd, tw.alld AS ta, ws.alld AS sa FROM dt LEFT JOIN tw USING (job_id) JOIN ws USING (job_id))
+ SELECT job_id, method, CASE method WHEN 'title' THEN td WHEN 'skills' THEN sd END AS new_domain,
+        CASE method WHEN 'title' THEN coalesce(nullif(regexp_replace(ta, '^[^,]+,?', ''), ''), '') WHEN 'skills' THEN regexp_replace(sa, '^[^,]+,?', '') ELSE '' END AS secondary FROM rs"""
 
 
 @query("txt_12_classify_domain", _domain_sql())
 def _(t):
     rows = t.texts.select("job_id", "role_id", "description_text").join(t.roles, "role_id", "left").withColumn("role_name", F.coalesce("role_name", F.lit("")))
-    return roles.classify_domain(rows, "role_name", "description_text").select("job_id", "method", "new_domain", F.concat_ws(",", "secondary").alias("secondary"))
+    return roles.classify_domain(rows, "role_name", "description_text", FIXTURE_DOMAINS, FIXTURE_BLOCKS).select("job_id", "method", "new_domain", F.concat_ws(",", "secondary").alias("secondary"))
 
 
 @query("txt_13_admit_roles", r"""WITH x AS (SELECT p.job_id, lower(coalesce(role_name, '')) AS t, lower(description_text) AS d, list_filter(['skill1', 'skill2', 'skill3', 'years of experience'], lambda s: contains(lower(description_text), s)) AS pos, contains(lower(description_text), 'on-site only') AS neg FROM f_postings p LEFT JOIN f_roles USING (role_id)),
@@ -149,7 +197,7 @@ SELECT job_id, rule_id, CASE WHEN rule_id IN ('empty_title', 'hard:clinical', 'h
  CASE WHEN rule_id = 'evidence:consultant' THEN array_to_string(pos, '|') ELSE '' END AS positive, CASE WHEN rule_id = 'evidence:consultant' AND neg THEN 'on-site only' ELSE '' END AS negative FROM y""")
 def _(t):
     rows = t.texts.select("job_id", "role_id", "description_text").join(t.roles, "role_id", "left")
-    out = roles.admit_roles(rows, "role_name", "description_text")
+    out = roles.admit_roles(rows, "role_name", "description_text", FIXTURE_REJECTS, FIXTURE_EVIDENCE, FIXTURE_ACCEPTS)
     return out.select("job_id", "scope.rule_id", "scope.status", F.round("scope.confidence", 4).alias("confidence"), F.concat_ws("|", "scope.positive").alias("positive"), F.concat_ws("|", "scope.negative").alias("negative"))
 
 
@@ -158,7 +206,7 @@ CACHE = "SELECT company_id AS company_key, lower(role_name) AS title_key, CASE W
 
 @query("txt_14_categorize_roles", rf"""WITH ch AS ({CACHE}), c1 AS (SELECT company_key, title_key, min(role_category) AS c FROM ch GROUP BY 1, 2),
 vt AS (SELECT title_key, role_category, n, sum(n) OVER (PARTITION BY title_key) AS tot FROM (SELECT title_key, role_category, count(*) AS n FROM ch WHERE role_category IS NOT NULL GROUP BY 1, 2) q), v AS (SELECT title_key, role_category AS c FROM vt WHERE tot >= 5 AND n >= 0.85 * tot),
-x AS (SELECT p.job_id, p.domain, p.company_id, lower(trim(role_name)) AS tk, lower(trim(regexp_replace(regexp_replace(trim(split_part(role_name, ',', 1)), '(?i)^(?:sr\.?|senior|junior|jr\.?|lead|staff|principal|head of|director of|associate)\s+', ''), '(?i)[\s,-]+(?:enterprise|commercial|strategic|global|remote|i{{1,3}})\s*$', ''))) AS st FROM f_postings p JOIN f_roles USING (role_id)),
+x AS (SELECT p.job_id, p.domain, p.company_id, lower(trim(role_name)) AS tk, lower(trim(regexp_replace(regexp_replace(trim(split_part(role_name, ',', 1)), '(?i)^(?:senior|junior|lead|chief|assistant)\.?\s+', ''), '(?i)[\s-]+(?:remote|hybrid|iii|ii|i)\s*$', ''))) AS st FROM f_postings p JOIN f_roles USING (role_id)),
 y AS (SELECT job_id, c1.c AS a, v.c AS b, v2.c AS s, CASE WHEN regexp_matches(tk, '\bdata engineer') AND domain = 'data_ml' THEN 'data_engineering' WHEN regexp_matches(tk, '\bdata analyst|\banalytics\b') AND domain = 'data_ml' THEN 'data_analytics' WHEN regexp_matches(tk, '\bproduct\b') AND domain = 'product' THEN 'product_management'
  WHEN regexp_matches(tk, '\bmachine learning\b|\bml\b') THEN 'ml_engineering' WHEN regexp_matches(tk, '\bdata scientist') THEN 'data_science' END AS r FROM x LEFT JOIN c1 ON c1.company_key = company_id AND c1.title_key = tk LEFT JOIN v ON v.title_key = tk LEFT JOIN v v2 ON v2.title_key = st)
 SELECT job_id, coalesce(a, b, s, r) AS new_category, CASE WHEN a IS NOT NULL THEN 'cache' WHEN b IS NOT NULL THEN 'title_vote' WHEN s IS NOT NULL THEN 'stripped_vote' WHEN r IS NOT NULL THEN 'rule' END AS category_source FROM y""")
@@ -167,7 +215,7 @@ def _(t):
         F.col("company_id").alias("company_key"), F.lower("role_name").alias("title_key"),
         F.when(F.col("role_name").contains("Data"), "data_engineering").otherwise(F.nullif(F.trim("role_category"), F.lit(""))).alias("role_category"))
     rows = t.texts.select("job_id", "domain", "role_id", F.col("company_id").alias("company_key")).join(t.roles, "role_id")
-    return roles.categorize_roles(rows, cache).select("job_id", "new_category", "category_source")
+    return roles.categorize_roles(rows, cache, rules=FIXTURE_CATEGORIES).select("job_id", "new_category", "category_source")
 
 
 @query("txt_15_archetype", "SELECT role_id, CASE WHEN regexp_matches(lower(role_name), 'data engineer') THEN 'data_engineer' WHEN regexp_matches(lower(role_name), 'data scientist') THEN 'data_scientist' WHEN regexp_matches(lower(role_name), 'product analy') THEN 'product_analyst' WHEN regexp_matches(lower(role_name), 'analyst') THEN 'analyst' WHEN regexp_matches(lower(role_name), 'consultant') THEN 'consultant' END AS archetype FROM f_roles")
@@ -216,7 +264,16 @@ def _(t):
     return out.select("job_id", "stripped_text", B.build_text(F.col("role_name"), F.col("stripped_text")).alias("model_text"))
 
 
-NORM = r"trim(regexp_replace(regexp_replace(lower(replace(replace(replace(replace(replace(replace(replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&')), 'https?://\S+|www\.\S+', ' ', 'g'), '[^\p{L}]+', ' ', 'g'))".replace('\'""\'', "'\"'")
+# Tags, entities, links and everything that is no letter become spaces.
+def _norm() -> str:
+    text = "regexp_replace(text, '<[^>]+>', ' ', 'g')"
+    for reference, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\'\'"), ("&apos;", "\'\'"), ("&amp;", "&")):
+        text = f"replace({text}, '{reference}', '{sign}')"
+    text = rf"regexp_replace(lower({text}), 'https?://\S+|www\.\S+', ' ', 'g')"
+    return rf"trim(regexp_replace({text}, '[^\p{{L}}]+', ' ', 'g'))"
+
+
+NORM = _norm()
 
 
 @query("txt_20_dedup_normalize", f"SELECT doc_id, {NORM} AS body FROM documents")

@@ -115,7 +115,7 @@ def near_dup_clusters(df: DataFrame, key: str, block: list[str], text: str, thre
     return df.select(F.col(key)).join(label.withColumnRenamed("_id", key), key, "left").withColumn("cluster_id", F.coalesce("cluster_id", F.col(key)))
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): smallest node id of each component.
 
     Alternates the large-star and small-star steps, which need only a minimum per
@@ -132,7 +132,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     mark = fingerprint(state)
-    for _ in range(max_rounds):
+    while True:  # to the fixpoint: every round shrinks the labels or ends it
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = smallest(both).withColumn("m", F.least("m", "u"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -144,8 +144,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if new_mark == mark:
             break
         mark = new_mark
-    else:
-        raise RuntimeError("components did not settle")
     roots = state.select(F.col("v").alias("u"), "v").distinct()
     return state.unionByName(roots).groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
 

@@ -179,6 +179,9 @@ def extract_resume_skills(resumes: DataFrame, aliases: DataFrame, variants: Data
     return found.groupBy("resume_id", "skill_id").agg(F.max("confidence").alias("confidence"), F.max_by("source", "confidence").alias("source"))
 
 
+# Years below which a resume is entry, associate, mid.
+LEVEL_BOUNDS = (1, 3, 6)
+
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 _RANGE = r"(?i)((?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?)?\s*((?:19|20)\d{2})\s*(?:-|–|—|to)\s*((?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?)?\s*((?:19|20)\d{2}|present|current)"
 
@@ -202,7 +205,8 @@ def resume_level(resumes: DataFrame, as_of: str, text: str = "resume_text") -> D
     months = F.aggregate(F.transform(ranges, span), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)).cast("int"))
     years = F.coalesce(stated.cast("double"), F.when(F.size(ranges) > 0, months / 12.0))
     senior, junior = F.regexp_count(low, F.lit(r"\b(senior|lead|principal|staff)\b")), F.regexp_count(low, F.lit(r"\b(junior|intern|trainee)\b"))
-    by_years = F.when(F.col("_y") < 2, "entry").when(F.col("_y") < 4, "associate").when(F.col("_y") < 7, "mid").when(F.col("_y").isNotNull(), "senior")
+    entry, associate, mid = LEVEL_BOUNDS
+    by_years = F.when(F.col("_y") < entry, "entry").when(F.col("_y") < associate, "associate").when(F.col("_y") < mid, "mid").when(F.col("_y").isNotNull(), "senior")
     by_title = F.when(senior > junior, "senior").when(junior > senior, "entry").otherwise("mid")
     return resumes.withColumn("_y", years).select(
         "resume_id", rounded(F.col("_y"), 2).alias("years"), F.coalesce(by_years, by_title).alias("level"),
@@ -306,19 +310,20 @@ def resume_estimates(matches: DataFrame, jobs: DataFrame, honesty: DataFrame, fi
         "resume_id", "market_fit", "market_percentile", rounded(F.col("_lo"), 2).alias("salary_est_min"), rounded(F.col("_hi"), 2).alias("salary_est_max"), "honesty_match", F.coalesce("matched_jobs", F.lit(0)).alias("matched_jobs"))
 
 
-# Skills that signal a senior stack; replace with your own list.
-SENIOR_STACK = ["kubernetes", "terraform", "kafka", "spark", "airflow", "docker"]
+# Skills that few beginners have: default of an argument.
+SENIOR_STACK = ("distributed systems", "capacity planning", "system design", "incident response")
 
 
-def resume_confidence(df: DataFrame, text: str = "resume_text", level: str = "exp_level") -> DataFrame:
+def resume_confidence(df: DataFrame, text: str = "resume_text", level: str = "exp_level", senior_stack: tuple[str, ...] = SENIOR_STACK, skills: str = "skill_names") -> DataFrame:
     """Plausibility of the target level and confidence in the scores, with reasons.
 
-    Expects ``skills_found``, ``heuristic_share``, ``market_jobs``, ``matched_jobs``, ``salary_est_min``, ``salary_est_max``.
+    The senior stack is looked up in the extracted ``skills`` (an array of names), not in the
+    text.  Expects ``skills_found``, ``heuristic_share``, ``market_jobs``, ``matched_jobs``, ``salary_est_min``, ``salary_est_max``.
     """
     low = F.lower(text)
     intern = low.rlike(r"\b(intern|internship|student)\b")
     senior = low.rlike(r"\b(senior|sr|lead|principal|staff)\b")
-    stack = F.size(F.array_intersect(words(F.col(text)), F.array(*[F.lit(s) for s in SENIOR_STACK])))
+    stack = F.size(F.array_intersect(F.transform(F.coalesce(F.col(skills), F.array().cast("array<string>")), F.lower), F.array(*[F.lit(s) for s in senior_stack])))
     many_years = low.rlike(r"\b(5|6|7|8|10)\+") & low.contains("years")
     entry, top = F.col(level) == "entry", F.col(level) == "senior"
     plaus = [(entry & senior, 8, "senior_title_for_entry"), (entry & (stack >= 3), 8, "senior_stack_for_entry"), (entry & ~intern & many_years, 6, "many_years_for_entry"),

@@ -7,36 +7,51 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import US_STATES
 
-# How far to look, and when a company line is good enough.
-HEAD_LINES, COMPANY_LINES, MIN_SCORE = 40, 18, 10
+# How far the head of a text reaches, in lines, for titles and places and for the company.
+HEAD_LINES, COMPANY_LINES, MIN_SCORE = 40, 18, 2
 TITLE_WORDS = r"(?i)\b(engineer|analyst|scientist|manager|developer|consultant|director|specialist|nurse|executive)\b"
 PLACE = r"^([A-Z][A-Za-z .'-]+), ([A-Z]{2})\b"
-NOT_A_NAME = r"(?i)\b(apply|promoted|applicants?|salary|remote|hybrid|full-time|benefits|requirements|about|easy|save)\b|^[\d\W_]+$"
+
+# What speaks for or against a line being an employer's name: (signal, weight); defaults of an argument.
+COMPANY_SIGNALS: list[tuple[str, float]] = [
+    (r"^(?:\p{Lu}[\p{L}\p{N}&.'-]*)(?:\s+(?:\p{Lu}[\p{L}\p{N}&.'-]*|\p{N}+|of|and|the|&|(?i:inc|llc|ltd)\.?))*$", 2),  # capitalised throughout
+    (r"(?i)\b(?:inc|llc|ltd|corp|gmbh|group|labs|partners)\.?$", 1),
+    (r"\s*\S+(?:\s+\S+){7,}", -2),  # eight words or more: a sentence
+    (r"[:;/!?]", -2),
+    (r"[.]\s+\S", -2),
+    (r"^[^\p{L}]*$", -9),
+    (r"(?i)\b(?:apply|promoted|applicants?|hiring|posted|salary|remote|hybrid|benefits|requirements)\b", -9),
+]
 
 
 def _head(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(line, r"\s+[·•|]\s+.*$", ""), r"(?i)\s+logo$", ""))
-
-
-def company_score(line: Column) -> Column:
-    """How much a head line looks like an employer's name."""
-    words = F.filter(F.split(line, r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    capital = F.size(F.filter(words, lambda w: w.rlike("^[A-Z]")))
-    score = F.when(n.between(1, 7), 10).otherwise(-10) + F.when(capital >= F.greatest(F.lit(1), F.floor(n / 2)), 6).otherwise(0) - F.when(line.rlike("[:;/]"), 10).otherwise(0)
-    return F.when(line.rlike(NOT_A_NAME), -100).when(~F.length(line).between(2, 80), -40).otherwise(score)
-
-
-def recover_dims(df: DataFrame, text: str) -> DataFrame:
-    """Best title, company, city and state of each text; fills only what is missing."""
-    lines = F.slice(F.filter(F.transform(F.split(F.col(text), "\n"), lambda s: F.trim(s)), lambda s: s != ""), 1, HEAD_LINES)
-    place = F.get(F.filter("_lines", lambda s: s.rlike(PLACE) & F.regexp_extract(s, PLACE, 2).isin(US_STATES)), F.lit(0))
-    title = F.get(F.filter("_lines", lambda s: s.rlike(TITLE_WORDS) & F.length(s).between(4, 120)), F.lit(0))
-    pool = F.filter(F.transform(F.slice("_lines", 1, COMPANY_LINES), _head), lambda s: (s != "") & ~s.rlike(TITLE_WORDS) & ~s.rlike(PLACE))
-    scored = F.transform(pool, lambda s, i: F.struct(company_score(s).alias("score"), (-i).alias("o"), s.alias("line")))
-    wide = df.withColumn("_lines", lines).withColumns({"_title": title, "_place": place, "_best": F.array_max(scored)})
+    """A line without what stands after a dot or bar, and without the word for the picture."""
+    return F.regexp_replace(F.regexp_extract(line, r"^(.*?)(?:\s+[·•|]\s.*)?$", 1), r"(?i)\s+logo$", "")
+
+
+def company_score(line: Column, signals: list[tuple[str, float]] = COMPANY_SIGNALS) -> Column:
+    """Sum of the weights of the signals found in a line."""
+    return sum((F.when(line.rlike(pattern), F.lit(float(weight))).otherwise(0.0) for pattern, weight in signals), F.lit(0.0))
+
+
+def recover_dims(df: DataFrame, text: str, signals: list[tuple[str, float]] = COMPANY_SIGNALS) -> DataFrame:
+    """Title, company, city and state of each text, where they are missing.
+
+    The company is the line of the highest score, the earliest of equals; the title and
+    the place are the first lines of their shape.
+    """
+    lines = F.filter(F.transform(F.split(F.col(text), "\n"), F.trim), lambda s: s != "")
+    wide = df.withColumn("_lines", F.slice(lines, 1, HEAD_LINES))
+    is_title = lambda s: s.rlike(TITLE_WORDS) & F.length(s).between(4, 120)
+    is_place = lambda s: s.rlike(PLACE) & F.regexp_extract(s, PLACE, 2).isin(US_STATES)
+    names = F.filter(F.transform(F.slice("_lines", 1, COMPANY_LINES), _head), lambda s: ~s.rlike(TITLE_WORDS) & ~s.rlike(PLACE))
+    ranked = F.transform(names, lambda s, i: F.struct(company_score(s, signals).alias("score"), (-i).alias("o"), s.alias("line")))
+    seen = wide.withColumns({"_title": F.get(F.filter("_lines", is_title), F.lit(0)), "_place": F.get(F.filter("_lines", is_place), F.lit(0)), "_best": F.array_max(ranked)})
+    bare = lambda c: F.trim(c, F.lit(" -•"))
     found = {
-        "title": F.trim(F.col("_title"), F.lit(" -•")), "company": F.when(F.col("_best.score") >= MIN_SCORE, F.trim(F.col("_best.line"), F.lit(" -•"))),
-        "city": F.when(F.col("_place").isNotNull(), F.regexp_extract("_place", PLACE, 1)), "state": F.when(F.col("_place").isNotNull(), F.regexp_extract("_place", PLACE, 2)),
+        "title": bare(F.col("_title")),
+        "company": F.when(F.col("_best.score") >= MIN_SCORE, bare(F.col("_best.line"))),
+        "city": F.when(F.col("_place").isNotNull(), F.regexp_extract("_place", PLACE, 1)),
+        "state": F.when(F.col("_place").isNotNull(), F.regexp_extract("_place", PLACE, 2)),
     }
-    return wide.withColumns({k: F.coalesce(F.col(k), v) if k in df.columns else v for k, v in found.items()}).drop("_lines", "_title", "_place", "_best")
+    return seen.withColumns({k: F.coalesce(F.col(k), v) if k in df.columns else v for k, v in found.items()}).drop("_lines", "_title", "_place", "_best")

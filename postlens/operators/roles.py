@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,21 +13,27 @@ from .relational import majority_vote
 # Fixed values of the skill stage.
 MIN_SKILL_SCORE, SECONDARY_RATIO, HARD_WEIGHT, SOFT_WEIGHT = 6, 0.4, 2, 1
 
-# Default rules, in tie-break order: domain -> (title pattern, aliases, vague aliases).
+# Neutral default rules, in tie-break order: domain -> (title pattern, aliases, vague aliases).
 DOMAINS: dict[str, tuple[str, list[str], list[str]]] = {
-    "engineering": (r"\b(software|platform|backend|frontend) engineer\b", ["skill0", "skill1", "java", "kubernetes"], []),
-    "product": (r"\bproduct (manager|owner|analyst)\b", ["skill2", "skill3", "roadmap"], []),
-    "sales": (r"\b(sales|account executive|account manager)\b", ["skill4", "skill5", "crm"], []),
-    "data_ml": (r"\b(data|machine learning|analytics)\b", ["skill6", "skill7", "skill8", "tool0", "tool4", "tool8"], ["experience", "knowledge"]),
+    "engineering": (r"\bengineer(s|ing)?\b", ["continuous integration", "code review", "unit tests"], ["software"]),
+    "product": (r"\bproduct\b", ["product roadmap", "user research"], ["roadmap"]),
+    "sales": (r"\bsales\b", ["sales pipeline", "quota"], ["customers"]),
+    "data_ml": (r"\bdata\b", ["machine learning", "data pipelines", "statistics"], ["dashboards"]),
 }
-NEVER_OURS = r"\b(nurse|physician|teacher|electrician)\b"
-OURS_ANYWAY = r"\bdata scientist\b"
-OFF_TOPIC_TITLE = r"\b(marketing|sales|tax|consultant)\b"
-ON_TOPIC_TITLE = r"\b(data|analytics|engineer|scientist|analyst)\b"
-HALVED = "data_ml"
 
 
-def classify_domain(df: DataFrame, title: str, text: str, domains: dict = DOMAINS) -> DataFrame:
+@dataclass(frozen=True)
+class Blocks:
+    """Title patterns that stop the classifier, and those that let a title pass all the same."""
+
+    never: str = r"\b(nurse|plumber|chef)\b"
+    anyway: str = r"\bdata\b"
+    halved: str = "data_ml"  # the domain whose alias score is halved on off-topic titles
+    off_topic: str = r"\b(retail|legal)\b"
+    on_topic: str = r"\bdata\b"
+
+
+def classify_domain(df: DataFrame, title: str, text: str, domains: dict = DOMAINS, blocks: Blocks = Blocks()) -> DataFrame:
     """Block list, then title pattern counts, then weighted aliases; adds domain, secondary, method.
 
     The rules are constants of the plan, so a posting is classified where it is read.
@@ -33,7 +41,8 @@ def classify_domain(df: DataFrame, title: str, text: str, domains: dict = DOMAIN
     t = normalized(F.regexp_replace(F.col(title), r"\s*\([^)]*\)", ""))
     names = list(domains)
     title_hits = F.array(*[F.struct(F.regexp_count(t, F.lit(p)).alias("n"), F.lit(-i).alias("o"), F.lit(d).alias("d")) for i, (d, (p, _, _)) in enumerate(domains.items())])
-    grams = F.array_distinct(ngrams(words(F.col(text)), 2))
+    width = max((len(a.split()) for _, hard, soft in domains.values() for a in (*hard, *soft)), default=1)
+    grams = F.array_distinct(ngrams(words(F.col(text)), width))
 
     def weight(d: str) -> Column:
         _, hard, soft = domains[d]
@@ -42,13 +51,13 @@ def classify_domain(df: DataFrame, title: str, text: str, domains: dict = DOMAIN
             score = score + F.size(F.array_intersect(F.col("_grams"), F.array(*[F.lit(a) for a in hard]))) * HARD_WEIGHT
         if soft:
             score = score + F.size(F.array_intersect(F.col("_grams"), F.array(*[F.lit(a) for a in soft]))) * SOFT_WEIGHT
-        if d == HALVED:
-            off = F.col("_t").rlike(OFF_TOPIC_TITLE) & ~F.col("_t").rlike(ON_TOPIC_TITLE)
+        if d == blocks.halved:
+            off = F.col("_t").rlike(blocks.off_topic) & ~F.col("_t").rlike(blocks.on_topic)
             score = F.when(off, F.floor(score / 2)).otherwise(score)
         return score.cast("int")
 
     ranked = df.withColumns({"_t": t, "_title": F.reverse(F.array_sort(F.filter(title_hits, lambda h: h["n"] > 0)))})
-    blocked = F.col("_t").rlike(NEVER_OURS) & ~F.col("_t").rlike(OURS_ANYWAY)
+    blocked = F.col("_t").rlike(blocks.never) & ~F.col("_t").rlike(blocks.anyway)
     # Texts are tokenised only where the title did not decide.
     undecided = ~F.coalesce(blocked, F.lit(False)) & (F.size("_title") == 0)
     scored = ranked.withColumn("_grams", F.when(undecided, grams).otherwise(F.array().cast("array<string>")))
@@ -58,22 +67,21 @@ def classify_domain(df: DataFrame, title: str, text: str, domains: dict = DOMAIN
     skill_ok = undecided & (top["n"] >= MIN_SKILL_SCORE)
     floor = F.greatest(top["n"] * SECONDARY_RATIO, F.lit(float(MIN_SKILL_SCORE)))
     none = F.array().cast("array<string>")
-    rest = lambda a: F.transform(F.slice(a, 2, 99), lambda h: h["d"])
+    rest = lambda a: F.transform(F.slice(a, F.lit(2), F.greatest(F.size(a), F.lit(1))), lambda h: h["d"])
     return scored.withColumns({
         "new_domain": F.when(blocked, None).when(F.size("_title") > 0, F.get("_title", F.lit(0))["d"]).when(skill_ok, top["d"]),
         "secondary": F.when(blocked, none).when(F.size("_title") > 0, rest(F.col("_title")))
-        .when(skill_ok, F.transform(F.filter(F.slice("_skill", 2, 99), lambda h: h["n"] >= floor), lambda h: h["d"])).otherwise(none),
+        .when(skill_ok, F.transform(F.filter(F.slice("_skill", 2, len(names)), lambda h: h["n"] >= floor), lambda h: h["d"])).otherwise(none),
         "method": F.when(blocked, "null_blocked").when(F.size("_title") > 0, "title").when(skill_ok, "skills").otherwise("default"),
     }).drop("_t", "_title", "_grams", "_skill")
 
 
-# Default admission rules.
-HARD_REJECTS = [("hard:clinical", r"\b(nurse|physician)\b"), ("hard:pool", r"\btalent community\b")]
+# Neutral default admission rules.
+HARD_REJECTS = [("hard:other_trade", r"\b(plumber|chef)\b"), ("hard:no_opening", r"\bgeneral interest\b")]
 EVIDENCE_RULES = [  # (rule, title pattern, positive phrases, negative phrases, needed, quarantine only)
-    ("evidence:consultant", r"\bconsultant\b", ["skill1", "skill2", "skill3", "years of experience"], ["on-site only"], 2, False),
-    ("evidence:executive", r"\bexecutive\b", [], [], 1, True),
+    ("evidence:advisor", r"\badvisor\b", ["data", "analysis", "dashboards"], ["door to door"], 2, False),
 ]
-ACCEPT_RULES = [("core:data", r"\bdata\b"), ("core:ml", r"\bmachine learning\b"), ("taxonomy:analyst", r"\banalyst\b|\banalytics\b"), ("fallback:engineer", r"\bengineer\b")]
+ACCEPT_RULES = [("core:data", r"\bdata\b"), ("core:analysis", r"\banaly(st|tics|sis)\b")]
 
 
 def admit_roles(df: DataFrame, title: str, text: str, hard=HARD_REJECTS, evidence=EVIDENCE_RULES, accept=ACCEPT_RULES) -> DataFrame:
@@ -109,19 +117,21 @@ def admit_roles(df: DataFrame, title: str, text: str, hard=HARD_REJECTS, evidenc
     return df.withColumn("scope", decision.otherwise(outcome("rejected", "no_scope_match", 0.99)))
 
 
-SENIORITY_PREFIX = r"(?i)^(?:sr\.?|senior|junior|jr\.?|lead|staff|principal|head of|director of|associate)\s+"
-SEGMENT_SUFFIX = r"(?i)[\s,-]+(?:enterprise|commercial|strategic|global|remote|i{1,3})\s*$"
-CATEGORY_RULES = [("data_ml", r"\bdata engineer", "data_engineering"), ("data_ml", r"\bdata analyst|\banalytics\b", "data_analytics"), ("product", r"\bproduct\b", "product_management"),
-                  (None, r"\bmachine learning\b|\bml\b", "ml_engineering"), (None, r"\bdata scientist", "data_science")]
+# Words that stand before or after a title without changing the role: defaults of arguments.
+LEADING_WORDS = ["senior", "junior", "lead", "chief", "assistant"]
+TRAILING_WORDS = ["remote", "hybrid", "i", "ii", "iii"]
+CATEGORY_RULES = [(None, r"\bdata engineer", "data_engineering"), (None, r"\banalyst\b", "data_analytics")]
 
 
-def strip_title(title: Column) -> Column:
-    """Title without its seniority prefix and segment suffix."""
+def strip_title(title: Column, leading: list[str] = LEADING_WORDS, trailing: list[str] = TRAILING_WORDS) -> Column:
+    """Title up to its first comma, without one leading and one trailing word of the lists."""
+    either = lambda words_: "|".join(sorted(words_, key=len, reverse=True))
     head = F.trim(F.split_part(title, F.lit(","), F.lit(1)))
-    return F.trim(F.regexp_replace(F.regexp_replace(head, SENIORITY_PREFIX, ""), SEGMENT_SUFFIX, ""))
+    short = F.regexp_replace(head, rf"(?i)^(?:{either(leading)})\.?\s+", "")
+    return F.trim(F.regexp_replace(short, rf"(?i)[\s-]+(?:{either(trailing)})\s*$", ""))
 
 
-def categorize_roles(df: DataFrame, cache: DataFrame, title: str = "role_name", rules=CATEGORY_RULES) -> DataFrame:
+def categorize_roles(df: DataFrame, cache: DataFrame, title: str = "role_name", rules=CATEGORY_RULES, leading: list[str] = LEADING_WORDS, trailing: list[str] = TRAILING_WORDS) -> DataFrame:
     """Company+title cache, title vote, stripped-title vote, domain rules, fallback rules.
 
     ``cache`` has (company_key, title_key, role_category).
@@ -129,7 +139,7 @@ def categorize_roles(df: DataFrame, cache: DataFrame, title: str = "role_name",
     votes = majority_vote(cache.filter(F.col("role_category").isNotNull()), "title_key", "role_category").select("title_key", "role_category")
     exact = cache.groupBy("company_key", "title_key").agg(F.min("role_category").alias("_c1"))
     low = F.lower(F.trim(title))
-    keyed = df.withColumns({"title_key": low, "_stripped": F.lower(strip_title(F.col(title)))})
+    keyed = df.withColumns({"title_key": low, "_stripped": F.lower(strip_title(F.col(title), leading, trailing))})
     out = (
         keyed.join(exact, ["company_key", "title_key"], "left").join(votes.withColumnRenamed("role_category", "_c2"), "title_key", "left")
         .join(votes.select(F.col("title_key").alias("_stripped"), F.col("role_category").alias("_c3")), "_stripped", "left"))

@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import md5_id, rounded
-from ..functions.text import ngrams, token_rows, words
+from ..functions.text import token_rows, words
 from .relational import global_rank
 
-MAX_ALIAS_WORDS = 4  # longest alias, in words
 PRIORITY_RANK = {"required": 3, "preferred": 2, "nice-to-have": 1}
 
 # Headings of a skills block, lower case: those that set a priority, those that only
@@ -63,12 +62,13 @@ def match_aliases(df: DataFrame, keep: list[str], text: Column, aliases: DataFra
     """
     on = on or []
     alias_words = F.split("alias", " ")
-    parts = aliases.filter(F.size(alias_words) <= MAX_ALIAS_WORDS).withColumns({f"a{n}": F.get(alias_words, F.lit(n - 1)) for n in range(1, MAX_ALIAS_WORDS + 1)})
-    toks = token_rows(df, keep, text, MAX_ALIAS_WORDS)
+    width = aliases.agg(F.max(F.size(alias_words))).first()[0] or 1  # the alias table only, never the texts
+    parts = aliases.withColumns({f"a{n}": F.get(alias_words, F.lit(n - 1)) for n in range(1, width + 1)})
+    toks = token_rows(df, keep, text, width)
     cond = toks["w1"] == parts["a1"]
     for c in on:
         cond = cond & (toks[c] == parts[c])
-    for n in range(2, MAX_ALIAS_WORDS + 1):
+    for n in range(2, width + 1):
         cond = cond & (parts[f"a{n}"].isNull() | (toks[f"w{n}"] == parts[f"a{n}"]))
     return toks.join(parts, cond).select(*[toks[c] for c in keep], *[parts[c] for c in aliases.columns if c not in on and c != "alias"])
 
@@ -104,24 +104,34 @@ def tag_skills(postings: DataFrame, aliases: DataFrame, existing: DataFrame, mod
         F.lit("required").alias("skill_priority"), F.lit(0.9).alias("confidence"), F.lit("sql_extract").alias("extraction_src"))
 
 
-# Phrases after which a skill tends to be named.
-SIGNALS = r"(?i)(?:experience (?:with|in|using)|proficiency (?:with|in)|(?:working )?knowledge of|familiarity (?:with|in)|expertise (?:with|in))\s+([A-Za-z][A-Za-z0-9 .+#-]{1,30}?)(?:\s*[,.()]|$)"
+# Phrases after which a skill tends to be named: default of an argument.
+SIGNAL_PHRASES = ["experience with", "experience in", "knowledge of", "skilled in", "fluent in", "hands-on with", "comfortable with", "trained in"]
 NOISE = ["data", "team", "work", "tools", "the", "business", "systems", "technology", "software"]
+LONGEST_TERM = 40
 
 
-def discover_skills(df: DataFrame, known: DataFrame, key: str = "job_id", group: str = "company_id", text: str = "description_text", min_jobs: int = 3) -> DataFrame:
-    """Unknown terms named after a signal phrase on bullet lines that mention a known skill."""
-    vocabulary = known.agg(F.array_sort(F.collect_set(F.lower("skill_name"))).alias("v"))  # bounded by the taxonomy
-    lines = F.filter(F.split(F.col(text), "\n"), lambda s: s.rlike(r"^\s*(?:[-*•·]|\d+[.)])\s+"))
-    rows = df.select(key, group, F.explode(lines).alias("line")).withColumn("_v", vocabulary.scalar())
-    named = rows.filter(F.col("line").rlike(SIGNALS)).filter(F.arrays_overlap(ngrams(words(F.col("line")), MAX_ALIAS_WORDS), F.col("_v"))).select(
-        key, group, "_v", F.explode(F.regexp_extract_all(F.col("line"), F.lit(SIGNALS), F.lit(1))).alias("term"))
-    term = F.trim(F.regexp_replace("term", r"\s+", " "), F.lit(" .,;:"))
-    clean = named.withColumn("term", term).filter(
-        F.length("term").between(2, 40) & ~F.lower("term").isin(NOISE) & ~F.array_contains(F.col("_v"), F.lower("term"))
-        & ~F.col("term").rlike(r"(?i)^(strong|excellent|good)\s|\bskills?\b|\babilit|\bexperience\b"))
+def _named_terms(line: Column, phrases: list[str]) -> Column:
+    """What follows a signal phrase on a line, up to the next comma, bracket or end of sentence."""
+    after = F.slice(F.split(line, rf"(?i)\b(?:{'|'.join(phrases)})\s+"), F.lit(2), F.length(line))
+    cut = F.transform(after, lambda x: F.trim(F.regexp_extract(x, r"^(.*?)(?:[,;()]|\.(?:\s|$)|$)", 1)))
+    return F.filter(cut, lambda x: x.rlike("^[A-Za-z]") & F.length(x).between(2, LONGEST_TERM))
+
+
+def discover_skills(df: DataFrame, known: DataFrame, key: str = "job_id", group: str = "company_id", text: str = "description_text", min_jobs: int = 3,
+                    phrases: list[str] = SIGNAL_PHRASES, noise: list[str] = NOISE) -> DataFrame:
+    """Unknown terms named after a signal phrase on bullet lines that mention a known skill.
+
+    Known skills are found by joining the lines' words with the taxonomy, and known
+    terms leave by an anti-join: the taxonomy is never gathered anywhere.
+    """
+    bullets = F.filter(F.split(F.col(text), "\n"), lambda s: s.rlike(BULLET))
+    named = df.select(key, group, F.explode(bullets).alias("line")).withColumn("terms", _named_terms(F.col("line"), phrases)).filter(F.size("terms") > 0)
+    names = known.select(F.array_join(words(F.col("skill_name")), " ").alias("alias"), F.lit(1).alias("_hit"))
+    speaking = match_aliases(named, [key, group, "terms"], F.col("line"), names).select(key, group, F.explode("terms").alias("term"))
+    clean = speaking.withColumn("term", F.trim(F.regexp_replace("term", r"\s+", " "), F.lit(" .,;:"))).filter(~F.lower("term").isin(noise))
+    fresh = clean.join(known.select(F.lower("skill_name").alias("_k")).distinct(), F.lower("term") == F.col("_k"), "left_anti")
     spelled = F.when((F.upper("term") == F.col("term")) | (F.lower("term") == F.col("term")), F.initcap("term")).otherwise(F.col("term"))
-    out = clean.groupBy(spelled.alias("term")).agg(F.countDistinct(key).alias("job_count"), F.countDistinct(group).alias("company_count"))
+    out = fresh.groupBy(spelled.alias("term")).agg(F.countDistinct(key).alias("job_count"), F.countDistinct(group).alias("company_count"))
     return out.filter(F.col("job_count") >= min_jobs)
 
 

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .relational import top_per_group
 
 LEFT_BLOCK, RIGHT_BLOCK = 4_096, 8_192
@@ -24,6 +25,7 @@ LEFT_BLOCK, RIGHT_BLOCK = 4_096, 8_192
 def block_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
                left_block: int = LEFT_BLOCK, right_block: int = RIGHT_BLOCK) -> DataFrame:
     """Apply ``fn`` to every cell of the block grid; right rows arrive in key order."""
+    left, right = cut_lineage(left), cut_lineage(right)  # counted and then read: what is above runs once
     n_left = max(1, math.ceil(left.count() / left_block))
     n_right = max(1, math.ceil(right.count() / right_block))
 

@@ -17,6 +17,7 @@ def build_session(app: str = "postlens", cores: int | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if cores is not None:
         builder = (
@@ -48,7 +49,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; used between iterations only."""
+    """Reliable checkpoint in the shared folder, for what is read more than once.
+
+    Spark removes the files once the frame is out of use if the session sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``, as ``build_session`` does.
+    """
     spark = df.sparkSession
     folder = shared_folder(spark)
     sc = spark.sparkContext
@@ -62,15 +67,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Hint a broadcast only after counting that ``df`` really is small.
-
-    The count stops at ``max_rows + 1`` rows, so checking a large side is cheap.
-    """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return (F.broadcast(df) if small else df), small
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out when the input has fewer splits than the session has cores.
 

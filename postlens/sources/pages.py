@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.columns import US_STATES, blank_to_null
 from ..functions.text import org_match, strip_html
 from ..operators.relational import dedupe_best
+from ..session import cut_lineage
 
 _SCRIPT = r"(?is)<script[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script>"
 MIN_TEXT = 100
 
 
-def extract_jsonld(pages: DataFrame, key: str = "page_id", html: str = "html", kind: str = "JobPosting", depth: int = 2) -> DataFrame:
-    """(key, posting) for every object of the wanted type: several scripts per page,
-    arrays, ``@graph`` and nested ``mainEntity`` objects; unreadable scripts are skipped."""
+def extract_jsonld(pages: DataFrame, key: str = "page_id", html: str = "html", kind: str = "JobPosting") -> DataFrame:
+    """(key, posting) for every object of the wanted type: several scripts per page, arrays,
+    ``@graph`` and nested ``mainEntity`` objects to any depth; unreadable scripts are skipped."""
     scripts = pages.select(key, F.explode(F.regexp_extract_all(F.col(html), F.lit(_SCRIPT), F.lit(1))).alias("raw"))
     docs = scripts.select(key, F.try_parse_json(F.trim("raw")).alias("v")).filter(F.col("v").isNotNull())
 
@@ -23,11 +24,11 @@ def extract_jsonld(pages: DataFrame, key: str = "page_id", html: str = "html", k
         """A variant as an array of variants: itself when it is not a list."""
         return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
 
-    level = docs.select(key, F.explode(listed(F.col("v"))).alias("v"))
+    level = cut_lineage(docs.select(key, F.explode(listed(F.col("v"))).alias("v")))
     found = level
-    for _ in range(depth):
+    while not level.isEmpty():  # ends: every level is inside the one before
         inner = F.concat(*[F.coalesce(F.transform(F.array(F.try_variant_get("v", path, "variant")), lambda x: x), F.array().cast("array<variant>")) for path in ("$['@graph']", "$.mainEntity", "$.itemListElement", "$.item")])
-        level = level.select(key, F.explode(F.filter(inner, lambda x: x.isNotNull())).alias("w")).select(key, F.explode(listed(F.col("w"))).alias("v"))
+        level = cut_lineage(level.select(key, F.explode(F.filter(inner, lambda x: x.isNotNull())).alias("w")).select(key, F.explode(listed(F.col("w"))).alias("v")))
         found = found.unionByName(level)
     types = F.coalesce(F.try_variant_get("v", "$['@type']", "array<string>"), F.array(F.try_variant_get("v", "$['@type']", "string")))
     text = lambda path: F.try_variant_get("v", path, "string")
@@ -62,18 +63,22 @@ def accept_postings(postings: DataFrame, hosts: DataFrame, as_of: str, key: str
 JOB_PATH = r"(?i)/(?:jobs?|careers?|openings?|positions?|vacanc)[/-]"
 
 
-def expand_sitemaps(docs: DataFrame, roots: DataFrame, depth: int = 3, job_path: str = JOB_PATH) -> DataFrame:
-    """Job-shaped addresses reachable from root sitemaps over captured (url, xml) documents."""
+def expand_sitemaps(docs: DataFrame, roots: DataFrame, job_path: str = JOB_PATH) -> DataFrame:
+    """Job-shaped addresses reachable from root sitemaps over captured (url, xml) documents.
+
+    Goes on until a level has no sitemap that was not read before, so loops end too.
+    """
     locs = docs.select(F.col("url").alias("parent"), F.explode(F.regexp_extract_all("xml", F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("url"))
     kinds = docs.select("url").withColumn("_is_map", F.lit(True))
     edges = locs.join(kinds, "url", "left").select("parent", "url", F.coalesce("_is_map", F.lit(False)).alias("_is_map"))
-    level = roots.select("url")
-    leaves = None
-    for _ in range(depth):
+    edges = cut_lineage(edges)
+    level = seen = cut_lineage(roots.select("url").distinct())
+    leaves = roots.select("url").limit(0)
+    while not level.isEmpty():
         children = edges.join(level.withColumnRenamed("url", "parent"), "parent").select("url", "_is_map").distinct()
-        found = children.filter(~F.col("_is_map") & F.col("url").rlike(job_path)).select("url")
-        leaves = found if leaves is None else leaves.unionByName(found)
-        level = children.filter("_is_map").select("url")
+        leaves = leaves.unionByName(children.filter(~F.col("_is_map") & F.col("url").rlike(job_path)).select("url"))
+        level = cut_lineage(children.filter("_is_map").select("url").join(seen, "url", "left_anti"))
+        seen = seen.unionByName(level)
     return leaves.distinct()
 
 

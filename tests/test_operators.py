@@ -43,10 +43,18 @@ def test_salary_forms(spark, text, lo, hi, period):
     ("You have 3-5 years of relevant experience", 3, None),
     ("We have served clients for over 30 years", None, None),
     ("You bring at least 4 years working in data", 4, None),
+    ("Minimum Qualifications A degree and a minimum of 2 years of related experience. Preferred Qualifications 5 years of experience.", 2, 5),
+    ("Preferred Qualifications 1 year of experience. Minimum Qualifications 4 years of experience.", 4, 1),
+    ("Requirements\n- 1 year of experience. Present results to senior leadership.", 1, None),
+    ("Basic Qualifications 2+ years of professional experience.", 2, None),
+    ("What you'll need 5 years of relevant experience.", 5, None),
+    ("Requirements You have 3+ years working with SQL and Tableau.", 3, None),
+    ("Requirements: 6 years of experience, 40 years old company", 6, None),
+    ("For over 25 years we have built software. Build dashboards for customers.", None, None),
     ("", None, None),
 ])
 def test_years(spark, text, req, pref):
-    got = one(spark, extract_years("t"), t=text)
+    got = one(spark, extract_years(F.col("t")), t=text)
     assert (got.required_years, got.preferred_years) == (req, pref)
 
 
@@ -210,6 +218,32 @@ def test_feed_conserves_rows(spark, tmp_path):
     assert good.count() == 1 and [r.reject_reason for r in bad.collect()] == ["unreadable"]
 
 
+def test_jsonld_of_any_depth(spark):
+    inner = '{"@type":"JobPosting","title":"deep"}'
+    for _ in range(6):
+        inner = '{"@graph":[%s,{"@type":"Thing"}]}' % inner
+    df = spark.createDataFrame([(1, '<script type="application/ld+json">%s</script>' % inner)], "page_id int, html string")
+    assert [r.title for r in pages.extract_jsonld(df).collect()] == ["deep"]
+
+
+def test_sitemaps_of_any_depth_and_loops(spark):
+    xml = lambda *urls: "<urlset>" + "".join(f"<url><loc>{u}</loc></url>" for u in urls) + "</urlset>"
+    docs = [(f"m{i}", xml(f"m{i + 1}", f"https://x/jobs/{i}")) for i in range(6)] + [("m6", xml("m0", "m6", "https://x/jobs/last", "https://x/blog/1"))]
+    out = pages.expand_sitemaps(spark.createDataFrame(docs, "url string, xml string"), spark.createDataFrame([("m0",)], "url string"))
+    assert sorted(r.url for r in out.collect()) == sorted([f"https://x/jobs/{i}" for i in range(6)] + ["https://x/jobs/last"])
+
+
+def test_aliases_of_any_length(spark):
+    aliases = spark.createDataFrame([("one two three four five six", "S1", False), ("two", "S2", False)], "alias string, skill_id string, ambiguous boolean")
+    texts = spark.createDataFrame([(1, "say one two three four five six now"), (2, "one two three four five"), (3, "nothing")], "id int, t string")
+    got = skills.match_aliases(texts, ["id"], F.col("t"), aliases).select("id", "skill_id").distinct().collect()
+    assert sorted(map(tuple, got)) == [(1, "S1"), (1, "S2"), (2, "S2")]
+
+
+def test_entities_are_decoded(spark):
+    assert one(spark, X.dedup_normalize(F.col("t")), t="Say &quot;hi&quot; &amp; it&#39;s <b>done</b>") == "say hi it s done"
+
+
 def test_jsonld_shapes(spark):
     tag = '<script type="application/ld+json">%s</script>'
     html = tag % '{"@type":"JobPosting","title":"A"}' + tag % "{broken" + tag % '[{"@type":["Thing","JobPosting"],"title":"B"},{"@graph":[{"@type":"JobPosting","title":"C"}]}]'
