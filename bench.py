@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR  data folder (default /root/testdata/sf0.1)
 BENCH_CPUS    local cores (default 4)
-BENCH_RUNS    runs per query, median reported (default 1, after one warm-up query)
+BENCH_RUNS    rounds over all queries, median reported (default 3, after one warm-up query)
 BENCH_ALL     1 = every registered query, one run each
 """
 
@@ -10,15 +10,17 @@ from __future__ import annotations
 
 import json
 import os
+import signal
 import statistics
 import sys
 import time
 
 HEADLINE = [
     "prj_2_canonicalize_pay", "flt_1_public_feed", "wn_1_best_row", "wn_7_top_k", "jn_6_latest_before", "ag_14_empirical_percentile",
-    "bi_2_skill_demand", "bi_3_salary_benchmarks", "bi_6_hiring_difficulty", "bi_9_ghost_index", "bi_10_honesty_score", "bi_14_radar_snapshot",
-    "bi_24_skill_index", "lc_2_expire_states", "lc_8_stream_event_counts", "txt_2_extract_salary", "txt_8_skills_sectioned", "txt_9_tag_skills",
-    "txt_18_find_boilerplate", "dup_3_near_dup_clusters", "dup_4_connected_components", "mat_1_knn", "mat_7_market_skill_stats", "snk_1_upsert",
+    "bi_1_fct_jobs", "bi_2_skill_demand", "bi_3_salary_benchmarks", "bi_5_sector_benchmarks", "bi_6_hiring_difficulty", "bi_7_company_scorecard",
+    "bi_9_ghost_index", "bi_10_honesty_score", "bi_14_radar_snapshot", "bi_24_skill_index", "bi_27_company_roles", "lc_2_expire_states", "lc_8_stream_event_counts",
+    "txt_2_extract_salary", "txt_8_skills_sectioned", "txt_9_tag_skills", "txt_18_find_boilerplate", "dup_3_near_dup_clusters", "dup_4_connected_components",
+    "mat_1_knn", "mat_3_match_jobs", "mat_4_skill_gaps", "mat_7_market_skill_stats", "mat_8_weighted_job_matches", "snk_1_upsert",
 ]
 
 
@@ -29,7 +31,7 @@ def main() -> None:
     root = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = int(os.environ.get("BENCH_CPUS", "4"))
     everything = os.environ.get("BENCH_ALL") == "1"
-    runs = 1 if everything else int(os.environ.get("BENCH_RUNS", "1"))
+    runs = 1 if everything else int(os.environ.get("BENCH_RUNS", "3"))
     spark = build_session("bench", cores=cores)
     spark.sparkContext.setLogLevel("ERROR")
 
@@ -39,15 +41,27 @@ def main() -> None:
         return time.perf_counter() - start
 
     once("bi_3_salary_benchmarks")
-    times: dict[str, float] = {}
-    for name in QUERIES if everything else HEADLINE:
-        try:
-            times[name] = round(statistics.median(once(name) for _ in range(runs)), 3)
-        except Exception as exc:  # keep the other timings
-            print(f"{name}: {type(exc).__name__}: {str(exc)[:300]}", file=sys.stderr)
-        if everything:
-            print(f"{name} {times.get(name)}", file=sys.stderr, flush=True)
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(root.rstrip("/"))}))
+    taken: dict[str, list[float]] = {}
+
+    def report(*_) -> None:
+        times = {name: round(statistics.median(seconds), 3) for name, seconds in taken.items() if seconds}
+        print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(root.rstrip("/"))}), flush=True)
+
+    def stopped(*_) -> None:
+        report()
+        os._exit(0)
+
+    signal.signal(signal.SIGTERM, stopped)  # whoever stops it still gets the rounds so far
+    for _ in range(runs):
+        for name in QUERIES if everything else HEADLINE:
+            try:
+                seconds = once(name)
+                taken.setdefault(name, []).append(seconds)
+            except Exception as exc:  # keep the other timings
+                print(f"{name}: {type(exc).__name__}: {str(exc)[:300]}", file=sys.stderr)
+            if everything:
+                print(f"{name} {taken.get(name)}", file=sys.stderr, flush=True)
+    report()
 
 
 if __name__ == "__main__":

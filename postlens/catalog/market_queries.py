@@ -91,7 +91,7 @@ def spread(mid):
 
 @query("bi_24_company_index", f"WITH {S.PAY}, {S.RISK}, x AS (SELECT j.*, {MID} AS mid, company_slug, c.company_name, c.sector, ghost_probability / 100.0 AS g FROM jobs j JOIN f_companies c USING (company_id) LEFT JOIN risk USING (job_id) WHERE is_public) SELECT company_id, company_slug, company_name, sector, count(*) AS job_count, {spread('mid')}, {r('avg(mid)', 0)} AS avg_comp_annual, {r('avg(g)', 4)} AS avg_ghost, {r('quantile_cont(g, 0.5)', 4)} AS median_ghost, {r('avg(CASE WHEN mid IS NOT NULL THEN 1.0 ELSE 0.0 END)', 4)} AS salary_disclosure_rate FROM x GROUP BY 1, 2, 3, 4 HAVING count(*) >= 5")
 def _(t):
-    return M.company_index(S.jobs(t), t.companies, S.risk(t))
+    return M.company_index(S.jobs(t), t.companies, S.staged(S.risk(t)))
 
 
 @query("bi_24_skill_index", f"WITH {S.PAY}, x AS (SELECT job_id, {MID} AS mid FROM jobs WHERE is_public) SELECT skill_id, skill_name, count(DISTINCT job_id) AS job_count, {spread('mid')}, (SELECT {r('quantile_cont(mid, 0.5)', 0)} FROM x) AS market_median_salary FROM x JOIN f_job_skills USING (job_id) JOIN f_skills USING (skill_id) GROUP BY 1, 2 HAVING count(DISTINCT job_id) >= 5")
@@ -107,7 +107,7 @@ TRANSP = r("count(salary_max_annual) * 100.0 / count(*)", 1)
 
 @query("bi_25_market_overview", f"WITH {S.PAY}, {S.HONESTY} SELECT count(*) AS total_active_roles, count(DISTINCT company_id) AS companies_hiring, {TRANSP} AS salary_transparency_pct, {PAYCOLS}, {r('avg(honesty_score)', 1)} AS avg_honesty_score, max(ingested_at) AS last_updated FROM jobs LEFT JOIN honesty USING (job_id) WHERE {CUR}")
 def _(t):
-    return M.market_overview(S.jobs(t), S.honesty(t))
+    return M.market_overview(S.staged(S.jobs(t)), S.staged(S.honesty(t)))
 
 
 @query("bi_25_ghost_tiers", f"WITH {S.RISK} SELECT ghost_tier, count(*) AS job_count, {r('avg(ghost_probability)', 1)} AS avg_probability, min(ghost_probability) AS min_probability, max(ghost_probability) AS max_probability FROM risk GROUP BY 1")
@@ -132,7 +132,7 @@ def _(t):
 
 @query("bi_26_market_sectors", f"WITH {S.PAY}, {S.HONESTY} SELECT c.sector, count(DISTINCT job_id) AS active_roles, count(DISTINCT company_id) AS companies, {PAYCOLS}, {TRANSP} AS transparency_pct, {r('avg(honesty_score)', 1)} AS avg_honesty_score FROM jobs JOIN f_companies c USING (company_id) LEFT JOIN honesty USING (job_id) WHERE data_tier = 1 AND is_public AND c.sector IS NOT NULL GROUP BY 1 HAVING count(DISTINCT job_id) >= 10")
 def _(t):
-    return M.market_sectors(S.jobs(t), t.companies, S.honesty(t))
+    return M.market_sectors(S.staged(S.jobs(t)), t.companies, S.staged(S.honesty(t)))
 
 
 @query("bi_27_company_flags", f"WITH {CARD} SELECT company_id, concat_ws('|', CASE WHEN salary_below_score > 30 THEN 'underpaying' END, CASE WHEN complexity_score > 70 THEN 'overspecified' END, CASE WHEN avg_ghost_probability > 60 THEN 'stale_risk' END, CASE WHEN rarity_score > 15 THEN 'rare_skills' END, CASE WHEN transparency_pct = 0 THEN 'opaque' END) AS action_flags FROM card")
@@ -142,7 +142,7 @@ def _(t):
 
 @query("bi_27_company_roles", f"WITH {S.PAY}, {S.HONESTY}, {S.RISK} SELECT j.company_id, job_id, r.role_name, {FAMILY_SQL.replace('role_name', 'r.role_name')} AS role_family, g.ghost_probability, ghost_tier, honesty_score FROM jobs j JOIN f_roles r USING (role_id) LEFT JOIN risk g USING (job_id) LEFT JOIN honesty USING (job_id) WHERE data_tier = 1 AND is_public")
 def _(t):
-    return M.company_roles(S.jobs(t), t.roles, S.risk(t), S.honesty(t)).select("company_id", "job_id", "role_name", "role_family", "ghost_probability", "ghost_tier", "honesty_score")
+    return M.company_roles(S.jobs(t), t.roles, S.staged(S.risk(t)), S.staged(S.honesty(t))).select("company_id", "job_id", "role_name", "role_family", "ghost_probability", "ghost_tier", "honesty_score")
 
 
 @query("bi_27_company_skills", f"WITH pb AS (SELECT job_id, company_id FROM f_postings WHERE data_tier = 1 AND is_public), tt AS (SELECT company_id, count(*) AS total FROM pb GROUP BY 1) SELECT company_id, skill_name, lower(skill_priority) AS skill_priority, count(DISTINCT job_id) AS job_count, {r('count(DISTINCT job_id) * 100.0 / max(total)', 1)} AS pct_of_roles FROM pb JOIN f_job_skills USING (job_id) JOIN f_skills USING (skill_id) JOIN tt USING (company_id) GROUP BY 1, 2, 3")
@@ -268,14 +268,31 @@ def _(t):
     return O.crawl_rollup(t.tenant_runs)
 
 
-@query("qlt_7_report_state", f"WITH {ROLL} SELECT count(*) FILTER (WHERE state IN ('source_failure', 'partial_failure')) AS bad_sources, count(*) FILTER (WHERE state = 'running') AS running_sources, CASE WHEN count(*) FILTER (WHERE state IN ('source_failure', 'partial_failure')) > 0 THEN 'Needs attention' WHEN count(*) FILTER (WHERE state = 'running') > 0 THEN 'In progress' ELSE 'Healthy' END AS state FROM roll")
-def _(t):
-    return O.report_state(O.crawl_rollup(t.tenant_runs), F.lit(RADAR_DAY).cast("date"), RADAR_DAY)
-
-
-@query("bi_33_health_alerts", """WITH h AS (SELECT count(*) AS host_attempts, count(*) FILTER (WHERE status = 'failed') AS host_failures, count(*) FILTER (WHERE started_on > DATE '2001-07-01') AS recent_attempts, count(*) FILTER (WHERE started_on > DATE '2001-07-01' AND status IN ('failed', 'partial_failure')) AS recent_failures FROM f_tenant_runs)
+# One report an hour count apart: the age of the publication at each decides with the crawl's state.
+@query("qlt_7_report_state", f"""
+WITH {ROLL},
+c AS (SELECT count(*) FILTER (WHERE state IN ('source_failure', 'partial_failure')) AS bad_sources, count(*) FILTER (WHERE state = 'running') AS running_sources FROM roll WHERE source = 'lever' OR source = 'none'),
+h(hours) AS (VALUES (1), (36), (37), (47))
+SELECT hours, bad_sources, running_sources,
+       CASE WHEN hours > 36 OR bad_sources > 0 THEN 'Needs attention' WHEN running_sources > 0 THEN 'In progress' ELSE 'Healthy' END AS state
+FROM h, (SELECT 0 AS bad_sources, 0 AS running_sources UNION ALL SELECT bad_sources, running_sources FROM c) x""")
+def _(t):
+    rolled = O.crawl_rollup(t.tenant_runs)
+    out = None
+    for hours in (1, 36, 37, 47):
+        for part in (rolled.filter("source = 'none'"), rolled.filter("source = 'lever'")):
+            published = F.lit(f"{RADAR_DAY} 00:00:00").cast("timestamp") - F.expr(f"INTERVAL {hours} HOURS")
+            one = O.report_state(part, published, f"{RADAR_DAY} 00:00:00").select(F.lit(hours).alias("hours"), "bad_sources", "running_sources", "state")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("bi_33_health_alerts", """
+WITH h AS (SELECT count(*) AS host_attempts, count(*) FILTER (WHERE status = 'failed') AS host_failures, count(*) FILTER (WHERE started_on > DATE '2001-07-01') AS recent_attempts,
+                  count(*) FILTER (WHERE started_on > DATE '2001-07-01' AND status IN ('failed', 'partial_failure')) AS recent_failures FROM f_tenant_runs),
+q AS (SELECT concat('queue', alert_id % 4) AS queue, min(CASE WHEN alert_id % 4 = 3 THEN DATE '2001-11-30' ELSE signal_date END) AS oldest FROM f_alerts WHERE NOT delivered GROUP BY 1)
 SELECT 'published inventory is over 36 hours old' AS alert WHERE (SELECT DATE '2001-12-01' - max(posted_date) FROM f_postings) * 24 > 36
-UNION ALL SELECT 'notification backlog exceeds seven days' WHERE (SELECT DATE '2001-12-01' - min(signal_date) FROM f_alerts WHERE NOT delivered) > 7
+UNION ALL SELECT concat(queue, ' notification backlog exceeds 7 days') FROM q WHERE DATE '2001-12-01' - oldest > 7
 UNION ALL SELECT 'all direct-host attempts failed' FROM h WHERE host_attempts > 0 AND host_failures = host_attempts
 UNION ALL SELECT 'direct-host failure rate is at least 50%' FROM h WHERE recent_attempts >= 5 AND recent_failures >= recent_attempts * 0.5
 UNION ALL SELECT 'resume retention overdue' WHERE (SELECT count(*) FROM f_signups WHERE signed_up_on < DATE '2001-11-01') > 0""")
@@ -287,9 +304,10 @@ def _(t):
         F.count_if(recent).alias("recent_attempts"), F.count_if(recent & F.col("status").isin("failed", "partial_failure")).alias("recent_failures"))
     facts = facts.withColumns({
         "publication_age_hours": t.postings.agg((F.datediff(today, F.max("posted_date")) * 24).alias("h")).scalar(),
-        "oldest_pending_days": t.view("alerts").filter("NOT delivered").agg(F.datediff(today, F.min("signal_date")).alias("d")).scalar(),
         "expired_resumes": t.view("signups").filter(F.col("signed_up_on") < F.lit("2001-11-01").cast("date")).agg(F.count(F.lit(1)).alias("n")).scalar()})
-    return O.health_alerts(facts)
+    number = F.col("alert_id") % 4
+    queues = t.view("alerts").filter("NOT delivered").select(F.concat(F.lit("queue"), number.cast("string")).alias("queue"), F.when(number == 3, F.lit("2001-11-30").cast("date")).otherwise(F.col("signal_date")).alias("pending_since"))
+    return O.health_alerts(facts, queues, AS_OF)
 
 
 @query("bi_34_discovery_funnel", f"SELECT platform, count(*) AS total, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'active') AS active, count(*) FILTER (WHERE status = 'unreachable') AS unreachable, count(*) FILTER (WHERE status = 'integrated') AS integrated, {r('''count(*) FILTER (WHERE status = 'active') * 100.0 / count(*)''', 0)} AS pct_active, count(*) FILTER (WHERE status = 'pending') > 5000 AS high_pending, count(*) FILTER (WHERE status = 'active') > 0 AND count(*) FILTER (WHERE status = 'unreachable') > count(*) FILTER (WHERE status = 'active') * 0.5 AS high_unreachable FROM f_candidates GROUP BY 1")
@@ -342,6 +360,17 @@ def _(t):
     return O.product_funnel(t.base("events"), "2024-02-10")
 
 
-@query("bi_41_refresh_registry", "SELECT g.source, g.crawl_tenant, g.board_token, g.registry_seen, count(p.job_id) AS active_roles FROM f_registry g LEFT JOIN f_postings p ON p.ingestion_source = g.source AND p.crawl_tenant = g.crawl_tenant AND p.status = 'raw' AND p.data_tier = 1 GROUP BY 1, 2, 3, 4")
+BOARDS = """boards AS (
+  SELECT g.source, g.crawl_tenant, g.board_token, g.registry_seen, count(p.job_id) AS active_roles
+  FROM f_registry g LEFT JOIN f_postings p ON p.ingestion_source = g.source AND p.status = 'raw' AND p.crawl_tenant = CASE WHEN g.source = 'workday' THEN split_part(g.board_token, '/', 1) ELSE g.board_token END
+  GROUP BY 1, 2, 3, 4)"""
+
+
+@query("bi_41_refresh_registry", f"WITH {BOARDS} SELECT * FROM boards")
 def _(t):
     return O.refresh_registry(t.view("registry"), t.postings)
+
+
+@query("bi_41_registry_summary", f"WITH {BOARDS} SELECT source, count(*) AS boards, count(*) FILTER (WHERE active_roles > 0) AS with_roles, CAST(sum(active_roles) AS BIGINT) AS open_roles FROM boards GROUP BY 1")
+def _(t):
+    return O.registry_summary(O.refresh_registry(t.view("registry"), t.postings))

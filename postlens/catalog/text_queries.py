@@ -225,7 +225,7 @@ def _(t):
 
 @query("txt_15_company_type", "SELECT job_id, CASE WHEN description_text LIKE '%the group%' THEN 'private' END AS company_type FROM f_postings")
 def _(t):
-    return t.texts.select("job_id", X.company_type(F.col("description_text")).alias("company_type"))
+    return t.texts.select("job_id", X.company_type(F.col("description_text"), [("staffing", "agency"), ("private", r"\bthe group\b")]).alias("company_type"))
 
 
 RAW_PLACE = "CASE life_days % 8 WHEN 0 THEN concat_ws(', ', loc_city, loc_state) WHEN 1 THEN 'Remote' WHEN 2 THEN 'Springfield, Illinois' WHEN 3 THEN 'Bangalore, IN' WHEN 4 THEN 'Chicago, IL, United States' WHEN 5 THEN 'Remote - US' WHEN 6 THEN 'California' ELSE 'Atlantis' END"
@@ -281,13 +281,13 @@ def _(t):
     return t.documents.select("doc_id", X.dedup_normalize(F.col("text")).alias("body"))
 
 
-SNIPPET = "SELECT job_id, company_name, concat(company_name, CASE life_days % 7 WHEN 0 THEN ' announces layoffs' WHEN 1 THEN ' raised a Series B' WHEN 2 THEN ' acquires a rival' WHEN 3 THEN ' appoints Jo Doe as CEO' WHEN 4 THEN ' is hiring' WHEN 5 THEN ' opens an office' ELSE '' END) AS snippet, concat('https://www.news.example/', company_id, '/', life_days % 7, '?ref=', job_id) AS url, posted_date FROM f_postings JOIN f_companies USING (company_id)"
+SNIPPET = "SELECT job_id, company_name, concat(company_name, CASE life_days % 7 WHEN 0 THEN ' announces layoffs' WHEN 1 THEN ' raised a Series B' WHEN 2 THEN ' acquires a rival' WHEN 3 THEN ' appoints Jo Doe as CEO' WHEN 4 THEN ' is hiring' WHEN 5 THEN ' opens an office' WHEN 6 THEN ' reports a quarterly profit' ELSE '' END) AS snippet, concat('https://www.news.example/', company_id, '/', life_days % 7, '?ref=', job_id) AS url, posted_date FROM f_postings JOIN f_companies USING (company_id)"
 
 
-@query("txt_21_classify_events", f"WITH s AS ({SNIPPET}) SELECT job_id, address, CASE WHEN snippet LIKE '%layoffs' THEN 'layoff' WHEN snippet LIKE '%Series B' THEN 'funding' WHEN snippet LIKE '%acquires%' THEN 'acquisition' WHEN snippet LIKE '%CEO' THEN 'leadership' WHEN snippet LIKE '%hiring' THEN 'hiring' ELSE 'other' END AS event_type FROM (SELECT *, lower(replace(split_part(url, '?', 1), 'https://www.', '')) AS address, row_number() OVER (PARTITION BY split_part(url, '?', 1) ORDER BY posted_date DESC, job_id) AS rn FROM s) q WHERE rn = 1")
+@query("txt_21_classify_events", f"WITH s AS ({SNIPPET}) SELECT job_id, address, CASE WHEN snippet LIKE '%layoffs' THEN 'layoff' WHEN snippet LIKE '%Series B' THEN 'funding' WHEN snippet LIKE '%acquires%' THEN 'acquisition' WHEN snippet LIKE '%CEO' THEN 'leadership' WHEN snippet LIKE '%hiring' THEN 'hiring' WHEN snippet LIKE '%office' THEN 'expansion' WHEN snippet LIKE '%profit' THEN 'earnings' ELSE 'other' END AS event_type FROM (SELECT *, lower(replace(split_part(url, '?', 1), 'https://www.', '')) AS address, row_number() OVER (PARTITION BY split_part(url, '?', 1) ORDER BY posted_date DESC, job_id) AS rn FROM s) q WHERE rn = 1")
 def _(t):
     rows = t.texts.join(t.companies.select("company_id", "company_name"), "company_id")
-    tail = F.expr("CASE life_days % 7 WHEN 0 THEN ' announces layoffs' WHEN 1 THEN ' raised a Series B' WHEN 2 THEN ' acquires a rival' WHEN 3 THEN ' appoints Jo Doe as CEO' WHEN 4 THEN ' is hiring' WHEN 5 THEN ' opens an office' ELSE '' END")
+    tail = F.expr("CASE life_days % 7 WHEN 0 THEN ' announces layoffs' WHEN 1 THEN ' raised a Series B' WHEN 2 THEN ' acquires a rival' WHEN 3 THEN ' appoints Jo Doe as CEO' WHEN 4 THEN ' is hiring' WHEN 5 THEN ' opens an office' WHEN 6 THEN ' reports a quarterly profit' ELSE '' END")
     rows = rows.select("job_id", "company_name", "posted_date", F.concat("company_name", tail).alias("snippet"), F.expr("concat('https://www.news.example/', company_id, '/', life_days % 7, '?ref=', job_id)").alias("url"))
     return news.classify_events(rows, "snippet", "url", "company_name", [F.col("posted_date").desc(), F.col("job_id")]).select("job_id", "address", "event_type")
 

@@ -39,19 +39,35 @@ def parse_employment(value: Column) -> Column:
         ("contract", r"\bcontract(or)?\b"), ("temporary", r"\btemp(orary)?\b")])
 
 
-# Keyword rules, most specific first; replace with your own vocabulary.
-ARCHETYPES = [("analytics_engineer", r"\banalytics engineer"), ("data_engineer", r"\bdata engineer"), ("data_scientist", r"\bdata scientist"),
-              ("product_analyst", r"\bproduct analy"), ("bi", r"\bbusiness intelligence\b"), ("analyst", r"\banalyst\b"), ("consultant", r"\bconsultant\b")]
-COMPANY_TYPES = [("staffing", r"\b(staffing|recruiting) (agency|firm)\b"), ("consulting", r"\bconsulting\b"), ("nonprofit", r"\bnon-?profit\b"),
-                 ("education", r"\buniversity\b"), ("healthcare", r"\bhospital\b"), ("private", r"\bprivate company\b|\bthe group\b")]
-
-
-def archetype(title: Column) -> Column:
-    return first_match(normalized(title), ARCHETYPES)
-
-
-def company_type(text: Column) -> Column:
-    return first_match(normalized(text), COMPANY_TYPES)
+# Neutral keyword rules, most specific first: defaults of arguments.  The labels are fixed values.
+ARCHETYPES = [
+    ("data_engineer", r"\b(data|pipeline|warehouse) engineer"),
+    ("data_scientist", r"\bscientist\b"),
+    ("product_analyst", r"\bproduct analy"),
+    ("marketing_analyst", r"\bmarketing analy"),
+    ("financial_analyst", r"\b(finance|financial) analy"),
+    ("revenue_analyst", r"\b(revenue|sales) analy"),
+    ("analyst", r"\banalyst\b"),
+    ("consultant", r"\bconsultant\b"),
+]
+COMPANY_TYPES = [
+    ("staffing", r"\b(staffing|temp) agency\b"),
+    ("consulting", r"\b(consultancy|advisory firm)\b"),
+    ("nonprofit", r"\b(charity|foundation|not-for-profit)\b"),
+    ("government", r"\b(ministry|city council|federal agency|public sector)\b"),
+    ("education", r"\b(university|college|school)\b"),
+    ("healthcare", r"\b(hospital|clinic)\b"),
+    ("public", r"\b(publicly traded|listed on|stock exchange)\b"),
+    ("private", r"\b(privately held|family-owned)\b"),
+]
+
+
+def archetype(title: Column, rules: list[tuple[str, str]] = ARCHETYPES) -> Column:
+    return first_match(normalized(title), rules)
+
+
+def company_type(text: Column, rules: list[tuple[str, str]] = COMPANY_TYPES) -> Column:
+    return first_match(normalized(text), rules)
 
 
 def dedup_normalize(value: Column) -> Column:
@@ -112,7 +128,7 @@ def org_match(a: Column, b: Column, threshold: float = 0.6) -> Column:
 # Per source: where the tenant sits in a posting's address.
 TENANT_PATTERNS = {
     "greenhouse": r"greenhouse\.io/(?:embed/job_app\?for=)?([a-z0-9_-]+)", "lever": r"lever\.co/([a-z0-9_.-]+)", "ashby": r"ashbyhq\.com/([a-z0-9_.%-]+)",
-    "workday": r"https?://([a-z0-9_-]+)\.wd\d+\.myworkdayjobs\.com", "career_site": r"https?://jobs\.example\.com/([a-z0-9_-]+)/",
+    "workday": r"https?://([a-z0-9_-]+)\.wd\d+\.myworkdayjobs\.com",
 }
 
 
@@ -146,9 +162,17 @@ def page_verdict(status: Column, body: Column) -> Column:
         .when((status == 200) & (F.length(F.trim(body)) > 0), "alive").otherwise("inconclusive"))
 
 
-NEWS_EVENTS = [("layoff", r"\b(layoffs?|laid off|job cuts|workforce reduction)\b"), ("funding", r"\b(raises|raised|series [a-e]|funding round)\b"),
-               ("acquisition", r"\b(acquires?|acquired|merger)\b"), ("leadership", r"\b(appoints?|names) .{0,40}(ceo|cfo|cto|chief)\b"), ("hiring", r"\b(hiring|new jobs|expands team)\b")]
+# Kinds of company news, first hit wins: default of an argument.
+NEWS_EVENTS = [
+    ("layoff", r"\b(layoffs?|laid off|lets? go of|downsiz\w+)\b"),
+    ("funding", r"\b(raises?|raised|series [a-z]|seed round|investors?)\b"),
+    ("acquisition", r"\b(acquires?|acquired|merges?|merger|takeover)\b"),
+    ("expansion", r"\b(opens?|opened|expands?|expanded) (an? |its |new |second )*(office|plant|site|branch|hub|market)s?\b"),
+    ("leadership", r"\b(appoints?|appointed|promotes?|promoted|names?)\b.{0,60}\b(ceo|cfo|cto|coo|chief|chair)\b"),
+    ("earnings", r"\b(profits?|revenues?|earnings|quarter(ly)?|forecast)\b"),
+    ("hiring", r"\b(hiring|hires?|recruits?|vacancies|new jobs)\b"),
+]
 
 
-def news_event(text: Column) -> Column:
-    return first_match(F.lower(text), NEWS_EVENTS, "other")
+def news_event(text: Column, rules: list[tuple[str, str]] = NEWS_EVENTS) -> Column:
+    return first_match(F.lower(text), rules, "other")

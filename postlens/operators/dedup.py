@@ -89,9 +89,11 @@ def near_dup_clusters(df: DataFrame, key: str, block: list[str], text: str, thre
     body = dedup_normalize(F.col(text))
     rows = df.select(F.col(key).alias("_id"), block_hash.alias("_block"), body.alias("_body")).filter(F.col("_body") != "")
     tight = F.md5(F.replace("_body", F.lit(" "), F.lit("")))
-    texts = cut_lineage(rows.withColumn("_tight", tight).groupBy("_block", "_tight").agg(F.min_by("_body", "_id").alias("_body"), F.min("_id").alias("_rep")))
-    shingled = texts.select("_block", F.col("_rep").alias("_id"), shingles(F.col("_body")).alias("_set"))
-    folded = shingled.withColumn("_sig", F.xxhash64(F.array_sort("_set"))).groupBy("_block", "_sig").agg(
+    one = rows.withColumn("_tight", tight).groupBy("_block", "_tight").agg(F.min_by("_body", "_id").alias("_body"), F.min("_id").alias("_rep"))
+    # Shingled once: this table is all that is read of the texts from here on.
+    texts = cut_lineage(one.select("_block", "_tight", "_rep", F.array_sort(shingles(F.col("_body"))).alias("_set")).withColumn("_sig", F.xxhash64("_set")))
+    shingled = texts.select("_block", F.col("_rep").alias("_id"), "_set", "_sig")
+    folded = shingled.groupBy("_block", "_sig").agg(
         F.min("_id").alias("_m"), F.first("_set").alias("_set"))
     sets = cut_lineage(folded.select(F.col("_m").alias("_id"), "_block", "_set", F.size("_set").alias("_n")))
     keys = cut_lineage(_agreement_keys(sets, threshold).select("_key", "_id"))
@@ -108,7 +110,7 @@ def near_dup_clusters(df: DataFrame, key: str, block: list[str], text: str, thre
     across = left.join(right, "_key").filter(F.col("_ca") < F.col("_cb")).select("src", "dst").distinct()
     # The smaller side of an across pair may have the larger id; a pair is unordered.
     edges = first_edges.unionByName(_verify(across, sets, threshold))
-    folds = shingled.withColumn("_sig", F.xxhash64(F.array_sort("_set"))).join(folded.select("_block", "_sig", "_m"), ["_block", "_sig"]).select(F.col("_m").alias("src"), F.col("_id").alias("dst"))
+    folds = shingled.select("_block", "_id", "_sig").join(folded.select("_block", "_sig", "_m"), ["_block", "_sig"]).select(F.col("_m").alias("src"), F.col("_id").alias("dst"))
     members = rows.select("_id", "_block", tight.alias("_tight")).join(texts.select("_block", "_tight", "_rep"), ["_block", "_tight"]).select("_id", "_rep")
     reps = connected_components(edges.unionByName(folds.filter("src <> dst")))
     label = members.join(reps.withColumnRenamed("node", "_rep"), "_rep", "left").select("_id", F.coalesce("component", "_rep").alias("cluster_id"))

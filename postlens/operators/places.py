@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import US_STATES, blank_to_null
+from ..functions.columns import US_STATES, blank_to_null, unaccent
 
 # Names of US states and the district, with their postal codes.
 STATE_NAMES = {
@@ -19,21 +19,33 @@ STATE_NAMES = {
 US_NAMES = ["us", "usa", "u.s.", "united states", "united states of america"]
 # Default foreign names; a city here settles the codes that mean both a state and a country (IN, CA, DE).
 FOREIGN_COUNTRIES = ["canada", "india", "germany", "united kingdom", "uk", "france", "spain", "ireland", "brazil", "mexico", "australia", "singapore", "japan", "poland", "netherlands"]
-FOREIGN_CITIES = ["toronto", "vancouver", "montreal", "bangalore", "bengaluru", "hyderabad", "mumbai", "pune", "london", "berlin", "munich", "paris", "dublin"]
+FOREIGN_CITIES = [
+    "toronto", "vancouver", "montreal", "quebec", "bangalore", "bengaluru", "hyderabad", "mumbai", "pune", "delhi", "chennai", "london", "manchester", "edinburgh", "dundee", "dublin",
+    "berlin", "munich", "hamburg", "paris", "lyon", "villeneuve", "madrid", "barcelona", "lisbon", "rome", "milan", "vienna", "zurich", "prague", "warsaw", "krakow", "budapest",
+    "bucharest", "sofia", "belgrade", "novi sad", "zagreb", "ljubljana", "kyiv", "tel aviv", "dubai", "cairo", "lagos", "nairobi", "cape town", "tokyo", "osaka", "seoul", "taipei",
+    "taoyuan", "hong kong", "shanghai", "beijing", "shenzhen", "singapore", "kuala lumpur", "jakarta", "manila", "cebu", "bangkok", "hanoi", "da nang", "sydney", "melbourne",
+    "auckland", "sao paulo", "bogota", "lima", "santiago", "buenos aires", "guadalajara", "monterrey",
+]
 PROVINCES = ["on", "bc", "qc", "ab"]
 REMOTE = r"\b(remote|work from home|anywhere)\b"
 
 
-def normalize_location(raw: Column, workplace: Column) -> Column:
+def normalize_location(raw: Column, workplace: Column, foreign_countries: list[str] = FOREIGN_COUNTRIES, foreign_cities: list[str] = FOREIGN_CITIES) -> Column:
     """Struct of city, state, country (US / foreign / unknown), is_remote and the deciding rule.
 
-    "Remote" alone never becomes a US location.
+    "Remote" alone never becomes a US location.  Of several places the first is read.  Accents
+    are folded for all comparisons; a country or city abroad counts wherever its words stand,
+    and so do a three-letter country code in front and, where nothing speaks for the US, letters
+    with accents.  "US-CA-San Diego" is read as "San Diego, CA, US".
     """
-    text = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"\s+", " "))
+    given = F.trim(F.split_part(F.regexp_replace(F.coalesce(raw, F.lit("")), r"\s+", " "), F.lit(";"), F.lit(1)))
+    coded = r"^(?:US|USA)\s*-\s*([A-Z]{2})\s*-\s*(.+)$"
+    written = F.when(given.rlike(coded), F.regexp_replace(given, coded, "$2, $1, US")).otherwise(given)
+    accented, text = written != unaccent(written), unaccent(written)
     place = F.trim(F.regexp_replace(F.regexp_replace(text, r"(?i)\(?\b(?:remote|hybrid|on-?site)\b\)?", ""), r"^[\s,/|-]+|[\s,/|-]+$", ""))
     parts = F.filter(F.transform(F.split(place, ","), lambda p: F.trim(p)), lambda p: p != "")
     low = F.transform(parts, lambda p: F.lower(p))
-    last, second = F.element_at(low, -1), F.when(F.size(low) >= 2, F.element_at(low, F.when(F.size(low) >= 2, 2).otherwise(1)))
+    last, second = F.try_element_at(low, F.lit(-1)), F.when(F.size(low) >= 2, F.element_at(low, F.when(F.size(low) >= 2, 2).otherwise(1)))
     names = F.create_map(*[F.lit(x) for pair in STATE_NAMES.items() for x in pair])
 
     def state_of(part: Column) -> Column:
@@ -41,14 +53,19 @@ def normalize_location(raw: Column, workplace: Column) -> Column:
 
     filled = F.size(parts) > 0
     first = F.when(filled, F.element_at(low, F.when(filled, 1).otherwise(1)))
-    foreign = F.arrays_overlap(low, F.array(*[F.lit(c) for c in FOREIGN_COUNTRIES])) | first.isin(FOREIGN_CITIES) | F.coalesce(second.isin(PROVINCES), F.lit(False))
+    anywhere = lambda names_: F.lower(place).rlike(r"\b(?:" + "|".join(names_) + r")\b")
+    code = F.regexp_extract(text, r"^([A-Z]{3})\s*[-,]\s", 1)
+    stated = state_of(second).isNotNull() | state_of(last).isNotNull()
+    abroad = F.arrays_overlap(low, F.array(*[F.lit(c) for c in foreign_countries])) | first.isin(foreign_cities) | F.coalesce(second.isin(PROVINCES), F.lit(False))
+    # Weaker evidence does not stand against a state.
+    foreign = abroad | (~F.coalesce(stated, F.lit(False)) & (anywhere(foreign_countries) | anywhere(foreign_cities) | accented | ~code.isin("", "USA")))
     us_name = F.arrays_overlap(low, F.array(*[F.lit(c) for c in US_NAMES]))
     state = F.coalesce(state_of(second), F.when(F.size(parts) == 1, state_of(first)))
     only_region = (F.size(parts) == 1) & (last.isin(US_NAMES) | state_of(first).isNotNull())
     us = us_name | state.isNotNull()
     return F.struct(
         F.when(filled & ~only_region, F.element_at(parts, F.when(filled, 1).otherwise(1))).alias("city"),
-        F.when(filled & ~foreign, state).alias("state"),
+        F.when(filled & (~foreign | us_name), state).alias("state"),
         F.when(~filled, "unknown").when(foreign & ~us_name, "foreign").when(us, "US").otherwise("unknown").alias("country"),
         (F.lower(text).rlike(REMOTE) | (F.coalesce(workplace, F.lit("")) == "remote")).alias("is_remote"),
         F.when(~filled, "no_place").when(foreign & ~us_name, "foreign_name").when(us_name, "us_name").when(state.isNotNull(), "us_state").otherwise("unmatched").alias("rule"))

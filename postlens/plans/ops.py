@@ -78,26 +78,30 @@ def tenant_failures(runs: DataFrame) -> DataFrame:
     return latest.groupBy("source").agg(F.count_if(~F.col("status").isin(*CLEAN)).alias("failed_tenants"))
 
 
-def report_state(crawl: DataFrame, published_on: Column, as_of: str, max_age_days: int = 2) -> DataFrame:
-    """One row: Healthy / In progress / Needs attention."""
+def report_state(crawl: DataFrame, published_at: Column, now: str, max_age_hours: int = 36) -> DataFrame:
+    """One row: Healthy / In progress / Needs attention.  A publication over ``max_age_hours`` old needs attention."""
     bad = F.count_if(F.col("state").isin("source_failure", "partial_failure"))
     running = F.count_if(F.col("state") == "running")
-    stale = published_on.isNull() | (F.datediff(F.lit(as_of).cast("date"), published_on) >= max_age_days)
+    age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(published_at.cast("timestamp"))
+    stale = published_at.isNull() | (age > max_age_hours * 3600)
     return crawl.agg(bad.alias("bad_sources"), running.alias("running_sources")).withColumn(
         "state", F.when(stale | (F.col("bad_sources") > 0), "Needs attention").when(F.col("running_sources") > 0, "In progress").otherwise("Healthy"))
 
 
-def health_alerts(facts: DataFrame) -> DataFrame:
-    """Alert rows from one row of measurements."""
+def health_alerts(facts: DataFrame, queues: DataFrame, now: str, backlog_days: int = 7) -> DataFrame:
+    """Alert rows from one row of measurements, and one row for each queue that is behind.
+
+    ``queues`` has (queue, pending_since) of what was not delivered yet.
+    """
     f = F.col
     rules = F.array_compact(F.array(
         F.when(F.coalesce(f("publication_age_hours"), F.lit(9999)) > 36, F.lit("published inventory is over 36 hours old")),
-        F.when(f("oldest_pending_days") > 7, F.lit("notification backlog exceeds seven days")),
         F.when((f("host_attempts") > 0) & (f("host_failures") == f("host_attempts")), F.lit("all direct-host attempts failed")),
         F.when((f("recent_attempts") >= 5) & (f("recent_failures") >= f("recent_attempts") * 0.5), F.lit("direct-host failure rate is at least 50%")),
         F.when(f("expired_resumes") > 0, F.lit("resume retention overdue")),
     ))
-    return facts.select(F.explode(rules).alias("alert"))
+    late = queues.groupBy("queue").agg(F.min("pending_since").alias("oldest")).filter(F.datediff(F.lit(now).cast("date"), "oldest") > backlog_days)
+    return facts.select(F.explode(rules).alias("alert")).unionByName(late.select(F.concat("queue", F.lit(f" notification backlog exceeds {backlog_days} days")).alias("alert")))
 
 
 def discovery_funnel(candidates: DataFrame, statuses: list[str]) -> DataFrame:
@@ -184,7 +188,18 @@ def product_funnel(events: DataFrame, as_of: str, days: int = 30, retention: int
     return kept.filter(F.col("ts").cast("date") > F.date_sub(now, days)).groupBy("event_type").agg(F.countDistinct("user_id").alias("accounts"))
 
 
+def board_tenant(source: Column, token: Column) -> Column:
+    """The tenant part of a board's token: for one source the token goes on after a slash."""
+    return F.when(source == "workday", F.split_part(token, F.lit("/"), F.lit(1))).otherwise(token)
+
+
 def refresh_registry(registry: DataFrame, postings: DataFrame) -> DataFrame:
-    """Active role counts per registered tenant; tenants without postings drop to zero."""
-    counts = postings.filter((F.col("status") == "raw") & (F.col("data_tier") == 1)).groupBy(F.col("ingestion_source").alias("source"), "crawl_tenant").agg(F.count(F.lit(1)).alias("_n"))
-    return registry.join(counts, ["source", "crawl_tenant"], "left").withColumn("active_roles", F.coalesce("_n", F.lit(0))).drop("_n")
+    """Active role counts per registered board; boards without raw postings drop to zero."""
+    counts = postings.filter((F.col("status") == "raw") & F.col("crawl_tenant").isNotNull()).groupBy(F.col("ingestion_source").alias("source"), F.col("crawl_tenant").alias("_tenant")).agg(F.count(F.lit(1)).alias("_n"))
+    keyed = registry.withColumn("_tenant", board_tenant(F.col("source"), F.col("board_token")))
+    return keyed.join(counts, ["source", "_tenant"], "left").withColumn("active_roles", F.coalesce("_n", F.lit(0))).drop("_n", "_tenant")
+
+
+def registry_summary(refreshed: DataFrame) -> DataFrame:
+    """Boards, boards with roles and open roles per source."""
+    return refreshed.groupBy("source").agg(F.count(F.lit(1)).alias("boards"), F.count_if(F.col("active_roles") > 0).alias("with_roles"), F.sum("active_roles").alias("open_roles"))

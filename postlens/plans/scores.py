@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded, share
 from ..operators.relational import dedupe_best, latest_before, min_sample, with_group_facts
+from ..session import cut_lineage
 from .core import in_band, median
 
 # Fixed values of the stale-posting risk model.
@@ -281,6 +282,7 @@ def hiring_difficulty(jobs: DataFrame, companies: DataFrame, job_skills: DataFra
     raw = parts.withColumn("raw_score", rounded(
         F.col("rarity_score") * w["rarity"] + F.col("complexity_score") * w["complexity"]
         + F.col("salary_below_score") * w["salary_below"] + F.col("opacity_score") * w["opacity"], 2))
+    raw = cut_lineage(raw)  # one row a company, read for its range and again for the result
     span = raw.agg(F.min("raw_score").alias("lo"), F.max("raw_score").alias("hi"))
     lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
     return raw.withColumns({"_lo": lo, "_hi": hi}).select(
