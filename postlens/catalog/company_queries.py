@@ -64,7 +64,7 @@ radar AS (SELECT d AS snapshot_date, company_id, scope, coalesce(o, 0) AS active
 
 
 def radar(t, first=FIRST):
-    return K.radar_snapshot(S.jobs(t), t.companies, S.reposts(t), first, RADAR_DAY, RADAR_DAY)
+    return K.radar_snapshot(S.jobs(t), t.companies, S.reposts(t), first, RADAR_DAY, RADAR_DAY, S.EXCLUSIONS)
 
 
 def flat_mix(df):

@@ -219,7 +219,7 @@ CAND = f"""cand AS (SELECT canonical_opportunity_id, job_id FROM (SELECT p.canon
 
 
 def candidates(t):
-    return Q.publication_candidates(t.postings, t.companies, t.roles, "1999-01-01")
+    return Q.publication_candidates(t.postings, t.companies, t.roles, "1999-01-01", H.EXCLUSIONS)
 
 
 @query("qlt_1_publication_candidates", f"WITH {CAND} SELECT * FROM cand")
@@ -332,7 +332,7 @@ def _(t):
     path = scratch_path(t.spark, "index")
     sinks.swap_table(t.postings.groupBy("domain").agg(F.count(F.lit(1)).alias("n")), path)
     sinks.swap_table(t.postings.filter("is_public").groupBy("domain").agg(F.count(F.lit(1)).alias("n")), path)
-    return t.spark.read.parquet(path)
+    return sinks.read_current(t.spark, path)
 
 
 @query("snk_4_purge_expired", "SELECT 'parent' AS table_name, count(*) AS n FROM f_postings WHERE last_seen_at < DATE '2001-12-01' - 400 UNION ALL SELECT 'job_skills', count(*) FROM f_job_skills j WHERE EXISTS (SELECT 1 FROM f_postings p WHERE p.job_id = j.job_id AND last_seen_at < DATE '2001-12-01' - 400)")

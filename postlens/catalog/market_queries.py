@@ -54,7 +54,7 @@ def _(t):
  count(*) FILTER (WHERE status = 'raw' AND data_tier = 1 AND domain IS NOT NULL AND role_id IS NOT NULL AND {US_PLACE} AND lower(company_name) NOT LIKE '%firm 77%' AND lower(company_name) NOT LIKE '%firm 5 inc%' AND lower(company_name) NOT LIKE '%firm 41 %') AS publishable_rows,
  max(last_seen_at) AS latest_seen_at FROM f_postings LEFT JOIN f_companies USING (company_id) GROUP BY 1""")
 def _(t):
-    return O.publication_funnel(t.postings, t.companies)
+    return O.publication_funnel(t.postings, t.companies, S.EXCLUSIONS)
 
 
 @query("bi_22_domain_funnel", "SELECT ingestion_source, coalesce(domain, 'unresolved') AS domain, count(*) AS jobs FROM f_postings WHERE data_tier = 1 AND status = 'raw' GROUP BY 1, 2")
@@ -72,14 +72,16 @@ def _(t):
     return O.scope_report(t.postings, t.roles)
 
 
+METROS = {"seattle": ("WA", ["seattle", "bellevue"]), "chicago": ("IL", ["chicago"]), "austin": ("TX", ["austin"]), "new-york": ("NY", ["new york", "brooklyn"])}
+STATES = ("CA", "NY", "TX", "WA", "IL")
 LOCS = "[CASE WHEN workplace_type = 'remote' THEN 'remote' END, " + ", ".join(
-    f"CASE WHEN upper(loc_state) = '{st}' AND ({' OR '.join(f'''lower(loc_city) LIKE '%{c}%' ''' for c in cs)}) THEN '{m}' END" for m, (st, cs) in M.METROS.items()) + ", " + ", ".join(
-    f"CASE WHEN upper(loc_state) = '{s}' THEN '{s.lower()}' END" for s in M.STATE_PAGES) + "]"
+    f"CASE WHEN upper(loc_state) = '{st}' AND ({' OR '.join(f'''lower(loc_city) LIKE '%{c}%' ''' for c in cs)}) THEN '{m}' END" for m, (st, cs) in METROS.items()) + ", " + ", ".join(
+    f"CASE WHEN upper(loc_state) = '{s}' THEN '{s.lower()}' END" for s in STATES) + "]"
 
 
 @query("bi_23_role_location_index", f"SELECT role_category, location_slug, count(*) AS job_count FROM (SELECT lower(trim(role_category)) AS role_category, unnest({LOCS}) AS location_slug FROM f_postings WHERE is_public AND trim(role_category) <> '') q WHERE location_slug IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5")
 def _(t):
-    return M.role_location_index(t.postings)
+    return M.role_location_index(t.postings, METROS, STATES)
 
 
 MID = "coalesce((salary_min_annual + salary_max_annual) / 2, salary_min_annual, salary_max_annual)"
@@ -122,7 +124,7 @@ def _(t):
 
 @query("bi_26_market_roles", f"WITH {S.PAY} SELECT {FAMILY_SQL} AS role_family, experience_level, count(DISTINCT job_id) AS active_roles, {PAYCOLS}, {r('avg(salary_min_annual) FILTER (WHERE salary_min_annual BETWEEN 30000 AND 500000)', 0)} AS avg_min_salary, {TRANSP} AS transparency_pct, {r('''count(*) FILTER (WHERE workplace_type = 'remote') * 100.0 / count(*)''', 0)} AS remote_pct FROM jobs JOIN f_roles USING (role_id) WHERE {CUR} GROUP BY 1, 2")
 def _(t):
-    return M.market_roles(S.jobs(t), t.roles)
+    return M.market_roles(S.jobs(t), t.roles, S.FAMILIES)
 
 
 @query("bi_26_market_skills", f"WITH {S.PAY}, pb AS (SELECT * FROM jobs WHERE data_tier = 1 AND is_public), mk AS (SELECT avg(salary_max_annual) FILTER (WHERE {BAND}) AS m FROM pb) SELECT skill_name, count(DISTINCT job_id) AS jobs_requiring, {r(f'avg(salary_max_annual) FILTER (WHERE {BAND})', 0)} AS avg_max_salary, {r(f'(avg(salary_max_annual) FILTER (WHERE {BAND}) - (SELECT m FROM mk)) / (SELECT m FROM mk) * 100', 1)} AS salary_premium_pct, {r('''count(*) FILTER (WHERE lower(skill_priority) = 'required') * 100.0 / count(*)''', 0)} AS required_pct FROM f_job_skills JOIN f_skills USING (skill_id) JOIN pb USING (job_id) JOIN f_roles USING (role_id) WHERE difficulty_relevant GROUP BY 1 HAVING count(DISTINCT job_id) >= 20 ORDER BY jobs_requiring DESC, skill_name LIMIT 50")
@@ -142,7 +144,7 @@ def _(t):
 
 @query("bi_27_company_roles", f"WITH {S.PAY}, {S.HONESTY}, {S.RISK} SELECT j.company_id, job_id, r.role_name, {FAMILY_SQL.replace('role_name', 'r.role_name')} AS role_family, g.ghost_probability, ghost_tier, honesty_score FROM jobs j JOIN f_roles r USING (role_id) LEFT JOIN risk g USING (job_id) LEFT JOIN honesty USING (job_id) WHERE data_tier = 1 AND is_public")
 def _(t):
-    return M.company_roles(S.jobs(t), t.roles, S.staged(S.risk(t)), S.staged(S.honesty(t))).select("company_id", "job_id", "role_name", "role_family", "ghost_probability", "ghost_tier", "honesty_score")
+    return M.company_roles(S.jobs(t), t.roles, S.staged(S.risk(t)), S.staged(S.honesty(t)), S.FAMILIES).select("company_id", "job_id", "role_name", "role_family", "ghost_probability", "ghost_tier", "honesty_score")
 
 
 @query("bi_27_company_skills", f"WITH pb AS (SELECT job_id, company_id FROM f_postings WHERE data_tier = 1 AND is_public), tt AS (SELECT company_id, count(*) AS total FROM pb GROUP BY 1) SELECT company_id, skill_name, lower(skill_priority) AS skill_priority, count(DISTINCT job_id) AS job_count, {r('count(DISTINCT job_id) * 100.0 / max(total)', 1)} AS pct_of_roles FROM pb JOIN f_job_skills USING (job_id) JOIN f_skills USING (skill_id) JOIN tt USING (company_id) GROUP BY 1, 2, 3")
@@ -247,7 +249,7 @@ ct AS (SELECT company_id, string_agg(full_name, ',' ORDER BY fetched_on DESC, fu
 SELECT job_id, company_name, title, posted_date AS posted_on, location_rank, role_rank, known_recruiters FROM z LEFT JOIN ct USING (company_id)""")
 def _(t):
     contacts = t.sql("SELECT concat('C', o_custkey % 1500) AS company_id, concat('Person ', o_orderkey) AS full_name, CASE WHEN o_orderpriority = '1-URGENT' THEN 'Recruiter' ELSE 'Engineer' END AS contact_title, CAST(o_orderdate AS DATE) AS fetched_on FROM orders")
-    out = M.fresh_matches(S.jobs(t), t.companies, t.roles, contacts, RADAR_DAY, 60, 30)
+    out = M.fresh_matches(S.jobs(t), t.companies, t.roles, contacts, RADAR_DAY, 60, 30, "python|sql|skill1")
     return out.withColumn("known_recruiters", F.array_join(F.transform("known_recruiters", lambda c: c["name"]), ",")).drop("company_id")
 
 

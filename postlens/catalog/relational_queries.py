@@ -12,7 +12,7 @@ from ..plans import core
 from . import shared as S
 from .registry import query, r
 
-MAJOR = "'AL','AK','AZ','AR','CA','CO','CT','DE','FL','GA','HI','ID','IL','IN','IA','KS','KY','LA','ME','MD','MA','MI','MN','MS','MO','MT','NE','NV','NH','NJ','NM','NY','NC','ND','OH','OK','OR','PA','RI','SC','SD','TN','TX','UT','VT','VA','WA','WV','WI','WY','DC','PR','VI','GU','AS','MP'"
+MAJOR = ", ".join(f"'{code}'" for code in C.US_STATES)
 US_PLACE = f"""((loc_country IN ('US','United States','USA') AND (loc_state IS NULL OR upper(loc_state) IN ({MAJOR})))
  OR (loc_country IS NULL AND upper(coalesce(loc_state,'')) IN ({MAJOR}))
  OR (loc_country = 'unknown' AND ingestion_source IN ('greenhouse','lever','ashby'))
@@ -23,7 +23,7 @@ FEED = f"""feed AS (SELECT j.*, c.company_name, c.company_slug, c.sector FROM jo
 
 
 def feed(t):
-    return P.public_feed(S.jobs(t), t.companies)
+    return P.public_feed(S.jobs(t), t.companies, S.EXCLUSIONS)
 
 
 # ---- projections -------------------------------------------------------------------------
@@ -75,12 +75,12 @@ def _(t):
     return S.dims(t)
 
 
-FAMILY_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(role_name), '{p}') THEN '{n}'" for n, p in C.ROLE_FAMILIES) + " ELSE 'Other' END"
+FAMILY_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(role_name), '{p}') THEN '{n}'" for n, p in S.FAMILIES) + " ELSE 'Other' END"
 
 
 @query("prj_8_role_family", f"SELECT {FAMILY_SQL} AS role_family, count(*) AS n FROM f_roles GROUP BY 1")
 def _(t):
-    return t.roles.groupBy(C.role_family(F.col("role_name")).alias("role_family")).agg(F.count(F.lit(1)).alias("n"))
+    return t.roles.groupBy(C.role_family(F.col("role_name"), S.FAMILIES).alias("role_family")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("prj_9_md5_id", "SELECT role_id, concat('R', substring(md5(concat_ws('|', role_id, role_name)), 1, 10)) AS sid FROM f_roles")
@@ -118,7 +118,7 @@ def _(t):
 
 @query("flt_2_exclusions", "SELECT company_id, company_name FROM f_companies WHERE NOT (lower(trim(company_name)) = 'firm 5 inc' OR lower(company_name) LIKE '%firm 77%' OR lower(company_name) LIKE '%firm 41 %')")
 def _(t):
-    return P.apply_exclusions(t.companies, "company_name").select("company_id", "company_name")
+    return P.apply_exclusions(t.companies, "company_name", S.EXCLUSIONS).select("company_id", "company_name")
 
 
 @query("flt_3_placeholders", "SELECT job_id, role_name FROM f_postings p LEFT JOIN f_roles USING (role_id) LEFT JOIN f_companies USING (company_id) WHERE NOT coalesce(regexp_matches(role_name, '(?i)talent (pool|community|network)'), false) AND NOT regexp_matches(description_text, '(?i)not currently hiring')")
@@ -147,7 +147,7 @@ def _search_base(t):
     return (
         S.jobs(t).filter((F.col("data_tier") == 1) & F.col("is_public") & F.coalesce("loc_country", F.lit("unknown")).isin("US", "unknown"))
         .join(t.roles, "role_id").join(t.companies.select("company_id", "company_name", "sector"), "company_id", "left")
-        .withColumn("role_family", C.role_family(F.col("role_name")))
+        .withColumn("role_family", C.role_family(F.col("role_name"), S.FAMILIES))
     )
 
 

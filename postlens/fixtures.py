@@ -12,7 +12,15 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .session import spread
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a test table out over the cores.
+
+    The test tables are single files of one row group, which no reader setting can split;
+    this is the fixture's business only, and no operator does it.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
 
 AS_OF = "2001-12-01"       # stands in for "today" in every posting query
 RADAR_DAY = "2001-08-01"   # a day inside the event timeline

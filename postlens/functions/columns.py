@@ -112,16 +112,8 @@ def days_open(df: DataFrame, as_of: str) -> DataFrame:
     })
 
 
-# Default role families: (label, phrases); the first family with a hit wins.
-ROLE_FAMILIES = [
-    ("Leadership", "director|head of|vice president|vp |chief"),
-    ("Data Engineer", "data engineer|analytics engineer|data architect|mlops"),
-    ("ML Engineer", "machine learning|ml engineer|applied scientist"),
-    ("AI Engineer", "ai engineer|applied ai"),
-    ("Data Scientist", "data scientist|research scientist|data science"),
-    ("Data Analyst", "data analyst|business analyst|product analyst|financial analyst|business intelligence"),
-    ("Revenue/Ops", "sales op|revenue op|marketing op|operations analyst|revops"),
-]
+# Neutral default role families: (label, phrases); the first family with a hit wins.
+ROLE_FAMILIES = [("Engineering", r"\bengineer"), ("Science", r"\bscientist\b"), ("Analysis", r"\banalyst\b"), ("Management", r"\bmanager\b")]
 
 
 def first_match(value: Column, rules: list[tuple[str, str]], otherwise: str | None = None) -> Column:

@@ -60,7 +60,7 @@ def company_daily_snapshot(history: DataFrame, day: str) -> DataFrame:
         "observed_opportunities", "salary_transparency_pct", "individual_repost_signals", "bulk_ats_refresh_events")
 
 
-def radar_snapshot(postings: DataFrame, companies: DataFrame, reposts: DataFrame, first_day: str, last_day: str, as_of: str) -> DataFrame:
+def radar_snapshot(postings: DataFrame, companies: DataFrame, reposts: DataFrame, first_day: str, last_day: str, as_of: str, exclusions: list[tuple[str, str]] = EXCLUSIONS) -> DataFrame:
     """Company radar for a whole range of days in one job.
 
     Days before ``as_of`` are rebuilt from first/last observed dates; ``as_of``
@@ -73,7 +73,7 @@ def radar_snapshot(postings: DataFrame, companies: DataFrame, reposts: DataFrame
         lo, hi = F.greatest(start, d0), F.least(end, d1)
         return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<date>"))
 
-    allowed = apply_exclusions(companies, "company_name", [(text, "substring") for text, _ in EXCLUSIONS]).select("company_id")
+    allowed = apply_exclusions(companies, "company_name", [(text, "substring") for text, _ in exclusions]).select("company_id")
     start = F.coalesce("posted_date", "date_found")
     rows = postings.filter(
         (F.col("data_tier") == 1) & F.col("domain").isNotNull() & (F.coalesce("status", F.lit("")) != "ignored")

@@ -13,7 +13,7 @@ CLEAN = ("complete_nonzero", "complete_zero")  # fixed values: clean crawl outco
 INVENTORY_TARGET = 100_000
 
 
-def publication_funnel(postings: DataFrame, companies: DataFrame) -> DataFrame:
+def publication_funnel(postings: DataFrame, companies: DataFrame, exclusions: list[tuple[str, str]] = EXCLUSIONS) -> DataFrame:
     """Rows surviving each step from ingestion to publication, per source."""
     wide = postings.join(companies.select("company_id", "company_name"), "company_id", "left")
     active, tier1 = F.col("status") == "raw", (F.col("status") == "raw") & (F.col("data_tier") == 1)
@@ -22,7 +22,7 @@ def publication_funnel(postings: DataFrame, companies: DataFrame) -> DataFrame:
     candidate = (
         F.col("loc_country").isin("US", "United States", "USA") | (F.col("loc_country").isNull() & F.col("loc_state").isNotNull())
         | trusted_us_location(F.col("loc_country"), F.lit("WA"), source, place) & (F.col("loc_country") == "unknown"))
-    allowed = ~F.coalesce(name_excluded(F.col("company_name"), [(t, "substring") for t, _ in EXCLUSIONS]), F.lit(False))
+    allowed = ~F.coalesce(name_excluded(F.col("company_name"), [(t, "substring") for t, _ in exclusions]), F.lit(False))
     visible = tier1 & F.col("domain").isNotNull() & F.col("role_id").isNotNull() & F.col("company_name").isNotNull() & allowed & in_us
     return wide.groupBy("ingestion_source").agg(
         F.count_if(active).alias("active_rows"), F.count_if(tier1).alias("tier1_rows"), F.count_if(tier1 & candidate).alias("us_candidate_rows"),

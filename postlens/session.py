@@ -67,16 +67,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out when the input has fewer splits than the session has cores.
-
-    For work that is heavy per row (texts): a small file is one split and would be
-    one task.  A large table has more splits than cores and is left alone.
-    """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
-
-
 def rules_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """Rules written in code: their size is the length of the list."""
     return F.broadcast(spark.createDataFrame(rows, schema))

@@ -48,23 +48,70 @@ def write_snapshot(df: DataFrame, path: str, day_col: str = "snapshot_date") ->
     df.hint("rebalance", day_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day_col).parquet(path)
 
 
+POINTER = "CURRENT"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return jvm, folder, folder.getFileSystem(conf), conf
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Folder of the version that the pointer of a swapped table names."""
+    jvm, folder, fs, _ = _hadoop(spark, path)
+    pointer = jvm.org.apache.hadoop.fs.Path(folder, POINTER)
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return f"{path}/{jvm.org.apache.commons.io.IOUtils.toString(stream, 'UTF-8').strip()}"
+    finally:
+        stream.close()
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a swapped table."""
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"{path} has no version yet")
+    return spark.read.parquet(version)
+
+
 def swap_table(df: DataFrame, path: str, min_rows: int = 1) -> int:
-    """Write next to the target, check, then swap by renaming; returns the row count."""
+    """Write a new version of a table, check it, then point to it; returns the row count.
+
+    The pointer is one small file that is replaced in one step, so a reader finds the old
+    version or the new one, never none, and nothing is renamed or copied.  A refused or
+    failed version leaves the pointer as it was.  The version before stays for readers that
+    have opened it; older ones go.
+    """
     spark: SparkSession = df.sparkSession
-    tag = uuid.uuid4().hex[:8]
-    staged, retired = f"{path}.next-{tag}", f"{path}.old-{tag}"
-    df.write.parquet(staged)
-    n = spark.read.parquet(staged).count()
-    if n < min_rows:
-        raise RuntimeError(f"refusing to swap in {n} rows, {min_rows} required")
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.rename(target, jvm.org.apache.hadoop.fs.Path(retired))
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(staged), target):
-        raise RuntimeError(f"could not move {staged} to {path}")
-    fs.delete(jvm.org.apache.hadoop.fs.Path(retired), True)
+    name = f"v-{uuid.uuid4().hex}"
+    jvm, folder, fs, conf = _hadoop(spark, path)
+    version = jvm.org.apache.hadoop.fs.Path(folder, name)
+    before = current_version(spark, path)
+    try:
+        df.write.parquet(f"{path}/{name}")
+        n = spark.read.parquet(f"{path}/{name}").count()
+        if n < min_rows:
+            raise RuntimeError(f"refusing to swap in {n} rows, {min_rows} required")
+        fresh = jvm.org.apache.hadoop.fs.Path(folder, f".{POINTER}-{name}")
+        stream = fs.create(fresh, True)
+        stream.write(bytearray(name.encode()))
+        stream.close()
+        kinds = jvm.org.apache.hadoop.fs.Options.Rename
+        how = spark.sparkContext._gateway.new_array(kinds, 1)
+        how[0] = kinds.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fresh, jvm.org.apache.hadoop.fs.Path(folder, POINTER), how)
+    except Exception:
+        fs.delete(version, True)
+        raise
+    for status in fs.listStatus(folder):
+        old = status.getPath().getName()
+        if old.startswith("v-") and old not in (name, (before or "").rsplit("/", 1)[-1]):
+            fs.delete(status.getPath(), True)
     return n
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.relational import dedupe_best
 from ..session import scratch_path
 
 
@@ -30,8 +31,11 @@ def event_counts(stream: DataFrame, window: str = "1 day", delay: str = "1 hour"
 
 
 def batch_event_counts(events: DataFrame, window: str = "1 day", delay: str = "1 hour", ts: str = "ts") -> DataFrame:
-    """What :func:`event_counts` emits once everything has arrived, from a table."""
-    timed = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    """What :func:`event_counts` emits for a table whose rows come in time: an event id counts once, at its earliest.
+
+    Which rows are late depends on when they arrive, and that a table does not say.
+    """
+    timed = dedupe_best(events.withColumn(ts, F.col(ts).cast("timestamp")), ["event_id"], [F.col(ts)])
     mark = timed.agg((F.max(ts) - F.expr(f"INTERVAL {delay}")).alias("m"))
     counts = timed.groupBy(F.window(ts, window), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "event_type", "n", "total")
@@ -45,7 +49,7 @@ STATE_SCHEMA = "last_seen timestamp, open boolean"
 MISSED_DAYS = 2  # fixed value: two dates apart means a whole day without a sighting
 
 
-def _follow(key, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+def _follow(key, rows: Iterator[pd.DataFrame], state, retention_days: int) -> Iterator[pd.DataFrame]:
     """Turn sightings of one posting into appeared / disappeared / reappeared.
 
     Sightings are folded to first and last time per day as batches arrive, so a
@@ -56,7 +60,12 @@ def _follow(key, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     last = None if last is None else pd.Timestamp(last)
     out: list[tuple] = []
     if state.hasTimedOut:
+        if not is_open:  # gone for the whole retention: forgotten, and new if it comes again
+            state.remove()
+            return
         state.update((last, False))
+        forget = int((last.normalize() + pd.Timedelta(days=MISSED_DAYS + retention_days)).timestamp() * 1000)
+        state.setTimeoutTimestamp(max(forget, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"job_id": [key[0]], "event_type": ["disappeared"], "observed_at": [last], "gap_days": [None]}).astype({"gap_days": "Int32"})
         return
     days: dict = {}
@@ -84,10 +93,17 @@ def _follow(key, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["job_id", "event_type", "observed_at", "gap_days"]).astype({"gap_days": "Int32"})
 
 
-def lifecycle_stream(sightings: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Lifecycle events from a stream of (job_id, observed_at); one small state per posting."""
+def lifecycle_stream(sightings: DataFrame, delay: str = "1 hour", retention_days: int = 365) -> DataFrame:
+    """Lifecycle events from a stream of (job_id, observed_at).
+
+    One small state per posting, kept for ``retention_days`` after it vanished.
+    """
+
+    def follow(key, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        return _follow(key, rows, state, retention_days)
+
     timed = sightings.select("job_id", F.col("observed_at").cast("timestamp").alias("observed_at")).withWatermark("observed_at", delay)
-    return timed.groupBy("job_id").applyInPandasWithState(_follow, SIGHTING_SCHEMA, STATE_SCHEMA, "append", "EventTimeTimeout")
+    return timed.groupBy("job_id").applyInPandasWithState(follow, SIGHTING_SCHEMA, STATE_SCHEMA, "append", "EventTimeTimeout")
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:

@@ -207,7 +207,10 @@ def test_snapshot_and_swap(spark, tmp_path):
     assert sinks.swap_table(spark.range(3), table) == 3 and sinks.swap_table(spark.range(5), table) == 5
     with pytest.raises(RuntimeError):
         sinks.swap_table(spark.range(0), table)
-    assert spark.read.parquet(table).count() == 5
+    assert sinks.read_current(spark, table).count() == 5
+    held = sinks.read_current(spark, table)
+    sinks.swap_table(spark.range(7), table)
+    assert held.count() == 5 and sinks.read_current(spark, table).count() == 7
 
 
 def test_feed_conserves_rows(spark, tmp_path):
