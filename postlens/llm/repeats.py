@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
-_B1, _B2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
+BASE = 0x9E3779B97F4A7C15
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
 
@@ -17,7 +17,7 @@ class Rolling:
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, data: np.ndarray, base: int):
+    def __init__(self, data: np.ndarray, base: int = BASE):
         up, down = self._table(base, len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
@@ -54,15 +54,15 @@ def anchored_ranges(data: np.ndarray, offsets: np.ndarray, width: int, gram: int
 
     The anchor of a window is its gram with the smallest hash, the first of several; equal
     windows have it at the same place.  For each range: row (document), a (first window, from
-    the document's start), n (windows), key (hash of the anchor) and c1, c2 (hashes of all
-    bytes of the range's windows and of where the anchor lies in them).
+    the document's start), n (windows), key (hash of the anchor) and c (hash of all bytes of
+    the range's windows and of where the anchor lies in them).
     """
     lengths = np.diff(offsets)
     empty = np.zeros(0, np.int64)
     if len(data) < width or (lengths < width).all():
-        return {"row": empty, "a": empty, "n": empty, "key": empty, "c1": empty, "c2": empty}
-    one, two = Rolling(data, _B1), Rolling(data, _B2)
-    grams = _mix(one.all(gram))
+        return {"row": empty, "a": empty, "n": empty, "key": empty, "c": empty}
+    rolling = Rolling(data)
+    grams = mix(rolling.all(gram))
     place = np.arange(len(grams), dtype=np.uint64)
     bits = max(1, int(len(grams)).bit_length())
     low = np.uint64((1 << bits) - 1)
@@ -84,8 +84,8 @@ def anchored_ranges(data: np.ndarray, offsets: np.ndarray, width: int, gram: int
     p = anchor[start]
     shift = (p - start).astype(np.uint64)
     size = (end - start + 1).astype(np.uint64)
-    salt = _mix(shift * np.uint64(0xD6E8FEB86659FD93) + size)
+    salt = mix(shift * np.uint64(0xD6E8FEB86659FD93) + size)
     return {
-        "row": row, "a": start - offsets[row], "n": end - start + 1, "key": _mix(one.of(p, p + gram) + np.uint64(1)).view(np.int64),
-        "c1": _mix(one.of(start, end + width) ^ salt).view(np.int64), "c2": _mix(two.of(start, end + width) + salt).view(np.int64),
+        "row": row, "a": start - offsets[row], "n": end - start + 1, "key": mix(rolling.of(p, p + gram) + np.uint64(1)).view(np.int64),
+        "c": mix(rolling.of(start, end + width) ^ salt).view(np.int64),
     }

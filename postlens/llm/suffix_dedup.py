@@ -7,21 +7,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import pieces_of, string_bytes
-from .repeats import Rolling, _B1, _B2, _mix, anchored_ranges
+from .repeats import Rolling, anchored_ranges, mix
 from .suffix_sort import suffix_array
 
 SPANS = "array<struct<f:int,t:int>>"
-CONTEXT = ["key", "c1", "c2"]
+CONTEXT = ["key", "c"]  # two hashes of 64 bits: a stretch is known by its anchor and by all its bytes
 
 
 def _ranges(rows: DataFrame, width: int, gram: int, whole: bool, step: int = 1 << 22) -> DataFrame:
     """Anchored ranges of all texts: only their keys, or everything about them."""
-    fields = "key long" + ", c1 long, c2 long, r1 long, r2 int, a long, n int" * whole
+    fields = "key long" + ", c long, r1 long, r2 int, a int, n int" * whole
 
     def cut(part: pa.RecordBatch) -> Iterator[dict]:
         data, offsets = string_bytes(part.column(2))
@@ -40,7 +41,7 @@ def _ranges(rows: DataFrame, width: int, gram: int, whole: bool, step: int = 1 <
                 columns = {"key": found["key"]}
                 if whole:
                     r1, r2 = (np.asarray(part.column(c))[found["row"]] for c in (0, 1))
-                    columns |= {"c1": found["c1"], "c2": found["c2"], "r1": r1, "r2": r2, "a": found["a"], "n": found["n"].astype(np.int32)}
+                    columns |= {"c": found["c"], "r1": r1, "r2": r2, "a": found["a"].astype(np.int32), "n": found["n"].astype(np.int32)}
                 yield pa.RecordBatch.from_pydict(columns)
 
     return rows.select("r1", "r2", "body").mapInArrow(run, fields)
@@ -80,56 +81,74 @@ def repeated_in_block(contexts: list[bytes], windows: np.ndarray, copies: np.nda
     return [twice[s : s + w] for s, w in zip(starts, windows)]
 
 
-def _fetch(wanted: DataFrame, rows: DataFrame, width: int, windows: bool) -> DataFrame:
-    """The bytes of the wanted contexts, or of each of their windows as hashes, from their texts."""
-    lists = wanted.groupBy("r1", "r2").agg(F.collect_list(F.struct(*CONTEXT, "m", "a", "n")).alias("wants"))
+def _fetch(wanted: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """What is to be compared, dealt out by anchor: the bytes of each wanted context (i is -1),
+    or, where it is ``wide``, the hash w of each of its windows i."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = wanted.groupBy("r1", "r2").agg(F.collect_list(F.struct(*CONTEXT, "m", "a", "n", "wide")).alias("wants"))
     joined = rows.join(lists, ["r1", "r2"]).select("r1", "r2", "ident", "body", "wants")
-    fields = "key long, c1 long, c2 long, m long, " + ("i int, w1 long, w2 long" if windows else "n int, context binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces_of(batches, 3, 1 << 22):
             for body, wants in zip(part.column(3).cast(pa.binary()), part.column(4)):
-                data = body.as_py()
-                wants = wants.values
-                get = lambda c: np.asarray(wants.field(c))  # noqa: B023, E731
-                out = {c: get(c) for c in (*CONTEXT, "m")}
-                a, n = get("a"), get("n")
-                if windows:
-                    flat = np.frombuffer(data, np.uint8)
-                    at = np.repeat(a, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                    out = {c: np.repeat(v, n) for c, v in out.items()} | {"i": (at - np.repeat(a, n)).astype(np.int32)}
-                    out |= {w: _mix(Rolling(flat, base).of(at, at + width)).view(np.int64) for w, base in (("w1", _B1), ("w2", _B2))}
-                else:
-                    out |= {"n": n, "context": pa.array([data[s : s + w + width - 1] for s, w in zip(a.tolist(), n.tolist())], pa.binary())}
-                yield pa.RecordBatch.from_pydict(out)
-
-    return joined.mapInArrow(run, fields)
+                data, wants = body.as_py(), wants.values
+                every = {c: np.asarray(wants.field(c)) for c in (*CONTEXT, "m", "a", "n")}
+                wide = np.asarray(wants.field("wide"))
+                own = {c: v[~wide] for c, v in every.items()}
+                k = len(own["n"])
+                if k:
+                    texts = [data[s : s + w + width - 1] for s, w in zip(own["a"].tolist(), own["n"].tolist())]
+                    yield pa.RecordBatch.from_pydict({c: own[c] for c in (*CONTEXT, "m")} | {"n": own["n"], "context": pa.array(texts, pa.binary()), "i": np.full(k, -1, np.int32), "w": np.zeros(k, np.int64)})
+                own = {c: np.repeat(v[wide], every["n"][wide]) for c, v in every.items()}
+                if len(own["n"]):
+                    n, rolling = every["n"][wide], Rolling(np.frombuffer(data, np.uint8))
+                    i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    at = own["a"] + i
+                    yield pa.RecordBatch.from_pydict({c: own[c] for c in (*CONTEXT, "m")} | {"n": own["n"], "context": pa.nulls(len(i), pa.binary()), "i": i.astype(np.int32), "w": mix(rolling.of(at, at + width)).view(np.int64)})
+
+    return joined.mapInArrow(run, "key long, c long, m long, n int, context binary, i int, w long").repartition(parts, "key", "w")
+
+
+def _single_windows(fetched: DataFrame) -> DataFrame:
+    """(context, spans) of the wide contexts: windows equal to another, by hash, occur twice.
+
+    The rows are picked in a task and not by a filter, which Spark would move below the
+    exchange, and then fetch everything a second time.
+    """
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pc.greater_equal(batch.column("i"), 0)).select([*CONTEXT, "m", "i", "w"])
+
+    each = fetched.mapInArrow(pick, "key long, c long, m long, i int, w long").dropDuplicates([*CONTEXT, "i"])
+    twice = each.groupBy("key", "w").agg(F.sum("m").alias("n")).filter("n > 1").select("key", "w")
+    return each.join(twice, ["key", "w"], "left_semi").groupBy(*CONTEXT).agg(F.collect_list(F.struct(F.col("i").alias("f"), F.col("i").alias("t"))).alias("spans"))
 
 
 def _sorted_blocks(fetched: DataFrame, width: int, block_bytes: int) -> DataFrame:
     """(context, spans): suffix arrays over blocks of whole anchor groups."""
-    parts = int(fetched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def solve(block: list[tuple]) -> pa.RecordBatch:
-        block = list({x[:3]: x for x in block}.values())  # rows equal in id and text fetch a context twice
-        masks = repeated_in_block([x[5] for x in block], np.array([x[4] for x in block]), np.array([x[3] for x in block]), width)
-        found = [(*x[:3], _spans(m)) for x, m in zip(block, masks) if m.any()]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)] + [pa.array([x[3] for x in found], pa.list_(pa.struct([("f", pa.int32()), ("t", pa.int32())])))], names=[*CONTEXT, "spans"])
+        block = list({x[:2]: x for x in block}.values())  # rows equal in id and text fetch a context twice
+        masks = repeated_in_block([x[4] for x in block], np.array([x[3] for x in block]), np.array([x[2] for x in block]), width)
+        found = [(*x[:2], _spans(m)) for x, m in zip(block, masks) if m.any()]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)] + [pa.array([x[2] for x in found], pa.list_(pa.struct([("f", pa.int32()), ("t", pa.int32())])))], names=[*CONTEXT, "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[tuple] = []
         held = 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            own = batch.filter(pc.less(batch.column("i"), 0)).select([*CONTEXT, "m", "n", "context"])
+            for row in zip(*(c.to_pylist() for c in own.columns)):
                 if held >= block_bytes and row[0] != block[-1][0]:
                     yield solve(block)
                     block, held = [], 0
                 block.append(row)
-                held += len(row[5])
+                held += len(row[4])
         if block:
             yield solve(block)
 
-    return fetched.repartition(parts, "key").sortWithinPartitions(*CONTEXT).mapInArrow(run, f"key long, c1 long, c2 long, spans {SPANS}")
+    return fetched.sortWithinPartitions(*CONTEXT, "i").mapInArrow(run, f"key long, c long, spans {SPANS}")
 
 
 def repeated_spans(rows: DataFrame, width: int = 200, gram: int = 96, most: int = 2048, block_bytes: int = 48 << 10) -> DataFrame:
@@ -152,13 +171,9 @@ def repeated_spans(rows: DataFrame, width: int = 200, gram: int = 96, most: int
     contexts = cut_lineage(folded.join(groups, "key").select(*CONTEXT, "m", "rep.*", "d"))
 
     alone = contexts.filter("d = 1").select(*CONTEXT, F.array(F.struct(F.lit(0).alias("f"), (F.col("n") - 1).alias("t"))).cast(SPANS).alias("spans"))
-    sorted_ = _sorted_blocks(_fetch(contexts.filter(f"d > 1 and d <= {most}"), rows, width, windows=False), width, block_bytes)
-    results = alone.unionByName(sorted_)
-    wide = contexts.filter(f"d > {most}")
-    if not wide.isEmpty():
-        each = cut_lineage(_fetch(wide, rows, width, windows=True).dropDuplicates([*CONTEXT, "i"]))
-        twice = each.groupBy("w1", "w2").agg(F.sum("m").alias("n")).filter("n > 1").select("w1", "w2")
-        results = results.unionByName(each.join(twice, ["w1", "w2"], "left_semi").groupBy(*CONTEXT).agg(F.collect_list(F.struct(F.col("i").alias("f"), F.col("i").alias("t"))).alias("spans")))
+    # From here on one plan: its parts share the exchange of the texts and that of the contexts.
+    fetched = _fetch(contexts.filter("d > 1").withColumn("wide", F.col("d") > most), rows, width)
+    results = alone.unionByName(_sorted_blocks(fetched, width, block_bytes)).unionByName(_single_windows(fetched))
     placed = shared.join(results, CONTEXT).select("r1", "r2", "a", F.explode("spans").alias("s"))
     return placed.groupBy("r1", "r2").agg(F.collect_list(F.struct((F.col("a") + F.col("s.f")).alias("f"), (F.col("a") + F.col("s.t")).alias("t"))).alias("spans"))
 
