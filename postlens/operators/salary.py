@@ -11,18 +11,26 @@ BANDS = {"year": (15_000, 1_000_000), "month": (1_000, 50_000), "hour": (7, 500)
 PAY_WORDS = r"(?i)salary|compensation|pay\s+(?:range|rate|band)|base\s+pay|hourly\s+rate|wage|hiring\s+range"
 
 _NUM = r"(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d{1,3}(?:\.\d{3})+,\d{2}|\d+(?:\.\d+)?)"
-_DASH = r"\s*(?:-|–|—|to|and|/)\s*"
+_DASH = r"\s*(?:-|–|—|~|to|and|/)\s*"
+_MONEY = rf"(?:(?:usd|cad|us)\s*)?\$\s*{_NUM}\s*(k|m)?"
+_AFTER = r"(?:\s*(?:usd|cad|ote|per (?:hour|year)|/\s?(?:hr|yr|hour|year)))?"
 # Ordered by how much the text commits to; groups are (low, K, high, K).
 RANGE_PATTERNS = [
-    rf"(?i)min(?:imum)?[^$\d]{{0,25}}\$\s*{_NUM}\s*(k|m)?\b.{{0,40}}max(?:imum)?[^$\d]{{0,25}}\$\s*{_NUM}\s*(k|m)?\b",
-    rf"(?i)\$\s*{_NUM}\s*(k|m)?(?:\s*(?:usd|per hour|per year|/hr|/yr))?{_DASH}(?:usd\s*)?\$?\s*{_NUM}\s*(k|m)?\b",
+    rf"(?i){_MONEY}\s*\(min\w*\).{{0,60}}{_MONEY}\s*\(max\w*\)",
+    rf"(?i)min(?:imum)?[^$\d]{{0,25}}{_MONEY}\b.{{0,40}}max(?:imum)?[^$\d]{{0,25}}{_MONEY}\b",
+    rf"(?i)(?:begin|start)\w*\s+at\s+{_MONEY}\b.{{0,20}}\bup to\s+{_MONEY}\b",
+    rf"(?i){_MONEY}{_AFTER}{_DASH}(?:(?:usd|cad)\s*)?\$?\s*{_NUM}\s*(k|m)?\b",
     rf"(?i)\b{_NUM}\s*(k)?{_DASH}{_NUM}\s*(k)?\s*(?:usd|dollars)\b",
+    rf"(?i)\b(?:ote|on-target earnings)\b[^$]{{0,30}}{_MONEY}\b[^$]{{0,80}}\bbase\b[^$]{{0,30}}{_MONEY}\b",
 ]
 SINGLE_PATTERNS = [
-    rf"(?i)(?:salary|pay|rate|compensation|wage)[^$]{{0,40}}\$\s*{_NUM}\s*(k|m)?\b",
-    rf"(?i)\$\s*{_NUM}\s*(k|m)?\s*(?:per|an?|/)\s*(?:hour|hr|month|mo|year|yr|annum)",
+    rf"(?i)(?:salar\w*|pay|rate|compensation|wage)[^$]{{0,40}}{_MONEY}(?:\b|\+)",
+    rf"(?i){_MONEY}\s*(?:per|an?|/)\s*(?:hour|hr|month|mo|year|yr|annum)",
+    rf"(?i){_MONEY}\s*\+?\s*(?:annual|yearly|base)\b",
 ]
-NOT_PAY = r"(?i)401\(?k|funding|raised|revenue|valuation|stipend|reimburse|budget|assets|referral"
+NOT_PAY = r"(?i)401\(?k|funding|raised|revenue|valuation|stipend|reimburse|budget|assets|referral|\barr\b|bonus(?:es)?\s+(?:range|of|up)|equity\s+(?:grant|value|award)"
+# Amounts like "$140 - $150 USD a year" leave out the thousands: whole numbers in this band, with these words near.
+SHORT_BAND, SHORT_WORDS = (60, 999), r"(?i)annual|per year|/\s?y(?:ea)?r|\busd\b"
 PERIOD_WORDS = [("hour", r"(?i)per hour|hourly|/\s?h(?:ou)?r|an hour"), ("month", r"(?i)per month|monthly|/\s?mo\b|a month"),
                 ("year", r"(?i)per year|per annum|annual|yearly|/\s?y(?:ea)?r|a year")]
 
@@ -41,8 +49,9 @@ def salary_windows(text: Column) -> Column:
 def _number(raw: Column, unit: Column) -> Column:
     european = raw.rlike(r"^\d{1,3}(\.\d{3})+,\d{2}$")
     plain = F.when(european, F.replace(F.replace(raw, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(raw, F.lit(","), F.lit("")))
-    scale = F.when(F.lower(unit) == "k", 1_000).when(F.lower(unit) == "m", 1_000_000).otherwise(1)
-    return plain.try_cast("double") * scale
+    value = plain.try_cast("double")
+    # "161,000K" says the thousands twice.
+    return value * F.when(value >= 1_000, 1).when(F.lower(unit) == "k", 1_000).when(F.lower(unit) == "m", 1_000_000).otherwise(1)
 
 
 def _period(line: Column, high: Column) -> Column:
@@ -61,19 +70,23 @@ def _captures(line: Column, pattern: str, single: bool) -> Column:
 
 
 def extract_salary(text: Column) -> Column:
-    """First sane pay statement, by line and then by pattern priority.
+    """First sane pay statement, by line or sentence and then by pattern priority.
 
     Each stage is a transform over the results of the one before: a lambda is not
     scanned for common parts, so nothing costly may be written twice inside one.
     """
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: line.rlike(r"(?i)\$|\busd\b|dollars") & (~line.rlike(NOT_PAY) | line.rlike(PAY_WORDS)))
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"\n|(?<=[a-z)][.!?])\s+(?=\p{Lu})"), lambda line: line.rlike(r"(?i)\$|\busd\b|dollars") & (~line.rlike(NOT_PAY) | line.rlike(PAY_WORDS)))
     raw = F.flatten(F.transform(lines, lambda line: F.array_compact(F.array(
         *[_captures(line, p, False) for p in RANGE_PATTERNS], *[_captures(line, p, True) for p in SINGLE_PATTERNS]))))
     # "$140-160K": the unit written once belongs to both ends.
     valued = F.transform(raw, lambda c: F.struct(c["line"].alias("line"), _number(c["low"], c["unit"]).alias("a"), _number(c["high"], c["high_unit"]).alias("b"),
                                                  F.when((c["unit"] == "") & (c["high_unit"] != ""), _number(c["low"], c["high_unit"])).alias("shared")))
     ends = F.transform(valued, lambda c: F.struct(c["line"].alias("line"), F.when(c["shared"].isNotNull() & (c["a"] < 1_000), c["shared"]).otherwise(c["a"]).alias("a"), c["b"].alias("b")))
-    dated = F.transform(ends, lambda c: F.struct(F.least(c["a"], c["b"]).alias("lo"), F.greatest(c["a"], c["b"]).alias("hi"), _period(c["line"], F.greatest(c["a"], c["b"])).alias("period")))
+    low, high = SHORT_BAND
+    short = F.transform(ends, lambda c: F.struct(c["line"].alias("line"), c["a"].alias("a"), c["b"].alias("b"), F.when(
+        c["a"].between(low, high) & c["b"].between(low, high) & (c["a"] == F.floor(c["a"])) & (c["b"] == F.floor(c["b"])) & c["line"].rlike(SHORT_WORDS) & ~c["line"].rlike(PERIOD_WORDS[0][1]), 1_000).otherwise(1).alias("x")))
+    whole = F.transform(short, lambda c: F.struct(c["line"].alias("line"), (c["a"] * c["x"]).alias("a"), (c["b"] * c["x"]).alias("b")))
+    dated = F.transform(whole, lambda c: F.struct(F.least(c["a"], c["b"]).alias("lo"), F.greatest(c["a"], c["b"]).alias("hi"), _period(c["line"], F.greatest(c["a"], c["b"])).alias("period")))
 
     def sane(c: Column) -> Column:
         ok = F.lit(False)
