@@ -170,6 +170,23 @@ def _(t):
     return L.merge_outcomes(t.tenant_runs)
 
 
+HOST_RUNS = """
+SELECT o_orderkey AS run_id, o_orderkey % 9 AS jobs, o_orderkey % 9 * 20 AS target_jobs, CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS errors, o_orderkey % 4 AS identity_mismatches,
+       o_orderkey % 3 AS host_jobs, o_custkey % 130 AS brand_jobs, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey % 3 END AS sitemap_roots,
+       CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_custkey % 7 = 0 THEN 2 ELSE 0 END END AS sitemap_child_errors, CASE WHEN o_orderkey % 13 = 0 THEN 1 END AS sitemap_errors
+FROM orders
+"""
+
+
+@query("lc_9_host_run_outcome", f"""
+WITH x AS (SELECT *, errors = 0 AND CASE WHEN sitemap_child_errors IS NOT NULL THEN sitemap_roots > 0 AND sitemap_child_errors = 0 ELSE sitemap_errors IS NULL END AS complete,
+                  identity_mismatches * 100 <= greatest(target_jobs, 1) AS few, brand_jobs = 0 OR (host_jobs > 0 AND brand_jobs * 4 <= greatest(target_jobs, 1)) AS backed FROM ({HOST_RUNS}) r)
+SELECT run_id, CASE WHEN NOT complete THEN 'partial_failure' WHEN target_jobs > 0 AND NOT few THEN 'quality_rejected' WHEN jobs > 0 THEN 'complete_nonzero' ELSE 'complete_zero' END AS status,
+       jobs > 0 AND complete AND few AND backed AS clean FROM x""")
+def _(t):
+    return L.host_run_outcome(t.sql(HOST_RUNS)).select("run_id", "status", "clean")
+
+
 @query("lc_9_mature_hosts", f"""WITH rn AS (SELECT concat('H', o_custkey % 100) AS host_id, o_orderkey AS run_id, CAST(o_orderdate AS DATE) AS ran_on, o_orderstatus <> 'F' AS clean, o_orderkey % 9 AS jobs, CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS mismatches FROM orders),
 ft AS (SELECT host_id, min(ran_on) FILTER (WHERE clean) AS first_clean, arg_max(clean, (ran_on, run_id)) AS clean, arg_max(jobs, (ran_on, run_id)) AS jobs, arg_max(mismatches, (ran_on, run_id)) AS mm FROM rn GROUP BY 1),
 x AS (SELECT h.*, ft.clean, CASE WHEN coalesce(jobs > 0 AND mm = 0 AND DATE '{AS_OF}' - first_clean >= 2, false) THEN 2 ELSE 7 END AS days_needed FROM f_hosts h LEFT JOIN ft USING (host_id))
@@ -227,6 +244,18 @@ def _(t):
     return candidates(t)
 
 
+GATED = CAND.replace(" FROM f_postings p ", " FROM (SELECT * FROM f_postings WHERE life_days % 3 <> 0 AND life_days % 5 <> 1) p ")
+
+
+@query("qlt_1_publication_gate", f"WITH {GATED} SELECT * FROM cand")
+def _(t):
+    life = F.col("life_days")
+    rows = t.postings.withColumns({
+        "valid_through": F.when(life % 3 == 0, F.lit("1998-12-31")).when(life % 3 == 1, F.lit("1999-01-01")).cast("date"),
+        "location_evidence": F.when(life % 5 == 1, F.when(life % 2 == 0, F.lit("{}"))).otherwise(F.lit('{"rule":"us_state"}'))})
+    return Q.publication_candidates(rows, t.companies, t.roles, "1999-01-01", H.EXCLUSIONS)
+
+
 NEXT = "nx AS (SELECT job_id FROM f_postings WHERE status = 'raw' AND domain IS NOT NULL AND role_id IS NOT NULL), ch AS (SELECT coalesce(l.job_id, nx.job_id) AS job_id, CASE WHEN nx.job_id IS NULL THEN 'URL_DELETED' ELSE 'URL_UPDATED' END AS notification_type FROM (SELECT job_id FROM f_postings WHERE is_public) l FULL JOIN nx ON nx.job_id = l.job_id WHERE l.job_id IS NULL OR nx.job_id IS NULL)"
 
 

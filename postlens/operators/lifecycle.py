@@ -67,6 +67,31 @@ def merge_outcomes(outcomes: DataFrame) -> DataFrame:
     return agg.select("source", "crawl_tenant", status.alias("status"), "jobs_fetched", "errors", "detail")
 
 
+# Shares up to which a run counts as clean.
+MISMATCH_SHARE, BRAND_SHARE = 0.01, 0.25
+
+
+def host_run_outcome(runs: DataFrame) -> DataFrame:
+    """Adds status and clean to runs of direct hosts.
+
+    ``runs`` has jobs, target_jobs, errors, identity_mismatches, host_jobs, brand_jobs and,
+    null where a run did not read sitemaps by their roots, sitemap_roots and
+    sitemap_child_errors, else sitemap_errors.  A run is complete without errors of its own and
+    of its sitemaps; it is clean if it is complete, found jobs, mismatched next to none, and
+    does not live on jobs that only a brand name ties to the host.
+    """
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    targets = F.greatest(zero("target_jobs"), F.lit(1))
+    sitemaps = F.when(F.col("sitemap_child_errors").isNotNull(), (zero("sitemap_roots") > 0) & (F.col("sitemap_child_errors") == 0)).otherwise(zero("sitemap_errors") == 0)
+    complete = (zero("errors") == 0) & sitemaps
+    few = zero("identity_mismatches") / targets <= MISMATCH_SHARE
+    backed = (zero("brand_jobs") == 0) | ((zero("host_jobs") > 0) & (zero("brand_jobs") / targets <= BRAND_SHARE))
+    status = (
+        F.when(~complete, "partial_failure").when((zero("target_jobs") > 0) & ~few, "quality_rejected")
+        .when(zero("jobs") > 0, "complete_nonzero").otherwise("complete_zero"))
+    return runs.withColumns({"status": status, "clean": (zero("jobs") > 0) & complete & few & backed})
+
+
 def mature_hosts(hosts: DataFrame, runs: DataFrame, as_of: str) -> DataFrame:
     """Shadow hosts become active after a clean crawl and enough age.
 

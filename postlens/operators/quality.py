@@ -19,7 +19,11 @@ CLEAN = ("complete_nonzero", "complete_zero")
 
 def publication_candidates(postings: DataFrame, companies: DataFrame, roles: DataFrame, as_of: str,
                            exclusions: list[tuple[str, str]] = EXCLUSIONS) -> DataFrame:
-    """Eligible postings, one per canonical opportunity."""
+    """Eligible postings, one per canonical opportunity.
+
+    Where the table has them, ``valid_through`` must not be over and ``location_evidence``
+    (a map or struct as JSON text) must say something.
+    """
     f, today = F.col, F.lit(as_of).cast("date")
     in_us = F.upper(F.coalesce("loc_state", F.lit(""))).isin(US_STATES)
     country = F.lower(F.coalesce("loc_country", F.lit("")))
@@ -31,6 +35,10 @@ def publication_candidates(postings: DataFrame, companies: DataFrame, roles: Dat
         & f("experience_level").isNotNull() & f("has_embedding") & (F.length(text) >= MIN_TEXT) & blank_to_null(f("crawl_tenant")).isNotNull()
         & (f("last_seen_at") >= F.date_sub(today, FRESH_DAYS)) & (f("posted_date") <= today) & f("job_url").rlike("(?i)^https?://")
         & (F.coalesce("source_quality_status", F.lit("active")) == "active") & ~text.rlike(NOT_HIRING_TEXT) & place)
+    if "valid_through" in postings.columns:
+        ok = ok & (f("valid_through").isNull() | (f("valid_through") >= today))
+    if "location_evidence" in postings.columns:
+        ok = ok & ~F.trim(F.coalesce(f("location_evidence"), F.lit(""))).isin("", "{}")
     names = companies.filter(~F.coalesce(name_excluded(f("company_name"), exclusions), F.lit(False)) & ~f("company_name").rlike(ROLE_LIKE_NAME)
                              & ~f("company_name").rlike(r"(?i)\|wd[0-9]+\|")).select("company_id")
     titles = roles.filter(~f("role_name").rlike(TALENT_POOL_TITLE)).select("role_id")
