@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import AS_OF
 from ..functions import columns as C
+from ..operators.filters import search_companies
 from ..plans import core, scores
 from . import shared as S
 from .registry import query, r
@@ -103,6 +104,16 @@ def _(t):
     return scorecard(t).select(*CARD_COLS)
 
 
+@query("flt_7_search_companies", f"""
+WITH {CARD}, h AS (SELECT * FROM card WHERE published_roles >= 4)
+SELECT (SELECT count(*) FROM h) AS total, company_name, published_roles, avg_max_salary, difficulty_score, substring(top_skills, 1, 200) AS top_skills
+FROM h ORDER BY avg_max_salary DESC NULLS LAST, company_name LIMIT 30 OFFSET 5""")
+def _(t):
+    # Staged: the total and the page are both read from it.
+    total, page = search_companies(S.staged(scorecard(t)), min_roles=4, sort_by="avg_max_salary", limit=30, offset=5)
+    return page.select(total.scalar().alias("total"), "company_name", "published_roles", "avg_max_salary", "difficulty_score", "top_skills")
+
+
 @query("bi_8_honesty_by_company", f"WITH {S.PAY}, {S.HONESTY} SELECT company_id, company_name, sector, count(DISTINCT job_id) AS scored_jobs, {r('avg(honesty_score)', 1)} AS avg_honesty_score, CAST(min(honesty_score) AS DOUBLE) AS min_honesty_score, CAST(max(honesty_score) AS DOUBLE) AS max_honesty_score, {r('quantile_cont(honesty_score, 0.5)', 1)} AS median_honesty_score, {r('avg(CASE WHEN salary_max_annual IS NOT NULL THEN 1.0 ELSE 0.0 END) * 100', 1)} AS transparency_pct, count(*) FILTER (WHERE honesty_score >= 90) AS high_honesty_jobs, count(*) FILTER (WHERE honesty_score < 70) AS low_honesty_jobs FROM honesty JOIN jobs USING (job_id) JOIN f_companies c USING (company_id) WHERE data_tier = 1 AND status = 'raw' AND c.sector IS NOT NULL GROUP BY 1, 2, 3 HAVING count(DISTINCT job_id) >= 3")
 def _(t):
     return core.honesty_by_company(S.honesty(t), S.jobs(t), t.companies)
