@@ -131,7 +131,8 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = write_flat(docs, folder, _byte_bpe(vocabulary_path("byte_bpe_50k.json")), separator=end, width=2)
     counts = count_tokens(order.filter("ordinal = -1").select("name", "n_bytes"), folder, separator=end, width=2)
     named = order.filter("ordinal >= 0").select("name", "ordinal", F.col("ident").alias("doc_id"))
-    return named.join(counts, ["name", "ordinal"]).select("doc_id", "n_tokens")
+    # The table's file is small for its rows, and would be broadcast on that ground.
+    return named.hint("merge").join(counts, ["name", "ordinal"]).select("doc_id", "n_tokens")
 
 
 @query("op6_suffix_array")
