@@ -70,7 +70,7 @@ def _pivot(seed: int):
     return step
 
 
-def mix_plan(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, block: int = 64, seed: int = 7) -> DataFrame:
+def mix_plan(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, block: int = 64, seed: int = 7, broadcast_sources: int = 100_000) -> DataFrame:
     """(source, ident, size, n, source_size, target, copies): how often the mix takes each item.
 
     An item is all rows equal in source, key and size (``n`` of them), and they get the same
@@ -81,7 +81,8 @@ def mix_plan(docs: DataFrame, size: Column, source: str = "source", key: str = "
     Items are dealt by hash into blocks of about ``block``; a fold pairs the items of a block
     and leaves one open, and those meet again in the next level's blocks, as a reduction tree,
     until one is left per source.  So a source with a third of all rows is only more blocks.
-    All draws are hashes of the seed and the pair: reruns agree, however rows are dealt out.
+    The table of targets, one short row a source, is broadcast if it has at most
+    ``broadcast_sources`` rows.  All draws are hashes of the seed and the pair: reruns agree, however rows are dealt out.
 
     A null source is a source of its own, last in order.  Items of size 0 take no part in the
     rounding.  A null key is an item like any other.  An empty table gives an empty plan.
@@ -90,13 +91,16 @@ def mix_plan(docs: DataFrame, size: Column, source: str = "source", key: str = "
     targets = cut_lineage(source_targets(items, weights, share, cap))
     # Join keys without nulls, for sources and idents alike.
     named = lambda df: df.withColumns({"s_none": F.col("source").isNull(), "s": F.coalesce(F.col("source").cast("string"), F.lit(""))})
+    facts = targets.agg(F.count(F.lit(1)).alias("n"), F.max("n_items").alias("most")).first()
     sources = named(targets).drop("source")
+    if facts["n"] <= broadcast_sources:  # else a shuffled join, which Spark splits where a source is hot
+        sources = F.broadcast(sources)
     all_items = named(items).join(sources, ["s_none", "s"])
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rated = all_items.withColumns({"whole": F.floor(ratio).cast("long"), "p": ratio - F.floor(ratio), "mass": (F.col("size") * F.col("n")).cast("double")})
 
     open_ = rated.filter("mass > 0 and p > 0").select("s_none", "s", "n_items", F.struct("ident", "size", "mass", "p").alias("item"))
-    most = targets.agg(F.max("n_items")).first()[0] or 0
+    most = facts["most"] or 0
     settled: list[DataFrame] = []
     width, level = most, 0
     while most:

@@ -50,7 +50,7 @@ def test_targets_and_rounding(make_docs):
     plan = taken(mix_plan(docs, n_words(F.col("text")), block=16))
     assert len(plan) == len(rows)
     check(rows, plan)
-    again = taken(mix_plan(docs.repartition(5), n_words(F.col("text")), block=16))
+    again = taken(mix_plan(docs.repartition(5), n_words(F.col("text")), block=16, broadcast_sources=0))
     assert {k: v.copies for k, v in plan.items()} == {k: v.copies for k, v in again.items()}
 
 
