@@ -3,6 +3,7 @@
 BENCH_SF_DIR  data folder (default /root/testdata/sf0.1)
 BENCH_CPUS    local cores (default 4)
 BENCH_RUNS    rounds over all queries, median reported (default 3, after one warm-up query)
+BENCH_SECONDS a further round begins only if it would end within so many seconds (default 900)
 BENCH_ALL     1 = every registered query, one run each
 """
 
@@ -52,7 +53,10 @@ def main() -> None:
         os._exit(0)
 
     signal.signal(signal.SIGTERM, stopped)  # whoever stops it still gets the rounds so far
-    for _ in range(runs):
+    began, limit = time.perf_counter(), float(os.environ.get("BENCH_SECONDS", "900"))
+    for done in range(runs):
+        if done and (time.perf_counter() - began) * (done + 1) / done > limit:
+            break
         for name in QUERIES if everything else HEADLINE:
             try:
                 seconds = once(name)
