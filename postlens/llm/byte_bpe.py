@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,17 +30,21 @@ class ByteBpe:
     The pre-tokenizer starts a new token at every single space that follows a letter, digit
     or sign, and after a word's letters, so texts are cut there and each distinct part goes
     through the library once.  A text where a space follows other white space goes through
-    it whole.
+    it whole.  With ``special`` the tokenizer is used as loaded, and a text with the
+    string of an added token goes through it whole; without, such a string is encoded as plain text, so that its id
+    stands in no text and can be a separator.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = self.tokenizer.get_added_tokens_decoder().values() if special else ()
+        self.unsplit = "|".join([UNSPLIT, *(re.escape(t.content) for t in added)])
         self.store = WordStore(self._library)
 
     def _library(self, words: list[str]) -> Encoded:
@@ -53,7 +59,7 @@ class ByteBpe:
     def encode(self, texts: pa.Array) -> Encoded:
         """Flat ids of all texts and where each text starts; null counts as empty."""
         texts = texts.fill_null("")
-        odd = np.asarray(pc.match_substring_regex(texts, UNSPLIT))
+        odd = np.asarray(pc.match_substring_regex(texts, self.unsplit))
         even_at, odd_at = np.flatnonzero(~odd), np.flatnonzero(odd)
         marked = pc.replace_substring(pc.replace_substring_regex(texts.filter(pa.array(~odd)), LETTER_END, rf"\1{CUT}\2"), " ", f"{CUT} ")
         even = encode_split(marked, self.store, CUT)

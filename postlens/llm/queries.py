@@ -109,8 +109,8 @@ def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("row.doc_id", "n_tokens", "ids", "round_trip")
 
 
-def _byte_bpe(path: str):
-    return lambda: ByteBpe(path)
+def _byte_bpe(path: str, special: bool):
+    return lambda: ByteBpe(path, special)
 
 
 @query("op5_binary_records")
@@ -118,17 +118,20 @@ def binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens as read back from the record files."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = scratch_path(spark, "records")
-    manifest = write_records(docs, folder, _byte_bpe(vocabulary_path("byte_bpe_50k.json")), vocabulary=50_257, end_id=0)
+    manifest = write_records(docs, folder, _byte_bpe(vocabulary_path("byte_bpe_50k.json"), special=True), vocabulary=50_257, end_id=0)
     return read_records(manifest, folder).withColumnRenamed("ident", "doc_id")
 
 
 @query("op10_token_counts")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every document, counted in flat files by their separators."""
+    """Tokens of every document, counted in flat files by their separators.
+
+    The separator's string in a text is encoded as plain text, unlike in op5.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = scratch_path(spark, "tokens")
     end = 50_256
-    order = write_flat(docs, folder, _byte_bpe(vocabulary_path("byte_bpe_50k.json")), separator=end, width=2)
+    order = write_flat(docs, folder, _byte_bpe(vocabulary_path("byte_bpe_50k.json"), special=False), separator=end, width=2)
     counts = count_tokens(order.filter("ordinal = -1").select("name", "n_bytes"), folder, separator=end, width=2)
     named = order.filter("ordinal >= 0").select("name", "ordinal", F.col("ident").alias("doc_id"))
     # The table's file is small for its rows, and would be broadcast on that ground.
