@@ -13,6 +13,8 @@ from .chat import BLOCK, format_chats
 from .common import n_words, table
 from .exact_dedup import content_sort
 from .language import identify, learn_profiles
+from .line_runs import drop_worn_lines
+from .merkle import leaf_rows, prove, write_manifest
 from .mixing import mix_plan
 from .piece_text import encode_pieces
 from .quality import COUNTS, fit_quality, judge
@@ -143,3 +145,34 @@ def suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 200-byte strings that occur elsewhere."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup(docs).withColumnRenamed("ident", "doc_id")
+
+
+@query("op11_merkle_manifest")
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, its proof, and whether the leaf found later still folds to the root.
+
+    Line ends are deleted from the texts of documents whose id has an even CRC.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+
+    def tamper(rows: DataFrame):
+        return F.crc32(rows["doc_id"].cast("string").cast("binary")) % 2 == 0, {"text": F.replace(rows["text"], F.lit("\n"), F.lit(""))}
+
+    manifest = write_manifest(leaf_rows(docs, "source", "doc_id", docs.columns, tamper), scratch_path(spark, "manifest"))
+    return prove(manifest).withColumnRenamed("ident", "doc_id")
+
+
+@query("op13_line_dedup", """
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM cut),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+worn AS (SELECT k, max(doc_id) AS top FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id < top) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (top IS NULL OR doc_id = top), '')) AS kept_sha256
+FROM keyed LEFT JOIN worn USING (k) GROUP BY doc_id
+""")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without lines that stand in three or more, but for the largest doc_id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = F.sha2(F.coalesce(F.col("row.text"), F.lit("")).cast("binary"), 256)
+    return drop_worn_lines(docs).select("row.doc_id", "n_lines", "n_dropped", left.alias("kept_sha256"))

@@ -11,7 +11,7 @@ from postlens.llm.quality import fit_quality, judge
 
 from .conftest import ROOT
 from .test_mixing import reshared
-from .test_simhash import brute_print, groups
+from .test_near_copies import brute
 
 
 def test_stages_by_hand(spark, given, tmp_path):
@@ -25,8 +25,7 @@ def test_stages_by_hand(spark, given, tmp_path):
     for i in sorted(kept):
         by_text[text[i] or ""] = i
     exact = sorted(by_text.values())
-    label = groups([brute_print(text[i]) for i in exact])
-    near = [i for k, i in enumerate(exact) if label[k] == k]
+    near = brute([(i, text[i]) for i in exact])
     expected = [kept, exact, near]
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "exact dedup", "SimHash near-dedup", "mixing sources to target weights", "SentencePiece encoding"]
@@ -92,5 +91,5 @@ def test_against_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == [*range(1, 12), 13]
     assert np.all([callable(f) for f in QUERIES.values()])
