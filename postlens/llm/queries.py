@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .byte_bpe import ByteBpe, vocabulary_path
+from .byte_bpe import encoder_of, vocabulary_path
 from .chat import BLOCK, format_chats
 from .common import n_words, table
 from .exact_dedup import content_sort
@@ -20,6 +21,7 @@ from .piece_text import encode_pieces
 from .quality import COUNTS, fit_quality, judge
 from .records import read_records, write_records
 from .simhash import near_duplicates
+from .spelling import count_words, spelling_variants
 from .suffix_dedup import suffix_dedup
 from .token_files import count_tokens, write_flat
 
@@ -112,7 +114,7 @@ def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _byte_bpe(path: str, special: bool):
-    return lambda: ByteBpe(path, special)
+    return lambda: encoder_of(path, special)
 
 
 @query("op5_binary_records")
@@ -176,3 +178,16 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     left = F.sha2(F.coalesce(F.col("row.text"), F.lit("")).cast("binary"), 256)
     return drop_worn_lines(docs).select("row.doc_id", "n_lines", "n_dropped", left.alias("kept_sha256"))
+
+
+def _strike(ident: int | None, word: str) -> str:
+    """One letter less in one of 97 words of a document."""
+    h = zlib.crc32(f"{ident}:{word}".encode())
+    at = h % len(word)
+    return word if h % 97 else word[:at] + word[at + 1 :]
+
+
+@query("op12_spelling_variants")
+def spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with the more frequent word that it is a variant of."""
+    return spelling_variants(count_words(table(spark, sf_dir, "documents").select("doc_id", "text"), alter=_strike))
