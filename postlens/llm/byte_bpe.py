@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +55,7 @@ class ByteBpe:
         for at in range(0, len(words), 20_000):
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False)]
             lengths.extend(map(len, ids))
-            flat.append(np.fromiter((i for x in ids for i in x), np.int32))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.int32))
         return np.concatenate([np.zeros(0, np.int32), *flat]), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
 
     def encode(self, texts: pa.Array) -> Encoded:
@@ -66,3 +68,9 @@ class ByteBpe:
         if not len(odd_at):
             return even
         return interleave([(even_at, even), (odd_at, self._library(texts.filter(pa.array(odd)).to_pylist()))], len(texts))
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str, special: bool) -> ByteBpe:
+    """One encoder a Python worker: its tasks load the vocabulary once and share the words met so far."""
+    return ByteBpe(path, special)
