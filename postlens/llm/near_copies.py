@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity of word shingles, found through prefix keys."""
+"""Near copies by exact Jaccard similarity of word shingles, found through SimHash fingerprints and prefix keys."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.dedup import _verify, connected_components
 from ..session import cut_lineage
 from .common import map_text
-from .simhash import SEED
+from .simhash import SEED, fingerprint_links
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -48,10 +48,17 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
 
 
-def parities(s: np.ndarray, bits: int = 1024) -> np.ndarray:
-    """``bits`` bits as longs: how many shingles fall on a bit, odd or even."""
+def parities(s: np.ndarray) -> np.ndarray:
+    """Bits as longs, four or more a shingle and a power of two: how many shingles fall on a bit, odd or even."""
+    bits = max(64, 1 << int(4 * len(s) - 1).bit_length()) if len(s) else 64
     odd = np.bincount(s & (bits - 1), minlength=bits).astype(np.uint8) & 1
-    return np.packbits(odd).view(np.int64)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def majority(s: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of shingle hashes: a bit is set if over half of them have it."""
+    ones = sum(np.unpackbits(s[i : i + 65536].view(np.uint8)).reshape(-1, 64).sum(0, np.int64) for i in range(0, len(s), 65536))
+    return int(np.packbits(2 * ones > len(s)).view(np.int64)[0]) if len(s) else 0
 
 
 def frequent_shingles(named: DataFrame, width: int, sample_size: int, most: int = 50_000) -> np.ndarray:
@@ -63,8 +70,21 @@ def frequent_shingles(named: DataFrame, width: int, sample_size: int, most: int
     return hot[np.argsort(hot[:, 0])]
 
 
-def prefixes(named: DataFrame, threshold: float, width: int = 5, sample_size: int = 5_000) -> DataFrame:
-    """row, sig, n, bits (see ``parities``) and prefix: the first n - ceil(n * threshold) + 1 shingles by one order for
+def summaries(named: DataFrame, width: int = 5) -> DataFrame:
+    """row, sig, n (distinct shingles), bits (see ``parities``) and fp (see ``majority``) of every text."""
+
+    def make():
+        def run(texts: pa.Array) -> list:
+            sets = [shingle_set(t, width) for t in texts.to_pylist()]
+            return [signatures(sets), np.array([len(s) for s in sets], np.int32), as_lists([parities(s) for s in sets]), np.array([majority(s) for s in sets], np.int64)]
+
+        return run
+
+    return map_text(named, make, "sig long, n int, bits array<long>, fp long", "text", ["ident", "body"])
+
+
+def prefix_keys(named: DataFrame, threshold: float, width: int = 5, sample_size: int = 5_000) -> DataFrame:
+    """key, sig, n: the first n - ceil(n * threshold) + 1 shingles of each set by one order for
     all sets, of which two sets that reach the threshold have one in common.
 
     Any order will do.  Shingles frequent in a bounded sample come last, rarest first, so a
@@ -82,14 +102,15 @@ def prefixes(named: DataFrame, threshold: float, width: int = 5, sample_size: in
     def make():
         def run(texts: pa.Array) -> list:
             sets = [shingle_set(t, width) for t in texts.to_pylist()]
-            return [signatures(sets), np.array([len(s) for s in sets], np.int32), as_lists([parities(s) for s in sets]), as_lists([first(s) for s in sets])]
+            return [signatures(sets), np.array([len(s) for s in sets], np.int32), as_lists([first(s) for s in sets])]
 
         return run
 
-    return map_text(named, make, "sig long, n int, bits array<long>, prefix array<long>", "text", ["ident", "body"])
+    made = map_text(named.select("text"), make, "sig long, n int, prefix array<long>", "text")
+    return made.select(F.explode("prefix").alias("key"), "sig", "n")
 
 
-def shared_keys(rows: DataFrame) -> DataFrame:
+def shared_keys(keys: DataFrame) -> DataFrame:
     """(_key, _id, n): the prefix shingles that several sets have, and the sets."""
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,28 +132,52 @@ def shared_keys(rows: DataFrame) -> DataFrame:
         if paired:
             yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1]), pa.array(held[:, 2].astype(np.int32))], names=["key", "sig", "n"])
 
-    keys = rows.select(F.explode("prefix").alias("key"), "sig", "n").repartition("key").sortWithinPartitions("key", "sig")
-    return keys.mapInArrow(shared, "key long, sig long, n int").withColumnsRenamed({"key": "_key", "sig": "_id"})
+    return keys.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(shared, "key long, sig long, n int").withColumnsRenamed({"key": "_key", "sig": "_id"})
 
 
-def near_copy_groups(keys: DataFrame, rows: DataFrame, named: DataFrame, threshold: float, width: int) -> DataFrame:
+def proposals(rows: DataFrame, reach: int) -> DataFrame:
+    """(src, dst): sets that SimHash takes for near copies.
+
+    Sets of one fingerprint are paired with its smallest one, and those of fingerprints up to ``reach``
+    bits apart, as the vantage-point trees of ``simhash`` link them, with each other.
+    """
+    points = cut_lineage(rows.groupBy("fp").agg(F.min("sig").alias("first")))
+    within = rows.join(points, "fp").filter(F.col("sig") != F.col("first")).select(F.col("first").alias("src"), F.col("sig").alias("dst"))
+    linked = fingerprint_links(points, reach)
+    return within.unionByName(linked.join(points.select(F.col("fp").alias("src"), F.col("first").alias("a")), "src").join(points.select(F.col("fp").alias("dst"), F.col("first").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
+def odd_apart(x: str, y: str):
+    """Bits in which two parities differ; the longer one is folded to the shorter, at most twice as long."""
+
+    def folded(c: str, other: str):
+        half = F.expr(f"size({c}) div 2")
+        halves = F.zip_with(F.slice(c, F.lit(1), half), F.slice(c, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(c) > F.size(other), halves).otherwise(F.col(c))
+
+    return F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, v: n + v)
+
+
+def near_copy_groups(keys: DataFrame, rows: DataFrame, named: DataFrame, threshold: float, width: int, reach: int, most_broadcast: int = 1_000_000) -> DataFrame:
     """(sig, component) of every set joined to another over pairs that reach the threshold.
 
-    The sets of a key are compared with its smallest one, then across those groups that the
+    SimHash proposes first.  Then the sets of a key are compared with its smallest one, then across those groups that the
     key still holds, so a large group of copies of one text makes no square.  No pair is missed:
     every odd bit that differs needs a shingle that differs, so pairs with more such bits than
     the threshold leaves shingles to differ are ruled out before texts are read again.
     """
-    sized = cut_lineage(rows.select("sig", "n", "bits").join(keys.select(F.col("_id").alias("sig")).distinct(), "sig", "left_semi").dropDuplicates(["sig"]))
+    sized = rows.select("sig", "n", "bits")
+
     def verified(pairs: DataFrame) -> DataFrame:
         a = sized.select(F.col("sig").alias("src"), F.col("n").alias("na"), F.col("bits").alias("ba"))
         b = sized.select(F.col("sig").alias("dst"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-        apart = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-        near = cut_lineage(pairs.distinct().join(a, "src").join(b, "dst").filter(apart <= (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-6).select("src", "dst"))
+        met = pairs.distinct().join(a, "src").join(b, "dst").filter(alike("na", "nb"))
+        near = cut_lineage(met.filter(odd_apart("ba", "bb") <= (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-6).select("src", "dst"))
         ids = near.select(F.explode(F.array("src", "dst")).alias("sig")).distinct()
-        bodies = rows.select("sig", "body").join(ids, "sig", "left_semi").groupBy("sig").agg(F.min("body").alias("body")).select("body")
-        # The few texts left to compare; else all texts would be shuffled for them.
-        sets = cut_lineage(shingle_sets(named.select("body", "text").join(F.broadcast(bodies), "body", "left_semi"), width=width).dropDuplicates(["sig"]))
+        bodies = cut_lineage(rows.select("sig", "body").join(ids, "sig", "left_semi").select("body"))
+        # Few texts as a rule are left to compare; more than a bound of them are not broadcast.
+        few = F.broadcast(bodies) if bodies.count() <= most_broadcast else bodies.hint("merge")
+        sets = cut_lineage(shingle_sets(named.select("body", "text").join(few, "body", "left_semi"), width=width).dropDuplicates(["sig"]))
         return cut_lineage(_verify(near, sets.select(F.col("sig").alias("_id"), F.col("set").alias("_set")), threshold))
 
     def alike(a: str, b: str):
@@ -140,7 +185,7 @@ def near_copy_groups(keys: DataFrame, rows: DataFrame, named: DataFrame, thresho
 
     pivots = keys.groupBy("_key").agg(F.min(F.struct("_id", "n")).alias("p")).select("_key", F.col("p._id").alias("src"), F.col("p.n").alias("m"))
     star = keys.join(pivots, "_key").filter(F.col("_id") != F.col("src")).filter(alike("n", "m")).select("src", F.col("_id").alias("dst"))
-    first = verified(star)
+    first = verified(star.unionByName(proposals(rows, reach)))
     labels = connected_components(first).withColumnRenamed("node", "_id")
     labelled = cut_lineage(keys.join(labels, "_id", "left").withColumn("_comp", F.coalesce("component", "_id")))
     mixed = labelled.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).filter("_lo <> _hi").select("_key")
@@ -150,17 +195,25 @@ def near_copy_groups(keys: DataFrame, rows: DataFrame, named: DataFrame, thresho
     return connected_components(first.unionByName(verified(across))).withColumnRenamed("node", "sig")
 
 
-def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.8, width: int = 5) -> DataFrame:
+def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.8, width: int = 5, reach: int = 3) -> DataFrame:
     """One document of each group, the one with the smallest key, with the columns it came with.
 
     Two documents are linked if the Jaccard similarity of their sets of ``width``-word shingles
-    is at least ``threshold``.  Texts without words are one group.  Ties as in ``near_dedup``.
+    is at least ``threshold``.  Fingerprints within ``reach`` bits propose pairs, prefix keys give all others, and
+    every pair is compared in full.
+
+    A text of fewer words than ``width`` is one shingle.  Null, empty and blank texts have none
+    and are one group.  A null key is larger than any other; of different texts under the smallest key the one with
+    the smallest hash stays, and rows equal in key and text stay or go together.  An empty
+    table gives an empty result.  Extra columns keep their names and values.
     """
     named = docs.select(F.col(f"`{key}`").alias("ident"), F.col(f"`{text}`").alias("text")).withColumn("body", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = cut_lineage(prefixes(named, threshold, width).select("row.ident", "row.body", "sig", "n", "bits", "prefix"))
-    keys = cut_lineage(shared_keys(rows))
+    rows = cut_lineage(summaries(named, width).select("row.ident", "row.body", "sig", "n", "bits", "fp"))
+    # One row a set: its least body, sizes and bits.
+    sets = cut_lineage(rows.groupBy("sig").agg(F.min("body").alias("body"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fp").alias("fp")).filter("n > 0"))
+    keys = cut_lineage(shared_keys(prefix_keys(named, threshold, width)))
     best = F.struct(F.col("ident").isNull().alias("none"), "ident", "body")
-    labelled = rows.select("ident", "body", "sig").join(near_copy_groups(keys, rows, named, threshold, width), "sig", "left").withColumn("group", F.coalesce("component", "sig"))
+    labelled = rows.select("ident", "body", "sig").join(near_copy_groups(keys, sets, named, threshold, width, reach), "sig", "left").withColumn("group", F.coalesce("component", "sig"))
     stays = labelled.groupBy("group").agg(F.min(best).alias("b")).select("b.*")
     stays = stays.select("none", F.coalesce("ident", F.lit(0)).alias("i"), "body")
     whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{key}`"].isNull().alias("none"), F.coalesce(docs[f"`{key}`"], F.lit(0)).alias("i"), F.xxhash64(F.coalesce(docs[f"`{text}`"], F.lit(""))).alias("body"))

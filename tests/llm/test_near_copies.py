@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from postlens.llm.near_copies import drop_near_copies
+from postlens.llm.near_copies import drop_near_copies, odd_apart, parities, shingle_set
 
 WIDTH, LEAST = 5, 0.8
 
@@ -70,3 +70,33 @@ def test_planted_near_copies(spark, tmp_path):
 def test_given_documents(spark, given):
     rows = [(r["doc_id"], r["text"]) for r in given[1]]
     assert sorted(r.doc_id for r in drop_near_copies(given[0]).select(F.col("doc_id")).collect()) == brute(rows)
+
+
+def test_odd_rows(spark, make_docs, odd_rows):
+    extra = [(70, "one two three four"), (71, "ONE two\tthree four"), (72, " "), (73, "\n" * 40_000)]
+    rows = [r[:2] for r in odd_rows] + extra
+    docs = make_docs(rows)
+    out = drop_near_copies(docs)
+    assert out.columns == docs.columns
+    known = [r for r in rows if r[0] is not None]
+    got = sorted(r.doc_id for r in out.collect())
+    # Rows equal in key and text stay together.
+    assert sorted(set(got)) == brute(known) and 70 in got and 71 not in got
+    assert drop_near_copies(make_docs([])).count() == 0
+    assert [r.doc_id for r in drop_near_copies(make_docs([(None, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f")])).collect()] == [5]
+
+
+def test_parities_rule_out_no_pair(spark):
+    """Folded or not, the bits never differ in more places than the sets do."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for n in (1, 5, 15, 16, 17, 60, 127, 129, 400):
+        words = [f"w{x}" for x in rng.integers(0, 900, n + 4)]
+        for m in range(0, n, max(1, n // 7)):
+            other = words[: n + 4 - m // 4] + [f"x{x}" for x in rng.integers(0, 90, m // 9)]
+            a, b = shingle_set(" ".join(words)), shingle_set(" ".join(other))
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)):
+                rows.append((parities(a).tolist(), parities(b).tolist(), len(set(a.tolist()) ^ set(b.tolist()))))
+    frame = spark.createDataFrame(rows, "x array<long>, y array<long>, n int")
+    assert len(rows) > 30 and frame.filter(odd_apart("x", "y") > F.col("n")).count() == 0
+    assert any(len(r[0]) != len(r[1]) for r in rows)
