@@ -30,7 +30,7 @@ def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8), the one with the smallest id."""
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8), the one with the smallest id: SimHash links, made whole by prefix keys."""
     return drop_near_copies(docs)
 
 
