@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixtures import AS_OF, RADAR_DAY
 from ..functions.columns import ROLE_FAMILIES
 from ..plans import market as M
 from ..plans import ops as O
+from ..session import cut_lineage
 from . import shared as S
 from .mart_queries import CARD, scorecard
 from .registry import query, r
@@ -270,23 +274,33 @@ def _(t):
     return O.crawl_rollup(t.tenant_runs)
 
 
-# One report an hour count apart: the age of the publication at each decides with the crawl's state.
+@query("bi_32_brief_rollup", f"""
+WITH newest AS (SELECT orchestration_id FROM f_tenant_runs WHERE orchestration_id IS NOT NULL ORDER BY started_on DESC, run_id DESC LIMIT 1),
+runs AS (SELECT * FROM f_tenant_runs WHERE orchestration_id = (SELECT orchestration_id FROM newest)),
+{ROLL.replace('f_tenant_runs', 'runs').replace("WHEN coalesce(failed_tenants, 0) > 0", "WHEN degraded OR coalesce(failed_tenants, 0) > 0")} SELECT * FROM roll""")
+def _(t):
+    return O.crawl_rollup(O.latest_orchestration(t.tenant_runs), degraded="degraded")
+
+
+# The report over all sources, over each source, and over none, at four ages of the publication.
 @query("qlt_7_report_state", f"""
 WITH {ROLL},
-c AS (SELECT count(*) FILTER (WHERE state IN ('source_failure', 'partial_failure')) AS bad_sources, count(*) FILTER (WHERE state = 'running') AS running_sources FROM roll WHERE source = 'lever' OR source = 'none'),
+s AS (SELECT 'all' AS scope, state FROM roll UNION ALL SELECT source, state FROM roll),
+c AS (SELECT scope, count(*) FILTER (WHERE state IN ('source_failure', 'partial_failure')) AS bad_sources, count(*) FILTER (WHERE state = 'running') AS running_sources FROM s GROUP BY 1 UNION ALL SELECT 'none', 0, 0),
 h(hours) AS (VALUES (1), (36), (37), (47))
-SELECT hours, bad_sources, running_sources,
+SELECT scope, hours, bad_sources, running_sources,
        CASE WHEN hours > 36 OR bad_sources > 0 THEN 'Needs attention' WHEN running_sources > 0 THEN 'In progress' ELSE 'Healthy' END AS state
-FROM h, (SELECT 0 AS bad_sources, 0 AS running_sources UNION ALL SELECT bad_sources, running_sources FROM c) x""")
+FROM h, c""")
 def _(t):
     rolled = O.crawl_rollup(t.tenant_runs)
-    out = None
+    scoped = cut_lineage(rolled.select(F.explode(F.array(F.lit("all"), "source")).alias("scope"), "state"))
+    parts = []
     for hours in (1, 36, 37, 47):
-        for part in (rolled.filter("source = 'none'"), rolled.filter("source = 'lever'")):
-            published = F.lit(f"{RADAR_DAY} 00:00:00").cast("timestamp") - F.expr(f"INTERVAL {hours} HOURS")
-            one = O.report_state(part, published, f"{RADAR_DAY} 00:00:00").select(F.lit(hours).alias("hours"), "bad_sources", "running_sources", "state")
-            out = one if out is None else out.unionByName(one)
-    return out
+        published = F.lit(f"{RADAR_DAY} 00:00:00").cast("timestamp") - F.expr(f"INTERVAL {hours} HOURS")
+        now = f"{RADAR_DAY} 00:00:00"
+        none = O.report_state(scoped.filter(F.lit(False)), published, now).withColumn("scope", F.lit("none"))
+        parts += [r.withColumn("hours", F.lit(hours)) for r in (O.report_state(scoped, published, now, by=["scope"]), none)]
+    return reduce(DataFrame.unionByName, parts).select("scope", "hours", "bad_sources", "running_sources", "state")
 
 
 @query("bi_33_health_alerts", """
@@ -357,6 +371,16 @@ def _(t):
     return O.host_report(t.view("hosts"), t.postings.filter("is_public"))
 
 
+@query("bi_39_candidates", "SELECT status, count(*) AS candidates FROM f_candidates GROUP BY 1")
+def _(t):
+    return O.candidates_by_status(t.view("candidates"))
+
+
+@query("bi_39_last_7_days", f"SELECT count(*) AS runs, coalesce(sum(accepted_jobs), 0) AS accepted, coalesce(sum(identity_mismatches), 0) AS identity_mismatches, coalesce(sum(foreign_rejections), 0) AS foreign_rejections FROM f_host_runs WHERE started_on >= DATE '{RADAR_DAY}' - 7 AND started_on <= DATE '{RADAR_DAY}'")
+def _(t):
+    return O.host_runs_total(t.view("host_runs"), RADAR_DAY)
+
+
 @query("bi_40_product_funnel", "SELECT event_type, count(DISTINCT user_id) AS accounts FROM events WHERE CAST(ts AS DATE) > DATE '2024-02-10' - 30 GROUP BY 1")
 def _(t):
     return O.product_funnel(t.base("events"), "2024-02-10")

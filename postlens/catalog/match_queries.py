@@ -10,9 +10,11 @@ from ..operators import matching as M
 from ..operators import vectors as V
 from ..operators.skills import alias_table
 from ..plans import core
+from ..session import cut_lineage
 from ..sources import feeds, pages, payloads
 from . import shared as S
 from .registry import query, r
+from .text_queries import STRIP
 
 
 def label_queries(t):
@@ -48,6 +50,20 @@ def _(t):
     return V.ann(label_queries(t), corpus(t), 20)
 
 
+# What the codes promise, measured against all items: nine of ten neighbours from a tenth of the scores, each score exact.
+@query("mat_2_ann_recall", f"""WITH {COS}, top AS (SELECT query_id, count(*) AS wanted FROM (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) <= 20) q GROUP BY 1)
+SELECT query_id, wanted, true AS enough_found, true AS few_scored, true AS scores_agree FROM top""")
+def _(t):
+    queries, items = label_queries(t), corpus(t)
+    near = cut_lineage(V.ann_candidates(queries, items))
+    exact = V.knn(queries, items, 20)
+    both = exact.join(near.withColumnRenamed("similarity", "found"), ["query_id", "item_id"], "left").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("wanted"), F.count("found").alias("hits"), F.coalesce(F.max(F.abs(F.col("found") - F.col("similarity"))), F.lit(0.0)).alias("off"))
+    scored = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("scored"))
+    total = items.agg(F.count("vector").alias("n"))
+    return both.join(scored, "query_id", "left").select("query_id", "wanted", (F.col("hits") >= F.col("wanted") * 0.9).alias("enough_found"), (F.col("scored") <= F.greatest(total.scalar() * 0.10, F.lit(100))).alias("few_scored"), (F.col("off") < 1e-6).alias("scores_agree"))
+
+
 def eligible_jobs(t):
     jobs = S.jobs(t).filter((F.col("data_tier") == 1) & F.col("is_public") & F.coalesce("loc_country", F.lit("US")).isin("US", "unknown") & F.col("domain").isNotNull())
     return jobs.drop("honesty_score").join(S.honesty(t).select("job_id", "honesty_score"), "job_id", "left")
@@ -129,19 +145,18 @@ def _(t):
     return M.weighted_job_matches(t.resumes, t.postings, t.resume_skills, bridge(t), weights(t))
 
 
-@query("mat_3_match_candidates", f"""WITH {S.PAY}, {MK}, {TOPJ}, js AS (SELECT DISTINCT job_id, skill_id FROM f_job_skills), nj AS (SELECT job_id, count(*) AS n FROM js GROUP BY 1), nr AS (SELECT resume_id, count(*) AS n FROM f_resume_skills GROUP BY 1), lo(lv, ord) AS (VALUES ('entry', 0), ('associate', 1), ('mid', 2), ('senior', 3)),
-ov AS (SELECT tj.resume_id, tj.job_id, count(*) AS o FROM tj JOIN js USING (job_id) JOIN f_resume_skills rs ON rs.resume_id = tj.resume_id AND rs.skill_id = js.skill_id GROUP BY 1, 2),
-pr AS (SELECT tj.resume_id, tj.job_id, match_weight / 10.0 AS similarity, o, nj.n AS n, nr.n AS m FROM tj JOIN ov USING (resume_id, job_id) JOIN nj USING (job_id) JOIN nr USING (resume_id)),
+@query("mat_3_match_candidates", f"""WITH {S.PAY}, {S.HONESTY}, {EL}, oa AS (SELECT rs.resume_id, js.job_id, count(*) AS o FROM f_resume_skills rs JOIN js USING (skill_id) JOIN f_postings USING (job_id) JOIN f_resumes USING (resume_id) GROUP BY 1, 2),
+ne AS (SELECT oa.resume_id, oa.job_id, o, nj.n AS n, nr.n AS m, o / sqrt(CAST(nj.n * nr.n AS DOUBLE)) AS similarity FROM oa JOIN nj USING (job_id) JOIN nr USING (resume_id)),
+n1 AS (SELECT * FROM ne QUALIFY row_number() OVER (PARTITION BY resume_id ORDER BY similarity DESC, job_id) <= 2000),
+pr AS (SELECT * FROM n1 SEMI JOIN el USING (job_id) QUALIFY row_number() OVER (PARTITION BY resume_id ORDER BY similarity DESC, job_id) <= 200),
 sc AS (SELECT pr.*, 2.0 * o / (n + m) AS raw, lr.ord AS rl, lj.ord AS jl, salary_floor, coalesce(nullif(salary_max_annual, 0), salary_min_annual) AS top FROM pr JOIN f_resumes USING (resume_id) JOIN jobs USING (job_id) LEFT JOIN lo lr ON lr.lv = exp_level LEFT JOIN lo lj ON lj.lv = experience_level),
 f1 AS (SELECT *, CASE WHEN n = 1 THEN least(raw, 0.40) WHEN n = 2 THEN least(raw, 0.55) WHEN n = 3 THEN least(raw, 0.75) ELSE raw END AS f1, CASE WHEN jl IS NULL THEN 0.7 WHEN rl IS NULL THEN 0.5 WHEN abs(rl - jl) = 0 THEN 1.0 WHEN abs(rl - jl) = 1 THEN 0.5 ELSE 0.0 END AS lf,
  CASE WHEN coalesce(salary_floor, 0) <= 0 THEN 1.0 WHEN top IS NULL THEN 0.7 WHEN top >= salary_floor THEN 1.0 WHEN top >= salary_floor * 0.9 THEN 0.5 ELSE 0.0 END AS sf FROM sc),
 fin AS (SELECT resume_id, job_id, {r('similarity', 4)} AS similarity, {r('similarity * 0.60 + f1 * 0.15 + lf * 0.15 + sf * 0.10', 6)} AS match_score, {r('f1', 4)} AS skill_overlap FROM f1)
 SELECT * EXCLUDE (rn), rn AS place FROM (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY match_score DESC, job_id) AS rn FROM fin) q WHERE rn <= 10""")
 def _(t):
-    # Stand-in neighbours: the weighted matches, their weight taken for a similarity.
-    near = M.weighted_job_matches(t.resumes, t.postings, t.resume_skills, bridge(t), weights(t))
-    pairs = near.select("resume_id", "job_id", (F.col("match_weight") / 10.0).alias("similarity"))
-    return M.match_candidates(pairs, t.resumes, S.jobs(t), t.resume_skills, bridge(t), 10)
+    near = M.skill_neighbours(t.resumes, t.postings, t.resume_skills, bridge(t), eligible_jobs(t))
+    return M.match_candidates(near, t.resumes, S.jobs(t), t.resume_skills, bridge(t), 10)
 
 
 @query("mat_9_typed_gaps", f"WITH {MK}, g AS (SELECT resume_id, wt.skill_id, rf, pf, {r('w', 6)} AS impact_score FROM f_resumes JOIN wt ON wt.domain = target_domain WHERE NOT EXISTS (SELECT 1 FROM f_resume_skills rs WHERE rs.resume_id = f_resumes.resume_id AND rs.skill_id = wt.skill_id)) SELECT resume_id, skill_id, CASE WHEN rf >= 0.20 THEN 'missing_required' WHEN pf >= 0.20 THEN 'missing_preferred' ELSE 'low_signal' END AS gap_type, impact_score, row_number() OVER (PARTITION BY resume_id ORDER BY impact_score DESC, skill_id) AS place FROM g QUALIFY place <= 25")
@@ -188,8 +203,8 @@ z AS (SELECT *, exp_level = 'entry' AND s AS p1, exp_level = 'entry' AND stack >
              exp_level = 'senior' AND i AS p4, exp_level = 'senior' AND NOT s AND stack = 0 AS p5 FROM y)
 SELECT resume_id,
        least(25, CASE WHEN p1 THEN 8 ELSE 0 END + CASE WHEN p2 THEN 8 ELSE 0 END + CASE WHEN p3 THEN 6 ELSE 0 END + CASE WHEN p4 THEN 10 ELSE 0 END + CASE WHEN p5 THEN 6 ELSE 0 END) AS plausibility_penalty,
-       concat_ws('|', CASE WHEN p1 THEN 'senior_title_for_entry' END, CASE WHEN p2 THEN 'senior_stack_for_entry' END, CASE WHEN p3 THEN 'many_years_for_entry' END,
-                      CASE WHEN p4 THEN 'intern_signal_for_senior' END, CASE WHEN p5 THEN 'weak_senior_signal' END) AS plausibility_flags,
+       concat_ws('|', CASE WHEN p1 THEN 'resume_senior_title_but_target_entry' END, CASE WHEN p2 THEN 'senior_stack_signal_for_entry_target' END, CASE WHEN p3 THEN 'high_years_signal_for_entry_target' END,
+                      CASE WHEN p4 THEN 'intern_signal_but_target_senior' END, CASE WHEN p5 THEN 'low_senior_signal_for_senior_target' END) AS plausibility_flags,
        least(100, greatest(0, 100 + CASE WHEN heur >= 0.6 THEN -10 WHEN heur <= 0.4 THEN 3 ELSE 0 END
              + CASE WHEN skills_found <= 5 THEN -25 WHEN skills_found <= 8 THEN -12 ELSE 0 END
              + CASE WHEN market_jobs < 50 THEN -25 WHEN market_jobs < 150 THEN -10 ELSE 0 END
@@ -219,6 +234,52 @@ def _(t):
     return out.select("doc_id", F.size("vector").alias("dims"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
 
 
+# Every third posting has its vector already; the others' hashed counts are compared bucket by bucket.
+@query("mat_13_embed_postings", f"""WITH {STRIP}, tk AS (SELECT job_id, unnest(regexp_extract_all(lower(model_text), '[a-z0-9]+')) AS w FROM mt JOIN f_postings USING (job_id) WHERE life_days % 3 <> 0),
+bu AS (SELECT job_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 256 AS b, count(*) AS n FROM tk GROUP BY 1, 2)
+SELECT job_id, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(n * n) AS BIGINT) AS squares, md5(string_agg(concat(b, '=', n), ',' ORDER BY b)) AS counts FROM bu GROUP BY 1""")
+def _(t):
+    rows = t.texts.join(t.roles, "role_id", "left")
+    out = V.embed_postings(rows, rows.filter("life_days % 3 = 0"), unit=False)
+    held = F.filter(F.transform("vector", lambda n, b: F.struct(b.alias("b"), n.cast("bigint").alias("n"))), lambda x: x["n"] > 0)
+    total = lambda f: F.aggregate("held", F.lit(0).cast("bigint"), lambda a, x: a + f(x["n"]))
+    listed = F.array_join(F.transform("held", lambda x: F.concat(x["b"].cast("string"), F.lit("="), x["n"].cast("string"))), ",")
+    return out.withColumn("held", held).select("job_id", total(lambda n: n).alias("tokens"), total(lambda n: n * n).alias("squares"), F.md5(listed).alias("counts"))
+
+
+LEVELS_OF = ["junior", "lead", "senior"]
+# Given probabilities in quarters and tenths, so that every zone and tie is met.
+CHANCES = "CASE life_days % 10 WHEN 0 THEN array(0.5D, 0.25D, 0.25D) WHEN 1 THEN array(0.25D, 0.5D, 0.25D) WHEN 2 THEN array(0.25D, 0.25D, 0.5D) WHEN 3 THEN array(0.4D, 0.3D, 0.3D) WHEN 4 THEN array(0.3D, 0.4D, 0.3D) WHEN 5 THEN array(0.2D, 0.2D, 0.6D) WHEN 6 THEN array(0.75D, 0.125D, 0.125D) WHEN 7 THEN array(0.1D, 0.2D, 0.7D) WHEN 8 THEN array(0.5D, 0.5D, 0.0D) ELSE array(0.34D, 0.33D, 0.33D) END"
+DECIDED = r"""ch AS (SELECT job_id, role_name, life_days % 10 AS c, CASE WHEN regexp_matches(lower(role_name), '\bjunior\b') THEN 'junior' WHEN regexp_matches(lower(role_name), '\bdirector\b') THEN 'lead' WHEN regexp_matches(lower(role_name), '\bsenior\b') THEN 'senior' END AS named FROM f_postings JOIN f_roles USING (role_id)),
+pb AS (SELECT *, CASE WHEN c IN (0, 3, 6, 8, 9) THEN 'junior' WHEN c IN (1, 4) THEN 'lead' ELSE 'senior' END AS top, CASE c WHEN 3 THEN 0.4 WHEN 4 THEN 0.4 WHEN 5 THEN 0.6 WHEN 6 THEN 0.75 WHEN 7 THEN 0.7 WHEN 9 THEN 0.34 ELSE 0.5 END AS conf FROM ch),
+rl AS (SELECT *, CASE WHEN named = 'junior' THEN 'title' WHEN top = 'junior' AND named IS NOT NULL THEN 'title_override' WHEN named IS NULL AND top <> 'lead' AND conf BETWEEN 0.4 AND 0.6 THEN 'mid_zone' WHEN named IS NULL AND conf < 0.5 THEN 'unsure' ELSE 'model' END AS rule FROM pb),
+dc AS (SELECT job_id, named, rule, CAST(conf AS DOUBLE) AS confidence, CASE WHEN rule IN ('title', 'title_override') THEN named WHEN rule IN ('mid_zone', 'unsure') THEN 'mid' ELSE top END AS level FROM rl)"""
+
+
+def decided(t):
+    rows = t.postings.join(t.roles, "role_id").select("job_id", "role_name", F.expr(CHANCES).alias("p"))
+    return rows.select("job_id", V.title_level(F.col("role_name")).alias("named"), V.decide_level(F.col("role_name"), F.col("p"), LEVELS_OF).alias("d")).select("job_id", "named", "d.rule", "d.confidence", "d.level")
+
+
+@query("mat_14_decide_level", f"WITH {DECIDED} SELECT * FROM dc")
+def _(t):
+    return decided(t)
+
+
+@query("mat_14_confusion", f"WITH {DECIDED} SELECT named, count(*) FILTER (WHERE level = 'junior') AS junior, count(*) FILTER (WHERE level = 'lead') AS lead, count(*) FILTER (WHERE level = 'senior') AS senior, count(*) FILTER (WHERE level = 'mid') AS mid FROM dc WHERE named IS NOT NULL GROUP BY 1")
+def _(t):
+    return V.confusion(decided(t).filter(F.col("named").isNotNull()), "named", "level", [*LEVELS_OF, "mid"])
+
+
+# Titles label the postings that name a level; all others get the model's verdict under the rules.
+@query("mat_14_predict_level")
+def _(t):
+    rows = t.texts.join(t.roles, "role_id")
+    vectors = cut_lineage(V.embed_postings(rows, rows.filter(F.lit(False))).join(rows.select("job_id", "role_name"), "job_id"))
+    model, _ = V.train_title_levels(vectors, "vector", "role_name", LEVELS_OF)
+    return V.predict_level(model, vectors, "job_id", "vector", "role_name", LEVELS_OF).select("job_id", "level", "rule")
+
+
 @query("mat_14_train_level")
 def _(t):
     model, report = V.train_level(t.base("embeddings"), "embedding", "label")
@@ -251,24 +312,43 @@ def _(t):
     return feeds.screen(feed_rows(t), "Acme", "acme")[2]
 
 
+FORMS = ("greenhouse", "lever", "ashby", "workday", "smartrecruiters", "amazon", "eightfold")
+FORM = "CASE CAST(substring(source_id, 5) AS BIGINT) % 7 " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(FORMS)) + " END"
+
+
 def captured(t):
-    p = t.postings.join(t.roles, "role_id")
-    gh = F.to_json(F.struct(F.col("source_id").alias("id"), F.col("role_name").alias("title"), F.col("job_url").alias("absolute_url"), F.col("posted_date").cast("string").alias("first_published"),
-                            F.concat(F.lit("<p>"), "description_text", F.lit("</p>")).alias("content"), F.struct(F.col("loc_city").alias("name")).alias("location")))
-    lv = F.to_json(F.struct(F.col("source_id").alias("id"), F.col("role_name").alias("text"), F.col("job_url").alias("hostedUrl"), F.col("workplace_type").alias("workplaceType"), F.col("description_text").alias("descriptionPlain"),
-                            F.struct(F.col("loc_city").alias("location"), F.lit("Full-time").alias("commitment")).alias("categories"),
-                            F.struct(F.col("salary_min").cast("double").alias("min"), F.col("salary_max").cast("double").alias("max"), F.lit("per-year-salary").alias("interval")).alias("salaryRange")))
-    as_ = F.to_json(F.struct(F.col("source_id").alias("id"), F.col("role_name").alias("title"), F.col("job_url").alias("jobUrl"), F.col("posted_date").cast("string").alias("publishedAt"), F.col("loc_city").alias("location"),
-                             F.lit("FullTime").alias("employmentType"), (F.col("workplace_type") == "remote").alias("isRemote")))
-    payload = F.when(F.col("ingestion_source") == "greenhouse", gh).when(F.col("ingestion_source") == "lever", lv).when(F.col("ingestion_source") == "ashby", as_)
-    return p.select(F.col("ingestion_source").alias("source"), F.col("crawl_tenant").alias("tenant"), F.col("company_id").alias("company"), payload.alias("payload"))
-
-
-@query("src_3_payloads", """SELECT ingestion_source AS source, concat(crawl_tenant, '|', source_id) AS source_id, role_name AS title, loc_city AS location, CASE WHEN ingestion_source = 'lever' THEN CAST(salary_max AS DOUBLE) END AS salary_max, CASE WHEN ingestion_source = 'lever' THEN 'year' END AS salary_period,
- CASE WHEN ingestion_source = 'lever' THEN workplace_type WHEN ingestion_source = 'ashby' AND workplace_type = 'remote' THEN 'remote' END AS workplace_type, CASE WHEN ingestion_source IN ('lever', 'ashby') THEN 'full-time' END AS employment_type, CASE WHEN ingestion_source IN ('greenhouse', 'ashby') THEN posted_date END AS posted_date
- FROM f_postings JOIN f_roles USING (role_id) WHERE ingestion_source IN ('greenhouse', 'lever', 'ashby')""")
+    """Every posting as one of the seven systems would have sent it."""
+    p = t.postings.join(t.roles, "role_id").withColumn("form", F.expr(FORM))
+    c, day = F.col, F.col("posted_date").cast("string")
+
+    def sent(**fields):
+        return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+
+    remote = c("workplace_type") == "remote"
+    bodies = {
+        "greenhouse": sent(id=c("source_id"), title=c("role_name"), absolute_url=c("job_url"), first_published=day, content=F.concat(F.lit("<p>"), "description_text", F.lit("</p>")), location=F.struct(c("loc_city").alias("name"))),
+        "lever": sent(id=c("source_id"), text=c("role_name"), hostedUrl=c("job_url"), workplaceType=c("workplace_type"), descriptionPlain=c("description_text"), categories=F.struct(c("loc_city").alias("location"), F.lit("Full-time").alias("commitment")),
+                      salaryRange=F.struct(c("salary_min").cast("double").alias("min"), c("salary_max").cast("double").alias("max"), F.lit("per-year-salary").alias("interval"))),
+        "ashby": sent(id=c("source_id"), title=c("role_name"), jobUrl=c("job_url"), publishedAt=day, location=c("loc_city"), employmentType=F.lit("FullTime"), isRemote=remote),
+        "workday": sent(title=c("role_name"), externalPath=c("job_url"), locationsText=c("loc_city"), bulletFields=F.array("source_id"), jobDescription=c("description_text"), remoteType=F.when(remote, "Fully Remote").when(c("workplace_type") == "onsite", "In Office").otherwise("Hybrid"),
+                        timeType=F.lit("Part time"), startDate=day),
+        "smartrecruiters": sent(id=c("source_id"), name=c("role_name"), ref=c("job_url"), releasedDate=F.concat(day, F.lit("T08:00:00Z")), location=F.struct(c("loc_city").alias("city"), c("loc_state").alias("region"), F.lit("us").alias("country"), remote.alias("remote")), typeOfEmployment=F.struct(F.lit("Intern").alias("label")),
+                                jobAd=F.struct(c("description_text").alias("text"))),
+        "amazon": sent(id_icims=c("source_id"), title=c("role_name"), job_path=c("source_id"), posted_date=F.date_format("posted_date", "MMMM d, yyyy"), normalized_location=c("loc_city"), description=c("description_text"), job_schedule_type=F.lit("Contract")),
+        "eightfold": sent(id=c("source_id"), name=c("role_name"), canonicalPositionUrl=c("job_url"), t_create=F.date_format("posted_date", "MM/dd/yyyy"), location=c("loc_city"), job_description=c("description_text"), work_location_option=c("workplace_type")),
+    }
+    payload = F.coalesce(*[F.when(c("form") == f, body) for f, body in bodies.items()])
+    return p.select(c("form").alias("source"), c("crawl_tenant").alias("tenant"), c("company_id").alias("company"), payload.alias("payload"))
+
+
+@query("src_3_payloads", f"""WITH f AS (SELECT *, {FORM} AS form FROM f_postings JOIN f_roles USING (role_id))
+SELECT form AS source, concat(crawl_tenant, '|', source_id) AS source_id, role_name AS title, CASE WHEN form = 'smartrecruiters' THEN concat_ws(', ', loc_city, loc_state, 'US') ELSE loc_city END AS location,
+ CASE WHEN form = 'lever' THEN CAST(salary_max AS DOUBLE) END AS salary_max, CASE WHEN form = 'lever' THEN 'year' END AS salary_period,
+ CASE WHEN form IN ('lever', 'workday', 'eightfold') OR (form IN ('ashby', 'smartrecruiters') AND workplace_type = 'remote') THEN workplace_type END AS workplace_type,
+ CASE form WHEN 'lever' THEN 'full-time' WHEN 'ashby' THEN 'full-time' WHEN 'workday' THEN 'part-time' WHEN 'smartrecruiters' THEN 'internship' WHEN 'amazon' THEN 'contract' END AS employment_type,
+ CASE WHEN form <> 'lever' THEN posted_date END AS posted_date, CASE WHEN form = 'amazon' THEN concat('https://www.amazon.jobs', source_id) ELSE job_url END AS job_url FROM f""")
 def _(t):
-    return payloads.normalize_all(captured(t)).select("source", "source_id", "title", "location", "salary_max", "salary_period", "workplace_type", "employment_type", "posted_date")
+    return payloads.normalize_all(captured(t)).select("source", "source_id", "title", "location", "salary_max", "salary_period", "workplace_type", "employment_type", "posted_date", "job_url")
 
 
 def jsonld_pages(t):

@@ -228,22 +228,39 @@ def _(t):
     return t.texts.select("job_id", X.company_type(F.col("description_text"), [("staffing", "agency"), ("private", r"\bthe group\b")]).alias("company_type"))
 
 
-RAW_PLACE = "CASE life_days % 8 WHEN 0 THEN concat_ws(', ', loc_city, loc_state) WHEN 1 THEN 'Remote' WHEN 2 THEN 'Springfield, Illinois' WHEN 3 THEN 'Bangalore, IN' WHEN 4 THEN 'Chicago, IL, United States' WHEN 5 THEN 'Remote - US' WHEN 6 THEN 'California' ELSE 'Atlantis' END"
-PLACE = f"""pl AS (SELECT job_id, loc_country, loc_state, loc_city, workplace_type, life_days % 8 AS v, {RAW_PLACE} AS raw FROM f_postings),
-nl AS (SELECT *, CASE v WHEN 0 THEN CASE WHEN loc_state IS NULL THEN NULL ELSE loc_city END WHEN 2 THEN 'Springfield' WHEN 3 THEN 'Bangalore' WHEN 4 THEN 'Chicago' WHEN 7 THEN 'Atlantis' END AS city,
- CASE v WHEN 0 THEN CASE WHEN loc_state <> 'ON' THEN upper(loc_state) END WHEN 2 THEN 'IL' WHEN 4 THEN 'IL' WHEN 6 THEN 'CA' END AS state,
- CASE v WHEN 0 THEN CASE WHEN loc_state IS NULL THEN 'unknown' WHEN loc_state = 'ON' THEN 'foreign' ELSE 'US' END WHEN 1 THEN 'unknown' WHEN 3 THEN 'foreign' WHEN 7 THEN 'unknown' ELSE 'US' END AS country,
+# What a posting says of its place, with the city, state and country to be read from it.
+PLACES = [
+    ("Remote", None, None, "unknown"), ("Springfield, Illinois", "Springfield", "IL", "US"), ("Bangalore, IN", "Bangalore", None, "foreign"), ("Chicago, IL, United States", "Chicago", "IL", "US"),
+    ("Remote - US", None, None, "US"), ("California", None, "CA", "US"), ("Atlantis", "Atlantis", None, "unknown"), ("Paris, TX", "Paris", "TX", "US"), ("Dublin, OH", "Dublin", "OH", "US"),
+    ("London, KY", "London", "KY", "US"), ("Manchester, New Hampshire", "Manchester", "NH", "US"), ("Melbourne, FL", "Melbourne", "FL", "US"), ("Gary, IN", "Gary", "IN", "US"),
+    ("San Francisco Bay Area", "San Francisco", "CA", "US"), ("NYC", "New York", "NY", "US"), ("Greater Boston", "Boston", "MA", "US"), ("New London", "New London", "CT", "US"), ("Porto", "Porto", None, "foreign"),
+    ("Aarhus, Denmark", "Aarhus", None, "foreign"), ("Basel", "Basel", None, "foreign"), ("Austin TX", "Austin", "TX", "US"), ("US-CA-San Diego", "San Diego", "CA", "US"), ("Remote, Canada", "Canada", None, "foreign"),
+]
+_N = len(PLACES) + 1
+RAW_PLACE = f"CASE life_days % {_N} " + " ".join(f"WHEN {i} THEN '{raw}'" for i, (raw, *_) in enumerate(PLACES, 1)) + " ELSE concat_ws(', ', loc_city, loc_state) END"
+
+
+def _read(field: int) -> str:
+    return " ".join(f"WHEN {i} THEN '{p[field]}'" for i, p in enumerate(PLACES, 1) if p[field])
+
+
+# The fixture's own columns give Brooklyn, NY or Toronto, ON; a place without a state is "Remote".
+PLACE = f"""pl AS (SELECT job_id, loc_country, loc_state, loc_city, workplace_type, life_days % {_N} AS v, {RAW_PLACE} AS raw FROM f_postings),
+nl AS (SELECT *, CASE v {_read(1)} WHEN 0 THEN CASE WHEN loc_state IS NOT NULL THEN loc_city END END AS city,
+ CASE v {_read(2)} WHEN 0 THEN CASE WHEN loc_state <> 'ON' THEN upper(loc_state) END END AS state,
+ CASE v {_read(3)} WHEN 0 THEN CASE WHEN loc_state IS NULL THEN 'unknown' WHEN loc_state = 'ON' THEN 'foreign' ELSE 'US' END END AS country,
  raw LIKE '%Remote%' OR workplace_type = 'remote' AS is_remote FROM pl)"""
 
 
 @query("txt_16_normalize_location", f"WITH {PLACE} SELECT job_id, city, state, country, is_remote FROM nl")
 def _(t):
-    return t.texts.select("job_id", places.normalize_location(F.expr(RAW_PLACE), F.col("workplace_type")).alias("p")).select("job_id", "p.city", "p.state", "p.country", "p.is_remote")
+    rows = t.texts.select("job_id", "workplace_type", F.expr(RAW_PLACE).alias("raw_place"))
+    return places.normalize_locations(rows, "raw_place", "workplace_type", places.gazetteer(t.spark)).select("job_id", "place.city", "place.state", "place.country", "place.is_remote")
 
 
 @query("txt_17_repair_locations", f"WITH {PLACE}, fx AS (SELECT *, coalesce(loc_country, 'unknown') IN ('unknown', '') AND country IN ('US', 'foreign') AS fixed FROM nl) SELECT job_id, CASE WHEN fixed THEN country ELSE loc_country END AS loc_country, CASE WHEN fixed THEN coalesce(state, loc_state) ELSE loc_state END AS loc_state, CASE WHEN fixed THEN coalesce(city, loc_city) ELSE loc_city END AS loc_city, CASE WHEN fixed THEN raw END AS evidence FROM fx")
 def _(t):
-    out = places.repair_locations(t.texts.withColumn("raw_place", F.expr(RAW_PLACE)), "raw_place")
+    out = places.repair_locations(t.texts.withColumn("raw_place", F.expr(RAW_PLACE)), "raw_place", places.gazetteer(t.spark))
     return out.select("job_id", "loc_country", "loc_state", "loc_city", F.col("location_evidence.raw").alias("evidence"))
 
 
@@ -257,7 +274,16 @@ def _(t):
     return B.find_boilerplate(t.texts, "company_id", "description_text")
 
 
-@query("txt_19_strip_boilerplate")
+# The span of a repeated chunk goes from its anchor, its first eight words, on; the fixture's texts hold an anchor once and no two blanks in a row.
+STRIP = CHUNKS + r""",
+an AS (SELECT company_id, chunk, array_to_string(list_slice(string_split(chunk, ' '), 1, 8), ' ') AS anchor FROM bp WHERE len(string_split(chunk, ' ')) >= 5),
+sn AS (SELECT job_id, list(p) AS starts, list(p + length(chunk) + 50) AS ends FROM (SELECT job_id, chunk, instr(replace(lower(description_text), chr(10), ' '), anchor) AS p FROM f_postings JOIN an USING (company_id)) q WHERE p > 0 GROUP BY 1),
+st AS (SELECT p.job_id, role_id, company_id, CASE WHEN starts IS NULL THEN description_text ELSE trim(regexp_replace(array_to_string(list_transform(list_filter(range(1, length(description_text) + 1),
+        lambda i: len(list_filter(range(1, len(starts) + 1), lambda k: starts[k] <= i AND i < ends[k])) = 0), lambda i: substr(description_text, i, 1)), ''), '\s+', ' ', 'g')) END AS stripped_text FROM f_postings p LEFT JOIN sn USING (job_id)),
+mt AS (SELECT job_id, stripped_text, left(coalesce(role_name, ''), 200) || '. ' || left(stripped_text, 2500 - length(left(coalesce(role_name, ''), 200)) - 2) AS model_text FROM st LEFT JOIN f_roles USING (role_id))"""
+
+
+@query("txt_19_strip_boilerplate", f"WITH {STRIP} SELECT * FROM mt")
 def _(t):
     rows = t.texts.select("job_id", "company_id", "role_id", "description_text").join(t.roles, "role_id", "left")
     out = B.strip_boilerplate(rows, B.find_boilerplate(t.texts, "company_id", "description_text"), "job_id", "company_id", "description_text")

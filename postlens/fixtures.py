@@ -132,7 +132,8 @@ SELECT o_orderkey AS run_id, CASE o_orderkey % 4 WHEN 0 THEN 'greenhouse' WHEN 1
        CASE WHEN o_orderkey % 6 = 5 THEN 'partial_failure' ELSE 'complete_nonzero' END AS crawl_status,
        CASE WHEN o_orderkey % 7 = 3 THEN 1 ELSE 0 END AS errors,
        o_orderkey % 400 AS jobs_fetched, o_orderkey % 300 AS jobs_written, o_orderkey % 11 = 0 AS checkpoint_sweep,
-       concat('detail-', o_orderkey) AS detail
+       concat('detail-', o_orderkey) AS detail, o_orderkey % 2 = 0 AS degraded,
+       CASE WHEN o_orderkey % 37 <> 0 THEN concat('N', year(CAST(o_orderdate AS DATE))) END AS orchestration_id
 FROM orders
 """
 
@@ -217,6 +218,13 @@ SELECT concat('H', s_suppkey) AS host_id, CASE s_suppkey % 3 WHEN 0 THEN 'jsonld
 FROM supplier
 """
 
+# One crawl of a host per order.
+VIEWS["f_host_runs"] = """
+SELECT o_orderkey AS run_id, concat('H', o_custkey % 100) AS host_id, CAST(o_orderdate AS DATE) AS started_on,
+       CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderkey % 60 END AS accepted_jobs, o_orderkey % 5 AS identity_mismatches, o_orderkey % 8 AS foreign_rejections
+FROM orders
+"""
+
 _ORDER = list(VIEWS)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import rounded
 from ..functions.text import words
+from ..session import cut_lineage
 from .relational import dedupe_best, empirical_percentile, top_per_group, trimmed_mean
 from .skills import match_aliases
 from .vectors import block_join, top_indexes
@@ -121,40 +122,68 @@ def match_jobs(resumes: DataFrame, jobs: DataFrame, resume_skills: DataFrame, jo
     return top_per_group(found, ["resume_id"], [F.col("match_score").desc(), F.col("skill_overlap").desc(), F.col("job_id")], k, rank_as="place")
 
 
+def fold_resumes(resumes: DataFrame, resume_skills: DataFrame, *by: Column) -> tuple[DataFrame, DataFrame]:
+    """(members, profiles): resumes that a score by skills and ``by`` cannot tell apart are one profile.
+
+    members has resume_id and profile; profiles has profile, the columns of ``by`` and skills,
+    a sorted array that the taxonomy bounds.  Only resumes with a skill have a profile.
+    """
+    keyed = resumes.select("resume_id", F.struct(*by, F.lit(1).alias("_")).alias("_by")).join(resume_skills.groupBy("resume_id").agg(F.array_sort(F.collect_set("skill_id")).alias("skills")), "resume_id")
+    named = keyed.withColumn("profile", F.md5(F.to_json(F.struct("_by", "skills"))))
+    profiles = named.groupBy("profile").agg(F.first("_by").alias("_by"), F.first("skills").alias("skills")).select("profile", "_by.*", "skills").drop("_")
+    return named.select("resume_id", "profile"), profiles
+
+
 def skill_gaps(resumes: DataFrame, jobs: DataFrame, resume_skills: DataFrame, job_skills: DataFrame, top_n: int = 5, min_unlocks: int = MIN_UNLOCKS) -> DataFrame:
     """Missing skills that would complete postings a resume nearly covers.
 
-    Cells emit counts per (resume, skill, pay), not resume–posting pairs.
+    A posting of n skills counts if its resume holds at least ``GAP_COVERAGE`` of the n - 1
+    others, so of its n - need + 1 rarest skills it holds one.  Profiles and postings are
+    joined on those; a pair that shares several is taken at the first one, then counted in full.
     """
-    left = with_sets(resumes.select("resume_id", _level_number(F.col("exp_level")).alias("lvl")), resume_skills, "resume_id")
-    right = with_sets(jobs.select("job_id", _level_number(F.col("experience_level")).alias("jl"), F.coalesce("salary_max_annual", "salary_min_annual").cast("double").alias("pay")), job_skills, "job_id")
-
-    def count(r: pd.DataFrame, j: pd.DataFrame) -> pd.DataFrame:
-        both, _, wanted, ids = _overlaps(r["skill_ids"], j["skill_ids"])
-        n = j["skill_ids"].map(len).to_numpy(float)[None, :]
-        rl, jl = r["lvl"].to_numpy(float, na_value=np.nan)[:, None], j["jl"].to_numpy(float, na_value=np.nan)[None, :]
-        near = np.isnan(rl) | (np.abs(rl - jl) <= 1)
-        current = near & (both / n >= GAP_COVERAGE)
-        unlocks = near & (n >= 2) & (both < n) & (both / np.maximum(n - 1, 1) >= GAP_COVERAGE)
-        pay, keys, out = j["pay"].to_numpy(float, na_value=np.nan), r["resume_id"].to_numpy(), []
-        for i, own in enumerate(r["skill_ids"]):
-            have = set(own)
-            for col in np.nonzero(current[i])[0]:
-                out.append((keys[i], None, pay[col]))
-            for col in np.nonzero(unlocks[i])[0]:
-                out += [(keys[i], ids[s], pay[col]) for s in np.nonzero(wanted[col])[0] if ids[s] not in have]
-        frame = pd.DataFrame(out, columns=["resume_id", "skill_id", "pay"])
-        return frame.groupby(["resume_id", "skill_id", "pay"], dropna=False).size().rename("n").reset_index().replace({np.nan: None})
-
-    counts = block_join(left, right, "resume_id", "job_id", count, "resume_id string, skill_id string, pay double, n long", left_block=1024)
+    members, profiles = fold_resumes(resumes, resume_skills, _level_number(F.col("exp_level")).alias("lvl"))
+    profiles = cut_lineage(profiles)
+    wanted = job_skills.select("job_id", "skill_id").distinct()
+    held = wanted.groupBy("skill_id").agg(F.count(F.lit(1)).alias("_c"))
+    sets = wanted.join(held, "skill_id").groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("_c", "skill_id"))).alias("s")).select("job_id", F.col("s.skill_id").alias("wants"), F.size("s").alias("n"))
+    need = F.greatest(F.ceil((F.col("n") - 1) * GAP_COVERAGE - 1e-9), F.lit(1)).cast("int")
+    facts = jobs.select("job_id", _level_number(F.col("experience_level")).alias("jl"), F.coalesce("salary_max_annual", "salary_min_annual").cast("double").alias("pay")).join(sets, "job_id")
+    rare = facts.withColumn("rare", F.slice("wants", F.lit(1), F.col("n") - need + 1))
+    met = rare.withColumn("skill_id", F.explode("rare")).join(profiles.withColumn("skill_id", F.explode("skills")), "skill_id")
+    once = met.filter(F.col("skill_id") == F.element_at(F.array_intersect("rare", "skills"), 1)).filter(F.col("lvl").isNull() | (F.abs(F.col("lvl") - F.col("jl")) <= 1))
+    both = F.size(F.array_intersect("wants", "skills"))
+    counted = once.withColumn("both", both)
+    current = F.col("both") >= F.col("n") * GAP_COVERAGE - 1e-9
+    unlocks = (F.col("n") >= 2) & (F.col("both") < F.col("n")) & (F.col("both") >= (F.col("n") - 1) * GAP_COVERAGE - 1e-9)
+    none = F.array().cast("array<string>")
+    kinds = F.concat(F.when(current, F.array(F.lit(None).cast("string"))).otherwise(none), F.when(unlocks, F.array_except("wants", "skills")).otherwise(none))
+    counts = counted.select("profile", "pay", F.explode(kinds).alias("skill_id")).groupBy("profile", "skill_id", "pay").agg(F.count(F.lit(1)).alias("n"))
     paid = F.when(F.col("pay").isNotNull(), F.col("n")).otherwise(0)
-    per = counts.groupBy("resume_id", "skill_id").agg(F.sum("n").alias("unlock_count"), F.percentile(F.coalesce("pay", F.lit(0.0)), 0.5, paid).alias("median_pay"), F.sum(paid).alias("_paid"))
-    per = per.withColumn("median_pay", F.when(F.col("_paid") > 0, F.col("median_pay"))).drop("_paid")
-    now = per.filter(F.col("skill_id").isNull()).select("resume_id", F.col("median_pay").alias("current_median"))
-    gaps = per.filter(F.col("skill_id").isNotNull() & (F.col("unlock_count") >= min_unlocks)).join(now, "resume_id", "left").select(
-        "resume_id", "skill_id", "unlock_count", rounded(F.col("current_median"), 1).alias("current_median_salary"), rounded(F.col("median_pay"), 1).alias("unlock_median_salary"),
+    per = counts.groupBy("profile", "skill_id").agg(F.sum("n").alias("unlock_count"), F.percentile(F.coalesce("pay", F.lit(0.0)), 0.5, paid).alias("median_pay"), F.sum(paid).alias("_paid"))
+    per = cut_lineage(per.withColumn("median_pay", F.when(F.col("_paid") > 0, F.col("median_pay"))).drop("_paid"))
+    now = per.filter(F.col("skill_id").isNull()).select("profile", F.col("median_pay").alias("current_median"))
+    gaps = per.filter(F.col("skill_id").isNotNull() & (F.col("unlock_count") >= min_unlocks)).join(now, "profile", "left").select(
+        "profile", "skill_id", "unlock_count", rounded(F.col("current_median"), 1).alias("current_median_salary"), rounded(F.col("median_pay"), 1).alias("unlock_median_salary"),
         rounded(F.col("median_pay") - F.col("current_median"), 1).alias("salary_delta"))
-    return top_per_group(gaps, ["resume_id"], [F.col("unlock_count").desc(), F.coalesce("salary_delta", F.lit(0.0)).desc(), F.col("skill_id")], top_n, rank_as="place")
+    best = top_per_group(gaps, ["profile"], [F.col("unlock_count").desc(), F.coalesce("salary_delta", F.lit(0.0)).desc(), F.col("skill_id")], top_n, rank_as="place")
+    return members.join(best, "profile").drop("profile")
+
+
+def skill_neighbours(resumes: DataFrame, jobs: DataFrame, resume_skills: DataFrame, job_skills: DataFrame, eligible: DataFrame, nearest: int = 2_000, keep: int = 200) -> DataFrame:
+    """(resume_id, job_id, similarity): the ``nearest`` postings by cosine of the skill vectors, cut to eligible ones, then to ``keep``.
+
+    Only postings with a shared skill are near; inverted lists by skill give the products.
+    """
+    members, profiles = fold_resumes(resumes, resume_skills)
+    wanted = jobs.select("job_id").join(job_skills.select("job_id", "skill_id").distinct(), "job_id")
+    sizes = wanted.groupBy("job_id").agg(F.count(F.lit(1)).alias("_nj"))
+    listed = profiles.select("profile", F.explode("skills").alias("skill_id"), F.size("skills").alias("_np"))
+    shared = listed.join(wanted, "skill_id").groupBy("profile", "job_id", "_np").agg(F.count(F.lit(1)).alias("_o"))
+    near = shared.join(sizes, "job_id").select("profile", "job_id", (F.col("_o") / F.sqrt((F.col("_nj") * F.col("_np")).cast("double"))).alias("similarity"))
+    order = [F.col("similarity").desc(), F.col("job_id")]
+    first = top_per_group(near, ["profile"], order, nearest, rank_as="_p").drop("_p")
+    best = top_per_group(first.join(eligible.select("job_id"), "job_id", "left_semi"), ["profile"], order, keep, rank_as="_p").drop("_p")
+    return members.join(best, "profile").drop("profile")
 
 
 # ---- resume text -----------------------------------------------------------------------------
@@ -257,29 +286,41 @@ def market_fit(resumes: DataFrame, resume_skills: DataFrame, weights: DataFrame,
         "resume_id", market, "cohort", rounded(F.coalesce("_mine", F.lit(0.0)) / F.col("_total") * 100, 0).alias("market_fit"))
 
 
+def score_floors(lists: DataFrame, profiles: DataFrame, k: int, market: str) -> DataFrame:
+    """(profile, floor): a weight that ``k`` postings of the market reach for sure.
+
+    Skills and pairs of skills held by ``k`` postings vouch for it; their counts are bounded by
+    the taxonomy squared, and are folded before they are shuffled.
+    """
+    each = lists.select(market, "wants").withColumn("a", F.explode("wants")).withColumn("b", F.explode("wants")).filter("a.skill_id <= b.skill_id")
+    often = each.groupBy(market, F.col("a.skill_id").alias("a"), F.col("b.skill_id").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(F.when(F.col("a.skill_id") == F.col("b.skill_id"), F.col("a.weight")).otherwise(F.col("a.weight") + F.col("b.weight"))).alias("w")).filter(F.col("n") >= k)
+    pairs = profiles.select("profile", market, "skills").withColumn("a", F.explode("skills")).withColumn("b", F.explode("skills")).filter("a <= b")
+    return pairs.join(often, [market, "a", "b"]).groupBy("profile").agg(F.max("w").alias("floor"))
+
+
 def weighted_job_matches(resumes: DataFrame, jobs: DataFrame, resume_skills: DataFrame, job_skills: DataFrame, weights: DataFrame, k: int = TOP_JOBS, market: str = "domain") -> DataFrame:
-    """Postings of the resume's market by the weight of the shared skills, best ``k``."""
-    weighted = job_skills.join(jobs.filter(F.col(market).isNotNull()).select("job_id", market), "job_id").join(weights.select(market, "skill_id", "weight"), [market, "skill_id"])
-    right = weighted.groupBy("job_id", market).agg(F.collect_list(F.struct("skill_id", "weight")).alias("skills"))
-    left = with_sets(resumes.select("resume_id", F.col("target_domain").alias(market)), resume_skills, "resume_id")
+    """Postings of the resume's market by the weight of the shared skills, best ``k``.
 
-    def score(r: pd.DataFrame, j: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted({s for sets in r["skill_ids"] for s in sets})
-        index = {s: i for i, s in enumerate(ids)}
-        have = _incidence(r["skill_ids"], index).astype(np.float64)
-        worth = np.zeros((len(j), len(ids)))
-        for i, pairs in enumerate(j["skills"]):
-            for p in pairs:
-                if p["skill_id"] in index:
-                    worth[i, index[p["skill_id"]]] += p["weight"]
-        total = _floor_round(have @ worth.T, 6)
-        total = np.where(r[market].to_numpy()[:, None] == j[market].to_numpy()[None, :], total, 0.0)
-        rows, cols = top_indexes(total, k)
-        keep = total[rows, cols] > 0
-        return pd.DataFrame({"resume_id": r["resume_id"].to_numpy()[rows], "job_id": j["job_id"].to_numpy()[cols], "match_weight": total[rows, cols]})[keep]
-
-    found = block_join(left, right, "resume_id", "job_id", score, "resume_id string, job_id string, match_weight double", left_block=1024)
-    return top_per_group(found, ["resume_id"], [F.col("match_weight").desc(), F.col("job_id")], k, rank_as="place")
+    Inverted lists by (market, skill).  ``k`` postings reach a profile's floor, so one that only
+    shares skills which together weigh less cannot be among them: only the other lists are
+    joined.  A posting in several of them is taken at the first one and scored in full.
+    """
+    worth = weights.select(market, "skill_id", "weight")
+    posted = job_skills.select("job_id", "skill_id").join(jobs.filter(F.col(market).isNotNull()).select("job_id", market), "job_id").join(worth, [market, "skill_id"])
+    lists = cut_lineage(posted.groupBy("job_id", market).agg(F.collect_list(F.struct("skill_id", "weight")).alias("wants")))
+    members, profiles = fold_resumes(resumes, resume_skills, F.col("target_domain").alias(market))
+    profiles = cut_lineage(profiles)
+    floors = score_floors(lists, profiles, k, market)
+    light = Window.partitionBy("profile").orderBy("weight", "skill_id").rowsBetween(Window.unboundedPreceding, 0)
+    valued = profiles.withColumn("skill_id", F.explode("skills")).join(worth, [market, "skill_id"]).join(floors, "profile", "left")
+    heavy = valued.withColumn("upto", F.sum("weight").over(light)).filter(F.col("upto") + 2e-6 >= F.coalesce("floor", F.lit(0.0)))
+    heavy = heavy.groupBy("profile", market, "skills").agg(F.array_sort(F.collect_list("skill_id")).alias("heavy"))
+    met = lists.withColumn("skill_id", F.explode("wants.skill_id")).join(heavy.withColumn("skill_id", F.explode("heavy")), [market, "skill_id"])
+    once = met.filter(F.col("skill_id") == F.element_at(F.array_intersect("heavy", "wants.skill_id"), 1))
+    total = F.aggregate(F.filter("wants", lambda w: F.array_contains(F.col("skills"), w["skill_id"])), F.lit(0.0), lambda t, w: t + w["weight"])
+    scored = once.select("profile", "job_id", (F.floor(total * 1e6 + 0.5) / 1e6).alias("match_weight")).filter("match_weight > 0")
+    best = top_per_group(scored, ["profile"], [F.col("match_weight").desc(), F.col("job_id")], k, rank_as="place")
+    return members.join(best, "profile").select("resume_id", "job_id", "match_weight", "place")
 
 
 def typed_gaps(resumes: DataFrame, resume_skills: DataFrame, weights: DataFrame, top_n: int = TOP_GAPS, market: str = "domain") -> DataFrame:
@@ -312,36 +353,56 @@ def resume_estimates(matches: DataFrame, jobs: DataFrame, honesty: DataFrame, fi
 
 # Skills that few beginners have: default of an argument.
 SENIOR_STACK = ("distributed systems", "capacity planning", "system design", "incident response")
-
-
-def resume_confidence(df: DataFrame, text: str = "resume_text", level: str = "exp_level", senior_stack: tuple[str, ...] = SENIOR_STACK, skills: str = "skill_names") -> DataFrame:
-    """Plausibility of the target level and confidence in the scores, with reasons.
+# The level aimed at, a signal of the resume that speaks against it, points, flag; and the most points in all.
+LEVEL_SIGNALS = (
+    ("entry", "senior_title", 8, "resume_senior_title_but_target_entry"),
+    ("entry", "senior_stack", 8, "senior_stack_signal_for_entry_target"),
+    ("entry", "many_years", 6, "high_years_signal_for_entry_target"),
+    ("senior", "intern", 10, "intern_signal_but_target_senior"),
+    ("senior", "no_senior_signal", 6, "low_senior_signal_for_senior_target"),
+)
+MOST_PENALTY, STACK_HITS = 25, 3
+# A measure, from, below, points, flag.  The first band of a measure that holds counts.
+CONFIDENCE_BANDS = (
+    ("heuristic_share", 0.60, None, -10, "skills_mostly_heuristic"),
+    ("supported_share", 0.60, None, 3, "skills_mostly_high_confidence_sources"),
+    ("skills_found", None, 6, -25, "low_skills_extracted"),
+    ("skills_found", 6, 9, -12, "modest_skills_extracted"),
+    ("market_jobs", None, 50, -25, "small_market_sample"),
+    ("market_jobs", 50, 150, -10, "medium_market_sample"),
+    ("coverage", None, 0.20, -20, "low_market_match_coverage"),
+    ("coverage", 0.20, 0.50, -8, "medium_market_match_coverage"),
+    ("salary_estimates", None, 1, -10, "salary_estimate_missing"),
+)
+
+
+def scored_rules(rules: list[tuple[Column, int, str]]) -> tuple[Column, Column]:
+    """Sum of the points and names of the rules that hold; a rule that is null does not."""
+    points = sum((F.when(c, p).otherwise(0) for c, p, _ in rules), F.lit(0))
+    return points, F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, _, name in rules]))
+
+
+def in_band(value: Column, low, high) -> Column:
+    return (F.lit(True) if low is None else value >= low) & (value.isNotNull() if high is None else value < high)
+
+
+def resume_confidence(df: DataFrame, text: str = "resume_text", level: str = "exp_level", senior_stack: tuple[str, ...] = SENIOR_STACK, skills: str = "skill_names",
+                      signals: tuple = LEVEL_SIGNALS, bands: tuple = CONFIDENCE_BANDS) -> DataFrame:
+    """Plausibility of the target level and confidence in the scores, with reasons; both rule tables are arguments.
 
     The senior stack is looked up in the extracted ``skills`` (an array of names), not in the
     text.  Expects ``skills_found``, ``heuristic_share``, ``market_jobs``, ``matched_jobs``, ``salary_est_min``, ``salary_est_max``.
     """
     low = F.lower(text)
-    intern = low.rlike(r"\b(intern|internship|student)\b")
-    senior = low.rlike(r"\b(senior|sr|lead|principal|staff)\b")
-    stack = F.size(F.array_intersect(F.transform(F.coalesce(F.col(skills), F.array().cast("array<string>")), F.lower), F.array(*[F.lit(s) for s in senior_stack])))
-    many_years = low.rlike(r"\b(5|6|7|8|10)\+") & low.contains("years")
-    entry, top = F.col(level) == "entry", F.col(level) == "senior"
-    plaus = [(entry & senior, 8, "senior_title_for_entry"), (entry & (stack >= 3), 8, "senior_stack_for_entry"), (entry & ~intern & many_years, 6, "many_years_for_entry"),
-             (top & intern, 10, "intern_signal_for_senior"), (top & ~senior & (stack == 0), 6, "weak_senior_signal")]
-    n, jobs_, cover = F.col("skills_found"), F.col("market_jobs"), F.col("matched_jobs") / F.nullif(F.col("market_jobs"), F.lit(0))
-    conf = [(F.col("heuristic_share") >= 0.60, -10, "skills_mostly_heuristic"), (F.col("heuristic_share") <= 0.40, 3, "skills_well_supported"),
-            (n <= 5, -25, "few_skills"), ((n > 5) & (n <= 8), -12, "modest_skills"), (jobs_ < 50, -25, "small_market"), ((jobs_ >= 50) & (jobs_ < 150), -10, "medium_market"),
-            (cover < 0.20, -20, "low_coverage"), ((cover >= 0.20) & (cover < 0.50), -8, "medium_coverage"), (F.col("salary_est_min").isNull() & F.col("salary_est_max").isNull(), -10, "no_salary_estimate")]
-
-    def total(rules) -> Column:
-        return sum((F.when(F.coalesce(c, F.lit(False)), p).otherwise(0) for c, p, _ in rules), F.lit(0))
-
-    def names(rules) -> Column:
-        return F.array_compact(F.array(*[F.when(c, F.lit(x)) for c, _, x in rules]))
-
-    return df.withColumns({
-        "plausibility_penalty": F.least(total(plaus), F.lit(25)), "plausibility_flags": names(plaus),
-        "confidence_score": F.greatest(F.least(F.lit(100) + total(conf), F.lit(100)), F.lit(0)), "confidence_flags": names(conf)})
+    title, intern = low.rlike(r"\b(senior|sr|lead|principal|staff)\b"), low.rlike(r"\b(intern|internship|student)\b")
+    held = F.size(F.array_intersect(F.transform(F.coalesce(F.col(skills), F.array().cast("array<string>")), F.lower), F.array(*[F.lit(s) for s in senior_stack])))
+    found = {"senior_title": title, "senior_stack": held >= STACK_HITS, "many_years": ~intern & low.rlike(r"\b(5|6|7|8|10)\+") & low.contains("years"), "intern": intern, "no_senior_signal": ~title & (held == 0)}
+    measures = {"heuristic_share": F.col("heuristic_share"), "supported_share": 1 - F.col("heuristic_share"), "skills_found": F.col("skills_found"), "market_jobs": F.col("market_jobs"),
+                "coverage": F.col("matched_jobs") / F.nullif(F.col("market_jobs"), F.lit(0)), "salary_estimates": F.col("salary_est_min").isNotNull().cast("int") + F.col("salary_est_max").isNotNull().cast("int")}
+    penalty, penalty_flags = scored_rules([((F.col(level) == aim) & found[signal], points, flag) for aim, signal, points, flag in signals])
+    change, flags = scored_rules([(in_band(measures[m], lo, hi), points, flag) for m, lo, hi, points, flag in bands])
+    return df.withColumns({"plausibility_penalty": F.least(penalty, F.lit(MOST_PENALTY)), "plausibility_flags": penalty_flags,
+                           "confidence_score": F.greatest(F.least(change + 100, F.lit(100)), F.lit(0)), "confidence_flags": flags})
 
 
 def resume_dashboard(resumes: DataFrame, scores: DataFrame) -> DataFrame:

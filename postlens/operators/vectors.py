@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -95,32 +95,56 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, prefilter: int | None = N
     return top_per_group(allowed, ["query_id"], order, k, rank_as="place")
 
 
-def ann(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", item_id: str = "item_id", vector: str = "vector",
-        tables: int = 8, bucket: float = 0.5) -> DataFrame:
-    """Approximate neighbours: random-projection buckets, then exact re-ranking.
-
-    Queries and items meet by equality on (table, bucket); a pair found in
-    several tables is scored once.
+def sign_codes(df: DataFrame, key: str, vector: str, bits: int, seed: int) -> DataFrame:
+    """key, vector (as doubles, unit length) and code_0..: the signs of ``bits`` random projections, 64 to a long."""
+    words = bits // 64
+
+    def run(frames):
+        plane = None
+        for frame in frames:
+            if frame.empty:
+                continue
+            unit = unit_rows(frame["vector"])
+            if plane is None:
+                plane = np.random.default_rng(seed).standard_normal((unit.shape[1], bits))
+            codes = np.packbits(unit @ plane > 0, axis=1).view(np.int64)
+            yield pd.DataFrame({key: frame[key], "vector": list(unit), **{f"code_{i}": codes[:, i] for i in range(words)}})
+
+    kind = dict(df.dtypes)[key]
+    rows = df.filter(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("vector"))
+    return rows.mapInPandas(run, f"{key} {kind}, vector array<double>, " + ", ".join(f"code_{i} long" for i in range(words)))
+
+
+def ann_candidates(queries: DataFrame, corpus: DataFrame, query_id: str = "query_id", item_id: str = "item_id", vector: str = "vector",
+                   share: float = 0.10, least: int = 100, bits: int = 1024, seed: int = 7, block: int = 256, slice_rows: int = 200_000) -> DataFrame:
+    """(query_id, item_id, similarity) of the items nearest by binary code, at most ``share`` of all for each query
+    (of ``least`` items, where the corpus is small).
+
+    Vectors are projected on random directions and cut to signs, so the bits in which two codes
+    differ grow with the angle; that needs no structure in the vectors.  Every item is ranked
+    by an XOR and a bit count in generated code.  Counting how many items lie at each distance
+    (``bits`` + 1 numbers a query) gives the distance to stop at; only items up to there are
+    scored exactly.  Queries come in blocks and items in slices, so a task sees one of each.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    def unit(df: DataFrame, key: str, as_: str) -> DataFrame:
-        v = df.select(F.col(key).alias(as_), array_to_vector(F.col(vector).cast("array<double>")).alias("_raw"))
-        return Normalizer(inputCol="_raw", outputCol="_v").transform(v).drop("_raw")
-
-    q, c = unit(queries, query_id, "query_id"), unit(corpus.filter(F.col(vector).isNotNull()), item_id, "item_id")
-    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=7).fit(c)
-
-    def bucketed(df: DataFrame, key: str) -> DataFrame:
-        flat = model.transform(df).select(key, F.posexplode("_h").alias("t", "_hv"))
-        return flat.select(key, "t", vector_to_array("_hv")[0].alias("b"))
-
-    pairs = bucketed(q, "query_id").join(bucketed(c, "item_id"), ["t", "b"]).select("query_id", "item_id").distinct()
-    dot = F.aggregate(F.zip_with(vector_to_array("_q"), vector_to_array("_c"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.join(q.withColumnRenamed("_v", "_q"), "query_id").join(c.withColumnRenamed("_v", "_c"), "item_id").select(
-        "query_id", "item_id", F.round(dot, 9).alias("similarity"))
-    return top_per_group(scored, ["query_id"], [F.col("similarity").desc(), F.col("item_id")], k, rank_as="place")
+    words = range(bits // 64)
+    q = cut_lineage(sign_codes(queries, query_id, vector, bits, seed).withColumnsRenamed({query_id: "query_id", "vector": "_q", **{f"code_{i}": f"_q{i}" for i in words}}))
+    c = cut_lineage(sign_codes(corpus, item_id, vector, bits, seed).withColumnsRenamed({item_id: "item_id", "vector": "_c", **{f"code_{i}": f"_c{i}" for i in words}}))
+    total = c.count()
+    blocks, slices = max(1, math.ceil(q.count() / block)), max(1, math.ceil(total / slice_rows))
+    q = q.withColumns({"_b": F.pmod(F.xxhash64("query_id"), F.lit(blocks)), "_s": F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))})
+    c = c.withColumns({"_s": F.pmod(F.xxhash64("item_id"), F.lit(slices)), "_b": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    apart = sum((F.bit_count(F.col(f"_q{i}").bitwiseXOR(F.col(f"_c{i}"))) for i in words), F.lit(0))
+    seen = c.drop("_c").join(q.drop("_q"), ["_b", "_s"]).groupBy("query_id", apart.alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("query_id").orderBy("d"))  # bits + 1 rows a query
+    ends = seen.withColumn("upto", upto).filter(F.col("upto") <= max(total * share, least)).groupBy("query_id").agg(F.max("d").alias("_end"))
+    near = c.join(q.join(ends, "query_id"), ["_b", "_s"]).filter(apart <= F.col("_end"))
+    dot = F.aggregate(F.zip_with("_q", "_c", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    return near.select("query_id", "item_id", F.round(dot, 9).alias("similarity"))
+
+
+def ann(queries: DataFrame, corpus: DataFrame, k: int, **options) -> DataFrame:
+    """Approximate cosine neighbours: (query_id, item_id, similarity, place), the best ``k`` of ``ann_candidates``."""
+    return top_per_group(ann_candidates(queries, corpus, **options), ["query_id"], [F.col("similarity").desc(), F.col("item_id")], k, rank_as="place")
 
 
 def embed(df: DataFrame, key: str, text: str, done: DataFrame, dims: int = 256) -> DataFrame:
@@ -140,6 +164,103 @@ def embed(df: DataFrame, key: str, text: str, done: DataFrame, dims: int = 256)
     return out.select(key, F.transform(vector_to_array("_u"), lambda x: x.cast("float")).alias("vector"))
 
 
+class HashedTokens:
+    """A stand-in encoder: counts of a text's tokens by the first digits of their MD5."""
+
+    def __init__(self, dims: int = 256, token: str = "[a-z0-9]+"):
+        self.dims, self.token = dims, token
+
+    def __call__(self) -> Callable[[np.ndarray], np.ndarray]:
+        import hashlib
+        import re
+
+        token, dims, slots = re.compile(self.token), self.dims, {}
+
+        def encode(texts: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(texts), dims), np.float32)
+            for row, text in zip(out, texts):
+                for w in token.findall((text or "").lower()):
+                    slot = slots.get(w)
+                    if slot is None:
+                        slot = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dims
+                        if len(slots) < 100_000:
+                            slots[w] = slot
+                    row[slot] += 1
+            return out
+
+        return encode
+
+
+def encode_texts(df: DataFrame, text: str, encoder: Callable[[], Callable[[np.ndarray], np.ndarray]], out: str = "vector", batch: int = 256, unit: bool = True) -> DataFrame:
+    """Vectors by batch inference: ``encoder`` is called once a worker and gives a function from a batch of texts to rows of numbers.
+
+    A null text is encoded like an empty one; a row of zeroes stays so.
+    """
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql import types as T
+
+    infer = predict_batch_udf(encoder, return_type=T.ArrayType(T.FloatType()), batch_size=batch)
+    raw = df.withColumn(out, infer(F.coalesce(F.col(text), F.lit(""))))
+    if not unit:
+        return raw
+    norm = F.sqrt(F.aggregate(out, F.lit(0.0), lambda t, x: t + x * x))
+    return raw.withColumn("_norm", norm).withColumn(out, F.when(F.col("_norm") > 0, F.transform(out, lambda x: (x / F.col("_norm")).cast("float"))).otherwise(F.col(out))).drop("_norm")
+
+
+def embed_postings(postings: DataFrame, done: DataFrame, encoder: Callable = HashedTokens(), key: str = "job_id", company: str = "company_id", title: str = "role_name", text: str = "description_text", unit: bool = True) -> DataFrame:
+    """(key, model_text, vector) of postings that are not in ``done`` yet.
+
+    What a company repeats is found over all its postings, done or not, and stripped from those
+    to encode; title and rest share one budget of characters.
+    """
+    from .boilerplate import build_text, find_boilerplate, strip_boilerplate
+
+    repeated = find_boilerplate(postings, company, text)
+    todo = postings.select(key, company, title, text).join(done.select(key), key, "left_anti")
+    stripped = strip_boilerplate(todo, repeated, key, company, text).select(key, build_text(F.col(title), F.col("stripped_text")).alias("model_text"))
+    return encode_texts(stripped, "model_text", encoder, unit=unit)
+
+
+# Default titles that name a level, first match first, and the zone of confidence in which two levels' verdicts mean the one between.
+TITLE_LEVELS = [("junior", r"\b(?:junior|jr|intern|trainee|graduate)\b"), ("lead", r"\b(?:lead|principal|staff|director|head)\b"), ("senior", r"\b(?:senior|sr)\b")]
+MID_ZONE, UNSURE = (0.40, 0.60), 0.50
+
+
+def title_level(title: Column, rules: list[tuple[str, str]] = TITLE_LEVELS) -> Column:
+    """The level a title names; null if none."""
+    low = F.lower(F.coalesce(title, F.lit("")))
+    return F.coalesce(*[F.when(low.rlike(pattern), level) for level, pattern in rules])
+
+
+def decide_level(title: Column, probability: Column, labels: list[str], rules: list[tuple[str, str]] = TITLE_LEVELS, zone: tuple[float, float] = MID_ZONE, unsure: float = UNSURE) -> Column:
+    """Struct of level, confidence and the rule that decided, from a title and an array of probabilities.
+
+    A junior title decides alone; a junior verdict never stands against a title of a higher
+    level; where the title names no level, a junior or senior verdict inside the zone and any
+    verdict below ``unsure`` mean mid.  Of equal probabilities the first label wins.
+    """
+    named = title_level(title, rules)
+    best = F.array_max(probability)
+    top = F.element_at(F.array(*[F.lit(x) for x in labels]), F.array_position(probability, best).cast("int"))
+    between = top.isin("junior", "senior") & best.between(*zone)
+    rule = (F.when(named == "junior", "title").when((top == "junior") & named.isNotNull(), "title_override").when(named.isNull() & between, "mid_zone")
+            .when(named.isNull() & (best < unsure), "unsure").otherwise("model"))
+    level = F.when(rule.isin("title", "title_override"), named).when(rule.isin("mid_zone", "unsure"), "mid").otherwise(top)
+    return F.struct(level.alias("level"), best.alias("confidence"), rule.alias("rule"))
+
+
+def confusion(df: DataFrame, actual: str, predicted: str, labels: list[str]) -> DataFrame:
+    """One row an actual label, one column a predicted one."""
+    cells = df.groupBy(actual).pivot(predicted, labels).agg(F.count(F.lit(1)))
+    return cells.na.fill(0, labels)
+
+
+def train_title_levels(df: DataFrame, vector: str, title: str, labels: list[str], rules: list[tuple[str, str]] = TITLE_LEVELS, seed: int = 7) -> tuple[object, DataFrame]:
+    """``train_level`` on the rows whose title names a level; the label is its place in ``labels``."""
+    place = F.array_position(F.array(*[F.lit(x) for x in labels]), title_level(F.col(title), rules)) - 1
+    return train_level(df.withColumn("_label", place).filter("_label >= 0"), vector, "_label", seed)
+
+
 def train_level(df: DataFrame, vector: str, label: str, seed: int = 7) -> tuple[object, DataFrame]:
     """Class-weighted logistic regression; returns (model, per-class precision, recall, F1)."""
     from pyspark.ml.classification import LogisticRegression
@@ -163,11 +284,9 @@ def class_report(predicted: DataFrame) -> DataFrame:
     return truth.join(called, "label", "left").select("label", "support", p.alias("precision"), r.alias("recall"), (2 * p * r / F.nullif(p + r, F.lit(0.0))).alias("f1"))
 
 
-def predict_level(model, df: DataFrame, key: str, vector: str, labels: list[str], sure: float = 0.5, fallback: str = "mid") -> DataFrame:
-    """Label per vector; below ``sure`` the answer is the middle level."""
+def predict_level(model, df: DataFrame, key: str, vector: str, title: str, labels: list[str], **rules) -> DataFrame:
+    """key, level, confidence and rule of every row; see ``decide_level``."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    scored = model.transform(df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features")))
-    best = F.array_max(vector_to_array("probability"))
-    names = F.array(*[F.lit(x) for x in labels])
-    return scored.select(key, F.when(best < sure, fallback).otherwise(F.element_at(names, F.col("prediction").cast("int") + 1)).alias("level"), best.alias("confidence"))
+    scored = model.transform(df.select(key, title, array_to_vector(F.col(vector).cast("array<double>")).alias("features")))
+    return scored.select(key, decide_level(F.col(title), vector_to_array("probability"), labels, **rules).alias("d")).select(key, "d.*")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded, trusted_us_location
 from ..operators.filters import EXCLUSIONS, ROLE_LIKE_NAME, apply_exclusions
 from ..operators.relational import dedupe_best, top_per_group, with_group_facts
+from ..session import cut_lineage
 
 # Fixed values of the radar: look-back windows in days and alert thresholds.
 NEW_DAYS, REPOST_DAYS, CLOSED_DAYS = 7, 30, 90
@@ -60,15 +63,51 @@ def company_daily_snapshot(history: DataFrame, day: str) -> DataFrame:
         "observed_opportunities", "salary_transparency_pct", "individual_repost_signals", "bulk_ats_refresh_events")
 
 
+def islands(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """The spans (lo, hi) of each key merged where they meet: disjoint ones that cover the same days.
+
+    Equal spans are folded first, so a key has no more of them than there are pairs of days.
+    """
+    order = Window.partitionBy(*keys).orderBy("lo", "hi")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(reach.isNull() | (F.col("lo") > F.date_add(reach, 1)), 1).otherwise(0)
+    numbered = spans.select(*keys, "lo", "hi").distinct().withColumn("_o", opens).withColumn("_i", F.sum("_o").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "_i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_i")
+
+
+def edges(spans: DataFrame, keys: list[str], values: dict[str, Column], names: list[str]) -> DataFrame:
+    """What changes on which day: each span adds its values on its first day and takes them off after its last."""
+    known = [values.get(n, F.lit(0)).cast("bigint").alias(n) for n in names]
+    each = spans.filter("lo <= hi").select(*keys, "lo", "hi", *known).groupBy(*keys, "lo", "hi").agg(*[F.sum(n).alias(n) for n in names])
+    ends = F.explode(F.array(F.struct(F.col("lo").alias("day"), F.lit(1).alias("sign")), F.struct(F.date_add("hi", 1).alias("day"), F.lit(-1).alias("sign"))))
+    return each.withColumn("_e", ends).select(*keys, "_e.day", *[(F.col(n) * F.col("_e.sign")).alias(n) for n in names])
+
+
+def sweep(changes: DataFrame, keys: list[str], names: list[str], last: Column, day: str = "snapshot_date") -> DataFrame:
+    """Running sums of the changes of each key on every day from its first change to ``last`` on which one is not zero."""
+    order = Window.partitionBy(*keys).orderBy("day")
+    steps = changes.groupBy(*keys, "day").agg(*[F.sum(n).alias(n) for n in names])
+    sums = steps.select(*keys, "day", F.lead("day").over(order).alias("_next"), *[F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in names])
+    end = F.least(F.date_sub("_next", 1), last)
+    some = sums.filter(F.greatest(*[F.col(n) for n in names]) > 0 if len(names) > 1 else F.col(names[0]) > 0).filter(F.col("day") <= end)
+    return some.select(*keys, F.explode(F.sequence("day", end)).alias(day), *names)
+
+
 def radar_snapshot(postings: DataFrame, companies: DataFrame, reposts: DataFrame, first_day: str, last_day: str, as_of: str, exclusions: list[tuple[str, str]] = EXCLUSIONS) -> DataFrame:
     """Company radar for a whole range of days in one job.
 
     Days before ``as_of`` are rebuilt from first/last observed dates; ``as_of``
-    itself uses the published flag.  Rows fan out only to the days of the range
-    they count for, and closures fan out as counts per (last day, lifetime).
+    itself uses the published flag.  A posting is never copied to the days it is open on: the
+    spans of an opportunity are merged, their ends are counted by day, and running sums give
+    each day's numbers.  Closures fan out as counts per (last day, lifetime).
     """
     d0, d1, today = (F.lit(d).cast("date") for d in (first_day, last_day, as_of))
 
+    def span(start: Column, end: Column) -> Column:
+        """The days of the range from start to end; null if there are none."""
+        lo, hi = F.greatest(start, d0), F.least(end, d1)
+        return F.when(lo <= hi, F.struct(lo.alias("lo"), hi.alias("hi")))
+
     def days_between(start: Column, end: Column) -> Column:
         lo, hi = F.greatest(start, d0), F.least(end, d1)
         return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<date>"))
@@ -86,41 +125,49 @@ def radar_snapshot(postings: DataFrame, companies: DataFrame, reposts: DataFrame
         (F.col("salary_min_annual").isNotNull() | F.col("salary_max_annual").isNotNull()).alias("priced"),
         F.when(F.col("last_seen_at").cast("date") >= start, F.datediff(F.col("last_seen_at").cast("date"), start)).alias("lifetime"))
     eligible = with_group_facts(rows, ["company_id", "opp"], opp_first=F.min("first_day"), opp_last=F.max("last_day"), opp_public=F.bool_or("is_public"))
-    scoped = eligible.withColumn("scope", F.explode(F.array(F.lit("all"), F.col("domain"))))
-    keys = ["snapshot_date", "company_id", "scope"]
-
-    past_days = F.filter(days_between(F.col("first_day"), F.coalesce("last_day", d1)), lambda d: d < today)
-    live_days = F.when(F.col("is_public"), F.filter(F.sequence(d0, d1), lambda d: d >= today)).otherwise(F.array().cast("array<date>"))
-    active = scoped.withColumn("snapshot_date", F.explode(F.concat(past_days, live_days)))
-    metrics = active.groupBy(*keys).agg(
-        F.countDistinct("opp").alias("active_opportunities"), F.count(F.lit(1)).alias("active_source_postings"),
-        F.countDistinct(F.when(F.col("opp_first").between(F.date_sub("snapshot_date", NEW_DAYS - 1), F.col("snapshot_date")), F.col("opp"))).alias("new_opportunities_7d"),
-        rounded(F.count_if("priced") * 100.0 / F.count(F.lit(1)), 1).alias("salary_transparency_pct"))
-    roles = active.filter(F.col("role_category").isNotNull()).groupBy(*keys, "role_category").agg(F.countDistinct("opp").alias("n"))
+    scoped = cut_lineage(eligible.withColumn("scope", F.explode(F.array(F.lit("all"), F.col("domain")))))
+    who = ["company_id", "scope"]
+    keys = ["snapshot_date", *who]
+
+    past = span(F.col("first_day"), F.least(F.coalesce("last_day", d1), F.date_sub(today, 1)))
+    live = F.when(F.col("is_public"), span(today, d1))
+    spans = scoped.withColumn("_s", F.explode(F.array_compact(F.array(past, live)))).select("*", "_s.lo", "_s.hi")
+    open_opps = islands(spans, [*who, "opp", "opp_first"])
+    fresh = open_opps.withColumns({"lo": F.greatest("lo", "opp_first"), "hi": F.least("hi", F.date_add("opp_first", NEW_DAYS - 1))}).filter("opp_first IS NOT NULL")
+    gone_until = F.when(F.col("opp_public"), F.least(F.date_add("opp_last", NEW_DAYS - 1), F.date_sub(today, 1))).otherwise(F.date_add("opp_last", NEW_DAYS - 1))
+    gone = scoped.select(*who, "opp", "opp_last", "opp_public").distinct().filter("opp_last IS NOT NULL").withColumn("_s", span(F.col("opp_last"), gone_until)).filter("_s IS NOT NULL").select("*", "_s.lo", "_s.hi")
+    back = scoped.select("job_id", *who).join(reposts.select("job_id", "event_id", "observed_on", "signal_class"), "job_id").select(*who, "event_id", "observed_on", "signal_class").distinct()
+    back = back.withColumn("_s", span(F.col("observed_on"), F.date_add("observed_on", REPOST_DAYS - 1))).filter("_s IS NOT NULL").select("*", "_s.lo", "_s.hi")
+
+    names = ["active_opportunities", "active_source_postings", "_priced", "new_opportunities_7d", "disappeared_opportunities_7d", "individual_repost_signals_30d", "bulk_refresh_events_30d"]
+    one = F.lit(1)
+    changes = [
+        edges(spans, who, {"active_source_postings": one, "_priced": F.col("priced").cast("int")}, names),
+        edges(open_opps, who, {"active_opportunities": one}, names),
+        edges(fresh, who, {"new_opportunities_7d": one}, names),
+        edges(gone, who, {"disappeared_opportunities_7d": one}, names),
+        edges(back, who, {"individual_repost_signals_30d": (F.col("signal_class") == "individual_repost_signal").cast("int"), "bulk_refresh_events_30d": (F.col("signal_class") == "bulk_ats_date_refresh").cast("int")}, names),
+    ]
+    metrics = sweep(reduce(DataFrame.unionByName, changes), who, names, d1)
+    metrics = metrics.withColumn("salary_transparency_pct", rounded(F.col("_priced") * 100.0 / F.nullif("active_source_postings", F.lit(0)), 1)).drop("_priced")
+
+    role_keys = [*who, "role_category"]
+    open_roles = islands(spans.filter(F.col("role_category").isNotNull()), [*role_keys, "opp"])
+    roles = sweep(edges(open_roles, role_keys, {"n": one}, ["n"]), role_keys, ["n"], d1)
     mix = top_per_group(roles, keys, [F.col("n").desc(), F.col("role_category")], TOP_ROLES, rank_as="place").groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("place", "role_category", "n"))).alias("_m")).withColumn(
         "role_mix", F.transform("_m", lambda m: F.struct(m["role_category"].alias("role"), m["n"].alias("count")))).drop("_m")
 
-    gone_days = days_between(F.col("opp_last"), F.date_add("opp_last", NEW_DAYS - 1))
-    gone_days = F.filter(gone_days, lambda d: (d < today) | ~F.col("opp_public"))
-    gone = scoped.select("company_id", "scope", "opp", "opp_last", "opp_public").distinct().withColumn("snapshot_date", F.explode(gone_days)).groupBy(*keys).agg(
-        F.countDistinct("opp").alias("disappeared_opportunities_7d"))
-
     closed = scoped.filter((F.col("status") == "expired") & F.col("lifetime").between(*LIFETIME_BAND)).groupBy("company_id", "scope", "last_day", "lifetime").agg(F.count(F.lit(1)).alias("n"))
     closed = closed.withColumn("snapshot_date", F.explode(days_between(F.col("last_day"), F.date_add("last_day", CLOSED_DAYS - 1)))).groupBy(*keys).agg(
         rounded(F.percentile("lifetime", 0.5, F.col("n")), 1).alias("median_closed_lifetime_days"), F.sum("n").alias("_n")).filter(F.col("_n") >= MIN_CLOSED).drop("_n")
 
-    back = scoped.select("job_id", "company_id", "scope").join(reposts.select("job_id", "event_id", "observed_on", "signal_class"), "job_id")
-    back = back.withColumn("snapshot_date", F.explode(days_between(F.col("observed_on"), F.date_add("observed_on", REPOST_DAYS - 1)))).groupBy(*keys).agg(
-        F.countDistinct(F.when(F.col("signal_class") == "individual_repost_signal", F.col("event_id"))).alias("individual_repost_signals_30d"),
-        F.countDistinct(F.when(F.col("signal_class") == "bulk_ats_date_refresh", F.col("event_id"))).alias("bulk_refresh_events_30d"))
-
-    coverage = scoped.groupBy("company_id", "scope").agg(F.min("first_day").alias("coverage_started_at")).withColumn(
+    coverage = scoped.groupBy(*who).agg(F.min("first_day").alias("coverage_started_at")).withColumn(
         "snapshot_date", F.explode(days_between(F.col("coverage_started_at"), d1)))
     out = coverage
-    for part in (metrics, closed, gone, back, mix):
+    for part in (metrics, closed, mix):
         out = out.join(part, keys, "left")
-    counts = ["active_opportunities", "active_source_postings", "new_opportunities_7d", "disappeared_opportunities_7d", "individual_repost_signals_30d", "bulk_refresh_events_30d"]
+    counts = [n for n in names if n != "_priced"]
     return out.na.fill(0, counts).withColumn(
         "snapshot_source", F.when(F.col("snapshot_date") < today, "archive_reconstruction").otherwise("live"))
 

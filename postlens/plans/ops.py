@@ -60,16 +60,26 @@ def ops_inventory(jobs: DataFrame, as_of: str) -> DataFrame:
     ).withColumn("salary_pct", rounded(F.col("priced_jobs") * 100.0 / F.col("public_jobs"), 1))
 
 
-def crawl_rollup(runs: DataFrame) -> DataFrame:
-    """Per source: the latest boundary decides the state, totals cover every attempt."""
+def latest_orchestration(runs: DataFrame) -> DataFrame:
+    """The attempts of the orchestration that started last; a run outside of any is left out."""
+    newest = runs.filter(F.col("orchestration_id").isNotNull()).agg(F.max_by("orchestration_id", F.struct("started_on", "run_id")).alias("o"))
+    return runs.filter(F.col("orchestration_id") == newest.scalar())
+
+
+def crawl_rollup(runs: DataFrame, degraded: str | None = None) -> DataFrame:
+    """Per source: the latest boundary decides the state, totals cover every attempt.
+
+    A boundary flagged ``degraded`` is a partial failure even where no tenant failed.
+    """
     boundary = dedupe_best(runs, ["source"], [F.col("checkpoint_sweep").desc(), F.col("started_on").desc(), F.col("run_id").desc()]).select(
-        "source", F.col("crawl_status").alias("boundary_status"), F.col("finished_on").alias("boundary_finished"), F.col("errors").alias("boundary_errors"))
+        "source", F.col("crawl_status").alias("boundary_status"), F.col("finished_on").alias("boundary_finished"), F.col("errors").alias("boundary_errors"),
+        (F.coalesce(F.col(degraded), F.lit(False)) if degraded else F.lit(False)).alias("boundary_degraded"))
     failed = tenant_failures(runs)
     totals = runs.groupBy("source").agg(F.sum("jobs_fetched").alias("fetched"), F.sum("jobs_written").alias("written"), F.bool_and(F.col("status").isin(*CLEAN)).alias("all_clean"))
     state = (
         F.when(F.col("boundary_finished").isNull(), "running")
         .when((F.col("boundary_errors") > 0) | ~F.col("boundary_status").isin(*CLEAN), "source_failure")
-        .when(F.coalesce("failed_tenants", F.lit(0)) > 0, "partial_failure").otherwise(F.col("boundary_status")))
+        .when(F.col("boundary_degraded") | (F.coalesce("failed_tenants", F.lit(0)) > 0), "partial_failure").otherwise(F.col("boundary_status")))
     return totals.join(boundary, "source").join(failed, "source", "left").select("source", "fetched", "written", "all_clean", F.coalesce("failed_tenants", F.lit(0)).alias("failed_tenants"), state.alias("state"))
 
 
@@ -78,13 +88,16 @@ def tenant_failures(runs: DataFrame) -> DataFrame:
     return latest.groupBy("source").agg(F.count_if(~F.col("status").isin(*CLEAN)).alias("failed_tenants"))
 
 
-def report_state(crawl: DataFrame, published_at: Column, now: str, max_age_hours: int = 36) -> DataFrame:
-    """One row: Healthy / In progress / Needs attention.  A publication over ``max_age_hours`` old needs attention."""
+def report_state(crawl: DataFrame, published_at: Column, now: str, max_age_hours: int = 36, by: list[str] | None = None) -> DataFrame:
+    """Healthy / In progress / Needs attention, one row (of each group ``by``).
+
+    A publication over ``max_age_hours`` old needs attention; no crawl at all is no failure.
+    """
     bad = F.count_if(F.col("state").isin("source_failure", "partial_failure"))
     running = F.count_if(F.col("state") == "running")
     age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(published_at.cast("timestamp"))
     stale = published_at.isNull() | (age > max_age_hours * 3600)
-    return crawl.agg(bad.alias("bad_sources"), running.alias("running_sources")).withColumn(
+    return crawl.groupBy(*(by or [])).agg(bad.alias("bad_sources"), running.alias("running_sources")).withColumn(
         "state", F.when(stale | (F.col("bad_sources") > 0), "Needs attention").when(F.col("running_sources") > 0, "In progress").otherwise("Healthy"))
 
 
@@ -181,6 +194,18 @@ def host_report(hosts: DataFrame, visible: DataFrame, target: int = INVENTORY_TA
         "gap_to_target", F.greatest(F.lit(target) - F.col("visible_jobs"), F.lit(0)))
 
 
+def candidates_by_status(candidates: DataFrame) -> DataFrame:
+    return candidates.groupBy("status").agg(F.count(F.lit(1)).alias("candidates"))
+
+
+def host_runs_total(runs: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+    """One row: host runs of the last ``days`` and what they took in and turned down."""
+    now = F.lit(as_of).cast("date")
+    recent = runs.filter((F.col("started_on") >= F.date_sub(now, days)) & (F.col("started_on") <= now))
+    sums = {"accepted": "accepted_jobs", "identity_mismatches": "identity_mismatches", "foreign_rejections": "foreign_rejections"}
+    return recent.agg(F.count(F.lit(1)).alias("runs"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()])
+
+
 def product_funnel(events: DataFrame, as_of: str, days: int = 30, retention: int = 90) -> DataFrame:
     """Distinct accounts per milestone in the last ``days``; older than ``retention`` is ignored."""
     now = F.lit(as_of).cast("date")
