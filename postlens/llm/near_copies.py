@@ -17,6 +17,9 @@ from .common import map_text
 from .simhash import SEED, fingerprint_links
 
 
+PIECE = 2 << 20  # bytes of text at a time
+
+
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     """Distinct hashes of the word shingles, ascending; words as in ``simhash.fingerprint``."""
     words = (text or "").encode().lower().split()
@@ -36,7 +39,7 @@ def shingle_sets(docs: DataFrame, text: str = "text", width: int = 5) -> DataFra
 
         return run
 
-    return map_text(docs.select(text), make, "set array<long>, sig long", text).select("set", "sig")
+    return map_text(docs.select(text), make, "set array<long>, sig long", text, piece_bytes=PIECE).select("set", "sig")
 
 
 def as_lists(parts: list[np.ndarray]) -> pa.Array:
@@ -80,7 +83,7 @@ def summaries(named: DataFrame, width: int = 5) -> DataFrame:
 
         return run
 
-    return map_text(named, make, "sig long, n int, bits array<long>, fp long", "text", ["ident", "body"])
+    return map_text(named, make, "sig long, n int, bits array<long>, fp long", "text", ["ident", "body"], PIECE)
 
 
 def prefix_keys(named: DataFrame, threshold: float, width: int = 5, sample_size: int = 5_000) -> DataFrame:
@@ -106,7 +109,7 @@ def prefix_keys(named: DataFrame, threshold: float, width: int = 5, sample_size:
 
         return run
 
-    made = map_text(named.select("text"), make, "sig long, n int, prefix array<long>", "text")
+    made = map_text(named.select("text"), make, "sig long, n int, prefix array<long>", "text", piece_bytes=PIECE)
     return made.select(F.explode("prefix").alias("key"), "sig", "n")
 
 
