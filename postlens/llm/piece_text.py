@@ -15,7 +15,7 @@ def _lists(flat: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
-def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", carry: list[str] | None = None, piece_bytes: int = 4 << 20) -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", carry: list[str] | None = None, piece_bytes: int = 2 << 20) -> DataFrame:
     """row, n_tokens, ids, round_trip for every document: whole texts, any length.
 
     A null or empty text has no ids.  ``round_trip`` says that decoding gives the text back;

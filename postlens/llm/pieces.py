@@ -195,10 +195,22 @@ class PieceEncoder:
 
         return first(False), first(True)
 
-    def encode_words(self, words: list[str]) -> Encoded:
-        """Ids of strings that are encoded each by itself; spaces are already marked."""
+    def encode_words(self, words: list[str], most: int = 1 << 17) -> Encoded:
+        """Ids of strings that are encoded each by itself; spaces are already marked.
+
+        About ``most`` characters share a suffix array (one word at least), which bounds what
+        their matches take in memory.
+        """
         if not words:
             return np.zeros(0, np.int64), np.zeros(1, np.int64)
+        part = np.cumsum([len(w) for w in words]) // most
+        if len(words) > 1 and part[0] != part[-1]:
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(words)]
+            made = [self._encode_part(words[a:b]) for a, b in zip(cuts, cuts[1:])]
+            return np.concatenate([m[0] for m in made]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(m[1]) for m in made]))])
+        return self._encode_part(words)
+
+    def _encode_part(self, words: list[str]) -> Encoded:
         text = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.array([len(w) for w in words], np.int64)
         starts = np.cumsum(lengths + 1) - (lengths + 1)
