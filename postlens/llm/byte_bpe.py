@@ -47,7 +47,7 @@ class ByteBpe:
         self.tokenizer.encode_special_tokens = not special
         added = self.tokenizer.get_added_tokens_decoder().values() if special else ()
         self.unsplit = "|".join([UNSPLIT, *(re.escape(t.content) for t in added)])
-        self.store = WordStore(self._library)
+        self.store = WordStore(self._library, 400_000)
 
     def _library(self, words: list[str]) -> Encoded:
         flat: list[np.ndarray] = []
