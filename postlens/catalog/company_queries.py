@@ -97,13 +97,15 @@ def _(t):
 
 
 @query("bi_17_digest_batches", """WITH due AS (SELECT a.*, u.email FROM f_alerts a JOIN f_users u USING (user_id) WHERE signal_date >= DATE '2001-08-01' - 7 AND u.active AND u.email IS NOT NULL AND coalesce(email_enabled, true) AND coalesce(frequency, 'weekly') = 'weekly'
- AND EXISTS (SELECT 1 FROM f_follows f WHERE f.user_id = a.user_id AND f.company_id = a.company_id AND f.alert_frequency = 'weekly') AND alert_id NOT IN (SELECT alert_id FROM f_alerts WHERE delivered)),
+ AND EXISTS (SELECT 1 FROM f_follows f WHERE f.user_id = a.user_id AND f.company_id = a.company_id AND f.alert_frequency = 'weekly') AND alert_id NOT IN (SELECT alert_id FROM f_alerts WHERE delivered)
+ AND a.user_id NOT IN (SELECT user_id FROM f_alerts WHERE delivered AND signal_date = DATE '2001-08-01' - 1)),
 k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY signal_date DESC, alert_id DESC) AS rn FROM due)
 SELECT user_id, email, max(signal_date) AS newest_signal, string_agg(CAST(alert_id AS VARCHAR), ',' ORDER BY rn) AS alert_ids FROM k WHERE rn <= 20 GROUP BY 1, 2""")
 def _(t):
     alerts = t.view("alerts")
-    none_sent = alerts.filter(F.lit(False)).select("user_id")
-    out = K.digest_batches(alerts, t.view("users"), t.view("follows"), alerts.filter("delivered").select("alert_id"), none_sent, "weekly", "2001-08-01")
+    # Who got a digest the day before the last is taken for served today.
+    served = alerts.filter(F.col("delivered") & (F.col("signal_date") == F.lit("2001-07-31").cast("date"))).select("user_id").distinct()
+    out = K.digest_batches(alerts, t.view("users"), t.view("follows"), alerts.filter("delivered").select("alert_id"), served, "weekly", "2001-08-01")
     return out.withColumn("alert_ids", F.array_join(F.transform("alert_ids", lambda x: x.cast("string")), ","))
 
 

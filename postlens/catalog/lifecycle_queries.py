@@ -59,14 +59,15 @@ def _(t):
     return D.near_dup_clusters(t.documents, "doc_id", ["source", "lang"], "text")
 
 
-@query("jn_15_block_pairs", f"""WITH nd AS (SELECT doc_id, lang, replace({NORM}, ' ', '') AS tight FROM documents) SELECT lang, count(*) AS texts, CAST(sum(n) AS BIGINT) AS documents, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pairs FROM (SELECT lang, tight, count(*) AS n FROM nd GROUP BY 1, 2) q WHERE n > 1 GROUP BY 1""")
-def _(t):
-    # Pairs inside equal-text groups are counted, never formed.
-    from ..functions.text import dedup_normalize
+BLOCK_SETS = """tk AS (SELECT doc_id, lang, list_sort(list_distinct(list_filter(string_split(lower(text), ' '), lambda w: w <> ''))) AS s FROM documents WHERE text IS NOT NULL),
+cl AS (SELECT lang, s, min(doc_id) AS rep, count(*) AS copies FROM tk WHERE len(s) > 0 GROUP BY 1, 2)"""
+
 
-    tight = F.replace(dedup_normalize(F.col("text")), F.lit(" "), F.lit(""))
-    groups = t.documents.groupBy("lang", F.md5(tight).alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return groups.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("documents"), F.sum(F.expr("n * (n - 1) div 2")).alias("pairs"))
+@query("jn_15_block_pairs", f"""WITH {BLOCK_SETS}, pr AS (SELECT a.lang, a.rep AS src, b.rep AS dst, a.copies AS src_copies, b.copies AS dst_copies, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS t FROM cl a JOIN cl b ON a.lang IS NOT DISTINCT FROM b.lang AND a.rep < b.rep AND least(len(a.s), len(b.s)) >= greatest(len(a.s), len(b.s)) * 0.5)
+SELECT lang, src, dst, src_copies, dst_copies, {r('i / (t - i)', 6)} AS similarity FROM pr WHERE i >= (t - i) * 0.5""")
+def _(t):
+    words = F.filter(F.split(F.lower("text"), " "), lambda w: w != "")
+    return D.block_pairs(t.documents.filter(F.col("text").isNotNull()), "doc_id", "lang", words, 0.5)
 
 
 CHAIN = "SELECT c_custkey AS src, CAST(floor(c_custkey / 3) AS BIGINT) + 100000 AS dst FROM customer UNION ALL SELECT c_custkey + 100000, c_custkey * 2 + 100000 FROM customer WHERE c_acctbal > 5000"
@@ -216,6 +217,32 @@ def _(t):
     return _tidy(S.batch_event_counts(t.base("events")))
 
 
+# A tenth of the events arrives after all others, some of them once more.
+ARRIVALS = """ar AS (SELECT event_id, ts, event_type, value, CASE WHEN event_id % 10 = 0 THEN 3 WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN 1 ELSE 2 END AS part FROM events UNION ALL SELECT event_id, ts, event_type, value, 3 FROM events WHERE event_id % 25 = 1)"""
+
+
+@query("lc_8_late_rows", f"""WITH {ARRIVALS}, wm AS (SELECT 2 AS part, max(ts) - INTERVAL 1 HOUR AS m FROM ar WHERE part = 1 UNION ALL SELECT 3, max(ts) - INTERVAL 1 HOUR FROM ar WHERE part < 3),
+jd AS (SELECT ar.*, coalesce(ts <= m, false) AS late FROM ar LEFT JOIN wm USING (part)),
+ok AS (SELECT event_id, min(ts) AS ts, min(event_type) AS event_type FROM jd WHERE NOT late GROUP BY 1)
+SELECT 'window' AS kind, date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM ok GROUP BY 1, 2, 3 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ar)
+UNION ALL SELECT 'dropped', NULL, NULL, count(*) FROM jd WHERE late""")
+def _(t):
+    arrived = t.sql(f"WITH {ARRIVALS} SELECT * FROM ar")
+    parts = [arrived.filter(F.col("part") == k).drop("part") for k in (1, 2, 3)]
+    rows, dropped = S.run_arrivals(parts, S.event_counts, "arrivals")
+    windows = rows.select(F.lit("window").alias("kind"), F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+    return windows.unionByName(t.spark.range(1).select(F.lit("dropped").alias("kind"), F.lit(None).cast("timestamp_ntz").alias("window_start"), F.lit(None).cast("string").alias("event_type"), F.lit(dropped).cast("long").alias("n")))
+
+
+@query("lc_8_sessions", """WITH g AS (SELECT user_id, ts, ts - lag(ts) OVER w >= INTERVAL 12 HOUR OR lag(ts) OVER w IS NULL AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, ts, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 12 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def _(t):
+    stream = S.event_stream(t.spark, f"{t.root}/events*.parquet", t.base("events").schema)
+    out = S.run_to_table(S.session_counts(stream, "user_id", "12 hours"), "sessions")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
 @query("lc_1_lifecycle_stream", """WITH d AS (SELECT concat('J', user_id) AS job_id, CAST(ts AS DATE) AS day, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY 1, 2),
 g AS (SELECT *, day - lag(day) OVER w AS gap, lag(hi) OVER w AS before, lead(day) OVER w AS nxt FROM d WINDOW w AS (PARTITION BY job_id ORDER BY day))
 SELECT job_id, 'appeared' AS event_type, lo AS observed_at, CAST(NULL AS INT) AS gap_days FROM g WHERE gap IS NULL UNION ALL SELECT job_id, 'reappeared', lo, gap FROM g WHERE gap >= 2 UNION ALL SELECT job_id, 'disappeared', before, NULL FROM g WHERE gap >= 2

@@ -10,7 +10,7 @@ from ..operators import matching as M
 from ..operators import vectors as V
 from ..operators.skills import alias_table
 from ..plans import core
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 from ..sources import feeds, pages, payloads
 from . import shared as S
 from .registry import query, r
@@ -106,10 +106,16 @@ def _(t):
     return M.extract_resume_skills(t.resumes, alias_table(t.skills), loose)
 
 
-@query("mat_6_resume_level", rf"""WITH x AS (SELECT resume_id, resume_text AS d, CAST(nullif(regexp_extract(resume_text, '(\d+)\+ years of experience', 1), '') AS DOUBLE) AS st, CAST(regexp_extract(resume_text, 'Jan (\d+) - Mar', 1) AS INT) AS a, CAST(regexp_extract(resume_text, '- Mar (\d+)', 1) AS INT) AS b FROM f_resumes),
-y AS (SELECT *, coalesce(st, ((b * 12 + 3) - (a * 12 + 1)) / 12.0) AS y FROM x) SELECT resume_id, {r('y', 2)} AS years, CASE WHEN y < 1 THEN 'entry' WHEN y < 3 THEN 'associate' WHEN y < 6 THEN 'mid' ELSE 'senior' END AS level, CASE WHEN st IS NOT NULL THEN 'stated' ELSE 'dates' END AS evidence FROM y""")
+# Half of the resumes write their dates in figures, a third of them up to now.
+DATED = r"regexp_replace(replace(resume_text, 'Jan 20', CASE WHEN CAST(substring(resume_id, 2) AS BIGINT) % 2 = 0 THEN '01/20' ELSE 'January 20' END), '- Mar [0-9]+', CASE WHEN CAST(substring(resume_id, 2) AS BIGINT) % 3 = 1 THEN '- now' WHEN CAST(substring(resume_id, 2) AS BIGINT) % 2 = 0 THEN concat('to 03/', CAST(2015 + CAST(substring(resume_id, 2) AS BIGINT) % 4 AS INT)) ELSE concat('- Mar ', CAST(2015 + CAST(substring(resume_id, 2) AS BIGINT) % 4 AS INT)) END)"
+
+
+@query("mat_6_resume_level", rf"""WITH x AS (SELECT resume_id, CAST(substring(resume_id, 2) AS BIGINT) AS k, CAST(nullif(regexp_extract(resume_text, '(\d+)\+ years of experience', 1), '') AS DOUBLE) AS st FROM f_resumes),
+y AS (SELECT *, (CASE WHEN k % 3 = 1 THEN 2020 * 12 + 1 ELSE (2015 + k % 4) * 12 + 3 END - ((2005 + k % 9) * 12 + 1)) / 12.0 AS d FROM x),
+z AS (SELECT *, coalesce(st, d) AS y, CASE WHEN k % 4 = 0 AND d >= 4 THEN 'senior' WHEN k % 4 = 1 THEN 'entry' END AS titled FROM y)
+SELECT resume_id, {r('y', 2)} AS years, CASE WHEN st IS NULL AND titled IS NOT NULL THEN titled WHEN y < 1 THEN 'entry' WHEN y < 3 THEN 'associate' WHEN y < 6 THEN 'mid' ELSE 'senior' END AS level, CASE WHEN st IS NOT NULL THEN 'stated' WHEN titled IS NOT NULL THEN 'titles' ELSE 'dates' END AS evidence FROM z""")
 def _(t):
-    return M.resume_level(t.resumes, AS_OF)
+    return M.resume_level(t.resumes.select("resume_id", F.expr(DATED).alias("resume_text")), "2020-01-15")
 
 
 MK = """best AS (SELECT job_id, skill_id, lower(skill_priority) AS pr FROM (SELECT *, row_number() OVER (PARTITION BY job_id, skill_id ORDER BY confidence DESC NULLS LAST, job_skills_id) AS rn FROM f_job_skills) q WHERE rn = 1),
@@ -379,9 +385,9 @@ def _(t):
     return pages.accept_postings(pages.extract_jsonld(html), hosts, "2000-01-01")[1]
 
 
-@query("src_6_sitemaps", "SELECT DISTINCT concat('https://x.example/', CASE WHEN o_orderkey % 3 = 0 THEN 'jobs/' ELSE 'blog/' END, o_orderkey) AS url FROM orders WHERE o_orderkey % 3 = 0")
+@query("src_6_sitemaps", "SELECT DISTINCT concat('https://x.example/jobs/', o_orderkey) AS url FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 15 <> 0")
 def _(t):
-    leaf = t.sql("SELECT concat('https://x.example/map-', o_custkey % 40, '.xml') AS url, concat('https://x.example/', CASE WHEN o_orderkey % 3 = 0 THEN 'jobs/' ELSE 'blog/' END, o_orderkey) AS loc FROM orders")
+    leaf = t.sql("SELECT concat('https://x.example/map-', o_custkey % 40, '.xml') AS url, CASE WHEN o_orderkey % 15 = 0 THEN concat('https://x.example/careers/', o_orderkey, '/jobs/') ELSE concat('https://x.example/', CASE WHEN o_orderkey % 3 = 0 THEN 'jobs/' ELSE 'blog/' END, o_orderkey) END AS loc FROM orders")
     # One captured document per address of the map, so no document has to be assembled in one task.
     docs = leaf.select("url", F.concat(F.lit("<urlset><url><loc> "), "loc", F.lit(" </loc></url></urlset>")).alias("xml"))
     index = leaf.select(F.lit("https://x.example/sitemap.xml").alias("url"), F.concat(F.lit("<sitemapindex><loc>"), "url", F.lit("</loc></sitemapindex>")).alias("xml")).distinct()
@@ -389,7 +395,42 @@ def _(t):
     return pages.expand_sitemaps(docs.unionByName(index).distinct(), roots)
 
 
-@query("src_7_text_dump", "SELECT count(DISTINCT lower(description_text)) AS blocks FROM f_postings")
+# A brand of each firm's own, one bought by a firm two steps up, and a circle; every eleventh posting names a brand, every seventh a stranger.
+BRANDED = """br AS (SELECT page_id, title, country, region, company_name, valid_through, description, url, concat('https://jobs.site', CAST(k % 50 AS BIGINT), '.example/careers') AS careers_url,
+ CASE WHEN k % 11 = 0 THEN concat('brand ', k % 50) WHEN k % 11 = 1 THEN concat('maker ', k % 50) WHEN k % 7 = 0 THEN 'Unknown Traders' WHEN k % 7 = 1 THEN 'Spam Board' WHEN k % 13 = 0 THEN NULL ELSE company_name END AS organization FROM base)"""
+BASE_PAGES = """base AS (SELECT job_id AS page_id, CAST(substring(job_id, 2) AS BIGINT) AS k, role_name AS title, CASE WHEN loc_country = 'unknown' THEN NULL ELSE loc_country END AS country, loc_state AS region, concat('House ', CAST(substring(job_id, 2) AS BIGINT) % 50) AS company_name, last_seen_at AS valid_through, description_text AS description,
+ concat('https://www.', CASE WHEN CAST(substring(job_id, 2) AS BIGINT) % 3 = 0 THEN 'board' ELSE concat('site', CAST(substring(job_id, 2) AS BIGINT) % 50) END, '.example/job/', job_id) AS url FROM f_postings JOIN f_roles USING (role_id))"""
+
+
+@query("src_5_brands", rf"""WITH {BASE_PAGES}, {BRANDED},
+x AS (SELECT CASE WHEN NOT regexp_matches(title, '(?i)\b(data|analy|engineer|scientist)') THEN 'non_target_role' WHEN NOT (coalesce(country, '') = 'US' OR (country IS NULL AND upper(coalesce(region, '')) IN ('WA', 'IL', 'CA', 'NY', 'TX'))) THEN 'no_us_evidence'
+ WHEN organization = company_name THEN 'accepted_by_host' WHEN organization LIKE 'brand %' THEN 'accepted_by_parent' WHEN organization IS NULL OR organization = 'Spam Board' OR url LIKE '%board%' THEN 'organization_mismatch' ELSE 'accepted_by_brand' END AS outcome FROM br)
+SELECT outcome, count(*) AS n FROM x GROUP BY 1""")
+def _(t):
+    from ..fixtures import VIEWS
+
+    rows = t.sql(f"WITH f_postings AS ({VIEWS['f_postings']}), f_roles AS ({VIEWS['f_roles']}), {BASE_PAGES}, {BRANDED} SELECT * FROM br")
+    hosts = rows.select("page_id", "company_name", "careers_url", F.lit("H1").alias("host_id"))
+    edges = t.spark.range(50).select(F.concat(F.lit("brand "), "id").alias("brand"), F.concat(F.lit("holding "), "id").alias("parent")).unionByName(
+        t.spark.range(50).select(F.concat(F.lit("holding "), "id").alias("brand"), F.concat(F.lit("house "), "id").alias("parent"))).unionByName(
+        t.spark.createDataFrame([("round a", "round b"), ("round b", "round a")], "brand string, parent string"))
+    found = rows.drop("company_name", "careers_url").withColumn("identifier", F.lit(None).cast("string"))
+    return pages.accept_postings(found, hosts, "1980-01-01", brands=edges, blocked=["Spam Board"])[1]
+
+
+# Written as dumps with noise and every block twice in other letters, read back as records.
+@query("src_7_text_dump", r"SELECT block_hash, count(*) AS blocks, min(length(block)) AS chars FROM (SELECT sha256(trim(regexp_replace(lower(description_text), '\s+', ' ', 'g'))) AS block_hash, trim(upper(description_text)) AS block FROM f_postings) q GROUP BY 1".replace("count(*) AS blocks", "1 AS blocks"))
+def _(t):
+    path = scratch_path(t.spark, "dump")
+    dump = F.concat(F.lit("noise\n=== JOB START ===\n"), "description_text", F.lit("\n=== JOB END ===\n=== JOB START ===\n"), F.upper("description_text"), F.lit("\n=== JOB END ===\n"))
+    t.texts.select(dump.alias("value")).write.text(path)
+    return pages.read_dump(t.spark, path).select("block_hash", F.lit(1).alias("blocks"), F.length("block").alias("chars"))
+
+
+# The same entries as lines of a file that the reader takes apart.
+@query("src_2_feed_from_lines", f"WITH {FEED_SQL} SELECT concat('acme|', id) AS source_id, title, url AS job_url, pd AS posted_date, CAST(salary_max AS DOUBLE) AS salary_max FROM oc WHERE outcome = 'good'")
 def _(t):
-    dump = t.postings.select(F.concat(F.lit("noise\n=== JOB START ===\n"), "description_text", F.lit("\n=== JOB END ===\n=== JOB START ===\n"), F.upper("description_text"), F.lit("\n=== JOB END ===\n")).alias("value"))
-    return pages.split_dump(dump).agg(F.count(F.lit(1)).alias("blocks"))
+    path = scratch_path(t.spark, "feed")
+    rows = feed_rows(t)
+    rows.select(F.to_json(F.struct(*[c for c in rows.columns if c != "_corrupt"])).alias("value")).write.text(path)
+    return feeds.read_partner_feed(t.spark, path, "jsonl", "Acme", "acme")[0].select("source_id", "title", "job_url", "posted_date", "salary_max")

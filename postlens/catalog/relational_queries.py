@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixtures import AS_OF
@@ -39,6 +42,19 @@ def _(t):
     )
 
 
+# Every entity by its declared schema: rows, and how many have a value in the last column declared.
+ENTITY_ENDS = {"region": "r_name", "nation": "n_regionkey", "customer": "c_mktsegment", "supplier": "s_acctbal", "part": "p_retailprice", "orders": "o_orderpriority", "lineitem": "l_shipdate", "events": "props",
+               "documents": "n_chars", "embeddings": "label", "pages": "html", "benchmark": "text", "labels": "toxic", "conversations": "text"}
+
+
+@query("src_1_all_entities", " UNION ALL ".join(f"SELECT '{e}' AS entity, count(*) AS n, count({c}) AS filled FROM {e}" for e, c in ENTITY_ENDS.items()))
+def _(t):
+    from ..sources.entities import SCHEMAS, read_entities
+
+    counted = [df.agg(F.count(F.lit(1)).alias("n"), F.count(SCHEMAS[name].rsplit(", ", 1)[-1].split()[0]).alias("filled")).select(F.lit(name).alias("entity"), "n", "filled") for name, df in read_entities(t.spark, t.root).items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
 @query("prj_1_stage_dims", "SELECT company_id, trim(company_name) AS company_name, nullif(trim(company_type), '') AS company_type FROM f_companies")
 def _(t):
     return C.stage_dim(t.companies, ["company_name", "company_type"]).select("company_id", "company_name", "company_type")

@@ -103,6 +103,20 @@ def _(t):
     return skills.extract_skills_sectioned(t.texts, "job_id", "description_text", skills.alias_table(t.skills))
 
 
+# The same texts with headings that only hold a ruling word, and with ruling words on the lines themselves.
+WORDED = r"replace(replace(description_text, 'Preferred' || chr(10), CASE life_days % 3 WHEN 0 THEN 'What is preferred here:' || chr(10) WHEN 1 THEN 'Bonus skills and tools:' || chr(10) ELSE 'Preferred' || chr(10) END), '- Knowledge of', CASE life_days % 2 WHEN 0 THEN '- Nice to have: knowledge of' ELSE '- Preferred: knowledge of' END)"
+
+
+@query("txt_8_ruling_words", rf"""WITH wd AS (SELECT job_id, {WORDED} AS d FROM f_postings), ln AS (SELECT job_id, unnest(string_split(d, chr(10))) AS line, generate_subscripts(string_split(d, chr(10)), 1) AS i FROM wd),
+hd AS (SELECT *, CASE lower(line) WHEN 'requirements' THEN 'required' WHEN 'preferred' THEN 'preferred' WHEN 'what is preferred here:' THEN 'preferred' WHEN 'bonus skills and tools:' THEN 'nice-to-have' WHEN 'benefits' THEN 'closed' END AS h FROM ln),
+sc AS (SELECT *, last_value(h IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY i) AS sec FROM hd),
+tk AS (SELECT job_id, CASE WHEN sec IN ('required', 'preferred', 'nice-to-have') THEN CASE WHEN line LIKE '- Nice to have:%' THEN 'nice-to-have' WHEN line LIKE '- Preferred:%' THEN 'preferred' ELSE sec END END AS pr, unnest(regexp_extract_all(lower(line), '\bskill\d+\b')) AS s FROM sc WHERE h IS NULL)
+SELECT job_id, skill_id, CASE max(CASE pr WHEN 'required' THEN 3 WHEN 'preferred' THEN 2 WHEN 'nice-to-have' THEN 1 END) WHEN 2 THEN 'preferred' WHEN 1 THEN 'nice-to-have' ELSE 'required' END AS skill_priority FROM tk JOIN f_skills ON skill_name = s GROUP BY 1, 2""")
+def _(t):
+    rows = t.texts.select("job_id", F.expr(WORDED).alias("description_text"))
+    return skills.extract_skills_sectioned(rows, "job_id", "description_text", skills.alias_table(t.skills))
+
+
 DOMAIN_LIST = ["data_ml", "engineering", "product", "sales"]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import rounded
 from ..functions.text import dedup_normalize
 from ..session import cut_lineage
 from .relational import dedupe_best, with_group_facts
@@ -77,13 +78,39 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return shared.filter(F.col("_i") >= (F.col("_t") - F.col("_i")) * threshold).select("src", "dst")
 
 
+def block_pairs(df: DataFrame, key: str, block: str, tokens: Column, threshold: float) -> DataFrame:
+    """(block, src, dst, src_copies, dst_copies, similarity): pairs inside a block whose token sets reach a Jaccard ``threshold``.
+
+    Rows of equal sets are one class, named by its smallest key and counted, so a block that
+    is a third of the table makes no square of copies.  Two sets that reach the threshold share
+    one of their n - ceil(n * threshold) + 1 rarest tokens, so classes meet by equality on
+    (block, token) at the first such token only, and each pair is then compared in full.
+    """
+    sets = df.select(F.col(key).alias("_id"), F.col(block).alias("_block"), F.array_sort(F.array_distinct(tokens)).alias("_set")).filter(F.size("_set") > 0)
+    classes = cut_lineage(sets.groupBy("_block", "_set").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies")).withColumn("_n", F.size("_set")))
+    each = classes.select("_block", "_rep", "_n", F.explode("_set").alias("_t"))
+    often = each.groupBy("_t").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = each.join(often, "_t").groupBy("_block", "_rep", "_n").agg(F.array_sort(F.collect_list(F.struct("_c", "_t"))).alias("_r"))
+    prefix = F.slice("_r", F.lit(1), F.col("_n") - F.ceil(F.col("_n") * threshold - 1e-9).cast("int") + 1)
+    keys = cut_lineage(ranked.select(F.coalesce(F.col("_block").cast("string"), F.lit("")).alias("_b"), F.col("_block").isNull().alias("_none"), "_rep", "_n", F.transform(prefix, lambda x: x["_t"]).alias("_p")))
+    a = keys.select("_b", "_none", F.col("_rep").alias("src"), F.col("_n").alias("_na"), F.col("_p").alias("_pa"), F.explode("_p").alias("_t"))
+    b = keys.select("_b", "_none", F.col("_rep").alias("dst"), F.col("_n").alias("_nb"), F.col("_p").alias("_pb"), F.explode("_p").alias("_t"))
+    met = a.join(b, ["_b", "_none", "_t"]).filter(F.col("src") < F.col("dst")).filter(F.least("_na", "_nb") >= F.greatest("_na", "_nb") * threshold)
+    once = met.filter(F.col("_t") == F.element_at(F.array_intersect("_pa", "_pb"), 1)).select("src", "dst")
+    side = lambda name, s, c: classes.select(F.col("_rep").alias(name), F.col("_block").alias(f"_b{s}"), F.col("_set").alias(f"_s{s}"), F.col("_copies").alias(c))
+    both = once.join(side("src", 1, "src_copies"), "src").join(side("dst", 2, "dst_copies"), "dst")
+    shared = both.withColumns({"_i": F.size(F.array_intersect("_s1", "_s2")), "_u": F.size("_s1") + F.size("_s2")}).withColumn("_u", F.col("_u") - F.col("_i"))
+    return shared.filter(F.col("_i") >= F.col("_u") * threshold - 1e-9).select(F.col("_b1").alias(block), "src", "dst", "src_copies", "dst_copies", rounded(F.col("_i") / F.col("_u"), 6).alias("similarity"))
+
+
 def near_dup_clusters(df: DataFrame, key: str, block: list[str], text: str, threshold: float = THRESHOLD) -> DataFrame:
     """(key, cluster_id): clusters of near-identical texts inside a block; id = smallest key.
 
-    No group is ever paired with itself.  Equal texts and equal shingle sets are
+    Equal texts and equal shingle sets are
     first folded into one representative by aggregation.  Representatives that
     agree on a key are compared with the smallest one of that key (a star); only
-    keys that still hold several clusters afterwards are compared across them.
+    keys that still hold several clusters afterwards are compared across them, every row of a cluster with every
+    row of the others.
     """
     block_hash = F.xxhash64(*[F.coalesce(F.col(b).cast("string"), F.lit("")) for b in block])
     body = dedup_normalize(F.col(text))

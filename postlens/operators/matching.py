@@ -208,38 +208,60 @@ def extract_resume_skills(resumes: DataFrame, aliases: DataFrame, variants: Data
     return found.groupBy("resume_id", "skill_id").agg(F.max("confidence").alias("confidence"), F.max_by("source", "confidence").alias("source"))
 
 
-# Years below which a resume is entry, associate, mid.
+# Years below which a resume is entry, associate, mid; the first year and the longest span in months that
+# count; the month of a date without one; how much of a text is searched for titles; the tenure that backs a lone senior title.
 LEVEL_BOUNDS = (1, 3, 6)
+FIRST_YEAR, LONGEST_SPAN, MID_YEAR = 1990, 360, 6
+TITLE_HEAD, SENIOR_TENURE = 3000, 4
+# Default words of titles by level.
+RESUME_TITLES = {"senior": r"senior|sr|staff|principal|lead|head of|director|manager|vp|vice president|chief|fellow", "entry": r"intern|internship|junior|jr|new grad|apprentice|trainee|early career", "associate": r"associate"}
 
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
-_RANGE = r"(?i)((?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?)?\s*((?:19|20)\d{2})\s*(?:-|–|—|to)\s*((?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?)?\s*((?:19|20)\d{2}|present|current)"
+_MONTH = rf"(?:{'|'.join(_MONTHS)})[a-z]*\.?\s+|\d{{1,2}}\s*[/.-]\s*"
+_RANGE = rf"(?i)(?:\b({_MONTH}))?\b((?:19|20)\d{{2}})\s*(?:-|–|—|to|until)\s*(?:({_MONTH})?\b((?:19|20)\d{{2}})|(present|current|now|today))\b"
 
 
-def resume_level(resumes: DataFrame, as_of: str, text: str = "resume_text") -> DataFrame:
-    """Level from a stated number of years, else summed date ranges, else titles."""
+def resume_level(resumes: DataFrame, as_of: str, text: str = "resume_text", titles: dict[str, str] = RESUME_TITLES) -> DataFrame:
+    """Level from a stated number of years, else from titles and summed date ranges together.
+
+    Two senior titles, or one with no junior title and no short tenure against it, make a senior whatever the dates
+    say; junior titles make an entry unless a senior one stands beside a single of them.  Then the ranges
+    decide: "Aug 2015 - Mar 2017", "08/2015 to 03/2017", "2015 - now"; a span that ends before it
+    begins, is over thirty years or begins before 1990 or after ``as_of`` does not count.
+    """
     low = F.lower(text)
     stated = F.array_max(F.transform(F.regexp_extract_all(low, F.lit(r"(\d{1,2})\+?\s*years?(?:\s+of)?(?:\s+\w+)?\s+experience"), F.lit(1)), lambda y: y.try_cast("int")))
     month = F.create_map(*[F.lit(x) for i, m in enumerate(_MONTHS) for x in (m, i + 1)])
     today = F.lit(as_of).cast("date")
 
-    def at(m: Column, y: Column, default: int) -> Column:
-        named = F.coalesce(F.element_at(month, F.substring(F.lower(m), 1, 3)), F.lit(default))
-        return F.when(y.rlike("(?i)present|current"), F.year(today) * 12 + F.month(today)).otherwise(y.try_cast("int") * 12 + named)
+    def number(m: Column) -> Column:
+        digits = F.regexp_extract(m, r"(\d{1,2})", 1).try_cast("int")
+        return F.coalesce(F.element_at(month, F.substring(F.lower(F.trim(m)), 1, 3)), F.when(digits.between(1, 12), digits), F.lit(MID_YEAR))
 
     def span(s: Column) -> Column:
         part = lambda i: F.regexp_extract(s, _RANGE, i)
-        return F.greatest(at(part(3), part(4), 12) - at(part(1), part(2), 1), F.lit(0))
-
-    ranges = F.regexp_extract_all(F.col(text), F.lit(_RANGE), F.lit(0))
-    months = F.aggregate(F.transform(ranges, span), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)).cast("int"))
-    years = F.coalesce(stated.cast("double"), F.when(F.size(ranges) > 0, months / 12.0))
-    senior, junior = F.regexp_count(low, F.lit(r"\b(senior|lead|principal|staff)\b")), F.regexp_count(low, F.lit(r"\b(junior|intern|trainee)\b"))
-    entry, associate, mid = LEVEL_BOUNDS
-    by_years = F.when(F.col("_y") < entry, "entry").when(F.col("_y") < associate, "associate").when(F.col("_y") < mid, "mid").when(F.col("_y").isNotNull(), "senior")
-    by_title = F.when(senior > junior, "senior").when(junior > senior, "entry").otherwise("mid")
-    return resumes.withColumn("_y", years).select(
-        "resume_id", rounded(F.col("_y"), 2).alias("years"), F.coalesce(by_years, by_title).alias("level"),
-        F.when(stated.isNotNull(), "stated").when(F.size(ranges) > 0, "dates").otherwise("titles").alias("evidence"))
+        y1, y2, open_ = part(2).try_cast("int"), part(4).try_cast("int"), part(5) != ""
+        end = F.when(open_, F.year(today) * 12 + F.month(today)).when(y2.between(FIRST_YEAR, F.year(today) + 1), y2 * 12 + number(part(3)))
+        length = F.when(y1.between(FIRST_YEAR, F.year(today)), end - (y1 * 12 + number(part(1))))
+        return F.when(length.between(1, LONGEST_SPAN), length)
+
+    spans = F.filter(F.transform(F.regexp_extract_all(F.col(text), F.lit(_RANGE), F.lit(0)), span), lambda x: x.isNotNull())
+    head = F.substring(low, 1, TITLE_HEAD)
+    counted = resumes.select("resume_id", stated.alias("_stated"), spans.alias("_spans"), *[F.regexp_count(head, F.lit(rf"\b(?:{p})\b")).alias(f"_{n}") for n, p in titles.items()])
+    dated = counted.withColumn("_dated", F.when(F.size("_spans") > 0, F.aggregate("_spans", F.lit(0), lambda a, x: a + x) / 12.0))
+
+    def by_years(y: Column) -> Column:
+        entry, associate, mid = LEVEL_BOUNDS
+        return F.when(y < entry, "entry").when(y < associate, "associate").when(y < mid, "mid").when(y.isNotNull(), "senior")
+
+    years, senior, entry = F.col("_dated"), F.col("_senior"), F.col("_entry")
+    titled = (F.when((senior >= 2) | ((senior >= 1) & (entry == 0) & (years.isNull() | (years >= SENIOR_TENURE))), "senior")
+              .when((entry >= 2) | ((entry >= 1) & (senior == 0)), "entry"))
+    said = F.col("_stated").cast("double")
+    fallback = F.when((F.col("_associate") >= 1) & (senior == 0) & (entry == 0), "associate").otherwise("mid")
+    return dated.select(
+        "resume_id", rounded(F.coalesce(said, years), 2).alias("years"), F.coalesce(by_years(said), titled, by_years(years), fallback).alias("level"),
+        F.when(said.isNotNull(), "stated").when(titled.isNotNull(), "titles").when(years.isNotNull(), "dates").otherwise("titles").alias("evidence"))
 
 
 # ---- market statistics ------------------------------------------------------------------------

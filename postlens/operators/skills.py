@@ -28,24 +28,40 @@ def _heading(names: list[str]) -> str:
     return r"^[ \t]*(?:" + "|".join(names) + r")[ \t]*:?[ \t]*$"
 
 
+# Words that rule a line ending in a colon, and a line on which they stand; the first that fits counts.
+RULING_WORDS = {"nice-to-have": r"nice[ -]to[ -]have|bonus", "preferred": r"preferred", "required": r"required|requirements|qualifications|must have"}
+_RULING_LINE = r"^(?![ \t]*(?:[-*•·]|\d+[.)]))[^\n:]{0,60}\b(?:" + "|".join(RULING_WORDS.values()) + r")\b[^\n:]{0,40}:[ \t]*$"
+
+
+def ruled_by(text: Column) -> Column:
+    """The priority whose word stands in a text; null if none does."""
+    return F.coalesce(*[F.when(F.lower(text).rlike(rf"\b(?:{words_})\b"), F.lit(name)) for name, words_ in RULING_WORDS.items()])
+
+
 def section_lines(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     """Lines of each text with in_block, priority and bullet.
 
     The text is cut in front of its headings, first those that set a priority,
     then those that open or close a block, so every piece starts with the heading
-    that rules it; nothing is carried from line to line.
+    that rules it; nothing is carried from line to line.  A heading is a line of the lists, or one
+    that is no bullet, ends in a colon and holds a ruling word.  A ruling word on a line of its own
+    block goes before the heading.
     """
     ruled = [h for names in PRIORITY_HEADINGS.values() for h in names]
-    pieces = df.select(*keep, F.explode(F.split(text, f"(?im)(?={_heading(ruled)})")).alias("_p"))
+    ruling = f"{_heading(ruled)}|{_RULING_LINE}"
+    pieces = df.select(*keep, F.explode(F.split(text, f"(?im)(?={ruling})")).alias("_p"))
+    top = F.regexp_extract("_p", r"^([^\n]*)", 1)
     first = F.lower(F.trim(F.regexp_extract("_p", r"^[ \t]*([^\n:]*)", 1)))
     priority = None
     for name, names in PRIORITY_HEADINGS.items():
         priority = (F if priority is None else priority).when(first.isin(names), F.lit(name))
+    priority = priority.when(top.rlike(f"(?i){_RULING_LINE}"), ruled_by(first))
     parts = pieces.select(*keep, priority.alias("_rank"), F.explode(F.split("_p", f"(?im)(?={_heading(OPENING + CLOSING)})")).alias("_q"))
-    head = F.lower(F.trim(F.regexp_extract("_q", r"^[ \t]*([^\n:]*)", 1)))
-    block = F.when(head.isin(OPENING), True).when(head.isin(CLOSING), False).otherwise(head.isin(ruled))
-    lines = parts.select(*keep, block.alias("in_block"), F.coalesce("_rank", F.lit("required")).alias("priority"), F.explode(F.split("_q", "\n")).alias("line"))
-    return lines.filter((F.trim("line") != "") & ~F.trim("line").rlike("(?i)" + _heading(ruled + OPENING + CLOSING))).withColumn("bullet", F.col("line").rlike(BULLET))
+    head, line = F.lower(F.trim(F.regexp_extract("_q", r"^[ \t]*([^\n:]*)", 1))), F.regexp_extract("_q", r"^([^\n]*)", 1)
+    block = F.when(head.isin(OPENING), True).when(head.isin(CLOSING), False).otherwise(head.isin(ruled) | line.rlike(f"(?i){_RULING_LINE}"))
+    lines = parts.select(*keep, block.alias("in_block"), F.coalesce("_rank", F.lit("required")).alias("_section"), F.explode(F.split("_q", "\n")).alias("line"))
+    shown = lines.filter((F.trim("line") != "") & ~F.trim("line").rlike(f"(?i){_heading(ruled + OPENING + CLOSING)}|{_RULING_LINE}"))
+    return shown.select(*keep, "in_block", F.coalesce(ruled_by(F.col("line")), "_section").alias("priority"), "line", F.col("line").rlike(BULLET).alias("bullet"))
 
 
 def alias_table(skills: DataFrame, aliases: DataFrame | None = None) -> DataFrame:

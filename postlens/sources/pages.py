@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,27 +46,71 @@ def extract_jsonld(pages: DataFrame, key: str = "page_id", html: str = "html", k
         (F.upper(text("$.jobLocationType")) == "TELECOMMUTE").alias("remote"))
 
 
-def accept_postings(postings: DataFrame, hosts: DataFrame, as_of: str, key: str = "page_id", target: str = r"(?i)\b(data|analy|engineer|scientist)") -> tuple[DataFrame, DataFrame]:
-    """(accepted, counts by rejection reason); ``hosts`` has (key, host_id, company_name)."""
+def brand_owners(brands: DataFrame, depth: int = 16) -> DataFrame:
+    """(brand, owner) for every owner up the chain of a table of (brand, parent); circles end where they close."""
+    spark = brands.sparkSession
+    return spark.sql(f"""
+        WITH RECURSIVE up (brand, owner, seen) AS (
+            SELECT brand, parent, array(brand, parent) FROM {{brands}} WHERE brand IS NOT NULL AND parent IS NOT NULL
+            UNION ALL
+            SELECT u.brand, b.parent, array_append(u.seen, b.parent) FROM up u JOIN {{brands}} b ON b.brand = u.owner
+            WHERE b.parent IS NOT NULL AND NOT array_contains(u.seen, b.parent) AND size(u.seen) < {depth})
+        SELECT DISTINCT brand, owner FROM up""", brands=brands)
+
+
+def site_of(url: Column) -> Column:
+    """The registered domain of an address, taken as the last two labels of its host."""
+    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/:?#]+)", 1))
+    return F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit(""))
+
+
+def attribute_brands(postings: DataFrame, brands: DataFrame, blocked: list[str] = ()) -> DataFrame:
+    """Adds attribution: host, parent or brand, null where the organisation may not be trusted.
+
+    The organisation is the host's company, or one that ``brands`` (brand, parent; lower case) puts under it.
+    Any other name counts only if it is not ``blocked`` and the page lies on the host's own
+    site (``careers_url``); the posting is then the stated brand's.
+    """
+    owned = brand_owners(brands)
+    org, home = F.lower(F.trim("organization")), F.lower(F.trim("company_name"))
+    named = postings.withColumns({"_org": org, "_home": home})
+    parents = named.filter(F.col("_org").isNotNull()).select("_org", "_home").distinct().join(owned.select(F.col("brand").alias("_org"), F.col("owner").alias("_home")), ["_org", "_home"]).withColumn("_owned", F.lit(True))
+    joined = named.join(parents, ["_org", "_home"], "left")
+    plain = F.coalesce("_org", F.lit("")) != ""
+    own_site = F.coalesce(site_of(F.col("url")) == site_of(F.col("careers_url")), F.lit(False))
+    attribution = F.when(plain & org_match(F.col("company_name"), F.col("organization")), "host").when(plain & F.col("_owned"), "parent").when(plain & ~F.col("_org").isin(*[b.lower() for b in blocked]) & own_site, "brand")
+    return joined.withColumn("attribution", attribution).drop("_org", "_home", "_owned")
+
+
+def accept_postings(postings: DataFrame, hosts: DataFrame, as_of: str, key: str = "page_id", target: str = r"(?i)\b(data|analy|engineer|scientist)", brands: DataFrame | None = None, blocked: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(accepted, counts by rejection reason); ``hosts`` has (key, host_id, company_name).
+
+    With ``brands`` (see ``attribute_brands``; ``hosts`` then has careers_url too) subsidiaries and brands are
+    accepted, and the counts say how many by which attribution.
+    """
     j = postings.join(hosts, key)
+    if brands is not None:
+        j = attribute_brands(j, brands, blocked)
     country = F.lower(F.coalesce("country", F.lit("")))
     in_us = country.isin("us", "usa", "united states") | ((country == "") & F.upper(F.coalesce("region", F.lit(""))).isin(US_STATES))
     reason = (
         F.when(F.coalesce("title", F.lit("")) == "", "non_target_role").when(~F.col("title").rlike(target), "non_target_role")
-        .when(~in_us, "no_us_evidence").when(F.col("organization").isNull() | ~org_match(F.col("company_name"), F.col("organization")), "organization_mismatch")
+        .when(~in_us, "no_us_evidence").when(F.col("organization").isNull() | ~org_match(F.col("company_name"), F.col("organization")) if brands is None else F.col("attribution").isNull(), "organization_mismatch")
         .when(F.length(F.coalesce("description", F.lit(""))) < MIN_TEXT, "short_description")
         .when(F.col("valid_through") < F.lit(as_of).cast("date"), "expired"))
     judged = j.withColumn("reject_reason", reason)
     url = F.coalesce("url", F.col(key).cast("string"))
     accepted = judged.filter(F.col("reject_reason").isNull()).withColumn("source_id", F.concat_ws("|", "host_id", F.coalesce("identifier", F.substring(F.sha2(url, 256), 1, 24)))).drop("reject_reason")
-    return accepted, judged.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    taken = F.lit("accepted") if brands is None else F.concat(F.lit("accepted_by_"), "attribution")
+    return accepted, judged.groupBy(F.coalesce("reject_reason", taken).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
 JOB_PATH = r"(?i)/(?:jobs?|careers?|openings?|positions?|vacanc)[/-]"
+HUB_PATH = r"(?i)/(?:jobs|careers|opportunities|search-jobs)/?(?:[?#].*)?$"  # a list of jobs, not a job
 
 
-def expand_sitemaps(docs: DataFrame, roots: DataFrame, job_path: str = JOB_PATH) -> DataFrame:
-    """Job-shaped addresses reachable from root sitemaps over captured (url, xml) documents.
+def expand_sitemaps(docs: DataFrame, roots: DataFrame, job_path: str = JOB_PATH, hub_path: str = HUB_PATH) -> DataFrame:
+    """Job-shaped addresses, hubs left out, reachable from root sitemaps over captured (url, xml) documents.
 
     Goes on until a level has no sitemap that was not read before, so loops end too.
     """
@@ -76,7 +122,7 @@ def expand_sitemaps(docs: DataFrame, roots: DataFrame, job_path: str = JOB_PATH)
     leaves = roots.select("url").limit(0)
     while not level.isEmpty():
         children = edges.join(level.withColumnRenamed("url", "parent"), "parent").select("url", "_is_map").distinct()
-        leaves = leaves.unionByName(children.filter(~F.col("_is_map") & F.col("url").rlike(job_path)).select("url"))
+        leaves = leaves.unionByName(children.filter(~F.col("_is_map") & F.col("url").rlike(job_path) & ~F.col("url").rlike(hub_path)).select("url"))
         level = cut_lineage(children.filter("_is_map").select("url").join(seen, "url", "left_anti"))
         seen = seen.unionByName(level)
     return leaves.distinct()
@@ -84,14 +130,21 @@ def expand_sitemaps(docs: DataFrame, roots: DataFrame, job_path: str = JOB_PATH)
 
 def split_dump(texts: DataFrame, column: str = "value", begin: str = "=== JOB START ===", end: str = "=== JOB END ===") -> DataFrame:
     """One row per marked block of a text dump; repeats of a block are dropped by hash."""
-    import re
-
     pattern = rf"(?s){re.escape(begin)}\s*(.*?)\s*{re.escape(end)}"
-    blocks = texts.select(F.explode(F.regexp_extract_all(column, F.lit(pattern), F.lit(1))).alias("block")).filter(F.trim("block") != "")
-    hashed = blocks.withColumn("block_hash", F.sha2(F.lower(F.trim(F.regexp_replace("block", r"\s+", " "))), 256))
+    return _distinct_blocks(texts.select(F.explode(F.regexp_extract_all(column, F.lit(pattern), F.lit(1))).alias("block")))
+
+
+def _distinct_blocks(blocks: DataFrame) -> DataFrame:
+    hashed = blocks.filter(F.trim("block") != "").withColumn("block_hash", F.sha2(F.lower(F.trim(F.regexp_replace("block", r"\s+", " "))), 256))
     return dedupe_best(hashed, ["block_hash"], [F.col("block")])
 
 
-def read_dump(spark: SparkSession, path: str, **markers: str) -> DataFrame:
-    """Each file is one text; files are spread over tasks."""
-    return split_dump(spark.read.text(path, wholetext=True), **markers)
+def read_dump(spark: SparkSession, path: str, begin: str = "=== JOB START ===", end: str = "=== JOB END ===") -> DataFrame:
+    """Blocks of dumps of any size: a file is read record by record up to each ``end``, so Spark splits it over tasks.
+
+    A record's block follows the last ``begin`` in it; what stands before, between or after is noise.
+    """
+    records = spark.read.option("lineSep", end).text(path)
+    at = F.expr("value").contains(begin)
+    block = F.trim(F.regexp_replace(F.element_at(F.split("value", re.escape(begin)), -1), r"^\s+|\s+$", ""))
+    return _distinct_blocks(records.filter(at).select(block.alias("block")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +42,31 @@ def batch_event_counts(events: DataFrame, window: str = "1 day", delay: str = "1
     return counts.withColumn("_m", mark.scalar()).filter(F.col("window_end") <= F.col("_m")).drop("_m")
 
 
+def session_counts(stream: DataFrame, key: str, gap: str = "30 minutes", delay: str = "1 hour", ts: str = "ts") -> DataFrame:
+    """Visits of a key: events no further apart than ``gap``; one row when the watermark passes a visit's end."""
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    return timed.groupBy(key, F.session_window(ts, gap)).agg(F.count(F.lit(1)).alias("n")).select(
+        key, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
+
+
+def run_arrivals(parts: list[DataFrame], make: Callable[[DataFrame], DataFrame], name: str) -> tuple[DataFrame, int]:
+    """(rows emitted, rows dropped as late) of a stream that finds one part after the other.
+
+    Each part is written to the stream's folder and drained before the next arrives, however
+    many files it has, so a row is late by the watermark of the parts before its own.
+    """
+    spark = parts[0].sparkSession
+    base = scratch_path(spark, name)
+    dropped = 0
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/in")
+        out = make(event_stream(spark, f"{base}/in", parts[0].schema))
+        query = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/rows")
+        query.awaitTermination()
+        dropped += sum(state["numRowsDroppedByWatermark"] for progress in query.recentProgress for state in progress["stateOperators"])
+    return spark.read.schema(out.schema).parquet(f"{base}/rows"), dropped
+
+
 SIGHTING_SCHEMA = "job_id string, event_type string, observed_at timestamp, gap_days int"
 STATE_SCHEMA = "last_seen timestamp, open boolean"
 
