@@ -243,16 +243,29 @@ def _(t):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
-@query("lc_1_lifecycle_stream", """WITH d AS (SELECT concat('J', user_id) AS job_id, CAST(ts AS DATE) AS day, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY 1, 2),
+LIFE_SQL = """WITH d AS (SELECT concat('J', user_id) AS job_id, CAST(ts AS DATE) AS day, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY 1, 2),
 g AS (SELECT *, day - lag(day) OVER w AS gap, lag(hi) OVER w AS before, lead(day) OVER w AS nxt FROM d WINDOW w AS (PARTITION BY job_id ORDER BY day))
 SELECT job_id, 'appeared' AS event_type, lo AS observed_at, CAST(NULL AS INT) AS gap_days FROM g WHERE gap IS NULL UNION ALL SELECT job_id, 'reappeared', lo, gap FROM g WHERE gap >= 2 UNION ALL SELECT job_id, 'disappeared', before, NULL FROM g WHERE gap >= 2
-UNION ALL SELECT job_id, 'disappeared', hi, NULL FROM g WHERE nxt IS NULL AND CAST(day + 2 AS TIMESTAMP) <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+UNION ALL SELECT job_id, 'disappeared', hi, NULL FROM g WHERE nxt IS NULL AND CAST(day + 2 AS TIMESTAMP) <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+
+
+@query("lc_1_lifecycle_stream", LIFE_SQL)
 def _(t):
     stream = S.event_stream(t.spark, f"{t.root}/events*.parquet", t.base("events").schema)
     sightings = stream.select(F.concat(F.lit("J"), F.col("user_id").cast("string")).alias("job_id"), F.col("ts").alias("observed_at"))
     return S.run_to_table(S.lifecycle_stream(sightings), "lifecycle").withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
 
 
+# A batch over the first weeks, then a stream from its state: together what one run over all gives.
+@query("lc_1_hand_over", LIFE_SQL)
+def _(t):
+    from ..streaming.handover import hand_over
+
+    seen = t.base("events").select(F.concat(F.lit("J"), F.col("user_id").cast("string")).alias("job_id"), F.col("ts").cast("timestamp").alias("observed_at"))
+    cut = F.lit("2024-01-16 09:30:00").cast("timestamp")
+    return hand_over(seen.filter(F.col("observed_at") < cut), seen.filter(F.col("observed_at") >= cut)).withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
+
+
 # ---- quality -----------------------------------------------------------------------------------
 
 CAND = f"""cand AS (SELECT canonical_opportunity_id, job_id FROM (SELECT p.canonical_opportunity_id, job_id, row_number() OVER (PARTITION BY p.canonical_opportunity_id ORDER BY CASE ingestion_source WHEN 'greenhouse' THEN 3 WHEN 'ashby' THEN 4 WHEN 'lever' THEN 5 WHEN 'workday' THEN 6 ELSE 7 END, length(description_text) DESC, posted_date DESC, last_seen_at DESC, job_id) AS rn
