@@ -18,7 +18,7 @@ def content_sort(docs: DataFrame, text: str = "text", key: str = "doc_id", keep:
     texts are neighbours; the window over the sorted run compares each text in full with the
     one before it and ranks the run by ``key``.  The splitters are short, so the sample the
     driver sees does not grow with the texts.  The salt comes from ``key``: a text that fills
-    a third of the table is cut into ``salts`` runs, whose heads alone are then compared.
+    a third of the table is cut into ``salts`` runs, whose first and last rows alone are then compared.
 
     ``keep`` is "smallest" or "largest".  A null text counts as empty.  Of rows equal in text
     and ``key`` exactly one stays; a null ``key`` loses to any other.  An empty table gives an
@@ -35,15 +35,20 @@ def content_sort(docs: DataFrame, text: str = "text", key: str = "doc_id", keep:
     keyed = whole.withColumns({"lead": F.substring(body, 1, 24), "digest": F.xxhash64(body), "salt": F.pmod(F.xxhash64(ident), F.lit(salts)).cast("int")})
     dealt = keyed.repartitionByRange("lead", "digest", "salt")
     run = Window.partitionBy("lead", "digest", "salt", "body").orderBy(F.col("ident").asc_nulls_last() if keep == "smallest" else F.col("ident").desc_nulls_last())
-    sorted_rows = dealt.withColumns({"body": body, "ident": ident}).withColumn("place", F.row_number().over(run))
-    rows = sorted_rows.select("row", "ident", "salt", "place", F.sha2("body", 256).alias("text_sha256"), F.octet_length("body").alias("n_bytes"))
+    sorted_rows = dealt.withColumns({"body": body, "ident": ident}).withColumns({"place": F.row_number().over(run), "last": F.lead(F.lit(1)).over(run).isNull()})
+    rows = sorted_rows.select("row", "ident", "salt", "place", "last", F.sha2("body", 256).alias("text_sha256"), F.octet_length("body").alias("n_bytes"))
 
+    # A run's first row is its best, the place of its last row its length: two short rows a run are all that is compared across runs.
+    text_key = ["text_sha256", "n_bytes"]
+    ends = rows.filter("place = 1 OR last").select(*text_key, "salt", "ident", "place", "last")
     head = F.struct(F.col("ident").isNull().alias("none"), "ident", "salt") if keep == "smallest" else F.struct(F.col("ident").isNotNull().alias("some"), "ident", "salt")
-    first = F.min if keep == "smallest" else F.max
-    groups = rows.groupBy("text_sha256", "n_bytes").agg(first(F.when(F.col("place") == 1, head)).alias("winner"), F.count(F.lit(1)).alias("group_size"))
-    joined = rows.join(groups, ["text_sha256", "n_bytes"])
+    best = F.min if keep == "smallest" else F.max
+    groups = ends.groupBy(*text_key).agg(best(F.when(F.col("place") == 1, head)).alias("winner"), F.sum(F.when(F.col("last"), F.col("place"))).alias("group_size"), F.collect_set("salt").alias("salts"))
+    # The outcome goes back to each run by itself, so a text that fills a third of the table meets it in ``salts`` tasks.
+    outcome = groups.select(*text_key, F.explode("salts").alias("salt"), "winner", "group_size")
+    joined = rows.join(outcome, [*text_key, "salt"])
     kept = (F.col("place") == 1) & (F.col("salt") == F.col("winner.salt"))
-    return joined.select("row", "text_sha256", F.col("winner.ident").alias("keep_id"), "group_size", kept.alias("kept"))
+    return joined.select("row", "text_sha256", F.col("winner.ident").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"))
 
 
 def exact_dedup(docs: DataFrame, **options) -> DataFrame:
