@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -157,17 +158,21 @@ def links(points: np.ndarray, queries: np.ndarray, reach: int, block: int = 1 <<
     return np.unique(np.sort(pairs, 1), axis=0)
 
 
-def fingerprint_links(points: DataFrame, reach: int = 2, sample_size: int = 4096, shard_size: int = 16_384) -> DataFrame:
+def fingerprint_links(points: DataFrame, reach: int = 2, sample_size: int = 4096, shard_size: int = 16_384, most_sampled: int = 1 << 18) -> DataFrame:
     """(src, dst) between distinct fingerprints ``fp``: the links that make the same groups as
     all pairs within ``reach`` bits.
 
-    The top of the tree is planted on at most ``sample_size`` fingerprints, first by hash, and
-    sent to every task; all fingerprints are indexed by it.  Each lives in one shard and is
+    The top of the tree is planted on a sample, first by hash, and sent to every task; all
+    fingerprints are indexed by it.  The sample is ``sample_size`` fingerprints, or four for
+    each shard wanted where that is more, up to ``most_sampled`` (2 MB).  A shard is home to ``shard_size`` points, or
+    to twice the root of their number: more shards would cost copies, fewer would outgrow a task.  Each lives in one shard and is
     also a query in every shard across whose boundary a partner could lie.
     """
     many = points.count()
-    sample = np.array([r[0] for r in points.orderBy(F.xxhash64("fp"), "fp").limit(sample_size).collect()], np.int64).view(np.uint64)
-    tree = plant(sample, max(1, -(-many // shard_size)))
+    shards = max(1, -(-many // max(shard_size, 2 * isqrt(many))))
+    size = min(most_sampled, max(sample_size, 4 * shards))
+    sample = np.array([r[0] for r in points.orderBy(F.xxhash64("fp"), "fp").limit(size).collect()], np.int64).view(np.uint64)
+    tree = plant(sample, shards)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
