@@ -41,31 +41,38 @@ def main() -> None:
         QUERIES[name](spark, root).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
+    names = list(QUERIES) if everything else HEADLINE
     once("bi_3_salary_benchmarks")
     taken: dict[str, list[float]] = {}
+    failed: dict[str, str] = {}
 
-    def report(*_) -> None:
+    def report() -> bool:
+        """Prints the line; a total only if every query has a time and none failed in any round."""
         times = {name: round(statistics.median(seconds), 3) for name, seconds in taken.items() if seconds}
-        print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(root.rstrip("/"))}), flush=True)
+        missing = [name for name in names if name not in times]
+        whole = not missing and not failed
+        print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3) if whole else None, "unit": "sec", "queries": times, "sf": os.path.basename(root.rstrip("/")),
+                          "rounds": min((len(taken.get(name, [])) for name in names), default=0), "rounds_wanted": runs, "missing": missing, "failed": failed}), flush=True)
+        return whole
 
     def stopped(*_) -> None:
-        report()
-        os._exit(0)
+        os._exit(0 if report() else 1)
 
     signal.signal(signal.SIGTERM, stopped)  # whoever stops it still gets the rounds so far
     began, limit = time.perf_counter(), float(os.environ.get("BENCH_SECONDS", "900"))
     for done in range(runs):
         if done and (time.perf_counter() - began) * (done + 1) / done > limit:
             break
-        for name in QUERIES if everything else HEADLINE:
+        for name in names:
             try:
                 seconds = once(name)
                 taken.setdefault(name, []).append(seconds)
             except Exception as exc:  # keep the other timings
+                failed[name] = f"{type(exc).__name__}: {str(exc)[:120]}"
                 print(f"{name}: {type(exc).__name__}: {str(exc)[:300]}", file=sys.stderr)
             if everything:
                 print(f"{name} {taken.get(name)}", file=sys.stderr, flush=True)
-    report()
+    sys.exit(0 if report() else 1)
 
 
 if __name__ == "__main__":
