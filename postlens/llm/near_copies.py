@@ -87,8 +87,8 @@ def summaries(named: DataFrame, width: int = 5) -> DataFrame:
 
 
 def prefix_keys(named: DataFrame, threshold: float, width: int = 5, sample_size: int = 5_000) -> DataFrame:
-    """key, sig, n: the first n - ceil(n * threshold) + 1 shingles of each set by one order for
-    all sets, of which two sets that reach the threshold have one in common.
+    """key, sig, n, pos: the first n - ceil(n * threshold) + 1 shingles of each set by one order for
+    all sets, of which two sets that reach the threshold have one in common, and their places from 0.
 
     Any order will do.  Shingles frequent in a bounded sample come last, rarest first, so a
     passage that stands in many documents is a key only of those that are little else.
@@ -110,15 +110,19 @@ def prefix_keys(named: DataFrame, threshold: float, width: int = 5, sample_size:
         return run
 
     made = map_text(named.select("text"), make, "sig long, n int, prefix array<long>", "text", piece_bytes=PIECE)
-    return made.select(F.explode("prefix").alias("key"), "sig", "n")
+    return made.select(F.posexplode("prefix").alias("pos", "key"), "sig", "n").select("key", "sig", "n", "pos")
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """(_key, _id, n): the prefix shingles that several sets have, and the sets."""
+    """(_key, _id, n, pos): the prefix shingles that several sets have, and the sets."""
+    kinds = {"key": np.int64, "sig": np.int64, "n": np.int32, "pos": np.int32}
+
+    def as_batch(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, i].astype(t)) for i, t in enumerate(kinds.values())], names=list(kinds))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows whose key another set has too; comes sorted by (key, sig)."""
-        held, paired = np.zeros((0, 3), np.int64), False
+        held, paired = np.zeros((0, len(kinds)), np.int64), False
         for batch in batches:
             rows = np.concatenate([held, np.stack([np.asarray(c, np.int64) for c in batch.columns], 1)])
             new = np.ones(len(rows), bool)
@@ -130,12 +134,12 @@ def shared_keys(keys: DataFrame) -> DataFrame:
             found = np.concatenate([[paired], same])
             found[:-1] |= same
             held, paired = rows[-1:], bool(found[-1])
-            rows = rows[:-1][found[:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32))], names=["key", "sig", "n"])
+            yield as_batch(rows[:-1][found[:-1]])
         if paired:
-            yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1]), pa.array(held[:, 2].astype(np.int32))], names=["key", "sig", "n"])
+            yield as_batch(held)
 
-    return keys.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(shared, "key long, sig long, n int").withColumnsRenamed({"key": "_key", "sig": "_id"})
+    dealt = keys.repartition("key").sortWithinPartitions("key", "sig")
+    return dealt.mapInArrow(shared, "key long, sig long, n int, pos int").withColumnsRenamed({"key": "_key", "sig": "_id"})
 
 
 def proposals(rows: DataFrame, reach: int) -> DataFrame:
@@ -164,8 +168,11 @@ def odd_apart(x: str, y: str):
 def near_copy_groups(keys: DataFrame, rows: DataFrame, named: DataFrame, threshold: float, width: int, reach: int, most_broadcast: int = 1_000_000) -> DataFrame:
     """(sig, component) of every set joined to another over pairs that reach the threshold.
 
-    SimHash proposes first.  Then the sets of a key are compared with its smallest one, then across those groups that the
-    key still holds, so a large group of copies of one text makes no square.  No pair is missed:
+    SimHash proposes first.  Then the sets of a key are compared with one of them, then across those groups that the
+    key still holds, so a large group of copies of one text makes no square.  The place of a key in
+    two sets bounds what they can share from there on: the smaller set of a near pair has its first
+    common key in the first n - 2t / (1 + t) * n + 1 places.  So only sets that hold a key so early are paired with the
+    others of it, and a passage that stands in many texts, late in the order, pairs none.  No pair is missed:
     every odd bit that differs needs a shingle that differs, so pairs with more such bits than
     the threshold leaves shingles to differ are ruled out before texts are read again.
     """
@@ -186,15 +193,23 @@ def near_copy_groups(keys: DataFrame, rows: DataFrame, named: DataFrame, thresho
     def alike(a: str, b: str):
         return F.least(a, b) >= F.greatest(a, b) * threshold
 
-    pivots = keys.groupBy("_key").agg(F.min(F.struct("_id", "n")).alias("p")).select("_key", F.col("p._id").alias("src"), F.col("p.n").alias("m"))
-    star = keys.join(pivots, "_key").filter(F.col("_id") != F.col("src")).filter(alike("n", "m")).select("src", F.col("_id").alias("dst"))
+    def early(n: str, pos: str):
+        return F.col(n) - F.col(pos) >= F.col(n) * (2 * threshold / (1 + threshold)) - 1e-6
+
+    def possible(n: str, pos: str, m: str, at: str):
+        return alike(n, m) & (F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at)) >= (F.col(n) + F.col(m)) * (threshold / (1 + threshold)) - 1e-6)
+
+    pivots = keys.groupBy("_key").agg(F.min(F.struct((~early("n", "pos")).alias("late"), "_id", "n", "pos")).alias("p")).filter("NOT p.late").select("_key", F.col("p._id").alias("src"), F.col("p.n").alias("m"), F.col("p.pos").alias("at"))
+    star = keys.join(pivots, "_key").filter((F.col("_id") != F.col("src")) & possible("n", "pos", "m", "at")).select("src", F.col("_id").alias("dst"))
     first = verified(star.unionByName(proposals(rows, reach)))
     labels = connected_components(first).withColumnRenamed("node", "_id")
     labelled = cut_lineage(keys.join(labels, "_id", "left").withColumn("_comp", F.coalesce("component", "_id")))
     mixed = labelled.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).filter("_lo <> _hi").select("_key")
-    left = labelled.join(mixed, "_key", "left_semi").select("_key", F.col("_id").alias("src"), F.col("n").alias("m"), F.col("_comp").alias("_a"))
-    right = labelled.select("_key", F.col("_id").alias("dst"), "n", F.col("_comp").alias("_b"))
-    across = left.join(right, "_key").filter("_a < _b").filter(alike("n", "m")).select("src", "dst").join(star.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")), ["src", "dst"], "left_anti")
+    left = labelled.filter(early("n", "pos")).join(mixed, "_key", "left_semi").select("_key", F.col("_id").alias("src"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("_comp").alias("_a"))
+    right = labelled.select("_key", F.col("_id").alias("dst"), "n", "pos", F.col("_comp").alias("_b"))
+    smaller = F.struct("m", "src") < F.struct(F.col("n").alias("m"), F.col("dst").alias("src"))
+    met = left.join(right, "_key").filter((F.col("_a") != F.col("_b")) & smaller & possible("n", "pos", "m", "at"))
+    across = met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).join(star.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")), ["src", "dst"], "left_anti")
     return connected_components(first.unionByName(verified(across))).withColumnRenamed("node", "sig")
 
 
