@@ -113,7 +113,7 @@ TRANSP = r("count(salary_max_annual) * 100.0 / count(*)", 1)
 
 @query("bi_25_market_overview", f"WITH {S.PAY}, {S.HONESTY} SELECT count(*) AS total_active_roles, count(DISTINCT company_id) AS companies_hiring, {TRANSP} AS salary_transparency_pct, {PAYCOLS}, {r('avg(honesty_score)', 1)} AS avg_honesty_score, max(ingested_at) AS last_updated FROM jobs LEFT JOIN honesty USING (job_id) WHERE {CUR}")
 def _(t):
-    return M.market_overview(S.staged(S.jobs(t)), S.staged(S.honesty(t)))
+    return M.market_overview(*S.staged_together(S.jobs(t), S.honesty(t)))
 
 
 @query("bi_25_ghost_tiers", f"WITH {S.RISK} SELECT ghost_tier, count(*) AS job_count, {r('avg(ghost_probability)', 1)} AS avg_probability, min(ghost_probability) AS min_probability, max(ghost_probability) AS max_probability FROM risk GROUP BY 1")
@@ -138,7 +138,8 @@ def _(t):
 
 @query("bi_26_market_sectors", f"WITH {S.PAY}, {S.HONESTY} SELECT c.sector, count(DISTINCT job_id) AS active_roles, count(DISTINCT company_id) AS companies, {PAYCOLS}, {TRANSP} AS transparency_pct, {r('avg(honesty_score)', 1)} AS avg_honesty_score FROM jobs JOIN f_companies c USING (company_id) LEFT JOIN honesty USING (job_id) WHERE data_tier = 1 AND is_public AND c.sector IS NOT NULL GROUP BY 1 HAVING count(DISTINCT job_id) >= 10")
 def _(t):
-    return M.market_sectors(S.staged(S.jobs(t)), t.companies, S.staged(S.honesty(t)))
+    jobs, honesty = S.staged_together(S.jobs(t), S.honesty(t))
+    return M.market_sectors(jobs, t.companies, honesty)
 
 
 @query("bi_27_company_flags", f"WITH {CARD} SELECT company_id, concat_ws('|', CASE WHEN salary_below_score > 30 THEN 'underpaying' END, CASE WHEN complexity_score > 70 THEN 'overspecified' END, CASE WHEN avg_ghost_probability > 60 THEN 'stale_risk' END, CASE WHEN rarity_score > 15 THEN 'rare_skills' END, CASE WHEN transparency_pct = 0 THEN 'opaque' END) AS action_flags FROM card")
@@ -148,7 +149,8 @@ def _(t):
 
 @query("bi_27_company_roles", f"WITH {S.PAY}, {S.HONESTY}, {S.RISK} SELECT j.company_id, job_id, r.role_name, {FAMILY_SQL.replace('role_name', 'r.role_name')} AS role_family, g.ghost_probability, ghost_tier, honesty_score FROM jobs j JOIN f_roles r USING (role_id) LEFT JOIN risk g USING (job_id) LEFT JOIN honesty USING (job_id) WHERE data_tier = 1 AND is_public")
 def _(t):
-    return M.company_roles(S.jobs(t), t.roles, S.staged(S.risk(t)), S.staged(S.honesty(t)), S.FAMILIES).select("company_id", "job_id", "role_name", "role_family", "ghost_probability", "ghost_tier", "honesty_score")
+    risk, honesty = S.staged_together(S.risk(t).select("job_id", "ghost_probability", "ghost_tier", "score_confidence", "age_risk", "reappearance_count", "related_posting_count"), S.honesty(t).select("job_id", "honesty_score"))
+    return M.company_roles(S.jobs(t), t.roles, risk, honesty, S.FAMILIES).select("company_id", "job_id", "role_name", "role_family", "ghost_probability", "ghost_tier", "honesty_score")
 
 
 @query("bi_27_company_skills", f"WITH pb AS (SELECT job_id, company_id FROM f_postings WHERE data_tier = 1 AND is_public), tt AS (SELECT company_id, count(*) AS total FROM pb GROUP BY 1) SELECT company_id, skill_name, lower(skill_priority) AS skill_priority, count(DISTINCT job_id) AS job_count, {r('count(DISTINCT job_id) * 100.0 / max(total)', 1)} AS pct_of_roles FROM pb JOIN f_job_skills USING (job_id) JOIN f_skills USING (skill_id) JOIN tt USING (company_id) GROUP BY 1, 2, 3")

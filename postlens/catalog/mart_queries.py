@@ -50,8 +50,8 @@ b AS (SELECT sector, count(DISTINCT job_id) FILTER (WHERE status = 'raw') AS act
  FROM jobs j JOIN f_companies c USING (company_id) LEFT JOIN honesty USING (job_id) WHERE data_tier = 1 AND c.sector IS NOT NULL GROUP BY 1 HAVING count(DISTINCT job_id) >= 10)
 SELECT b.*, avg_ghost_prob, pct_likely_ghost FROM b LEFT JOIN g USING (sector)""")
 def _(t):
-    jobs = S.staged(core.fct_jobs(t.postings, S.honesty(t), AS_OF))
-    return core.sector_benchmarks(jobs, t.companies, S.staged(S.risk(t)), AS_OF)
+    jobs, risk = S.staged_together(core.fct_jobs(t.postings, S.honesty(t), AS_OF), S.risk(t))
+    return core.sector_benchmarks(jobs, t.companies, risk, AS_OF)
 
 
 DIFF = """sk AS (SELECT job_id, skill_id, lower(skill_priority) AS pr FROM f_job_skills),
@@ -96,7 +96,10 @@ CARD_COLS = ["company_id", "company_name", "sector", "company_tier", "employee_c
 
 
 def scorecard(t):
-    return scores.company_scorecard(S.dims(t), S.staged(S.jobs(t)), S.staged(S.honesty(t)), S.staged(S.risk(t)), S.staged(S.difficulty(t)), t.job_skills, t.skills)
+    # Only what the card reads is staged.
+    public = S.jobs(t).select("job_id", "company_id", "data_tier", "is_public", "salary_max_annual", "experience_level", "workplace_type")
+    jobs, honesty, risk, difficulty = S.staged_together(public, S.honesty(t).select("job_id", "honesty_score"), S.risk(t).select("job_id", "ghost_probability", "ghost_tier"), S.difficulty(t))
+    return scores.company_scorecard(S.dims(t), jobs, honesty, risk, difficulty, t.job_skills, t.skills)
 
 
 @query("bi_7_company_scorecard", f"WITH {CARD} SELECT * FROM card")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,12 @@ def staged(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def staged_together(*frames: DataFrame) -> list[DataFrame]:
+    """Several marts at once, so that the short stages of one fill the gaps of the others."""
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return list(pool.map(staged, frames))
+
+
 def dims(t: Tables) -> DataFrame:
     return core.dim_companies(t.companies, t.postings, t.companies.select("company_name", "sector"),
                               t.companies.select("company_name", "employee_count"))
