@@ -161,6 +161,8 @@ class PieceEncoder:
         self.points = np.zeros((len(self.table), self.deep), np.uint32)
         for i, p in enumerate(self.table):
             self.points[i, : len(p)] = [ord(c) for c in p]
+        lead = [np.where(np.arange(3) < self.sizes[:, None], self.points[:, :3].astype(np.uint64), np.uint64(rest)) for rest in (0, (1 << 21) - 1)]
+        self.lead = [x[:, 0] << np.uint64(42) | x[:, 1] << np.uint64(21) | x[:, 2] for x in lead]
         self.byte_ids = np.zeros(256, np.int64)
         for i, b in model.bytes_.items():
             self.byte_ids[b] = i
@@ -175,25 +177,36 @@ class PieceEncoder:
         self.surface_at = np.cumsum(self.surface_size) - self.surface_size
 
     def _ranges(self, text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where in the sorted suffixes those that begin with each piece lie, by binary search."""
-        padded = np.concatenate([text, np.zeros(self.deep, text.dtype)])
-        steps = np.arange(self.deep)
-        inside = steps < self.sizes[:, None]
-
-        def first(beyond: bool) -> np.ndarray:
-            low, high = np.zeros(len(self.table), np.int64), np.full(len(self.table), len(order))
-            while (open_ := low < high).any():
-                mid = (low + high) // 2
-                suffix = padded[order[np.minimum(mid, len(order) - 1)][:, None] + steps]
-                differ = (suffix != self.points) & inside
+        """Where in the sorted suffixes those that begin with each piece lie, by binary search.
+
+        The first three characters of a suffix are one number, so one search of sorted numbers
+        settles short pieces and narrows the others down; these go on character by character.
+        """
+        padded = np.concatenate([text, np.zeros(self.deep + 3, text.dtype)])
+        wide = padded.astype(np.uint64)
+        keys = (wide[:-2] << np.uint64(42) | wide[1:-1] << np.uint64(21) | wide[2:])[order]
+        low = np.searchsorted(keys, self.lead[0], "left")
+        high = np.searchsorted(keys, self.lead[1], "right")
+        longer = np.flatnonzero((self.sizes > 3) & (low < high))
+        steps = np.arange(3, self.deep)
+        inside, points = steps < self.sizes[:, None], self.points[:, 3:]
+
+        def bound(beyond: bool) -> np.ndarray:
+            a, b, at = low.copy(), high.copy(), longer
+            while len(at):
+                mid = (a[at] + b[at]) // 2
+                suffix = padded[order[mid][:, None] + steps]
+                differ = (suffix != points[at]) & inside[at]
                 k = differ.argmax(1)
                 rows = np.arange(len(k))
-                found = differ[rows, k]
-                right = np.where(found, suffix[rows, k] < self.points[rows, k], beyond)
-                low, high = np.where(open_ & right, mid + 1, low), np.where(open_ & ~right, mid, high)
-            return low
-
-        return first(False), first(True)
+                right = np.where(differ[rows, k], suffix[rows, k] < points[at, k], beyond)
+                a[at[right]], b[at[~right]] = mid[right] + 1, mid[~right]
+                at = at[a[at] < b[at]]
+            return a
+
+        first, after = bound(False), bound(True)
+        short = self.sizes <= 3
+        return np.where(short, low, first), np.where(short, high, after)
 
     def encode_words(self, words: list[str], most: int = 1 << 17) -> Encoded:
         """Ids of strings that are encoded each by itself; spaces are already marked.
