@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,7 +13,6 @@ from ..functions.text import words
 from ..session import cut_lineage
 from .relational import dedupe_best, empirical_percentile, top_per_group, trimmed_mean
 from .skills import match_aliases
-from .vectors import block_join, top_indexes
 
 # Fixed values of the fit score.
 LEVELS = {"entry": 0, "associate": 1, "mid": 2, "senior": 3}
@@ -71,55 +70,83 @@ def match_candidates(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame, resu
     return top_per_group(scored, ["resume_id"], [F.col("match_score").desc(), F.col("job_id")], k, rank_as="place")
 
 
-def _incidence(sets: pd.Series, index: dict) -> np.ndarray:
-    m = np.zeros((len(sets), len(index)), dtype=np.float32)
-    for i, ids in enumerate(sets):
-        m[i, [index[s] for s in ids if s in index]] = 1
-    return m
+def skyband(rows: DataFrame, keys: list[str], k: int, margin: float = 2e-6) -> DataFrame:
+    """The rows (keys, job_id, top, base, f1) that fewer than ``k`` others of their key beat at every pay floor.
 
-
-def _overlaps(a: pd.Series, b: pd.Series):
-    """(overlap counts, left incidence, right incidence, skill ids) of two lists of sets."""
-    ids = sorted({s for sets in b for s in sets})
-    index = {s: i for i, s in enumerate(ids)}
-    left, right = _incidence(a, index), _incidence(b, index)
-    return left @ right.T, left, right, ids
-
-
-def _floor_round(x: np.ndarray, digits: int) -> np.ndarray:
-    return np.floor(x * 10**digits + 0.5) / 10**digits
-
-
-def with_sets(df: DataFrame, skills: DataFrame, key: str) -> DataFrame:
-    """Attach each row's skill set; a set is bounded by the taxonomy."""
-    return df.join(skills.groupBy(key).agg(F.collect_set("skill_id").alias("skill_ids")), key)
-
-
-def match_jobs(resumes: DataFrame, jobs: DataFrame, resume_skills: DataFrame, job_skills: DataFrame, k: int, as_of: str) -> DataFrame:
-    """Best ``k`` postings per resume by skills, level, pay and freshness — all resumes at once."""
+    A row is beaten by one whose top pay is no lower and whose base is higher by ``margin`` (what
+    rounding can hide), or equal with a higher f1 or a smaller id.  Rows without pay compete among
+    themselves.  What is left of parts contains what is left of the whole.
+    """
+    schema = rows.select(*keys, "job_id", "top", "base", "f1").schema
+
+    def keep(table: pa.Table) -> pa.Table:
+        pay = table.column("top").to_numpy()
+        base, f1, ids = table.column("base").to_numpy(), table.column("f1").to_numpy(), np.array(table.column("job_id").to_pylist(), object)
+        known = ~np.isnan(pay)
+        rank = np.empty(len(ids), np.int64)
+        rank[np.argsort(ids)] = np.arange(len(ids))
+        kept: list[int] = []
+        for part in (np.flatnonzero(known), np.flatnonzero(~known)):
+            order = part[np.lexsort((rank[part], -f1[part], -base[part], -np.where(known[part], pay[part], 0.0)))]
+            best: list[tuple[float, float, int]] = []  # the k best so far, best first
+            for i, b, f, r in zip(order.tolist(), base[order].tolist(), f1[order].tolist(), (-rank[order]).tolist()):
+                if len(best) == k and (best[-1][0] >= b + margin or sum(x[0] >= b + margin or (x[0] == b and x > (b, f, r)) for x in best) == k):
+                    continue
+                kept.append(i)
+                if len(best) < k or (b, f, r) > best[-1]:
+                    best = sorted([*best, (b, f, r)], reverse=True)[:k]
+        return table.take(pa.array(sorted(kept), pa.int64()))
+
+    return rows.select(*schema.names).groupBy(*keys).applyInArrow(keep, schema)
+
+
+def match_jobs(resumes: DataFrame, jobs: DataFrame, resume_skills: DataFrame, job_skills: DataFrame, k: int, as_of: str, block: int = 50_000) -> DataFrame:
+    """Best ``k`` postings per resume by skills, level, pay and freshness — all resumes at once.
+
+    Resumes of one skill set share their overlaps, which inverted lists by skill give.  Within a level of
+    posting the resume's own level adds the same to all, and its pay floor never favours the lower pay, so only
+    the postings that fewer than ``k`` others beat in pay and in the rest can be among the
+    best of any such resume.  Postings without a common skill need that band once for all resumes.
+    """
     w = SKILL_WEIGHTS
-    left = with_sets(resumes.select("resume_id", _level_number(F.col("exp_level")).alias("lvl"), F.col("salary_floor").cast("double").alias("floor")), resume_skills, "resume_id")
-    right = with_sets(jobs.select("job_id", _level_number(F.col("experience_level")).alias("jl"), F.coalesce(F.nullif("salary_max_annual", F.lit(0.0)), "salary_min_annual").cast("double").alias("top"),
-                                  freshness(F.col("honesty_score"), F.col("ingested_at"), as_of).alias("fresh")), job_skills, "job_id")
-
-    def score(r: pd.DataFrame, j: pd.DataFrame) -> pd.DataFrame:
-        both, _, _, _ = _overlaps(r["skill_ids"], j["skill_ids"])
-        nr, nj = r["skill_ids"].map(len).to_numpy(float)[:, None], j["skill_ids"].map(len).to_numpy(float)[None, :]
-        f1 = 2.0 * both / (nr + nj)
-        for n, cap in SMALL_JOB_CAPS.items():
-            f1 = np.where(nj == n, np.minimum(f1, cap), f1)
-        rl, jl = r["lvl"].to_numpy(float, na_value=np.nan)[:, None], j["jl"].to_numpy(float, na_value=np.nan)[None, :]
-        gap = np.abs(rl - jl)
-        lvl = np.where(np.isnan(jl), UNKNOWN_JOB_LEVEL, np.where(np.isnan(rl), UNKNOWN_RESUME_LEVEL, np.where(gap == 0, 1.0, np.where(gap == 1, 0.5, 0.0))))
-        floor, top = r["floor"].to_numpy(float, na_value=np.nan)[:, None], j["top"].to_numpy(float, na_value=np.nan)[None, :]
-        pay = np.where(np.isnan(floor) | (floor <= 0), 1.0, np.where(np.isnan(top), UNDISCLOSED_PAY, np.where(top >= floor, 1.0, np.where(top >= floor * NEAR_PAY, 0.5, 0.0))))
-        total = _floor_round(w["overlap"] * f1 + w["level"] * lvl + w["salary"] * pay + w["fresh"] * j["fresh"].to_numpy(float)[None, :], 6)
-        # Six digits of score, then six of overlap: one exact whole number to rank by.
-        rows, cols = top_indexes(np.rint(total * 1e6) * 1e7 + np.rint(_floor_round(f1, 6) * 1e6), k)
-        return pd.DataFrame({"resume_id": r["resume_id"].to_numpy()[rows], "job_id": j["job_id"].to_numpy()[cols], "match_score": total[rows, cols], "skill_overlap": _floor_round(f1[rows, cols], 6)})
-
-    found = block_join(left, right, "resume_id", "job_id", score, "resume_id string, job_id string, match_score double, skill_overlap double", left_block=1024)
-    return top_per_group(found, ["resume_id"], [F.col("match_score").desc(), F.col("skill_overlap").desc(), F.col("job_id")], k, rank_as="place")
+    members, profiles = fold_resumes(resumes, resume_skills)
+    profiles = cut_lineage(profiles)
+    top = F.coalesce(F.nullif("salary_max_annual", F.lit(0.0)), "salary_min_annual").cast("double")
+    facts = jobs.select("job_id", F.coalesce(_level_number(F.col("experience_level")), F.lit(-1)).alias("jl"), top.alias("top"), freshness(F.col("honesty_score"), F.col("ingested_at"), as_of).alias("fresh"))
+    sets = job_skills.groupBy("job_id").agg(F.array_sort(F.collect_set("skill_id")).alias("wants"))
+    posted = cut_lineage(facts.join(sets, "job_id").withColumn("_b", F.pmod(F.xxhash64("job_id"), F.lit(1 << 20))))
+    blocks = max(1, -(-posted.count() // block))
+
+    def overlap(both: Column) -> Column:
+        return skill_f1(both, F.size("wants"), F.size("skills"))
+
+    def band(rows: DataFrame, keys: list[str]) -> DataFrame:
+        cut = rows.withColumn("_b", F.col("_b") % blocks) if blocks > 1 else rows.withColumn("_b", F.lit(0))
+        return skyband(skyband(cut, [*keys, "_b"], k) if blocks > 1 else cut, keys, k)
+
+    def rounded6(x: Column) -> Column:
+        return F.floor(x * 1e6 + 0.5) / 1e6
+
+    base = F.col("_f1") * w["overlap"] + F.col("fresh") * w["fresh"]
+    listed = profiles.withColumn("skill_id", F.explode("skills")).join(posted.withColumn("skill_id", F.explode("wants")), "skill_id")
+    first = listed.filter(F.col("skill_id") == F.element_at(F.array_intersect("skills", "wants"), 1))
+    shared = first.withColumn("_f1", overlap(F.size(F.array_intersect("skills", "wants")))).select("profile", "jl", "_b", "job_id", "top", base.alias("base"), rounded6(F.col("_f1")).alias("f1"))
+    anyone = band(posted.select("jl", "_b", "job_id", "top", (F.col("fresh") * w["fresh"]).alias("base"), F.lit(0.0).alias("f1")), ["jl"])
+    levels = F.array(*[F.lit(n) for n in (-1, *LEVELS.values())])
+    everyone = profiles.select("profile", F.explode(levels).alias("jl")).join(anyone.select("jl", "job_id"), "jl").select("profile", "job_id")
+    found = band(shared, ["profile", "jl"]).select("profile", "job_id").unionByName(everyone).distinct()
+    scored = cut_lineage(found.join(posted, "job_id").join(profiles, "profile").select("profile", "job_id", "jl", "top", "fresh", overlap(F.size(F.array_intersect("skills", "wants"))).alias("_f1")))
+    # Once more over both kinds, now with their true overlap, before resumes multiply them.
+    last = skyband(scored.select("profile", "jl", "job_id", "top", base.alias("base"), rounded6(F.col("_f1")).alias("f1")), ["profile", "jl"], k)
+    scored = scored.join(last.select("profile", "job_id"), ["profile", "job_id"], "left_semi")
+
+    rl = _level_number(F.col("exp_level"))
+    wide = members.join(resumes.select("resume_id", rl.alias("rl"), "salary_floor"), "resume_id").join(scored, "profile")
+    gap = F.abs(F.col("rl") - F.col("jl"))
+    lvl = F.when(F.col("jl") < 0, UNKNOWN_JOB_LEVEL).when(F.col("rl").isNull(), UNKNOWN_RESUME_LEVEL).when(gap == 0, 1.0).when(gap == 1, 0.5).otherwise(0.0)
+    total = F.lit(w["overlap"]) * F.col("_f1") + F.lit(w["level"]) * lvl + F.lit(w["salary"]) * salary_fit(F.col("salary_floor"), F.col("top"), F.lit(None).cast("double")) + F.lit(w["fresh"]) * F.col("fresh")
+    ranked = wide.select("resume_id", "job_id", rounded6(total).alias("match_score"), rounded6(F.col("_f1")).alias("skill_overlap"))
+    return top_per_group(ranked, ["resume_id"], [F.col("match_score").desc(), F.col("skill_overlap").desc(), F.col("job_id")], k, rank_as="place")
 
 
 def fold_resumes(resumes: DataFrame, resume_skills: DataFrame, *by: Column) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,6 @@
 """Matching without a product: results against plain loops."""
 
+import datetime as dt
 import math
 import random
 from collections import Counter
@@ -73,6 +74,35 @@ def test_skill_gaps_against_all_pairs(spark):
     assert sorted(got, key=str) == sorted(want, key=str) and len(got) > 20
 
 
+def test_match_jobs_against_all_pairs(spark):
+    people, posts, r, rs, j, js = fixture(spark, seed=21, jobs=420)
+    rng = random.Random(8)
+    floors = {p[0]: rng.choice([None, 40.0, 55.0, 62.0, 80.0, 100.0]) for p in people}
+    more = {p[0]: (rng.choice([None, 40.0, 90.0, 0.35]), dt.date(2024, 1, rng.randint(1, 31)), rng.choice([None, 0.0, 52.5, 61.25, 70.0, 90.0])) for p in posts}
+    r = r.join(spark.createDataFrame(list(floors.items()), "resume_id string, salary_floor double"), "resume_id")
+    j = j.drop("salary_min_annual").join(spark.createDataFrame([(k, *v) for k, v in more.items()], "job_id string, honesty_score double, ingested_at date, salary_min_annual double"), "job_id")
+    number = {"entry": 0, "associate": 1, "mid": 2, "senior": 3}
+    want = []
+    for u, level, _, own in people:
+        scored = []
+        for job, _, jl, high, wants in posts:
+            honesty, seen, low = more[job]
+            both, n = len(set(own) & set(wants)), len(wants)
+            f1 = min(2.0 * both / (n + len(own)), {1: 0.40, 2: 0.55, 3: 0.75}.get(n, 9))
+            a, b = number.get(level), number.get(jl)
+            lvl = 0.7 if b is None else 0.5 if a is None else {0: 1.0, 1: 0.5}.get(abs(a - b), 0.0)
+            top, floor = high or low, floors[u]
+            pay = 1.0 if not floor else 0.7 if top is None else 1.0 if top >= floor else 0.5 if top >= floor * 0.9 else 0.0
+            q, age = 0.5 if honesty is None else honesty / 100 if honesty > 1 else honesty, (dt.date(2024, 2, 1) - seen).days
+            fresh = q * (1.0 if age <= 3 else 0.5 if age >= 30 else 1.0 - 0.5 * (age - 3) / 27)
+            total = math.floor((0.50 * f1 + 0.20 * lvl + 0.20 * pay + 0.10 * fresh) * 1e6 + 0.5) / 1e6
+            scored.append((-total, -math.floor(f1 * 1e6 + 0.5) / 1e6, job))
+        want += [(u, job, -t, -f, place) for place, (t, f, job) in enumerate(sorted(scored)[:7], 1)]
+    for block in (50_000, 60):
+        got = [(x.resume_id, x.job_id, x.match_score, x.skill_overlap, x.place) for x in M.match_jobs(r, j, rs, js, 7, "2024-02-01", block).collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_neighbours_by_skill_vectors(spark):
     people, posts, r, rs, j, js = fixture(spark, seed=2)
     eligible = j.filter("domain = 'red'")
