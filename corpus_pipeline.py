@@ -16,7 +16,7 @@ from postlens.llm.mixing import mix_to_targets
 from postlens.llm.near_copies import drop_near_copies
 from postlens.llm.piece_text import encode_pieces
 from postlens.llm.quality import fit_quality, quality_filter
-from postlens.session import scratch_path
+from postlens.session import remove_path, scratch_path
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +58,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``.  A stage's table goes when the next one's is written; the last one's input stays."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for number, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if number == len(STAGES) - 1:
@@ -67,4 +67,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch_path(spark, f"pipeline-{number}")
         out.write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_path(spark, before)
+        before = path
     return docs

@@ -62,9 +62,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder for one run's intermediate table."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder through Spark's own file systems."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Removes all scratch folders of this process; call it when no result that reads them is needed any more."""
+    done = len(_scratch)
+    while _scratch:
+        remove_path(spark, _scratch.pop())
+    return done
 
 
 def rules_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

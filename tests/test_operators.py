@@ -344,3 +344,15 @@ def test_recover_fills_only_gaps(spark):
     df = spark.createDataFrame([("Given", "Acme Corp logo\nApply now\nData Engineer\nAustin, TX\ntext")], "title string, t string")
     got = recover.recover_dims(df, "t").first()
     assert (got.title, got.company, got.city, got.state) == ("Given", "Acme Corp", "Austin", "TX")
+
+
+def test_scratch_folders_can_be_cleared(spark):
+    from postlens.session import clear_scratch, scratch_path
+
+    clear_scratch(spark)
+    path = scratch_path(spark, "some")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    assert clear_scratch(spark) == 1
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
