@@ -49,7 +49,8 @@ def maximal_conversations(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     snapshot of it and goes (anti-join); of conversations equal in full the smallest id stays.
 
     Takes (conv, turn, role, text).  Rows equal in all four count once.  Turns with the same
-    number stand in order of role and text; a null turn number comes first; null role and
+    number stand in order of role and text, in one window, so a conversation whose turns all lack a number or share one
+    is sorted by a single task; a null turn number comes first; null role and
     null text are values of their own.  An empty table gives an empty result.
     """
     rows = _numbered(turns.dropDuplicates(["conv", "turn", "role", "text"]), block)

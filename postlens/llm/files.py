@@ -25,10 +25,3 @@ def task_file(prefix: str) -> str:
 
     context = TaskContext.get()
     return f"{prefix}-{context.partitionId() if context else 0:06d}-{uuid.uuid4().hex}"
-
-
-def remove_folder(spark, uri: str) -> None:
-    """Removes a folder of intermediate files through Spark's own file systems."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

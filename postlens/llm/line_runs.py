@@ -9,8 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, scratch_path
-from .files import remove_folder
+from ..session import cut_lineage, remove_path, scratch_path
 
 STRIPPED = " \t\n\x0b\x0c\r"
 HASH = ["h1", "h2"]
@@ -55,7 +54,7 @@ class LineRuns:
     def drop(self, *names: str) -> None:
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            remove_folder(self.spark, self.paths.pop(name))
+            remove_path(self.spark, self.paths.pop(name))
 
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
@@ -121,7 +120,7 @@ def worn_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_cha
     counted = first.join(again, HASH, "left").select(*HASH, (F.col("docs") + F.coalesce("again", F.lit(0))).alias("docs"), "top")
     worn = cut_lineage(counted.filter(F.col("docs") >= min_docs))
     store.drop(dealt, *[n for level in store.levels for n in level])
-    remove_folder(spark, ledger)
+    remove_path(spark, ledger)
     return worn
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .files import remove_folder
+from ..session import remove_path
 
 ARITY = 3
 WIDTH = 32  # bytes of a digest
@@ -239,8 +239,8 @@ def write_manifest(leaves: DataFrame, folder: str, height: int = 7) -> Manifest:
     groups = grow(number_leaves(leaves, "grp", ["ident", "leaf"], f"{folder}/leaves"), folder, "group", height, "ident bigint, other binary")
     roots = spark.read.parquet(*groups).filter("last").select(F.lit("").alias("grp"), F.col("grp").alias("name"), F.col("root").alias("leaf"))
     top = grow(number_leaves(roots, "grp", ["name"], f"{folder}/subroots"), folder, "top", height, "name string")
-    remove_folder(spark, f"{folder}/leaves")
-    remove_folder(spark, f"{folder}/subroots")
+    remove_path(spark, f"{folder}/leaves")
+    remove_path(spark, f"{folder}/subroots")
     return Manifest(spark, groups, top)
 
 

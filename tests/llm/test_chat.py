@@ -1,5 +1,7 @@
 from postlens.llm.chat import format_chats
 
+from .conftest import long_text
+
 
 def brute(rows):
     convs = {}
@@ -49,3 +51,11 @@ def test_long_conversation_in_parts(spark):
 
 def test_empty(spark):
     assert format_chats(frame(spark, []).limit(0)).count() == 0
+
+
+def test_very_long_text_and_turns_of_one_number(spark):
+    """Turns without a number, or all of the same, stand in order of role and text; texts of any length are whole."""
+    rows = [(1, None, "user", f"t{i:03d}") for i in range(300)] + [(2, 7, "user", f"t{i:03d}") for i in range(300)] + [(3, None, "user", f"t{i:03d}") for i in range(200)]
+    rows += [(4, 0, "user", long_text(60_000)), (5, 0, "user", long_text(60_000)), (5, 1, "assistant", ""), (6, 0, None, long_text(60_000) + "x")]
+    assert joined(format_chats(frame(spark, rows))) == brute(rows)
+    assert set(joined(format_chats(frame(spark, rows)))) == {1, 5, 6}

@@ -1,4 +1,7 @@
+from collections import Counter
+
 import numpy as np
+import regex
 from pyspark.sql import functions as F
 
 from postlens.llm.language import UNKNOWN, Profiles, _count, identify, learn_profiles
@@ -72,3 +75,24 @@ def test_long_text_in_parts():
 def test_null_id_counts(spark, make_docs):
     docs = make_docs([(None, "abc abc", "en", None)])
     assert identify(docs, learn_profiles(docs)).select(F.col("lang_pred")).collect()[0][0] == "en"
+
+
+def test_profiles_against_plain_counting(spark, given):
+    """Counts and places of the most frequent grams over whole documents, in several passes of few grams each."""
+    docs, rows = given
+    code = lambda g: sum(ord(c) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
+    counts = {}
+    for r in rows:
+        if r["text"] and r["lang"]:
+            here = counts.setdefault(r["lang"], Counter())
+            for word in regex.sub(r"[^\p{L}]+", " ", r["text"].lower()).split():
+                padded = f" {word} "
+                here.update(g for n in (1, 2, 3) for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) != " ")
+    # The space between two words belongs to both and is one character of the text: only grams inside a word and its edges count.
+    for size, held in ((60, 1 << 20), (400, 500)):
+        profiles = learn_profiles(docs.repartition(3), size=size, held=held)
+        assert profiles.languages == sorted(counts)
+        for j, name in enumerate(profiles.languages):
+            best = sorted(counts[name], key=lambda g: (-counts[name][g], code(g)))[:size]
+            got = {int(g): int(k) for g, k in zip(profiles.grams, profiles.rank[:, j]) if k < size}
+            assert got == {code(g): k for k, g in enumerate(best)}

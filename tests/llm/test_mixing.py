@@ -80,3 +80,11 @@ def test_rounding_has_no_bias(make_docs):
         for r in mix_plan(docs, n_words(F.col("text")), share=1.2, seed=1000 * seed).collect():
             sums[r.ident] = sums.get(r.ident, 0) + r.copies
     assert len(set(sums.values())) > 2  # not the same documents each time
+
+
+def test_repeated_and_null_keys_go_together(make_docs):
+    """Rows equal in source, key and size are one item, so a target is missed by up to all of its rows, and no more."""
+    rows = [(i // 5, "w " * 12, "a") for i in range(400)] + [(None, "w " * 7, "a") for _ in range(40)] + [(i, "w " * 9, "b") for i in range(90)]
+    plan = taken(mix_plan(make_docs([(i, t, "en", s) for i, t, s in rows]), n_words(F.col("text"))))
+    assert plan[("a", None, 7)].n == 40 and plan[("a", 3, 12)].n == 5
+    check(rows, plan)
