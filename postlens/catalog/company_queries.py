@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..fixtures import AS_OF, RADAR_DAY
 from ..plans import company as K
 from ..plans import market as M
+from ..session import scratch_path
+from ..sources import sinks
 from . import shared as S
 from .registry import query, r
 from .relational_queries import US_PLACE
@@ -93,7 +95,11 @@ alerts AS (SELECT sg.*, DATE '{RADAR_DAY}' AS signal_date, user_id FROM sg JOIN
 
 @query("bi_16_radar_alerts", f"WITH {ALERTS} SELECT * FROM alerts")
 def _(t):
-    return K.radar_alerts(radar(t), t.view("follows"), RADAR_DAY)
+    # The radar is written by day as it would be every night; the alerts read two of its days.
+    path = scratch_path(t.spark, "radar")
+    sinks.write_snapshot(radar(t), path, day_col="snapshot_date")
+    daily = t.spark.read.parquet(path).filter(F.col("snapshot_date").isin(F.lit(RADAR_DAY).cast("date"), F.date_sub(F.lit(RADAR_DAY).cast("date"), 7)))
+    return K.radar_alerts(daily, t.view("follows"), RADAR_DAY)
 
 
 @query("bi_17_digest_batches", """WITH due AS (SELECT a.*, u.email FROM f_alerts a JOIN f_users u USING (user_id) WHERE signal_date >= DATE '2001-08-01' - 7 AND u.active AND u.email IS NOT NULL AND coalesce(email_enabled, true) AND coalesce(frequency, 'weekly') = 'weekly'

@@ -69,6 +69,9 @@ def test_salary_forms(spark, text, lo, hi, period):
     ("Requirements You have 4+ years working with looms and dyes.", 4, None),
     ("Requirements: 7 years of experience, 90 years old company", 7, None),
     ("For over 45 years we have moved freight. Plan routes for drivers.", None, None),
+    ("We require 6 years of experience. Our team has 2 years of experience.", 6, None),
+    ("Requirements\n- 4 years of experience\nWe have 9 years of experience in freight.", 4, None),
+    ("Our role needs 3 years of experience.", 3, None),
     ("", None, None),
 ])
 def test_years(spark, text, req, pref):
