@@ -18,6 +18,7 @@ from .simhash import SEED, fingerprint_links
 
 
 PIECE = 2 << 20  # bytes of text at a time
+SKETCH = ["p0", "p1", "p2", "p3"]  # the parities of 256 bits, which go with every key
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -58,6 +59,11 @@ def parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+def sketches(sets: list[np.ndarray]) -> list[np.ndarray]:
+    odd = np.array([np.bincount(s & 255, minlength=256) & 1 for s in sets], np.uint8).reshape(-1, 256)
+    return list(np.packbits(odd, axis=1).view(np.int64).T.copy())
+
+
 def majority(s: np.ndarray) -> int:
     """The SimHash fingerprint of a set of shingle hashes: a bit is set if over half of them have it."""
     ones = sum(np.unpackbits(s[i : i + 65536].view(np.uint8)).reshape(-1, 64).sum(0, np.int64) for i in range(0, len(s), 65536))
@@ -74,16 +80,16 @@ def frequent_shingles(named: DataFrame, width: int, sample_size: int, most: int
 
 
 def summaries(named: DataFrame, width: int = 5) -> DataFrame:
-    """row, sig, n (distinct shingles), bits (see ``parities``) and fp (see ``majority``) of every text."""
+    """row, sig, n (distinct shingles), bits (see ``parities``), fp (see ``majority``) and the sketch of every text."""
 
     def make():
         def run(texts: pa.Array) -> list:
             sets = [shingle_set(t, width) for t in texts.to_pylist()]
-            return [signatures(sets), np.array([len(s) for s in sets], np.int32), as_lists([parities(s) for s in sets]), np.array([majority(s) for s in sets], np.int64)]
+            return [signatures(sets), np.array([len(s) for s in sets], np.int32), as_lists([parities(s) for s in sets]), np.array([majority(s) for s in sets], np.int64), *sketches(sets)]
 
         return run
 
-    return map_text(named, make, "sig long, n int, bits array<long>, fp long", "text", ["ident", "body"], PIECE)
+    return map_text(named, make, "sig long, n int, bits array<long>, fp long, " + ", ".join(f"{p} long" for p in SKETCH), "text", ["ident", "body"], PIECE)
 
 
 def prefix_keys(named: DataFrame, threshold: float, width: int = 5, sample_size: int = 5_000) -> DataFrame:
@@ -197,16 +203,18 @@ def near_copy_groups(keys: DataFrame, rows: DataFrame, named: DataFrame, thresho
         return F.col(n) - F.col(pos) >= F.col(n) * (2 * threshold / (1 + threshold)) - 1e-6
 
     def possible(n: str, pos: str, m: str, at: str):
-        return alike(n, m) & (F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at)) >= (F.col(n) + F.col(m)) * (threshold / (1 + threshold)) - 1e-6)
+        """By their places, and by the bits of their sketches that differ."""
+        apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"q_{p}"))) for p in SKETCH), F.lit(0))
+        return alike(n, m) & (apart <= (F.col(n) + F.col(m)) * ((1 - threshold) / (1 + threshold)) + 1e-6) & (F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at)) >= (F.col(n) + F.col(m)) * (threshold / (1 + threshold)) - 1e-6)
 
-    pivots = keys.groupBy("_key").agg(F.min(F.struct((~early("n", "pos")).alias("late"), "_id", "n", "pos")).alias("p")).filter("NOT p.late").select("_key", F.col("p._id").alias("src"), F.col("p.n").alias("m"), F.col("p.pos").alias("at"))
+    pivots = keys.groupBy("_key").agg(F.min(F.struct((~early("n", "pos")).alias("late"), "_id", "n", "pos", *SKETCH)).alias("p")).filter("NOT p.late").select("_key", F.col("p._id").alias("src"), F.col("p.n").alias("m"), F.col("p.pos").alias("at"), *[F.col(f"p.{p}").alias(f"q_{p}") for p in SKETCH])
     star = keys.join(pivots, "_key").filter((F.col("_id") != F.col("src")) & possible("n", "pos", "m", "at")).select("src", F.col("_id").alias("dst"))
     first = verified(star.unionByName(proposals(rows, reach)))
     labels = connected_components(first).withColumnRenamed("node", "_id")
     labelled = cut_lineage(keys.join(labels, "_id", "left").withColumn("_comp", F.coalesce("component", "_id")))
     mixed = labelled.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).filter("_lo <> _hi").select("_key")
-    left = labelled.filter(early("n", "pos")).join(mixed, "_key", "left_semi").select("_key", F.col("_id").alias("src"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("_comp").alias("_a"))
-    right = labelled.select("_key", F.col("_id").alias("dst"), "n", "pos", F.col("_comp").alias("_b"))
+    left = labelled.filter(early("n", "pos")).join(mixed, "_key", "left_semi").select("_key", F.col("_id").alias("src"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("_comp").alias("_a"), *[F.col(p).alias(f"q_{p}") for p in SKETCH])
+    right = labelled.select("_key", F.col("_id").alias("dst"), "n", "pos", F.col("_comp").alias("_b"), *SKETCH)
     smaller = F.struct("m", "src") < F.struct(F.col("n").alias("m"), F.col("dst").alias("src"))
     met = left.join(right, "_key").filter((F.col("_a") != F.col("_b")) & smaller & possible("n", "pos", "m", "at"))
     across = met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).join(star.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")), ["src", "dst"], "left_anti")
@@ -226,10 +234,10 @@ def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", t
     table gives an empty result.  Extra columns keep their names and values.
     """
     named = docs.select(F.col(f"`{key}`").alias("ident"), F.col(f"`{text}`").alias("text")).withColumn("body", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = cut_lineage(summaries(named, width).select("row.ident", "row.body", "sig", "n", "bits", "fp"))
+    rows = cut_lineage(summaries(named, width).select("row.ident", "row.body", "sig", "n", "bits", "fp", *SKETCH))
     # One row a set: its least body, sizes and bits.
-    sets = cut_lineage(rows.groupBy("sig").agg(F.min("body").alias("body"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fp").alias("fp")).filter("n > 0"))
-    keys = cut_lineage(shared_keys(prefix_keys(named, threshold, width)))
+    sets = cut_lineage(rows.groupBy("sig").agg(F.min("body").alias("body"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fp").alias("fp"), *[F.first(p).alias(p) for p in SKETCH]).filter("n > 0"))
+    keys = cut_lineage(shared_keys(prefix_keys(named, threshold, width)).join(sets.select(F.col("sig").alias("_id"), *SKETCH), "_id"))
     best = F.struct(F.col("ident").isNull().alias("none"), "ident", "body")
     labelled = rows.select("ident", "body", "sig").join(near_copy_groups(keys, sets, named, threshold, width, reach), "sig", "left").withColumn("group", F.coalesce("component", "sig"))
     stays = labelled.groupBy("group").agg(F.min(best).alias("b")).select("b.*")
