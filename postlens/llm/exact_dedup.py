@@ -32,12 +32,13 @@ def content_sort(docs: DataFrame, text: str = "text", key: str = "doc_id", keep:
     body = normalise(body) if normalise else body
     ident = row[key]
 
-    keyed = whole.withColumns({"lead": F.substring(body, 1, 24), "digest": F.xxhash64(body), "salt": F.pmod(F.xxhash64(ident), F.lit(salts)).cast("int")})
+    keyed = whole.withColumns({"lead": F.substring(body, 1, 24), "digest": F.xxhash64(body), "salt": F.coalesce(F.pmod(F.xxhash64(ident), F.lit(salts)).cast("int"), F.lit(0))})
     dealt = keyed.repartitionByRange("lead", "digest", "salt")
     run = Window.partitionBy("lead", "digest", "salt", "body").orderBy(F.col("ident").asc_nulls_last() if keep == "smallest" else F.col("ident").desc_nulls_last())
     sorted_rows = dealt.withColumns({"body": body, "ident": ident}).withColumns({"place": F.row_number().over(run), "last": F.lead(F.lit(1)).over(run).isNull()})
-    rows = sorted_rows.select("row", "ident", "salt", "place", "last", F.sha2("body", 256).alias("text_sha256"), F.octet_length("body").alias("n_bytes"))
+    rows = sorted_rows.select("row", "ident", "salt", "place", "last", F.coalesce(F.sha2("body", 256), F.lit("")).alias("text_sha256"), F.octet_length("body").alias("n_bytes"))
 
+    # None of the keys can be null, so both readers of the sorted rows share one exchange of the texts.
     # A run's first row is its best, the place of its last row its length: two short rows a run are all that is compared across runs.
     text_key = ["text_sha256", "n_bytes"]
     ends = rows.filter("place = 1 OR last").select(*text_key, "salt", "ident", "place", "last")
