@@ -40,13 +40,15 @@ def find_boilerplate(df: DataFrame, group: str, text: str) -> DataFrame:
 
 
 def _mask(text: str, found: list[str] | None) -> str:
-    """Cut the spans that start at an anchor of a repeated chunk."""
+    """Cut the spans that start at an anchor of a repeated chunk; a text without an anchor stays as it is."""
     if not text or found is None or not len(found):
         return text or ""
     spans = []
     for chunk in found:
         anchor = r"\s+".join(map(re.escape, chunk.split()[:ANCHOR_WORDS]))
         spans += [(m.start(), m.start() + len(chunk) + MARGIN) for m in re.finditer(anchor, text.lower())]
+    if not spans:
+        return text
     kept, at = [], 0
     for start, end in sorted(spans):
         kept.append(text[at:max(at, start)])

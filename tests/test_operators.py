@@ -188,6 +188,16 @@ def test_boilerplate_found_and_removed(spark):
     assert "thing2" in out[2] and len(out[2]) < len(rows[2][2]) * 0.7 and out[9].startswith("we value")
 
 
+def test_text_without_an_anchor_keeps_its_blanks(spark):
+    """Three words of a chunk bring it to a text, its anchor alone cuts there."""
+    chunk = "about company 127. we value every applicant and offer the same benefits to all staff"
+    rows = [(1, "c", "Intro\nWe offer\tcompany 127. we other things."), (2, "c", f"A first line.\n{chunk} in every office of the whole group, at home and abroad.\nThe rest, which is long enough to stay."), (3, "c", None)]
+    df = spark.createDataFrame(rows, "id int, g string, t string")
+    found = spark.createDataFrame([("c", chunk, 3)], "g string, chunk string, docs long")
+    out = {r.id: r.stripped_text for r in B.strip_boilerplate(df, found, "id", "g", "t").collect()}
+    assert out[1] == rows[0][2] and out[2].startswith("A first line.") and "\n" not in out[2] and "value every" not in out[2] and out[3] == ""
+
+
 def test_sections_rule_priority(spark):
     text = "We use go daily\nRequirements:\n- python and big data\nNice to have\n- spark\nBenefits\n- python lessons"
     df = spark.createDataFrame([("j", text)], "job_id string, t string")
