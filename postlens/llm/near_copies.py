@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.dedup import _verify, connected_components
+from ..operators.dedup import _verify, connected_components, odd_apart, parities
 from ..session import cut_lineage
 from .common import map_text
 from .simhash import SEED, fingerprint_links
@@ -52,13 +52,6 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
 
 
-def parities(s: np.ndarray) -> np.ndarray:
-    """Bits as longs, four or more a shingle and a power of two: how many shingles fall on a bit, odd or even."""
-    bits = max(64, 1 << int(4 * len(s) - 1).bit_length()) if len(s) else 64
-    odd = np.bincount(s & (bits - 1), minlength=bits).astype(np.uint8) & 1
-    return np.packbits(odd, bitorder="little").view(np.int64)
-
-
 def sketches(sets: list[np.ndarray]) -> list[np.ndarray]:
     odd = np.array([np.bincount(s & 255, minlength=256) & 1 for s in sets], np.uint8).reshape(-1, 256)
     return list(np.packbits(odd, axis=1).view(np.int64).T.copy())
@@ -160,17 +153,6 @@ def proposals(rows: DataFrame, reach: int) -> DataFrame:
     return within.unionByName(linked.join(points.select(F.col("fp").alias("src"), F.col("first").alias("a")), "src").join(points.select(F.col("fp").alias("dst"), F.col("first").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
-def odd_apart(x: str, y: str):
-    """Bits in which two parities differ; the longer one is folded to the shorter, at most twice as long."""
-
-    def folded(c: str, other: str):
-        half = F.expr(f"size({c}) div 2")
-        halves = F.zip_with(F.slice(c, F.lit(1), half), F.slice(c, half + 1, half), lambda p, q: p.bitwiseXOR(q))
-        return F.when(F.size(c) > F.size(other), halves).otherwise(F.col(c))
-
-    return F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, v: n + v)
-
-
 def near_copy_groups(keys: DataFrame, rows: DataFrame, named: DataFrame, threshold: float, width: int, reach: int, most_broadcast: int = 1_000_000) -> DataFrame:
     """(sig, component) of every set joined to another over pairs that reach the threshold.
 

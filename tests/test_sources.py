@@ -72,6 +72,20 @@ def test_block_pairs_against_all_pairs(spark):
         assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 0
 
 
+def test_block_pairs_of_long_sets_meet_without_them(spark, monkeypatch):
+    """Sets of unlike length that share frequent words: pairs as brute force, and no set in the candidate join."""
+    rng = random.Random(11)
+    common = [f"c{k}" for k in range(60)]
+    rows = [(i, "a", rng.sample(common, 40) + [f"w{rng.randrange(400)}" for _ in range(rng.choice([5, 60, 150]))]) for i in range(60)]
+    rows += [(100 + i, "a", rows[i][2][: -rng.randint(1, 4)] + ["new"]) for i in range(40)] + [(200 + i, "b", rows[i][2]) for i in range(10)]
+    want = [(i, j, round(len(set(s) & set(u)) / len(set(s) | set(u)), 6)) for i, b, s in rows for j, c, u in rows if b == c and i < j and 2 * len(set(s) & set(u)) >= len(set(s) | set(u))]
+    cut, seen = D.cut_lineage, []
+    monkeypatch.setattr(D, "cut_lineage", lambda df: seen.append(df.dtypes) or cut(df))
+    got = D.block_pairs(spark.createDataFrame(rows, "id long, block string, t array<string>"), "id", "block", F.col("t"), 0.5)
+    assert sorted((r.src, r.dst, r.similarity) for r in got.collect()) == sorted(want) and len(want) > 40
+    assert not any(kind.startswith("array") for frame in seen[1:] for _, kind in frame)
+
+
 def test_late_rows_are_counted(spark):
     at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
     schema = "event_id long, ts timestamp, event_type string, value double"
