@@ -39,12 +39,13 @@ def risk(t: Tables) -> DataFrame:
     return scores.ghost_index(t.postings, t.companies, t.roles, reposts(t), AS_OF, DATES_AFTER)
 
 
-def fit(t: Tables) -> DataFrame:
-    return scores.plausibility(t.postings, t.job_skills, t.skills)
+def fit(t: Tables, postings: DataFrame | None = None) -> DataFrame:
+    return scores.plausibility(t.postings if postings is None else postings, t.job_skills, t.skills)
 
 
-def honesty(t: Tables) -> DataFrame:
-    return scores.honesty_score(t.postings, t.companies, t.roles, fit(t))
+def honesty(t: Tables, postings: DataFrame | None = None) -> DataFrame:
+    """Scores of all postings, or of those given: a posting's score depends on no other."""
+    return scores.honesty_score(t.postings if postings is None else postings, t.companies, t.roles, fit(t, postings))
 
 
 def staged(df: DataFrame) -> DataFrame:
