@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import AS_OF
+from ..fixtures import AS_OF, spread
 from ..functions import text as X
 from ..functions.columns import parse_remote_type
 from ..operators import boilerplate as B
@@ -61,7 +61,7 @@ def _by_kind(column: int) -> str:
 
 @query("txt_4_years_by_heading", f"SELECT posting_id, CAST({_by_kind(1)} AS INT) AS required_years, CAST({_by_kind(2)} AS INT) AS preferred_years, kind IN (0, 1, 3) AS scoped FROM {HEADED_FROM} h")
 def _(t):
-    rows = t.sql(f"SELECT posting_id, {_by_kind(0).replace('chr(10)', 'char(10)')} AS body FROM {HEADED_FROM} h")
+    rows = t.sql(f"SELECT posting_id, {_by_kind(0).replace('chr(10)', 'char(10)')} AS body FROM {HEADED_FROM} h", part=spread(t.base("part")))
     return rows.select("posting_id", E.extract_years(F.col("body")).alias("y")).select("posting_id", "y.*")
 
 

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from postlens.catalog import QUERIES
 from postlens.functions import columns as C
 from postlens.functions import text as X
 from postlens.operators import boilerplate as B
@@ -79,6 +80,15 @@ def test_years(spark, text, req, pref):
     assert (got.required_years, got.preferred_years) == (req, pref)
 
 
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_headed_rows_are_spread(spark):
+    assert "Repartition" in optimized(QUERIES["txt_4_years_by_heading"](spark, "/root/testdata/sf0.001"))
+
+
+
 @pytest.mark.parametrize("raw,work,city,state,country,remote", [
     ("Austin, TX", None, "Austin", "TX", "US", False), ("Remote", None, None, None, "unknown", True), ("Remote - US", None, None, None, "US", True),
     ("Bangalore, IN", None, "Bangalore", None, "foreign", False), ("Gary, IN", None, "Gary", "IN", "US", False), ("Toronto, ON", "remote", "Toronto", None, "foreign", True),
