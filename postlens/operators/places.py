@@ -68,9 +68,11 @@ def find_places(texts: DataFrame, raw: str, names: DataFrame) -> DataFrame:
 
 
 def normalize_locations(df: DataFrame, raw: str, workplace: str, names: DataFrame, out: str = "place") -> DataFrame:
-    """``normalize_location`` by a gazetteer table, looked up once for each distinct text."""
+    """``normalize_location`` by a gazetteer table, worked out once for each distinct pair of text and workplace."""
+    kinds = df.select(raw, workplace).distinct()
     found = find_places(df, raw, names).withColumnRenamed("hit", "_hit")
-    return df.join(found, raw, "left").withColumn(out, normalize_location(F.col(raw), F.col(workplace), hit=F.col("_hit"))).drop("_hit")
+    read = kinds.join(found, raw, "left").select(F.col(raw).alias("_raw"), F.col(workplace).alias("_workplace"), normalize_location(F.col(raw), F.col(workplace), hit=F.col("_hit")).alias(out))
+    return df.join(read, df[raw].eqNullSafe(read["_raw"]) & df[workplace].eqNullSafe(read["_workplace"])).drop("_raw", "_workplace")
 
 
 def normalize_location(raw: Column, workplace: Column, foreign_countries: list[str] = FOREIGN_COUNTRIES, foreign_cities: list[str] = FOREIGN_CITIES, metros: dict[str, tuple[str, str]] = METROS, hit: Column | None = None) -> Column:

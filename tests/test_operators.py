@@ -84,6 +84,15 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_places_are_read_once_a_distinct_text(spark):
+    df = spark.createDataFrame([(1, "Porto", None), (2, "Porto", None), (3, None, "remote"), (4, None, None), (5, "Paris, TX", "remote")], "id int, raw string, w string")
+    out = places.normalize_locations(df, "raw", "w", places.gazetteer(spark))
+    assert sorted((r.id, r.place.country, r.place.is_remote) for r in out.collect()) == [(1, "foreign", False), (2, "foreign", False), (3, "unknown", True), (4, "unknown", False), (5, "US", True)]
+    # The patterns run below the join, on distinct texts.
+    plan = optimized(out)
+    assert plan.index("Join") < plan.index("work from home") and plan.count("work from home") == 1
+
+
 def test_years_read_a_text_once(spark):
     df = spark.createDataFrame([("Requirements\t \r\n- 4  years of experience\f\u0001 here",)], "d string")
     read = df.select(extract_years(F.col("d")).alias("y")).select("y.*")
