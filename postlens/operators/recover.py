@@ -44,8 +44,11 @@ def recover_dims(df: DataFrame, text: str, signals: list[tuple[str, float]] = CO
     wide = df.withColumn("_lines", F.slice(lines, 1, HEAD_LINES))
     is_title = lambda s: s.rlike(TITLE_WORDS) & F.length(s).between(4, 120)
     is_place = lambda s: s.rlike(PLACE) & F.regexp_extract(s, PLACE, 2).isin(US_STATES)
-    names = F.filter(F.transform(F.slice("_lines", 1, COMPANY_LINES), _head), lambda s: ~s.rlike(TITLE_WORDS) & ~s.rlike(PLACE))
-    ranked = F.transform(names, lambda s, i: F.struct(company_score(s, signals).alias("score"), (-i).alias("o"), s.alias("line")))
+    # A line that what speaks for it does not lift to the least score is not searched for what speaks against it.
+    likely = lambda s: company_score(s, [x for x in signals if x[1] > 0]) >= MIN_SCORE
+    heads = F.transform(F.slice("_lines", 1, COMPANY_LINES), lambda s, i: F.struct((-i).alias("o"), _head(s).alias("line")))
+    names = F.filter(heads, lambda h: likely(h["line"]) & ~h["line"].rlike(TITLE_WORDS) & ~h["line"].rlike(PLACE))
+    ranked = F.transform(names, lambda h: F.struct(company_score(h["line"], signals).alias("score"), h["o"], h["line"]))
     seen = wide.withColumns({"_title": F.get(F.filter("_lines", is_title), F.lit(0)), "_place": F.get(F.filter("_lines", is_place), F.lit(0)), "_best": F.array_max(ranked)})
     bare = lambda c: F.trim(c, F.lit(" -•"))
     found = {

@@ -93,6 +93,15 @@ def test_places_are_read_once_a_distinct_text(spark):
     assert plan.index("Join") < plan.index("work from home") and plan.count("work from home") == 1
 
 
+def test_lines_that_cannot_be_a_company_are_not_searched_further(spark):
+    df = spark.createDataFrame([("Nordwind Labs\nData Engineer\nAustin, TX\nwe ship software",), ("no name here at all\nnor here",)], "d string")
+    out = recover.recover_dims(df, "d").select("company", "title", "city")
+    assert [r[:] for r in out.collect()] == [("Nordwind Labs", "Data Engineer", "Austin"), (None, None, None)]
+    # Signals for a company are asked twice (to leave lines out, and in the score), those against it once.
+    plan = optimized(out)
+    assert plan.count("gmbh") == 2 and plan.count("promoted") == 1
+
+
 def test_years_read_a_text_once(spark):
     df = spark.createDataFrame([("Requirements\t \r\n- 4  years of experience\f\u0001 here",)], "d string")
     read = df.select(extract_years(F.col("d")).alias("y")).select("y.*")
