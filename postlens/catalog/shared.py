@@ -45,7 +45,7 @@ def fit(t: Tables, postings: DataFrame | None = None) -> DataFrame:
 
 def honesty(t: Tables, postings: DataFrame | None = None) -> DataFrame:
     """Scores of all postings, or of those given: a posting's score depends on no other."""
-    return scores.honesty_score(t.postings if postings is None else postings, t.companies, t.roles, fit(t, postings))
+    return scores.honesty_score(t.texts if postings is None else postings, t.companies, t.roles, fit(t, postings))
 
 
 def staged(df: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -189,29 +192,39 @@ ONSITE_TALK = r"(?i)\b(on[- ]?site|onsite|in office)\b"
 SENIOR_TITLE = r"(?i)\b(senior|sr\.|lead|principal|staff)\b"
 INFLATED_TITLE = r"(?i)\b(senior|sr\.|lead|principal|staff|director|vp|head of)\b"
 EXECUTIVE_TITLE = r"(?i)\b(director|vp|vice president|head of)\b"
-# Own definition: the stock phrases that say nothing about the job.
-VAGUE_PHRASES = ["rock ?star", "ninja", "wear many hats", "self[- ]starter", "work hard,? play hard", "every applicant"]
+# Own definition: the stock phrases that say nothing about the job, each with words it holds in any case.
+VAGUE_PHRASES = {"rock ?star": "star", "ninja": "ninja", "wear many hats": "many hats", "self[- ]starter": "starter", "work hard,? play hard": "play hard", "every applicant": "every applicant"}
 
 
 def honesty_score(postings: DataFrame, companies: DataFrame, roles: DataFrame, fit: DataFrame) -> DataFrame:
     """Eight capped penalties from 100, with the reasons as flags."""
+    text, small = F.col("description_text"), F.col("_small")
+
+    def found(pattern: str, *words: str) -> Column:
+        """Whether a pattern matches; texts in lower case without any of its ``words`` need no search."""
+        return reduce(or_, [small.contains(w) for w in words]) & text.rlike(pattern)
+
+    eeo_at = F.instr(small, "equal opportunity employer")
+    # A text is read before the joins, and only what was found in it goes through them.
     jobs = (
         postings.filter((F.coalesce("data_tier", F.lit(1)) == 1) & (F.col("status") == "raw") & (F.length("description_text") > 100))
+        .withColumn("_small", F.lower(text)).select(
+            "job_id", "role_id", "experience_level", "workplace_type", "salary_min", "salary_max", "salary_period",
+            found(COY_PAY, "doe", "competitive", "commensurate").alias("_coy"), text.rlike(YEARS_PLUS).alias("_years"), found(ONSITE_TALK, "site", "in office").alias("_onsite"),
+            (found(OVERLOAD[1], "lean team") & found(OVERLOAD[0], "call") & found(OVERLOAD[2], "paced")).alias("_overload"),
+            ((eeo_at > 0) & (F.length(text) > 4000) & ((F.length(text) - eeo_at + 1) / F.length(text) > 0.40)).alias("_eeo"),
+            sum((F.when(found(f"(?i){p}", word), 1).otherwise(0) for p, word in VAGUE_PHRASES.items()), F.lit(0)).alias("_vague_hits"))
         .join(roles, "role_id", "left").join(fit.drop("level_bucket"), "job_id", "left")
     )
-    text, title = F.col("description_text"), F.coalesce("role_name", F.lit(""))
+    title = F.coalesce("role_name", F.lit(""))
     level, place = F.coalesce("experience_level", F.lit("unknown")), F.coalesce("workplace_type", F.lit("unknown"))
     low, high = F.col("salary_min"), F.col("salary_max")
     req = F.coalesce("required_skills", F.lit(0))
     no_pay, some_pay = low.isNull() & high.isNull(), low.isNotNull() | high.isNotNull()
     wide = F.coalesce((low > 0) & (high / low >= 2.5), F.lit(False))
     no_period = some_pay & (F.coalesce(F.trim("salary_period"), F.lit("")) == "")
-    coy, years, onsite = text.rlike(COY_PAY), text.rlike(YEARS_PLUS), text.rlike(ONSITE_TALK)
-    overload = text.rlike(OVERLOAD[0]) & text.rlike(OVERLOAD[1]) & text.rlike(OVERLOAD[2])
+    coy, years, onsite, overload, eeo, vague_hits = (F.col(c) for c in ("_coy", "_years", "_onsite", "_overload", "_eeo", "_vague_hits"))
     entry, junior = level == "entry", level.isin("entry", "associate")
-    eeo_at = F.instr(F.lower(text), "equal opportunity employer")
-    eeo = (eeo_at > 0) & (F.length(text) > 4000) & ((F.length(text) - eeo_at + 1) / F.length(text) > 0.40)
-    vague_hits = sum((F.when(text.rlike(f"(?i){p}"), 1).otherwise(0) for p in VAGUE_PHRASES), F.lit(0))
     score = jobs.withColumns({
         "pay_penalty": F.when(no_pay, 25).otherwise(0) + F.when(wide, 10).otherwise(0) + F.when(coy, 10).otherwise(0) + F.when(no_period, 5).otherwise(0),
         "vague_penalty": F.least(vague_hits * 3, F.lit(15)),

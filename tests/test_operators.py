@@ -15,7 +15,7 @@ from postlens.operators import lifecycle as L
 from postlens.operators import places, quality, recover, salary, skills, vectors
 from postlens.operators import relational as R
 from postlens.operators.experience import classify_experience, extract_years
-from postlens.plans import company
+from postlens.plans import company, scores
 from postlens.sources import feeds, pages, sinks
 
 
@@ -102,6 +102,18 @@ def test_lines_that_cannot_be_a_company_are_not_searched_further(spark):
     assert plan.count("gmbh") == 2 and plan.count("promoted") == 1
 
 
+def test_honesty_reads_a_text_before_the_joins(spark):
+    long = " Much is said here of the work to be done every day, and of those who do it with us, so the text is long enough."
+    body = ["On-CALL with a Lean Team, FAST-paced. COMPETITIVE pay, 5+ years." + long, "You are a Rock Star and a NINJA, a self-starter, in OFFICE." + long, "Nothing." + long]
+    p = spark.createDataFrame([(f"J{i}", "R", None, "raw", "remote", 90000, 100000, "year", 1, b) for i, b in enumerate(body)], "job_id string, role_id string, experience_level string, status string, workplace_type string, salary_min long, salary_max long, salary_period string, data_tier int, description_text string")
+    fit = spark.createDataFrame([], "job_id string, level_bucket string, required_skills long, plausibility_penalty int, plausibility_flags array<string>")
+    out = scores.honesty_score(p, None, spark.createDataFrame([("R", "Clerk")], "role_id string, role_name string"), fit)
+    assert sorted((r.job_id, r.honesty_score, r.flags) for r in out.collect()) == [
+        ("J0", 70, ["doe_competitive", "years_requirement", "oncall_lean_fastpaced"]), ("J1", 81, ["remote_but_onsite_language"]), ("J2", 100, [])]
+    plan = optimized(out)
+    assert plan.count("|commensurate)") == 1 and plan.rindex("Join") < plan.index("|commensurate)")
+
+
 def test_years_read_a_text_once(spark):
     df = spark.createDataFrame([("Requirements\t \r\n- 4  years of experience\f\u0001 here",)], "d string")
     read = df.select(extract_years(F.col("d")).alias("y")).select("y.*")
