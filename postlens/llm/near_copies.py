@@ -8,7 +8,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.dedup import _verify, connected_components, odd_apart, parities
@@ -63,9 +63,13 @@ def majority(s: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(s)).view(np.int64)[0]) if len(s) else 0
 
 
-def frequent_shingles(named: DataFrame, width: int, sample_size: int, most: int = 50_000) -> np.ndarray:
-    """(hash, count), by hash, of shingles in over four documents of a bounded sample."""
-    every = max(1, named.count() // sample_size)
+def frequent_shingles(named: DataFrame, width: int, sample_size: int, share: int = 8, most: int = 250_000) -> np.ndarray:
+    """(hash, count), by hash, of shingles in over four documents of a sample, at most the ``most`` frequent ones.
+
+    The sample is one document in ``share``, more in a small table.  So what counts as frequent is a number of
+    documents, some forty, at any size, and the sets that meet at a key do not grow with the table.
+    """
+    every = max(1, min(share, named.count() // sample_size))
     sample = shingle_sets(named.filter(F.pmod("body", F.lit(every)) == 0), width=width)
     seen = sample.select(F.explode("set").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 4")
     hot = np.array([tuple(x) for x in seen.orderBy(F.col("c").desc(), "key").limit(most).collect()], np.int64).reshape(-1, 2)
@@ -89,7 +93,7 @@ def prefix_keys(named: DataFrame, threshold: float, width: int = 5, sample_size:
     """key, sig, n, pos: the first n - ceil(n * threshold) + 1 shingles of each set by one order for
     all sets, of which two sets that reach the threshold have one in common, and their places from 0.
 
-    Any order will do.  Shingles frequent in a bounded sample come last, rarest first, so a
+    Any order will do.  Shingles frequent in a sample come last, rarest first, so a
     passage that stands in many documents is a key only of those that are little else.
     """
     hot = frequent_shingles(named, width, sample_size)
@@ -141,6 +145,21 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return dealt.mapInArrow(shared, "key long, sig long, n int, pos int").withColumnsRenamed({"key": "_key", "sig": "_id"})
 
 
+def with_before(keys: DataFrame, most: int = 6) -> DataFrame:
+    """Adds before: the ``most`` keys of the same set that come last before each key."""
+    order = Window.partitionBy("_id").orderBy("pos")
+    return keys.withColumn("before", F.array_compact(F.array(*[F.lag("_key", i).over(order) for i in range(1, most + 1)])))
+
+
+def met_first(before: str, other: str):
+    """False only if two sets that meet at a key have met at one of the keys right before it.
+
+    All sets have one order, so at the first key that two sets share this holds, and a pair comes out there at least;
+    of two texts that are alike most other meetings are left out.
+    """
+    return ~F.arrays_overlap(before, other)
+
+
 def proposals(rows: DataFrame, reach: int) -> DataFrame:
     """(src, dst): sets that SimHash takes for near copies.
 
@@ -160,7 +179,8 @@ def near_copy_groups(keys: DataFrame, rows: DataFrame, named: DataFrame, thresho
     key still holds, so a large group of copies of one text makes no square.  The place of a key in
     two sets bounds what they can share from there on: the smaller set of a near pair has its first
     common key in the first n - 2t / (1 + t) * n + 1 places.  So only sets that hold a key so early are paired with the
-    others of it, and a passage that stands in many texts, late in the order, pairs none.  No pair is missed:
+    others of it, and a passage that stands in many texts, late in the order, pairs none.  Across groups two sets are
+    paired where they meet first, not at each key they share.  No pair is missed:
     every odd bit that differs needs a shingle that differs, so pairs with more such bits than
     the threshold leaves shingles to differ are ruled out before texts are read again.
     """
@@ -195,11 +215,11 @@ def near_copy_groups(keys: DataFrame, rows: DataFrame, named: DataFrame, thresho
     labels = connected_components(first).withColumnRenamed("node", "_id")
     labelled = cut_lineage(keys.join(labels, "_id", "left").withColumn("_comp", F.coalesce("component", "_id")))
     mixed = labelled.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).filter("_lo <> _hi").select("_key")
-    left = labelled.filter(early("n", "pos")).join(mixed, "_key", "left_semi").select("_key", F.col("_id").alias("src"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("_comp").alias("_a"), *[F.col(p).alias(f"q_{p}") for p in SKETCH])
-    right = labelled.select("_key", F.col("_id").alias("dst"), "n", "pos", F.col("_comp").alias("_b"), *SKETCH)
+    left = labelled.filter(early("n", "pos")).join(mixed, "_key", "left_semi").select("_key", F.col("_id").alias("src"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("_comp").alias("_a"), F.col("before").alias("_before"), *[F.col(p).alias(f"q_{p}") for p in SKETCH])
+    right = labelled.select("_key", F.col("_id").alias("dst"), "n", "pos", F.col("_comp").alias("_b"), "before", *SKETCH)
     smaller = F.struct("m", "src") < F.struct(F.col("n").alias("m"), F.col("dst").alias("src"))
-    met = left.join(right, "_key").filter((F.col("_a") != F.col("_b")) & smaller & possible("n", "pos", "m", "at"))
-    across = met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).join(star.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")), ["src", "dst"], "left_anti")
+    met = left.join(right, "_key").filter((F.col("_a") != F.col("_b")) & smaller & met_first("before", "_before") & possible("n", "pos", "m", "at"))
+    across = met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct().join(star.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")), ["src", "dst"], "left_anti")
     return connected_components(first.unionByName(verified(across))).withColumnRenamed("node", "sig")
 
 
@@ -219,7 +239,7 @@ def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", t
     rows = cut_lineage(summaries(named, width).select("row.ident", "row.body", "sig", "n", "bits", "fp", *SKETCH))
     # One row a set: its least body, sizes and bits.
     sets = cut_lineage(rows.groupBy("sig").agg(F.min("body").alias("body"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fp").alias("fp"), *[F.first(p).alias(p) for p in SKETCH]).filter("n > 0"))
-    keys = cut_lineage(shared_keys(prefix_keys(named, threshold, width)).join(sets.select(F.col("sig").alias("_id"), *SKETCH), "_id"))
+    keys = cut_lineage(with_before(shared_keys(prefix_keys(named, threshold, width)).join(sets.select(F.col("sig").alias("_id"), *SKETCH), "_id")))
     best = F.struct(F.col("ident").isNull().alias("none"), "ident", "body")
     labelled = rows.select("ident", "body", "sig").join(near_copy_groups(keys, sets, named, threshold, width, reach), "sig", "left").withColumn("group", F.coalesce("component", "sig"))
     stays = labelled.groupBy("group").agg(F.min(best).alias("b")).select("b.*")

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from postlens.llm.near_copies import drop_near_copies, odd_apart, parities, shingle_set
+from postlens.llm.near_copies import drop_near_copies, frequent_shingles, met_first, odd_apart, parities, shingle_set, with_before
 
 WIDTH, LEAST = 5, 0.8
 
@@ -100,3 +100,24 @@ def test_parities_rule_out_no_pair(spark):
     frame = spark.createDataFrame(rows, "x array<long>, y array<long>, n int")
     assert len(rows) > 30 and frame.filter(odd_apart("x", "y") > F.col("n")).count() == 0
     assert any(len(r[0]) != len(r[1]) for r in rows)
+
+
+def test_alike_sets_meet_about_once(spark):
+    """Sixty sets of 60 keys, each 40 of a common order: with all keys they share a pair came out up to forty times."""
+    rng = np.random.default_rng(5)
+    rows = [(int(k), i, pos) for i in range(60) for pos, k in enumerate(sorted([*rng.choice(60, 40, replace=False), *(100 + rng.choice(10**6, 20))]))]
+    keys = with_before(spark.createDataFrame(rows, "_key long, _id long, pos int"))
+    a = keys.select("_key", F.col("_id").alias("a"), F.col("before").alias("x"))
+    b = keys.select("_key", F.col("_id").alias("b"), F.col("before").alias("y"))
+    every = a.join(b, "_key").filter("a < b")
+    first = every.filter(met_first("x", "y"))
+    assert {tuple(r) for r in first.select("a", "b").distinct().collect()} == {tuple(r) for r in every.select("a", "b").distinct().collect()}
+    assert every.count() > 20 * 1770 and first.count() < 1.5 * 1770
+
+
+def test_frequent_shingles_do_not_depend_on_the_size(spark):
+    """A line in 100 of 2,000 documents, of which 50 were sampled, was not taken for frequent."""
+    docs = spark.createDataFrame([(i, " ".join(f"u{i}w{k}" for k in range(8)) + (" one line that some of the documents share" if i % 20 == 0 else "")) for i in range(2000)], "ident long, text string")
+    named = docs.withColumn("body", F.xxhash64("text"))
+    hot = set(frequent_shingles(named, 5, 50)[:, 0].tolist())
+    assert set(shingle_set("one line that some of the documents share").tolist()) <= hot
