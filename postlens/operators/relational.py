@@ -136,3 +136,8 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """Repeatable audit sample: the ``n`` smallest salted hashes."""
     salted = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
     return df.withColumn("_h", salted).orderBy("_h", key).limit(n).drop("_h")
+
+
+def distinct_in_parts(df: DataFrame, rows: int, per_part: int = 250_000) -> DataFrame:
+    """Distinct rows, dealt out before they are compared, so a task holds some ``per_part`` of about ``rows`` and not a whole input split."""
+    return df.repartition(max(64, -(-rows // per_part)), *df.columns).distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import US_STATES, blank_to_null
 from ..functions.text import org_match, strip_html
-from ..operators.relational import dedupe_best
+from ..operators.relational import dedupe_best, distinct_in_parts
 from ..session import cut_lineage
 
 _SCRIPT = r"(?is)<script[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script>"
@@ -115,17 +115,17 @@ def expand_sitemaps(docs: DataFrame, roots: DataFrame, job_path: str = JOB_PATH,
     Goes on until a level has no sitemap that was not read before, so loops end too.
     """
     locs = docs.select(F.col("url").alias("parent"), F.explode(F.regexp_extract_all("xml", F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("url"))
-    kinds = docs.select("url").withColumn("_is_map", F.lit(True))
+    kinds = docs.select("url").distinct().withColumn("_is_map", F.lit(True))
     edges = locs.join(kinds, "url", "left").select("parent", "url", F.coalesce("_is_map", F.lit(False)).alias("_is_map"))
     edges = cut_lineage(edges)
     level = seen = cut_lineage(roots.select("url").distinct())
     leaves = roots.select("url").limit(0)
     while not level.isEmpty():
-        children = edges.join(level.withColumnRenamed("url", "parent"), "parent").select("url", "_is_map").distinct()
+        children = edges.join(level.withColumnRenamed("url", "parent"), "parent").select("url", "_is_map")
         leaves = leaves.unionByName(children.filter(~F.col("_is_map") & F.col("url").rlike(job_path) & ~F.col("url").rlike(hub_path)).select("url"))
-        level = cut_lineage(children.filter("_is_map").select("url").join(seen, "url", "left_anti"))
+        level = cut_lineage(children.filter("_is_map").select("url").distinct().join(seen, "url", "left_anti"))
         seen = seen.unionByName(level)
-    return leaves.distinct()
+    return distinct_in_parts(leaves, edges.count())
 
 
 def split_dump(texts: DataFrame, column: str = "value", begin: str = "=== JOB START ===", end: str = "=== JOB END ===") -> DataFrame:

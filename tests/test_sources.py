@@ -131,3 +131,21 @@ def test_ruling_words_on_headings_and_lines(spark):
     names = spark.createDataFrame([(f"S{i}", n) for i, n in enumerate("alpha beta gamma delta epsilon zeta eta".split())], "skill_id string, skill_name string")
     got = {r.skill_id: r.skill_priority for r in skills.extract_skills_sectioned(spark.createDataFrame([("j", text)], "job_id string, t string"), "job_id", "t", skills.alias_table(names)).collect()}
     assert got == {"S0": "required", "S1": "required", "S2": "preferred", "S3": "nice-to-have", "S4": "required", "S5": "preferred", "S6": "required"}
+
+
+def test_documents_of_one_address_count_once(spark):
+    """A map in 200 documents that an index names in 50 was an edge 10,000 times over."""
+    from postlens.operators.relational import distinct_in_parts
+
+    rows = [("root", "<sitemapindex><loc>m</loc></sitemapindex>")] * 50 + [("m", f"<urlset><loc>https://x/jobs/{i}</loc></urlset>") for i in range(200)]
+    held = []
+
+    def cut(df):
+        held.append(df.count())
+        return df
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pages, "cut_lineage", cut)
+        out = pages.expand_sitemaps(spark.createDataFrame(rows, "url string, xml string"), spark.createDataFrame([("root",)], "url string"))
+    assert out.count() == 200 and held[0] == 250
+    assert distinct_in_parts(spark.range(10).selectExpr("id % 3 AS k"), 10).count() == 3
