@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +18,7 @@ CHUNK, STEP, MIN_CHUNK = 150, 75, 50
 MIN_DOCS, MIN_SHARE = 3, 0.40
 MIN_WORDS, ANCHOR_WORDS, MARGIN = 5, 8, 50
 TITLE_CHARS, TEXT_CHARS = 200, 2500
+SEPARATOR = "\0"  # between listed chunks
 
 
 def chunks(text: Column) -> Column:
@@ -39,45 +42,54 @@ def find_boilerplate(df: DataFrame, group: str, text: str) -> DataFrame:
     return counts.filter(F.col("docs") >= 2).join(sizes, group).filter(F.col("docs") >= needed).drop("_n")
 
 
-def _mask(text: str, found: list[str] | None) -> str:
+def _anchors(found: str) -> list[tuple[str, int]]:
+    """(anchor, characters to cut) of chunks listed one after another."""
+    return [(" ".join(words), len(chunk) + MARGIN) for chunk in found.split(SEPARATOR) if (words := chunk.split()[:ANCHOR_WORDS])]
+
+
+def _mask(text: str | None, anchors: list[tuple[str, int]]) -> str:
     """Cut the spans that start at an anchor of a repeated chunk; a text without an anchor stays as it is."""
-    if not text or found is None or not len(found):
+    low = (text or "").lower()
+    words = low.split() if anchors else []
+    flat = " ".join(words)
+    found = []
+    for anchor, length in anchors:
+        at = flat.find(anchor)
+        while at >= 0:
+            found.append((at, length))
+            at = flat.find(anchor, at + len(anchor))
+    if not found:
         return text or ""
-    spans = []
-    for chunk in found:
-        anchor = r"\s+".join(map(re.escape, chunk.split()[:ANCHOR_WORDS]))
-        spans += [(m.start(), m.start() + len(chunk) + MARGIN) for m in re.finditer(anchor, text.lower())]
-    if not spans:
-        return text
+    if len(flat) != len(low):  # back to places in the text, whose words are wider apart
+        starts = [m.start() for m in re.finditer(r"\S+", low)]
+        firsts = [0, *accumulate(len(w) + 1 for w in words[:-1])]
+        found = [(starts[w] + at - firsts[w], length) for at, length in found for w in [bisect_right(firsts, at) - 1]]
     kept, at = [], 0
-    for start, end in sorted(spans):
+    for start, length in sorted(found):
         kept.append(text[at:max(at, start)])
-        at = max(at, end)
-    return re.sub(r"\s+", " ", "".join(kept) + text[at:]).strip()
+        at = max(at, start + length)
+    return " ".join(("".join(kept) + text[at:]).split())
 
 
 @F.pandas_udf(T.StringType())
 def _mask_spans(text: pd.Series, found: pd.Series) -> pd.Series:
-    return pd.Series([_mask(t, f) for t, f in zip(text, found)])
+    out, held, anchors = [], "", []
+    for t, f in zip(text, found):
+        if f != held:  # rows of a group come together as a rule
+            held, anchors = f, _anchors(f)
+        out.append(_mask(t, anchors))
+    return pd.Series(out, dtype=object)
 
 
 def strip_boilerplate(df: DataFrame, boilerplate: DataFrame, key: str, group: str, text: str) -> DataFrame:
     """Remove repeated chunks from each text; adds ``stripped_text``.
 
-    A text only ever meets the chunks it may contain: the inner words of the
-    anchor (those that cannot be cut mid-word) are an equality key, so no
-    group's whole chunk list travels to every text of the group.
+    Each text meets its group's chunks as one list.  As each of them stands in a fixed share of the group's
+    texts, the list is no longer than a few average texts of the group, and the work grows with the texts.
     """
-    chunk_words = F.split("chunk", " ")
-    anchors = boilerplate.filter(F.size(chunk_words) >= MIN_WORDS).select(
-        group, "chunk", *[F.get(chunk_words, F.lit(n)).alias(f"a{n}") for n in (1, 2, 3)])
-    toks = df.select(key, group, F.split(normalized(F.col(text)), " ").alias("w1"))
-    toks = toks.withColumns({f"w{n}": F.slice("w1", F.lit(n), F.size("w1")) for n in (2, 3)}).select(key, group, F.inline(F.arrays_zip("w1", "w2", "w3")))
-    cond = (toks[group] == anchors[group]) & (toks["w1"] == anchors["a1"]) & (toks["w2"] == anchors["a2"]) & (toks["w3"] == anchors["a3"])
-    found = toks.join(anchors, cond).groupBy(toks[key]).agg(F.collect_set("chunk").alias("_found"))  # bounded by the text itself
-    joined = df.join(found, key, "left")
-    cut = _mask_spans(F.col(text), F.coalesce("_found", F.array().cast("array<string>")))
-    return joined.withColumn("stripped_text", cut).drop("_found")
+    listed = boilerplate.filter(F.size(F.split("chunk", " ")) >= MIN_WORDS).groupBy(group).agg(F.array_join(F.collect_set("chunk"), SEPARATOR).alias("_found"))
+    joined = df.join(listed, group, "left").withColumn("stripped_text", _mask_spans(F.col(text), F.coalesce("_found", F.lit(""))))
+    return joined.select(key, *[c for c in df.columns if c != key], "stripped_text")
 
 
 def build_text(title: Column, stripped: Column, budget: int = TEXT_CHARS) -> Column:

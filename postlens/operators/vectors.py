@@ -9,10 +9,12 @@ and only k rows per left row leave it.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,41 +176,69 @@ class HashedTokens:
         import hashlib
         import re
 
-        token, dims, slots = re.compile(self.token), self.dims, {}
+        token, dims = re.compile(self.token), self.dims
+
+        class Slots(dict):
+            def __missing__(self, w: str) -> int:
+                slot = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dims
+                if len(self) < 100_000:
+                    self[w] = slot
+                return slot
+
+        slots = Slots()
 
         def encode(texts: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(texts), dims), np.float32)
-            for row, text in zip(out, texts):
-                for w in token.findall((text or "").lower()):
-                    slot = slots.get(w)
-                    if slot is None:
-                        slot = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dims
-                        if len(slots) < 100_000:
-                            slots[w] = slot
-                    row[slot] += 1
-            return out
+            places, counts = [], []
+            for text in texts:
+                words = token.findall((text or "").lower())
+                places += map(slots.__getitem__, words)
+                counts.append(len(words))
+            cells = np.repeat(np.arange(len(texts)) * dims, counts) + np.array(places, np.int64)
+            return np.bincount(cells, minlength=len(texts) * dims).reshape(-1, dims).astype(np.float32)
 
         return encode
 
 
+def unit_rows(encoder: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
+    """The encoder with its rows brought to length one; a row of zeroes stays so."""
+
+    def make() -> Callable[[np.ndarray], np.ndarray]:
+        encode = encoder()
+
+        def run(texts: np.ndarray) -> np.ndarray:
+            rows = np.asarray(encode(texts), np.float32)
+            norm = np.sqrt((rows * rows).sum(1, dtype=np.float64, keepdims=True))
+            return np.divide(rows, norm, out=rows.astype(np.float64), where=norm > 0).astype(np.float32)
+
+        return run
+
+    return make
+
+
+_encoders: dict[str, Callable[[np.ndarray], np.ndarray]] = {}  # a worker's, by the id of the call
+
+
 def encode_texts(df: DataFrame, text: str, encoder: Callable[[], Callable[[np.ndarray], np.ndarray]], out: str = "vector", batch: int = 256, unit: bool = True) -> DataFrame:
     """Vectors by batch inference: ``encoder`` is called once a worker and gives a function from a batch of texts to rows of numbers.
 
     A null text is encoded like an empty one; a row of zeroes stays so.
     """
-    from pyspark.ml.functions import predict_batch_udf
-    from pyspark.sql import types as T
+    name, make = uuid.uuid4().hex, unit_rows(encoder) if unit else encoder
+
+    @F.arrow_udf("array<float>")
+    def infer(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        if name not in _encoders:
+            _encoders[name] = make()
+        for part in texts:
+            rows = [np.asarray(_encoders[name](part.slice(i, batch).to_numpy(zero_copy_only=False)), np.float32) for i in range(0, len(part), batch)]
+            ends = np.cumsum([0, *(r.shape[1] for r in rows for _ in range(len(r)))], dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.float32), *(r.ravel() for r in rows)])))
 
-    infer = predict_batch_udf(encoder, return_type=T.ArrayType(T.FloatType()), batch_size=batch)
-    raw = df.withColumn(out, infer(F.coalesce(F.col(text), F.lit(""))))
-    if not unit:
-        return raw
-    norm = F.sqrt(F.aggregate(out, F.lit(0.0), lambda t, x: t + x * x))
-    return raw.withColumn("_norm", norm).withColumn(out, F.when(F.col("_norm") > 0, F.transform(out, lambda x: (x / F.col("_norm")).cast("float"))).otherwise(F.col(out))).drop("_norm")
+    return df.withColumn(out, infer(F.coalesce(F.col(text), F.lit(""))))
 
 
-def embed_postings(postings: DataFrame, done: DataFrame, encoder: Callable = HashedTokens(), key: str = "job_id", company: str = "company_id", title: str = "role_name", text: str = "description_text", unit: bool = True) -> DataFrame:
-    """(key, model_text, vector) of postings that are not in ``done`` yet.
+def embed_postings(postings: DataFrame, done: DataFrame, encoder: Callable = HashedTokens(), key: str = "job_id", company: str = "company_id", title: str = "role_name", text: str = "description_text", unit: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, ``carry``, model_text, vector) of postings that are not in ``done`` yet.
 
     What a company repeats is found over all its postings, done or not, and stripped from those
     to encode; title and rest share one budget of characters.
@@ -216,8 +246,8 @@ def embed_postings(postings: DataFrame, done: DataFrame, encoder: Callable = Has
     from .boilerplate import build_text, find_boilerplate, strip_boilerplate
 
     repeated = find_boilerplate(postings, company, text)
-    todo = postings.select(key, company, title, text).join(done.select(key), key, "left_anti")
-    stripped = strip_boilerplate(todo, repeated, key, company, text).select(key, build_text(F.col(title), F.col("stripped_text")).alias("model_text"))
+    todo = postings.select(*dict.fromkeys([key, company, title, text, *carry])).join(done.select(key), key, "left_anti")
+    stripped = strip_boilerplate(todo, repeated, key, company, text).select(key, *carry, build_text(F.col(title), F.col("stripped_text")).alias("model_text"))
     return encode_texts(stripped, "model_text", encoder, unit=unit)
 
 
@@ -267,10 +297,10 @@ def train_level(df: DataFrame, vector: str, label: str, seed: int = 7) -> tuple[
     from pyspark.ml.functions import array_to_vector
 
     rows = df.select(F.col(label).cast("double").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.xxhash64(vector).alias("_h"))
-    totals = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    totals = cut_lineage(rows.groupBy("label").agg(F.count(F.lit(1)).alias("_n")))
     shape = totals.agg(F.sum("_n").alias("t"), F.count(F.lit(1)).alias("c"))
     weights = totals.withColumns({"_t": shape.select("t").scalar(), "_c": shape.select("c").scalar()}).select("label", (F.col("_t") / (F.col("_c") * F.col("_n"))).alias("weight"))
-    weighted = rows.join(weights, "label")
+    weighted = rows.join(F.broadcast(weights), "label")  # one row a label
     held_out = F.pmod(F.xxhash64("_h", F.lit(seed)), F.lit(5)) == 0
     model = LogisticRegression(maxIter=50, regParam=0.01, weightCol="weight").fit(weighted.filter(~held_out))
     return model, class_report(model.transform(weighted.filter(held_out)).select("label", "prediction"))

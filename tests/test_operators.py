@@ -268,6 +268,26 @@ def test_text_without_an_anchor_keeps_its_blanks(spark):
     assert out[1] == rows[0][2] and out[2].startswith("A first line.") and "\n" not in out[2] and "value every" not in out[2] and out[3] == ""
 
 
+def test_boilerplate_is_cut_without_a_row_for_each_word(spark):
+    """A group's chunks meet its texts as one list; blanks in a row move no cut."""
+    chunk = "we value every applicant and offer the same benefits to all staff"
+    rows = [(1, "c", f" Intro  here.\n\n{chunk.replace(' ', '  ')} in every office of the group and more than that.  The rest\tstays."), (2, "d", f"{chunk} too")]
+    df = spark.createDataFrame(rows, "id int, g string, t string")
+    out = B.strip_boilerplate(df, spark.createDataFrame([("c", chunk, 3)], "g string, chunk string, docs long"), "id", "g", "t")
+    got = {r.id: r.stripped_text for r in out.collect()}
+    start = rows[0][2].index("we  value")
+    assert got == {1: " ".join((rows[0][2][:start] + rows[0][2][start + len(chunk) + B.MARGIN:]).split()), 2: rows[1][2]}
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_encoded_rows_have_length_one(spark):
+    df = spark.createDataFrame([(1, "b a a"), (2, None), (3, "...")], "id int, t string").coalesce(1)
+    raw = {r.id: r.vector for r in vectors.encode_texts(df, "t", vectors.HashedTokens(), unit=False, batch=2).collect()}
+    unit = {r.id: r.vector for r in vectors.encode_texts(df, "t", vectors.HashedTokens(), batch=2).collect()}
+    assert sorted(x for x in raw[1] if x) == [1.0, 2.0] and len(raw[1]) == 256 and not any(raw[2]) and not any(raw[3])
+    assert unit[1] == pytest.approx([x / 5 ** 0.5 for x in raw[1]]) and not any(unit[2]) and not any(unit[3])
+
+
 def test_bucket_counts_leave_out_texts_without_a_token(spark):
     from postlens.catalog.match_queries import bucket_counts
 
