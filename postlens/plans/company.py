@@ -83,13 +83,14 @@ def edges(spans: DataFrame, keys: list[str], values: dict[str, Column], names: l
     return each.withColumn("_e", ends).select(*keys, "_e.day", *[(F.col(n) * F.col("_e.sign")).alias(n) for n in names])
 
 
-def sweep(changes: DataFrame, keys: list[str], names: list[str], last: Column, day: str = "snapshot_date") -> DataFrame:
-    """Running sums of the changes of each key on every day from its first change to ``last`` on which one is not zero."""
+def sweep(changes: DataFrame, keys: list[str], names: list[str], last: Column, day: str = "snapshot_date", among: str | None = None) -> DataFrame:
+    """Running sums of the changes of each key on every day from its first change to ``last`` on which one, or ``among``, is not zero."""
     order = Window.partitionBy(*keys).orderBy("day")
     steps = changes.groupBy(*keys, "day").agg(*[F.sum(n).alias(n) for n in names])
     sums = steps.select(*keys, "day", F.lead("day").over(order).alias("_next"), *[F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in names])
     end = F.least(F.date_sub("_next", 1), last)
-    some = sums.filter(F.greatest(*[F.col(n) for n in names]) > 0 if len(names) > 1 else F.col(names[0]) > 0).filter(F.col("day") <= end)
+    known = [among] if among else names
+    some = sums.filter(F.greatest(*[F.col(n) for n in known]) > 0 if len(known) > 1 else F.col(known[0]) > 0).filter(F.col("day") <= end)
     return some.select(*keys, F.explode(F.sequence("day", end)).alias(day), *names)
 
 
@@ -139,7 +140,11 @@ def radar_snapshot(postings: DataFrame, companies: DataFrame, reposts: DataFrame
     back = scoped.select("job_id", *who).join(reposts.select("job_id", "event_id", "observed_on", "signal_class"), "job_id").select(*who, "event_id", "observed_on", "signal_class").distinct()
     back = back.withColumn("_s", span(F.col("observed_on"), F.date_add("observed_on", REPOST_DAYS - 1))).filter("_s IS NOT NULL").select("*", "_s.lo", "_s.hi")
 
-    names = ["active_opportunities", "active_source_postings", "_priced", "new_opportunities_7d", "disappeared_opportunities_7d", "individual_repost_signals_30d", "bulk_refresh_events_30d"]
+    # A company has a row on every day from the first on which anything was found, so its coverage goes through the same sums.
+    since = scoped.groupBy(*who).agg(F.min("first_day").alias("_since")).filter("_since IS NOT NULL")
+    covered = since.withColumn("_s", span(F.col("_since"), d1)).filter("_s IS NOT NULL").select("*", "_s.lo", "_s.hi")
+
+    names = ["active_opportunities", "active_source_postings", "_priced", "new_opportunities_7d", "disappeared_opportunities_7d", "individual_repost_signals_30d", "bulk_refresh_events_30d", "_covered", "_since"]
     one = F.lit(1)
     changes = [
         edges(spans, who, {"active_source_postings": one, "_priced": F.col("priced").cast("int")}, names),
@@ -147,9 +152,10 @@ def radar_snapshot(postings: DataFrame, companies: DataFrame, reposts: DataFrame
         edges(fresh, who, {"new_opportunities_7d": one}, names),
         edges(gone, who, {"disappeared_opportunities_7d": one}, names),
         edges(back, who, {"individual_repost_signals_30d": (F.col("signal_class") == "individual_repost_signal").cast("int"), "bulk_refresh_events_30d": (F.col("signal_class") == "bulk_ats_date_refresh").cast("int")}, names),
+        edges(covered, who, {"_covered": one, "_since": F.unix_date("_since")}, names),
     ]
-    metrics = sweep(reduce(DataFrame.unionByName, changes), who, names, d1)
-    metrics = metrics.withColumn("salary_transparency_pct", rounded(F.col("_priced") * 100.0 / F.nullif("active_source_postings", F.lit(0)), 1)).drop("_priced")
+    metrics = sweep(reduce(DataFrame.unionByName, changes), who, names, d1, among="_covered").withColumn("coverage_started_at", F.date_from_unix_date(F.col("_since").cast("int")))
+    metrics = metrics.withColumn("salary_transparency_pct", rounded(F.col("_priced") * 100.0 / F.nullif("active_source_postings", F.lit(0)), 1)).drop("_priced", "_covered", "_since")
 
     role_keys = [*who, "role_category"]
     open_roles = islands(spans.filter(F.col("role_category").isNotNull()), [*role_keys, "opp"])
@@ -162,13 +168,8 @@ def radar_snapshot(postings: DataFrame, companies: DataFrame, reposts: DataFrame
     closed = closed.withColumn("snapshot_date", F.explode(days_between(F.col("last_day"), F.date_add("last_day", CLOSED_DAYS - 1)))).groupBy(*keys).agg(
         rounded(F.percentile("lifetime", 0.5, F.col("n")), 1).alias("median_closed_lifetime_days"), F.sum("n").alias("_n")).filter(F.col("_n") >= MIN_CLOSED).drop("_n")
 
-    coverage = scoped.groupBy(*who).agg(F.min("first_day").alias("coverage_started_at")).withColumn(
-        "snapshot_date", F.explode(days_between(F.col("coverage_started_at"), d1)))
-    out = coverage
-    for part in (metrics, closed, mix):
-        out = out.join(part, keys, "left")
-    counts = [n for n in names if n != "_priced"]
-    return out.na.fill(0, counts).withColumn(
+    out = metrics.join(closed, keys, "left").join(mix, keys, "left")
+    return out.withColumn(
         "snapshot_source", F.when(F.col("snapshot_date") < today, "archive_reconstruction").otherwise("live"))
 
 

@@ -288,6 +288,18 @@ def test_encoded_rows_have_length_one(spark):
     assert unit[1] == pytest.approx([x / 5 ** 0.5 for x in raw[1]]) and not any(unit[2]) and not any(unit[3])
 
 
+def test_sweep_keeps_days_of_zeros_among_covered_ones(spark):
+    """A company's days come out of the sums themselves, with nothing joined to them."""
+    day = lambda d: dt.date(2001, 8, d)
+    last, names = F.lit("2001-08-06").cast("date"), ["open", "_covered", "_since"]
+    spans = spark.createDataFrame([("a", day(3), day(4)), ("a", day(3), day(3)), ("b", day(1), day(1))], "k string, lo date, hi date")
+    cover = spark.createDataFrame([("a", day(2), day(6), dt.date(1969, 12, 30))], "k string, lo date, hi date, s date")
+    changes = company.edges(spans, ["k"], {"open": F.lit(1)}, names).unionByName(company.edges(cover, ["k"], {"_covered": F.lit(1), "_since": F.unix_date("s")}, names))
+    out = company.sweep(changes, ["k"], names, last, among="_covered")
+    assert sorted((r.k, r.snapshot_date.day, r.open, r["_since"]) for r in out.collect()) == [("a", d, n, -2) for d, n in zip(range(2, 7), (0, 2, 1, 0, 0))]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bucket_counts_leave_out_texts_without_a_token(spark):
     from postlens.catalog.match_queries import bucket_counts
 
