@@ -199,7 +199,7 @@ class HashedTokens:
         return encode
 
 
-def unit_rows(encoder: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
+def unit_encoder(encoder: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
     """The encoder with its rows brought to length one; a row of zeroes stays so."""
 
     def make() -> Callable[[np.ndarray], np.ndarray]:
@@ -223,7 +223,7 @@ def encode_texts(df: DataFrame, text: str, encoder: Callable[[], Callable[[np.nd
 
     A null text is encoded like an empty one; a row of zeroes stays so.
     """
-    name, make = uuid.uuid4().hex, unit_rows(encoder) if unit else encoder
+    name, make = uuid.uuid4().hex, unit_encoder(encoder) if unit else encoder
 
     @F.arrow_udf("array<float>")
     def infer(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -344,6 +344,24 @@ def test_ties_keep_exactly_k_in_key_order(spark):
     assert sorted(r.item_id for r in vectors.knn(q, c, 3).collect()) == [0, 1, 2]
 
 
+def encoded(spark):
+    """Queries and items whose vectors come from the encoder, so both ways to unit length meet."""
+    texts = [(i, " ".join(f"w{(i * j) % 23}" for j in range(1, 3 + i % 9))) for i in range(60)]
+    items = vectors.encode_texts(spark.createDataFrame(texts, "item_id long, t string"), "t", vectors.HashedTokens(dims=32)).select("item_id", "vector").localCheckpoint()
+    rows = {r.item_id: [float(x) for x in r.vector] for r in items.collect()}
+    return items.filter("item_id % 10 = 0").withColumnRenamed("item_id", "query_id"), items, rows
+
+
+def nearest(rows, q):
+    return sorted((-round(sum(x * y for x, y in zip(rows[q], v)) / sum(x * x for x in rows[q]) ** 0.5 / sum(x * x for x in v) ** 0.5, 9), i) for i, v in rows.items())
+
+
+def test_knn_of_encoded_texts(spark):
+    queries, items, rows = encoded(spark)
+    got = sorted((r.query_id, r.place, -round(r.similarity, 6)) for r in vectors.knn(queries, items, 4).collect())
+    assert got == [(q, place, round(s, 6)) for q in range(0, 60, 10) for place, (s, _) in enumerate(nearest(rows, q)[:4], 1)]
+
+
 def test_block_join_covers_the_grid(spark):
     import pandas as pd
 
