@@ -369,6 +369,12 @@ def test_prefiltered_knn_of_encoded_texts(spark):
     assert got == [(q, place, round(s, 6)) for q, best in want.items() for place, s in enumerate(best, 1)]
 
 
+def test_ann_of_encoded_texts(spark):
+    queries, items, rows = encoded(spark)
+    got = sorted((r.query_id, r.place, -round(r.similarity, 6)) for r in vectors.ann(queries, items, 4, least=60).collect())
+    assert got == [(q, place, round(s, 6)) for q in range(0, 60, 10) for place, (s, _) in enumerate(nearest(rows, q)[:4], 1)]
+
+
 def test_block_join_covers_the_grid(spark):
     import pandas as pd
 
