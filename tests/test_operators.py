@@ -375,6 +375,11 @@ def test_ann_of_encoded_texts(spark):
     assert got == [(q, place, round(s, 6)) for q in range(0, 60, 10) for place, (s, _) in enumerate(nearest(rows, q)[:4], 1)]
 
 
+def test_recall_of_codes_is_measured(spark):
+    rows = QUERIES["mat_2_ann_recall"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r.wanted == 20 and r.enough_found and r.few_scored and r.scores_agree for r in rows)
+
+
 def test_block_join_covers_the_grid(spark):
     import pandas as pd
 
