@@ -81,13 +81,13 @@ class Block:
 
     def entries(self) -> tuple[np.ndarray, np.ndarray]:
         """The set of every prefix token and its place in it."""
-        owner = np.repeat(np.arange(len(self.n)), self.sizes)
-        return owner, np.arange(len(owner)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        owner = np.repeat(np.arange(len(self.n), dtype=np.int32), self.sizes)
+        return owner, np.arange(len(owner), dtype=np.int32) - np.repeat((np.cumsum(self.sizes) - self.sizes).astype(np.int32), self.sizes)
 
 
 def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """start, start + 1 .. of every span, one after the other."""
-    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    return np.repeat(starts - (np.cumsum(counts, dtype=np.int64) - counts), counts) + np.arange(counts.sum())
 
 
 def near_by_bits(a: Block, z: Block, i: np.ndarray, j: np.ndarray, slack: float, room: int = 1 << 20) -> np.ndarray:
@@ -108,7 +108,7 @@ def near_by_bits(a: Block, z: Block, i: np.ndarray, j: np.ndarray, slack: float,
     return out
 
 
-def meet(a: Block, z: Block, same: bool, threshold: float, room: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+def meet(a: Block, z: Block, same: bool, threshold: float, room: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (of a, of z), a's set no larger, that share a token at places which leave both enough tokens for the
     threshold, and that the parity bits do not rule out.  At most ``room`` combinations are looked at together."""
     share, slack = threshold / (1 + threshold), (1 - threshold) / (1 + threshold)
@@ -126,24 +126,29 @@ def meet(a: Block, z: Block, same: bool, threshold: float, room: int = 1 << 21)
     # The smaller set's tokens at places that leave it two shares of its size, by (token, set).
     owner, place = a.entries()
     kept = a.n[owner] - place >= a.n[owner] * (2 * share) - EPS
-    owner, left = owner[kept], (a.n[owner] - place)[kept]
+    owner, place = owner[kept], place[kept]
     index = a.tokens[kept].astype(np.uint64) << np.uint64(32) | owner.astype(np.uint64)
     order = np.argsort(index)
-    index, owner, over = index[order], owner[order], (left - a.n[owner] * share)[order]
+    index, owner, over = index[order], owner[order], (a.n[owner] - place - a.n[owner] * share)[order]
+    del kept, place, order
     # The other's, by token, so that neighbours are looked up side by side.
     z_owner, z_place = z.entries()
     use = np.flatnonzero((known & (low < high))[z_owner])
     by_token = (z.tokens[use].astype(np.uint64) << np.uint64(32)) | use.astype(np.uint64)
     by_token.sort()
-    use = (by_token & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    token, z_owner = by_token & ~np.uint64(0xFFFFFFFF), z_owner[use]
-    z_left = z.n[z_owner] - z_place[use]
-    most = np.minimum(high[z_owner], until(np.floor((z_left + EPS) / share - z.n[z_owner]), at[z_owner], "right"))
-    begin = np.searchsorted(index, token | low[z_owner].astype(np.uint64))
-    counts = np.maximum(np.searchsorted(index, token | most.astype(np.uint64)) - begin, 0)
-    hit = np.flatnonzero(counts)
-    begin, counts, z_owner = begin[hit], counts[hit], z_owner[hit]
-    total, found, waiting, held = np.cumsum(counts), [], [], 0
+    some = []
+    for use in np.array_split(by_token, max(1, len(by_token) // room)):
+        token, use = use & ~np.uint64(0xFFFFFFFF), (use & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        who = z_owner[use]
+        left = z.n[who] - z_place[use]
+        most = np.minimum(high[who], until(np.floor((left + EPS) / share - z.n[who]), at[who], "right"))
+        begin = np.searchsorted(index, token | low[who].astype(np.uint64))
+        counts = np.searchsorted(index, token | most.astype(np.uint64)) - begin
+        hit = np.flatnonzero(counts > 0)
+        some.append((begin[hit].astype(np.int32), counts[hit].astype(np.int32), who[hit]))
+    del by_token, z_place, index
+    begin, counts, z_owner = (np.concatenate(x) for x in zip(*some))
+    total, found, waiting, held = np.cumsum(counts, dtype=np.int64), [], [], 0
 
     def settle() -> None:
         pairs = np.unique(np.concatenate(waiting))
@@ -151,14 +156,14 @@ def meet(a: Block, z: Block, same: bool, threshold: float, room: int = 1 << 21)
         waiting.clear()
 
     start = 0
-    while start < len(hit):
+    while start < len(begin):
         end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + room, "right")))
         for cut in range(0, int(counts[start]), room) if end == start + 1 else (0,):  # one token's list alone may be over the room
             n = np.minimum(counts[start:end] - cut, room) if end == start + 1 else counts[start:end]
             entry = spans(begin[start:end] + cut, n)
             other = np.repeat(z_owner[start:end], n)
             good = over[entry] >= z.n[other] * share - EPS
-            waiting.append(owner[entry[good]] << 32 | other[good])
+            waiting.append(owner[entry[good]].astype(np.int64) << 32 | other[good])
             held += len(waiting[-1])
         start = end
         if held > 2 * room:
